@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,6 +91,7 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
 
 def _tile(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id")
         sides = pdf["side"].to_numpy() if pdf["side"].notna().all() else None
         got = link_tile(pdf["id"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in pdf["items"]], pdf["label"].to_numpy(np.int64), percent, sides)
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
@@ -96,59 +99,57 @@ def _tile(percent: int):
     return run
 
 
-def verified_components(sets: DataFrame, candidates: DataFrame, percent: int, tag: str, tile: int = TILE) -> DataFrame:
-    """Components of the exact links among candidates.
+def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tag: str, tile: int = TILE) -> DataFrame:
+    """Components of the exact links among candidates(a, b).
 
-    sets(id long, n int, items array<long> sorted distinct) holds a set for each id in candidates(a, b); sets whose
-    candidate clusters differ can't link. Returns (id, component) for ids that link with another; component is the
-    smallest id.
+    members(id, n, w) has the size n of each id's set (1 for all, where it isn't known: then there is one band) and about
+    how many elements w it takes in memory; sets_of(keys) returns keys(id, ...) with their sets as items array<long>, sorted and distinct. Sets in different
+    candidate clusters can't link. Returns (id, component) for ids that link with another; component is the smallest id.
 
-    A cluster of up to `tile` members is one tile. A larger one is cut into size bands (ratio 100/percent, so that
+    A cluster of up to about `tile` members is one tile. A larger one is cut into size bands (ratio 100/percent, so that
     links only join the same or neighbouring bands) and salted blocks of about `tile` members. First each block is
     solved alone, then the components' representatives meet, and only clusters that still have several components get
     the remaining pairs of blocks, in which pairs of equal label are skipped. No pair that might link between different
-    components is left out.
+    components is left out. Until a tile is formed only ids and sizes move; its sets are made when it is.
     """
-    cluster = written(connected(candidates, tag).select(F.col("node").alias("id"), F.col("component").alias("cluster")), tag)
-    ratio = float(np.log(100 / percent)) if percent < 100 else 1.0
-    # one epsilon narrower than the widest allowed ratio would lose links; bands may only be wider
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio * 1.0000001)).cast("long")
-    own = sets.join(cluster, "id").withColumn("band", band)
-    load = F.greatest(F.count("*") / F.lit(tile), F.sum("n") / F.lit(tile * TILE_ITEMS))
+    # bands may only be wider than the widest allowed ratio, or links would be lost
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(np.log(100 / percent)) * 1.0000001)).cast("long")
+    own = connected(candidates, tag).select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(members, "id").withColumn("band", band)
     own = written(own, tag)
-    own = own.join(own.groupBy("cluster").agg((load > 1).alias("big")), "cluster")
-    cells = own.groupBy("cluster", "band").agg(F.ceil(load).cast("long").alias("parts"))
-    own = own.join(cells, ["cluster", "band"]).withColumn("band", F.when(F.col("big"), F.col("band")).otherwise(0))
-    own = own.withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0))
-    own = written(own.select("cluster", "big", "band", "part", "parts", "id", "n", "items"), tag)
-    run, shape = _tile(percent), "a long, b long"
-    alone = own.select("cluster", "band", "part", "id", "items", F.col("id").alias("label"), F.lit(None).cast("long").alias("side"))
+    load = F.greatest(F.count("*") / F.lit(tile), F.sum("w") / F.lit(tile * TILE_ITEMS))
+    cells = own.groupBy("cluster", "band").agg(load.alias("load")).withColumn("parts", F.ceil("load").cast("long"))
+    cells = written(cells, tag)
+    own = own.join(cells.groupBy("cluster").agg((F.sum("load") > 1).alias("big")), "cluster").join(cells.select("cluster", "band", "parts"), ["cluster", "band"])
+    own = own.withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)).withColumn("band", F.when(F.col("big"), F.col("band")).otherwise(0))
+    own = written(own.select("cluster", "big", "band", "part", "id"), tag)
+    run, shape, no_side = _tile(percent), "a long, b long", F.lit(None).cast("long").alias("side")
+    alone = sets_of(own.select("id", "cluster", "band", "part", F.col("id").alias("label"), no_side))
     links = written(alone.groupBy("cluster", "band", "part").applyInPandas(run, shape), tag)
-    if own.where("big").limit(1).count() == 0:
+    big = own.where("big")
+    if big.limit(1).count() == 0:
         return connected(links, tag).select(F.col("node").alias("id"), "component")
 
     def labelled(links: DataFrame) -> DataFrame:
-        c = written(connected(links, tag), tag)
-        return own.where("big").join(c.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-
-    for _ in range(2):  # representatives of the blocks' components meet, band by band
-        big = labelled(links)
-        pick = big.groupBy("cluster", "band", "label").agg(F.min("id").alias("id"))
-        reps = pick.join(own.select("id", "items"), "id")
-        width = pick.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(tile)).alias("w"))
-        reps = reps.join(width, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("w")))
-        two = reps.withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
-        more = two.select("cluster", "at", "part", "id", "items", "label", F.lit(None).cast("long").alias("side")).groupBy("cluster", "at", "part").applyInPandas(run, shape)
-        links = written(links.unionAll(more), tag)
-    big = labelled(links)
-    several = big.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-    big = written(big.join(several, "cluster", "left_semi"), tag)
-    blocks = big.groupBy("cluster", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        c = connected(links, tag)
+        return written(big.join(c.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), tag)
+
+    now = labelled(links)
+    pick = now.groupBy("cluster", "band", "label").agg(F.min("id").alias("id"))
+    width = pick.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(tile // 2)).cast("long").alias("w"))
+    reps = pick.join(width, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("w")))
+    reps = reps.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).select("id", "cluster", F.col("at").alias("band"), "part", "label", no_side)
+    tiles = reps.groupBy("cluster", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster", "band", "part")
+    more = sets_of(reps.join(tiles, ["cluster", "band", "part"], "left_semi"))
+    links = written(links.unionAll(more.groupBy("cluster", "band", "part").applyInPandas(run, shape)), tag)
+    now = labelled(links)
+    blocks = written(now.groupBy("cluster", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), tag)
     left = blocks.select("cluster", F.col("band").alias("b1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     right = blocks.select("cluster", F.col("band").alias("b2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     right = right.withColumn("b1", F.explode(F.array("b2", F.col("b2") - 1)))
     tiles = left.join(right, ["cluster", "b1"]).where("(b1 < b2 or p1 < p2) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
     tiles = tiles.select("cluster", F.xxhash64("b1", "p1", "b2", "p2").alias("t"), F.explode(F.array(F.struct(F.col("b1").alias("band"), F.col("p1").alias("part"), F.lit(0).cast("long").alias("side")), F.struct(F.col("b2").alias("band"), F.col("p2").alias("part"), F.lit(1).cast("long").alias("side")))).alias("x"))
-    tiles = tiles.select("cluster", "t", "x.band", "x.part", "x.side")
-    rest = tiles.join(big, ["cluster", "band", "part"]).select("cluster", "t", "id", "items", "label", "side").groupBy("cluster", "t").applyInPandas(run, shape)
-    return connected(links.unionAll(written(rest, tag)), tag).select(F.col("node").alias("id"), "component")
+    tiles = written(tiles.select("cluster", "t", "x.band", "x.part", "x.side"), tag)
+    if tiles.limit(1).count():
+        rest = sets_of(tiles.join(now, ["cluster", "band", "part"]).select("id", "cluster", "t", "label", "side"))
+        links = links.unionAll(written(rest.groupBy("cluster", "t").applyInPandas(run, shape), tag))
+    return connected(links, tag).select(F.col("node").alias("id"), "component")

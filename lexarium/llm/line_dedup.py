@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, small_batches, written
 from .components import verified_components
-from .ngram_jaccard import bucket_edges
+from .ngram_jaccard import candidate_edges
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^3)^8 = 0.3%.
 CHARS, ROWS, BANDS = 5, 3, 8
@@ -92,14 +93,19 @@ def _lines(batches):
 def _sets(batches):
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
-            keys, items = [], []
-            for text, wanted in zip(part.column(part.schema.get_field_index("text")).to_pylist(), part.column(part.schema.get_field_index("wanted")).to_pylist(), strict=True):
+            names = part.schema.names
+            row, fields, items = [], [], []
+            for r, (text, wanted) in enumerate(zip(part.column(names.index("text")).to_pylist(), part.column(names.index("wanted")).to_pylist(), strict=True)):
                 lines = text.split("\n")
-                folded = [fold_line(lines[i]) for i in sorted(set(wanted))]
-                for f in folded:
-                    keys.append(hashlib.blake2b(f.encode(), digest_size=16).digest())
-                    items.append(np.unique(char_hashes([f])[0].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["key", "n", "items"])
+                for w in wanted:
+                    row.append(r)
+                    fields.append({k: v for k, v in w.items() if k != "line"})
+                    items.append(np.unique(char_hashes([fold_line(lines[w["line"]])])[0].view(np.int64)))
+            kind = part.schema.field("wanted").type.value_type
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([f[kind.field(i).name] for f in fields], kind.field(i).type) for i in range(kind.num_fields) if kind.field(i).name != "line"), pa.array(items, pa.list_(pa.int64()))],
+                [*(kind.field(i).name for i in range(kind.num_fields) if kind.field(i).name != "line"), "items"],
+            )
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -116,16 +122,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keys = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
-    # shingle counts with repeats don't bound set sizes, so sizes don't part the buckets here
-    found = keys.select(F.explode("bands").alias("h"), F.col("lid").alias("id"), F.lit(1).cast("long").alias("n")).repartition("h")
-    edges = written(found.mapInArrow(bucket_edges(percent), "a long, b long"), "bands")
-    nodes = edges.select(F.col("a").alias("lid")).union(edges.select(F.col("b").alias("lid"))).distinct()
-    need = keys.select("lid", "key", "first").join(nodes, "lid", "left_semi")
-    wanted = need.groupBy("first.id", "first.th").agg(F.collect_list("first.line").alias("wanted")).withColumnsRenamed({"id": "id2", "th": "th2"})
-    text = base.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("text", "wanted")
-    sets = text.mapInArrow(_sets, "key binary, n long, items array<long>")
-    sets = sets.join(need.select("key", "lid"), "key").dropDuplicates(["lid"]).select(F.col("lid").alias("id"), "n", "items")
-    linked = written(verified_components(sets, edges, percent, "linetiles"), "linked")
+    band = F.shiftleft(F.shiftright("band", 16), 16)  # no size code: shingle counts with repeats don't bound set sizes
+    edges = candidate_edges(keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id")).select(band.alias("key"), "id"), "bands")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
+        own = own.groupBy("_id", "_th").agg(F.collect_list(F.struct("line", *wanted.columns)).alias("wanted"))
+        text = base.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
+        return text.mapInArrow(_sets, T.StructType([*wanted.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
+
+    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles"), "linked")
     own = keys.select("lid", "key", "first", "times").join(linked.withColumnRenamed("id", "lid"), "lid", "left")
     kept = own.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
     own = own.join(kept, "component", "left").where("times > 1 or kept is not null").select("key", F.coalesce("kept", "first").alias("kept"))

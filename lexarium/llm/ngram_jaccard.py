@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, SPACED, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
@@ -21,7 +22,7 @@ def _frequent(k: int, lut: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in small_batches(batch, "text", 16 << 20):
-                own = [np.unique(shingle_hashes(w, k)) for w in rows_of(part.column(0), lut)]
+                own = [shingle_hashes(w, k) for w in rows_of(part.column(0), lut)]
                 h, c = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
                 often = np.flatnonzero(c >= 4)
                 often = often[np.argsort(-c[often], kind="stable")[:REPORTED]]
@@ -44,54 +45,80 @@ def prefix_of(items: np.ndarray, percent: int, often: np.ndarray, rank: np.ndarr
     return items[np.argsort(level, kind="stable")[:p]]
 
 
+def class_of(items: np.ndarray) -> int:
+    """A 64-bit id of a set of shingles."""
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def size_code(n: int, percent: int) -> int:
+    """A 16-bit code of a size: codes of sizes that can link differ by STEPS + 1 at most."""
+    return min(int(STEPS * np.log(max(n, 1)) / np.log(100 / percent)), 0xFFFF)
+
+
+#: Size codes for each factor of 100/percent.
+STEPS = 500
+
+
 def _prefixes(k: int, percent: int, lut: np.ndarray, shared):
     def run(batches):
         often, rank = shared.value
+        seen: set[int] = set()  # classes that this task has indexed: copies of one text are indexed once in each task
         for batch in batches:
             for part in small_batches(batch, "text"):
-                n, cls, pre = [], [], []
+                n, cls, keys, ends = [], [], [], [0]
                 for w in rows_of(part.column(part.schema.get_field_index("text")), lut):
                     u = np.unique(shingle_hashes(w, k))
                     n.append(len(u))
-                    cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                    pre.append(prefix_of(u, percent, often, rank).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), part.column(part.schema.get_field_index("th")), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(pre, pa.list_(pa.int64()))], ["id", "th", "n", "cls", "prefix"])
+                    cls.append(class_of(u) if len(u) else None)
+                    if len(u) and cls[-1] not in seen:
+                        seen.add(cls[-1])
+                        p = prefix_of(u, percent, often, rank)
+                        keys.append((p & ~np.uint64(0xFFFF)) | np.uint64(size_code(len(u), percent)))
+                        ends.append(ends[-1] + len(p))
+                    else:
+                        ends.append(ends[-1])
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), part.column(part.schema.get_field_index("th")), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "th", "n", "cls", "keys"])
 
     return run
 
 
-def bucket_edges(percent: int):
-    """(h, id, n) of whole keys -> star edges of each run of one key in which neighbouring sizes can link."""
+def bucket_edges(batches):
+    """(key, id) of whole keys -> star edges of each run of one key in which neighbouring sizes can link.
 
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        h, i, n = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "id", "n"))
-        order = np.lexsort((i, n, h))
-        h, i, n = h[order], i[order], n[order]
-        same = (h[1:] == h[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
-        group = np.concatenate([[0], np.cumsum(~same)])
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        a, b = i, i[first[group]]
-        keep = a != b
-        pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return run
+    The low 16 bits of a key are the size code, the others the shingle or band.
+    """
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    key, i = t.column("key").to_numpy().view(np.uint64), t.column("id").to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, i = key[order], i[order]
+    h, size = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64)
+    same = (h[1:] == h[:-1]) & (size[1:] - size[:-1] <= STEPS + 1)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    group = np.concatenate([[0], np.cumsum(~same)])
+    least = np.minimum.reduceat(i, first)
+    a, b = i, least[group]
+    keep = a != b
+    pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def candidate_edges(keys: DataFrame, tag: str) -> DataFrame:
+    """Star edges of keys(key long, id long)."""
+    return written(keys.repartition(F.shiftright("key", 16)).mapInArrow(bucket_edges, "a long, b long").distinct(), tag)
 
 
 def _sets(k: int, lut: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in small_batches(batch, "text"):
-                items, cls = [], []
-                for w in rows_of(part.column(part.schema.get_field_index("text")), lut):
-                    u = np.unique(shingle_hashes(w, k))
-                    items.append(np.sort(u.view(np.int64)))
-                    cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["cls", "items"])
+                at = part.schema.get_field_index("text")
+                items = [np.unique(shingle_hashes(w, k)).view(np.int64) for w in rows_of(part.column(at), lut)]
+                rest = [i for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array([np.sort(x) for x in items], pa.list_(pa.int64()))], [*(part.schema.names[i] for i in rest), "items"])
 
     return run
 
@@ -112,7 +139,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null id is never the smallest: such a row gets the smallest id of its component, or null. Repeated rows are equal
     sets and thus linked; rows of one id but different texts are told apart. An empty table gives no rows. Further
     columns of docs, whatever their names, are ignored. Texts of any length are processed whole, a few MB at a time.
-    Shingles are compared by 64-bit hashes and sets by 128-bit hashes.
+    Shingles and sets of shingles are told apart by 64-bit hashes.
     """
     spark, lut = docs.sparkSession, {"spaced": SPACED, "alnum": ALNUM}[words]
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
@@ -122,20 +149,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], top["c"].to_numpy(np.int64)[order]))  # at most FREQUENT pairs
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(base.mapInArrow(_prefixes(k, percent, lut, shared), f"id {kind}, th long, n long, cls binary, prefix array<long>"), "rows")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("low"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keys = classes.select(F.explode("prefix").alias("h"), F.col("cid").alias("id"), "n").repartition("h")
-    edges = written(keys.mapInArrow(bucket_edges(percent), "a long, b long"), "edges")
-    nodes = edges.select(F.col("a").alias("cid")).union(edges.select(F.col("b").alias("cid"))).distinct()
-    need = classes.select("cid", "cls", "n", "low").join(nodes, "cid", "left_semi")
-    # one document of each class stands for it; the hash of the text tells rows of one id apart
-    stand = rows.join(need.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("s")).select("s.id", "s.th")
-    text = base.join(stand.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left_semi")
-    sets = text.select("text").mapInArrow(_sets(k, lut), "cls binary, items array<long>")
-    sets = sets.join(need, "cls").dropDuplicates(["cid"]).select(F.col("cid").alias("id"), "n", "items")
-    found = verified_components(sets, edges, percent, "tiles")
-    found = classes.select("cls", "cid", "low").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    rows = written(base.mapInArrow(_prefixes(k, percent, lut, shared), f"id {kind}, th long, n long, cls long, keys array<long>"), "rows")
+    edges = candidate_edges(rows.select(F.explode("keys").alias("key"), F.col("cls").alias("id")), "edges")
+    stand = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))  # one document of each class stands for it
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("low"), stand.alias("s"))
+    classes = written(classes.select("cls", "n", "low", F.col("s.id").alias("did"), F.col("s.th").alias("dth")), "classes")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        own = keys.join(classes.select(F.col("cls").alias("id"), "did", "dth"), "id")
+        text = base.select(F.col("id").alias("_id"), "th", "text").join(own, F.col("_id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")))
+        return text.select(*keys.columns, "text").mapInArrow(_sets(k, lut), T.StructType([*keys.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
+
+    found = verified_components(classes.select(F.col("cls").alias("id"), "n", F.col("n").alias("w")), edges, sets_of, percent, "tiles")
+    found = classes.select("cls", "low").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = found.groupBy("component").agg(F.min("low").alias("least"))
     found = written(found.join(least, "component").select("cls", F.col("least").alias("component")), "labels")
     return rows.select("id", "th", F.col("n").alias("n_shingles"), "cls").join(found, "cls", "left").select("id", "th", "n_shingles", "cls", F.coalesce("component", "id").alias("component"))
