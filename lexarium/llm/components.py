@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +18,45 @@ TILE = 2000
 TILE_ITEMS = 1000
 
 
+#: Edges that one task may hold; more are contracted by distributed rounds.
+LOCAL_EDGES = 1 << 21
+
+
+def _forest(batches):
+    """Union-find over the edges of one partition: an edge from each node to its root, the smallest node."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    nodes, at = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+    a, b, root = at[: t.num_rows], at[t.num_rows :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        old = root.copy()
+        np.minimum.at(root, old[a], low)
+        np.minimum.at(root, old[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == old).all():
+            break
+    own = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["a", "b"])
+
+
 def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Components of edges(a long, b long): (node, component), component being the smallest node that it reaches.
 
-    Each round first ties every larger neighbour of a node to the node's smallest neighbour, then every smaller
-    neighbour and the node itself; it ends when nothing changes. A hub's edges only meet in joins that Spark may split,
-    and minima are taken before the shuffle. Self loops, repeated edges and null ends change nothing; no edges: no rows.
+    Each partition first contracts its own edges by union-find to one edge for each node. What is left meets in one task
+    if it is at most LOCAL_EDGES edges, a fixed amount of memory. Else rounds tie every larger neighbour of a node to the
+    node's smallest neighbour, then every smaller neighbour and the node itself, until nothing changes; a hub's edges
+    only meet in joins that Spark may split, and minima are taken before the shuffle. Self loops, repeated edges and null
+    ends change nothing; no edges: no rows.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    now, seen = written(pairs.distinct(), tag), None
+    now, seen = written(pairs.mapInArrow(_forest, "a long, b long"), tag), None
+    if now.count() <= LOCAL_EDGES:
+        now = written(now.coalesce(1).mapInArrow(_forest, "a long, b long"), tag)
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == seen:

@@ -15,7 +15,7 @@ from .components import verified_components
 
 #: Shingles that one batch reports as frequent, and how many of the most frequent count as such in the whole corpus.
 #: They only steer which shingles are tried last; no link depends on them.
-REPORTED, FREQUENT = 2048, 1 << 16
+REPORTED, FREQUENT = 1 << 16, 1 << 20
 
 
 def _frequent(k: int, lut: np.ndarray):
@@ -24,7 +24,7 @@ def _frequent(k: int, lut: np.ndarray):
             for part in small_batches(batch, "text", 16 << 20):
                 own = [shingle_hashes(w, k) for w in rows_of(part.column(0), lut)]
                 h, c = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-                often = np.flatnonzero(c >= 4)
+                often = np.flatnonzero(c > 1)
                 often = often[np.argsort(-c[often], kind="stable")[:REPORTED]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
@@ -83,15 +83,18 @@ def _prefixes(k: int, percent: int, lut: np.ndarray, shared):
     return run
 
 
+def _whole(batches) -> pa.Table | None:
+    got = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(got) if got else None
+
+
 def bucket_edges(batches):
     """(key, id) of whole keys -> star edges of each run of one key in which neighbouring sizes can link.
 
-    The low 16 bits of a key are the size code, the others the shingle or band.
+    The low 16 bits of a key are the size code, the others the shingle.
     """
-    got = [b for b in batches if b.num_rows]
-    if not got:
+    if (t := _whole(batches)) is None:
         return
-    t = pa.Table.from_batches(got)
     key, i = t.column("key").to_numpy().view(np.uint64), t.column("id").to_numpy()
     order = np.argsort(key, kind="stable")
     key, i = key[order], i[order]
