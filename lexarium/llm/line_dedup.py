@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from .common import mix64, small_batches, written
 from .components import verified_components
-from .ngram_jaccard import candidate_edges
+from .ngram_jaccard import _whole
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^3)^8 = 0.3%.
 CHARS, ROWS, BANDS = 5, 3, 8
+#: Bins of the signature, and how many of their two-bit codes two lines of one band must share: at similarity 0.8 a code
+#: agrees with chance 0.85, so that fewer than 20 of 32 do with chance 0.1%; unrelated lines seldom reach it.
+BINS, CODES = 32, 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,8 +45,8 @@ def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash: the least value in each of ROWS * BANDS bins, empty bins filled from the next one."""
-    bins = ROWS * BANDS
+    """One-permutation MinHash: the least value in each of BINS bins, empty bins filled from the next one."""
+    bins = BINS
     out = np.full(n * bins, NONE, np.uint64)
     np.minimum.at(out, line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
     out = out.reshape(n, bins)
@@ -65,10 +68,49 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
         for r in range(ROWS):
-            keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, r::ROWS])
+            keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, r : ROWS * BANDS : ROWS])
     return keys.view(np.int64)
 
 
+def codes(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each bin in one long."""
+    two = mix64(sig) & np.uint64(3)
+    return np.bitwise_or.reduce(two << (2 * np.arange(BINS, dtype=np.uint64)), axis=1).view(np.int64)
+
+
+def agreeing(code: np.uint64, others: np.ndarray) -> np.ndarray:
+    """Number of bins whose codes agree."""
+    x = code ^ others
+    return BINS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int64)
+
+
+def band_edges(batches):
+    """(band, id, code) of whole bands -> edges between lines of one band whose codes agree enough.
+
+    Within a band each leader is compared with all lines, and lines that a leader reaches don't lead, so that a group of
+    like lines costs one comparison for each line.
+    """
+    if (t := _whole(batches)) is None:
+        return
+    band, i, code = t.column("band").to_numpy(), t.column("id").to_numpy(), t.column("code").to_numpy().view(np.uint64)
+    order = np.lexsort((i, band))
+    band, i, code = band[order], i[order], code[order]
+    cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1], strict=True):
+        own, ids, led = code[lo:hi], i[lo:hi], np.zeros(hi - lo, bool)
+        for k in range(hi - lo - 1):
+            if not led[k]:
+                near = np.flatnonzero(agreeing(own[k], own) >= CODES)
+                near = near[near != k]
+                led[near] = True
+                a.append(ids[near])
+                b.append(np.full(len(near), ids[k]))
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+
 def _lines(batches):
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
@@ -83,11 +125,12 @@ def _lines(batches):
             if not folded:
                 continue
             h, line = char_hashes(folded)
-            bands = band_keys(signatures(h, line, len(folded)))
+            sig = signatures(h, line, len(folded))
+            bands = band_keys(sig)
             n = np.bincount(line, minlength=len(folded))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(folded) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
             own = part.take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), flat], ["id", "th", "line", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(codes(sig)), flat], ["id", "th", "line", "key", "n", "code", "bands"])
 
 
 def _sets(batches):
@@ -118,12 +161,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, bands array<long>"), "lines")
+    lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, code long, bands array<long>"), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
-    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("bands").alias("bands"))
     keys = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
-    band = F.shiftleft(F.shiftright("band", 16), 16)  # no size code: shingle counts with repeats don't bound set sizes
-    edges = candidate_edges(keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id")).select(band.alias("key"), "id"), "bands")
+    banded = keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id"), "code").repartition("band")
+    edges = written(banded.mapInArrow(band_edges, "a long, b long").distinct(), "bands")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
