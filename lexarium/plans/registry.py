@@ -5,17 +5,125 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import rules, search, similarity
+from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TERMS = ["thtion", "erhe", "heand", "mentation", "thing"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def run_plan(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Run a plan of plans.sql; the tables it names are read where they are used, so scans stay pruned and filtered."""
+    for name in TABLES:
+        if name in query:
+            read(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(query)
+
+
+def _flagship(spark, sf_dir):
+    return search.coverage_search(read(spark, sf_dir, "documents"), TERMS)
+
+
+def _bm25(spark, sf_dir):
+    return search.bm25_search(read(spark, sf_dir, "documents"), TERMS)
+
+
+def _match_count(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.where(F.arrays_overlap(T.tokens(F.col("text")), F.array(*map(F.lit, TERMS)))).groupBy("lang").agg(F.countDistinct("doc_id").alias("n"))
+
+
+def _shards(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return search.prefix_shards(search.postings(d), d.count())
+
+
+def _fold(spark, sf_dir):
+    k = T.fold_key(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(k.cast("binary")).alias("key_md5"), F.length(k).cast("long").alias("n"))
+
+
+def _stems(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("t"))
+    return d.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"), F.countDistinct("t").alias("forms"))
+
+
+def _snippets(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("at", F.locate("and", F.col("text")).cast("long")).where("at > 0")
+    return d.select("doc_id", "at", T.snippet(F.col("text"), F.col("at"), F.lit(3)).alias("snippet"))
+
+
+def _terms(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text"), ["the", "and", "that"]), " ").alias("terms"))
+
+
+def _reenact(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
+    norms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("norm"), "text")
+    return similarity.re_enactments(lines, norms)
+
+
+def _hrefs(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return p.groupBy("href").agg(F.countDistinct("page_id").alias("citing"), F.count("*").alias("n")).orderBy(F.desc("citing"), "href").limit(50)
+
+
+def _rule(spark, sf_dir):
+    rule = rules.parse("IF quantity >= 30 AND (flag = 'R' OR discount < 0.02) THEN 'refuse' ELSE 'accept'")
+    names = {"quantity": F.col("l_quantity"), "flag": F.col("l_returnflag"), "discount": F.col("l_discount")}
+    return read(spark, sf_dir, "lineitem").groupBy("l_linestatus", rules.compile_rule(rule, names).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_FOLD = f"trim(regexp_replace(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '\\s+', ' ', 'g'))"
+_W = f"regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}')"
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as t{i}" for i, t in enumerate(TERMS))
+_FLAT = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+OWN: dict[str, tuple[Query, str]] = {
+    "search_coverage": (_flagship, f"select doc, score from (select doc_id as doc, len(list_filter({TERMS}, lambda t: list_contains({_W}, t)))::bigint as score from documents) where score > 0 order by score desc, doc limit 25"),
+    "search_bm25": (
+        _bm25,
+        f"with h as (select doc_id as doc, len(w) as len, {_TF} from (select doc_id, {_W} as w from documents)), s as (select count(*) as n, avg(len) as mean, {', '.join(f'count(*) filter (t{i} > 0) as d{i}' for i in range(len(TERMS)))} from h), "
+        f"r as (select doc, round({' + '.join(f'ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / mean))' for i in range(len(TERMS)))}, 6) as score from h, s) select doc, score from r where score > 0 order by score desc, doc limit 20",
+    ),
+    "search_match_count": (_match_count, f"select lang, count(distinct doc_id) as n from documents where list_has_any({_W}, {TERMS}) group by lang"),
+    "search_prefix_shards": (_shards, f"with p as (select distinct doc_id, unnest({_W}) as token from documents), t as (select token, count(*) as df from p group by token) select token[1:3] as prefix, count(*) as n_tokens, sum(df)::bigint as n_postings from t where df <= 0.4 * (select count(*) from documents) group by 1"),
+    "text_fold_key": (_fold, f"select doc_id, md5({_FOLD}) as key_md5, length({_FOLD})::bigint as n from documents"),
+    "text_stems": (_stems, f"with t as (select unnest(list_distinct({_W})) as t from documents) select regexp_replace(t, '^(.{{4,}}?)({'|'.join(T.SUFFIXES)})$', '\\1') as stem, count(*) as n, count(distinct t) as forms from t group by 1"),
+    "text_snippet": (
+        _snippets,
+        """with d as (select doc_id, text, strpos(text, 'and')::bigint as p from documents), s as (select *, greatest(p - 110, 1) as a, least(p + 3 + 109, length(text)) as e from d where p > 0) select doc_id, p as "at", case when a > 1 then '...' else '' end || substr(text, a, e - a + 1) || case when e < length(text) then '...' else '' end as snippet from s""",
+    ),
+    "text_query_terms": (
+        _terms,
+        f"with t as (select item_id, {_W} as w from benchmark), u as (select item_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_position(w, w[i]) = i then w[i] end), lambda x: x is not null and x not in ('the', 'and', 'that')) as k from t) select item_id, array_to_string(k[1:12], ' ') as terms from u",
+    ),
+    "sim_re_enactments": (
+        _reenact,
+        f"with u as (select doc_id as unit, {_FLAT} as f from documents), b as (select item_id as norm, {_FLAT} as f from benchmark), ug as (select distinct unit, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) as g from u where len(string_split(f, ' ')) >= 15), "
+        "bg as (select distinct norm, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) as g from b where len(string_split(f, ' ')) >= 15), nu as (select unit, count(*) as n_u from ug group by unit), nb as (select norm, count(*) as n_b from bg group by norm), "
+        "h as (select unit, norm, count(*) as both_n from ug join bg using (g) group by all) select unit, norm, round(both_n / n_b, 6) as part from h join nu using (unit) join nb using (norm) where n_u <= 3 * n_b and round(both_n / n_b, 6) >= 0.8",
+    ),
+    "graph_link_counts": (_hrefs, "with p as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select href, count(distinct page_id) as citing, count(*) as n from p group by href order by citing desc, href limit 50"),
+    "rule_outcomes": (_rule, "select l_linestatus, case when l_quantity is null or l_returnflag is null or l_discount is null then null when l_quantity >= 30 and (l_returnflag = 'R' or l_discount < 0.02) then 'refuse' else 'accept' end as outcome, count(*) as n from lineitem group by all"),
+}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    own = {name: f for name, (f, _) in OWN.items()}
+    return own | {name: (lambda spark, sf_dir, p=p: run_plan(spark, sf_dir, p(sql.Spark))) for name, p in sql.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for name, (_, q) in OWN.items()} | {name: p(sql.Duck) for name, p in sql.PLANS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return _flagship(spark, sf_dir)
