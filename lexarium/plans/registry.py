@@ -66,7 +66,8 @@ def _terms(spark, sf_dir):
 
 
 def _reenact(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    lines = lines.select(F.concat_ws(":", "doc_id", "i").alias("unit"), "text")
     norms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("norm"), "text")
     return similarity.re_enactments(lines, norms)
 
@@ -107,7 +108,7 @@ OWN: dict[str, tuple[Query, str]] = {
     ),
     "sim_re_enactments": (
         _reenact,
-        f"with u as (select doc_id as unit, {_FLAT} as f from documents), b as (select item_id as norm, {_FLAT} as f from benchmark), ug as (select distinct unit, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) as g from u where len(string_split(f, ' ')) >= 15), "
+        f"with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents), u as (select doc_id || ':' || i as unit, {_FLAT} as f from l), b as (select item_id as norm, {_FLAT} as f from benchmark), ug as (select distinct unit, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) as g from u where len(string_split(f, ' ')) >= 15), "
         "bg as (select distinct norm, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) as g from b where len(string_split(f, ' ')) >= 15), nu as (select unit, count(*) as n_u from ug group by unit), nb as (select norm, count(*) as n_b from bg group by norm), "
         "h as (select unit, norm, count(*) as both_n from ug join bg using (g) group by all) select unit, norm, round(both_n / n_b, 6) as part from h join nu using (unit) join nb using (norm) where n_u <= 3 * n_b and round(both_n / n_b, 6) >= 0.8",
     ),
