@@ -120,21 +120,22 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
     return links
 
 
-def _tile(percent: int):
+def _tile(percent: int, make: Callable):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
         sides = pdf["side"].to_numpy() if pdf["side"].notna().all() else None
-        got = link_tile(pdf["id"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in pdf["items"]], pdf["label"].to_numpy(np.int64), percent, sides)
+        got = link_tile(pdf["id"].to_numpy(np.int64), [make(s) for s in pdf["items"]], pdf["label"].to_numpy(np.int64), percent, sides)
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tag: str, tile: int = TILE) -> DataFrame:
+def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tag: str, tile: int = TILE, make: Callable = np.asarray) -> DataFrame:
     """Components of the exact links among candidates(a, b).
 
     members(id, n, w) has the size n of each id's set (1 for all, where it isn't known: then there is one band) and about
-    how many elements w it takes in memory; sets_of(keys) returns keys(id, ...) with their sets as items array<long>, sorted and distinct. Sets in different
+    how many elements w it takes in memory; sets_of(keys) returns keys(id, ...) with items, from which make gives the
+    set, a sorted distinct int64 array, when its tile is solved. Sets in different
     candidate clusters can't link. Returns (id, component) for ids that link with another; component is the smallest id.
 
     A cluster of up to about `tile` members is one tile. A larger one is cut into size bands (ratio 100/percent, so that
@@ -153,7 +154,7 @@ def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Call
     own = own.join(cells.groupBy("cluster").agg((F.sum("load") > 1).alias("big")), "cluster").join(cells.select("cluster", "band", "parts"), ["cluster", "band"])
     own = own.withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)).withColumn("band", F.when(F.col("big"), F.col("band")).otherwise(0))
     own = written(own.select("cluster", "big", "band", "part", "id"), tag)
-    run, shape, no_side = _tile(percent), "a long, b long", F.lit(None).cast("long").alias("side")
+    run, shape, no_side = _tile(percent, make), "a long, b long", F.lit(None).cast("long").alias("side")
     alone = sets_of(own.select("id", "cluster", "band", "part", F.col("id").alias("label"), no_side))
     links = written(alone.groupBy("cluster", "band", "part").applyInPandas(run, shape), tag)
     big = own.where("big")

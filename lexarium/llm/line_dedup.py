@@ -14,11 +14,11 @@ from .common import mix64, small_batches, written
 from .components import verified_components
 from .ngram_jaccard import _whole
 
-#: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^3)^8 = 0.3%.
-CHARS, ROWS, BANDS = 5, 3, 8
-#: Bins of the signature, and how many of their two-bit codes two lines of one band must share: at similarity 0.8 a code
-#: agrees with chance 0.85, so that fewer than 20 of 32 do with chance 0.1%; unrelated lines seldom reach it.
-BINS, CODES = 32, 20
+#: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
+CHARS, ROWS, BANDS = 5, 4, 9
+#: Bins of the signature; bins with a two-bit code, and how many codes two lines of one band must share: at similarity
+#: 0.8 a code agrees with chance 0.85, so that fewer than 20 of 32 do with chance 0.1%; unrelated lines seldom reach it.
+BINS, CODED, CODES = 36, 32, 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -30,17 +30,20 @@ def fold_line(line: str) -> str:
 def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles (the whole line if shorter) of all lines, and the line of each."""
     lens = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    offsets = np.concatenate([[0], np.cumsum(lens)])
-    width = np.minimum(lens, k)
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = np.maximum(lens - k + 1, (lens > 0).astype(np.int64))
     line = np.repeat(np.arange(len(lines)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[line]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(lens) - lens, n)
     with np.errstate(over="ignore"):
-        h = width[line].astype(np.uint64)
+        whole = np.full(max(len(code) - k + 1, 0), np.uint64(k), np.uint64)
         for j in range(k):
-            there = j < width[line]
-            h = h * np.uint64(0x100000001B3) + np.where(there, code[np.minimum(at + j, len(code) - 1)] + np.uint64(1), np.uint64(0)) if len(code) else h
+            whole = whole * np.uint64(0x100000001B3) + code[j : len(code) - k + 1 + j]
+        h = whole[np.minimum(at, max(len(whole) - 1, 0))] if len(whole) else np.zeros(len(at), np.uint64)
+        for i in np.flatnonzero((lens > 0) & (lens < k)):
+            short, first = np.uint64(lens[i]), int(lens[:i].sum())
+            for c in code[first : first + lens[i]]:
+                short = short * np.uint64(0x100000001B3) + c
+            h[int(n[:i].sum())] = short
         return mix64(h), line
 
 
@@ -74,14 +77,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def codes(sig: np.ndarray) -> np.ndarray:
     """Two bits of each bin in one long."""
-    two = mix64(sig) & np.uint64(3)
-    return np.bitwise_or.reduce(two << (2 * np.arange(BINS, dtype=np.uint64)), axis=1).view(np.int64)
+    two = mix64(sig[:, :CODED]) & np.uint64(3)
+    return np.bitwise_or.reduce(two << (2 * np.arange(CODED, dtype=np.uint64)), axis=1).view(np.int64)
 
 
-def agreeing(code: np.uint64, others: np.ndarray) -> np.ndarray:
+def agreeing(code, others: np.ndarray) -> np.ndarray:
     """Number of bins whose codes agree."""
     x = code ^ others
-    return BINS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int64)
+    return CODED - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int64)
 
 
 def band_edges(batches):
@@ -96,8 +99,10 @@ def band_edges(batches):
     order = np.lexsort((i, band))
     band, i, code = band[order], i[order], code[order]
     cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
-    a, b = [], []
-    for lo, hi in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1], strict=True):
+    two = cuts[:-1][np.diff(cuts) == 2]
+    two = two[agreeing(code[two], code[two + 1]) >= CODES]
+    a, b = [i[two + 1]], [i[two]]
+    for lo, hi in zip(cuts[:-1][np.diff(cuts) > 2], cuts[1:][np.diff(cuts) > 2], strict=True):
         own, ids, led = code[lo:hi], i[lo:hi], np.zeros(hi - lo, bool)
         for k in range(hi - lo - 1):
             if not led[k]:
@@ -106,8 +111,7 @@ def band_edges(batches):
                 led[near] = True
                 a.append(ids[near])
                 b.append(np.full(len(near), ids[k]))
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 
@@ -133,6 +137,11 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(codes(sig)), flat], ["id", "th", "line", "key", "n", "code", "bands"])
 
 
+def line_set(folded: str) -> np.ndarray:
+    """Sorted distinct shingles of a folded line."""
+    return np.unique(char_hashes([folded])[0].view(np.int64))
+
+
 def _sets(batches):
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
@@ -143,10 +152,10 @@ def _sets(batches):
                 for w in wanted:
                     row.append(r)
                     fields.append({k: v for k, v in w.items() if k != "line"})
-                    items.append(np.unique(char_hashes([fold_line(lines[w["line"]])])[0].view(np.int64)))
+                    items.append(fold_line(lines[w["line"]]))
             kind = part.schema.field("wanted").type.value_type
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([f[kind.field(i).name] for f in fields], kind.field(i).type) for i in range(kind.num_fields) if kind.field(i).name != "line"), pa.array(items, pa.list_(pa.int64()))],
+                [*(pa.array([f[kind.field(i).name] for f in fields], kind.field(i).type) for i in range(kind.num_fields) if kind.field(i).name != "line"), pa.array(items, pa.string())],
                 [*(kind.field(i).name for i in range(kind.num_fields) if kind.field(i).name != "line"), "items"],
             )
 
@@ -172,9 +181,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
         own = own.groupBy("_id", "_th").agg(F.collect_list(F.struct("line", *wanted.columns)).alias("wanted"))
         text = base.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
-        return text.mapInArrow(_sets, T.StructType([*wanted.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
+        return text.mapInArrow(_sets, T.StructType([*wanted.schema.fields, T.StructField("items", T.StringType())]))
 
-    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles"), "linked")
+    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_set), "linked")
     own = keys.select("lid", "key", "first", "times").join(linked.withColumnRenamed("id", "lid"), "lid", "left")
     kept = own.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
     own = own.join(kept, "component", "left").where("times > 1 or kept is not null").select("key", F.coalesce("kept", "first").alias("kept"))
