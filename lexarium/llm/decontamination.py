@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ALNUM, mix64, rows_of, small_batches
 
@@ -96,7 +97,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
         yield build_index(sorted(((r["i"], r["t"]) for r in part), key=str))
 
 
-def _matches(shared, id_name: str):
+def _matches(shared, id_name: str, item_type: pa.DataType):
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -109,7 +110,7 @@ def _matches(shared, id_name: str):
                         item.append(index["ids"][i])
                         got.append(x)
                 if row:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(item), *(pa.array([x[k] for x in got], pa.int64()) for k in range(3))], ["id", "item", "start", "words", "agree"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(item, item_type), *(pa.array([x[k] for x in got], pa.int64()) for k in range(3))], ["id", "item", "start", "words", "agree"])
 
     return run
 
@@ -130,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, start long, words long, agree long"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, item_col, item_text, block):
-        out = out.unionAll(base.mapInArrow(_matches(sc.broadcast(index), "id"), schema))
+        out = out.unionAll(base.mapInArrow(_matches(sc.broadcast(index), "id", to_arrow_type(benchmark.schema[item_col].dataType)), schema))
     return out
 
 
