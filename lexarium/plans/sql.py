@@ -369,7 +369,7 @@ def staleness(d):
 
 @plan
 def version_index(d):
-    return "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as version, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_key from orders"
+    return "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as version, coalesce(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey), -1) as next_key from orders"
 
 
 @plan
@@ -391,7 +391,7 @@ def upsert_latest(d):
 
 @plan
 def change_detection(d):
-    return "select user_id, day, n, n - lag(n) over (partition by user_id order by day) as change, case when lag(h) over (partition by user_id order by day) is null then 'first' when lag(h) over (partition by user_id order by day) = h then 'unchanged' else 'changed' end as sync from (select user_id, cast(ts as date) as day, count(*) as n, max(event_type) as h from events group by user_id, cast(ts as date)) t"
+    return "select user_id, day, n, n - coalesce(lag(n) over (partition by user_id order by day), 0) as change, case when lag(h) over (partition by user_id order by day) is null then 'first' when lag(h) over (partition by user_id order by day) = h then 'unchanged' else 'changed' end as sync from (select user_id, cast(ts as date) as day, count(*) as n, max(event_type) as h from events group by user_id, cast(ts as date)) t"
 
 
 @plan
