@@ -47,6 +47,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a doubling in which most_frequent tells counts apart.
+COUNT_STEPS = 64
+
+
+def most_frequent(counts: DataFrame, most: int, column: str = "c") -> DataFrame:
+    """The rows of counts whose count passes the least threshold (in steps of about 1%) that at most `most` rows pass.
+
+    Counts are at least 1. The threshold comes from a histogram of at most 64 * COUNT_STEPS steps, so that no task or
+    driver gathers more than `most` rows, however many partitions there are.
+    """
+    step = F.floor(F.log2(F.col(column).cast("double")) * COUNT_STEPS).cast("int")
+    left, least = most, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["s"]
+    return counts.where(step >= least)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
