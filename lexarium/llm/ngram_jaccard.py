@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, SPACED, rows_of, shingle_hashes, small_batches, written
+from .common import ALNUM, SPACED, most_frequent, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
 
 #: Shingles that one batch reports as frequent, and how many of the most frequent count as such in the whole corpus.
@@ -147,7 +147,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, lut = docs.sparkSession, {"spaced": SPACED, "alnum": ALNUM}[words]
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     counts = base.select("text").mapInArrow(_frequent(k, lut), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    top = most_frequent(written(counts.where("c > 1"), "counts"), FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], top["c"].to_numpy(np.int64)[order]))  # at most FREQUENT pairs
