@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,22 +119,52 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
     return links
 
 
-def _tile(percent: int, make: Callable):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        sides = pdf["side"].to_numpy() if pdf["side"].notna().all() else None
-        got = link_tile(pdf["id"].to_numpy(np.int64), [make(s) for s in pdf["items"]], pdf["label"].to_numpy(np.int64), percent, sides)
-        return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+def _solve(tiles: DataFrame, by: list[str], percent: int, make: Callable) -> DataFrame:
+    """Links (a, b) of each tile of tiles(*by, id, label, side, items), a tile being the rows that agree in by.
 
-    return run
+    Tiles are dealt out by hash and sorted; a task reads its tiles one after another and holds a batch and a tile.
+    """
+
+    def solved(t: pa.Table, cuts: np.ndarray):
+        ids, label, side, items = t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("side"), make(t.column("items").to_pylist())
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own, at = np.unique(ids[lo:hi], return_index=True)
+            if len(own) > 1:
+                sides = None if side[int(lo)].as_py() is None else side.slice(lo, hi - lo).to_numpy()[at]
+                yield from link_tile(own, [items[lo + i] for i in at], label[lo:hi][at], percent, sides)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            keys = [t.column(c).to_numpy() for c in by]
+            last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            rest = t.slice(int(last[-1])) if len(last) else t
+            if len(last):
+                yield links_of(t.slice(0, int(last[-1])), np.concatenate([[0], last]))
+        if rest is not None:
+            yield links_of(rest, np.array([0, rest.num_rows]))
+
+    def links_of(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        got = np.array(list(solved(t, cuts)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def _arrays(items: list) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64) for x in items]
 
 
-def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tag: str, tile: int = TILE, make: Callable = np.asarray) -> DataFrame:
+def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tag: str, tile: int = TILE, make: Callable = _arrays) -> DataFrame:
     """Components of the exact links among candidates(a, b).
 
     members(id, n, w) has the size n of each id's set (1 for all, where it isn't known: then there is one band) and about
-    how many elements w it takes in memory; sets_of(keys) returns keys(id, ...) with items, from which make gives the
-    set, a sorted distinct int64 array, when its tile is solved. Sets in different
+    how many elements w it takes in memory; sets_of(keys) returns keys(id, ...) with items, from a list of which make
+    gives the sets, sorted distinct int64 arrays, when their tile is solved. Sets in different
     candidate clusters can't link. Returns (id, component) for ids that link with another; component is the smallest id.
 
     A cluster of up to about `tile` members is one tile. A larger one is cut into size bands (ratio 100/percent, so that
@@ -154,9 +183,9 @@ def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Call
     own = own.join(cells.groupBy("cluster").agg((F.sum("load") > 1).alias("big")), "cluster").join(cells.select("cluster", "band", "parts"), ["cluster", "band"])
     own = own.withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)).withColumn("band", F.when(F.col("big"), F.col("band")).otherwise(0))
     own = written(own.select("cluster", "big", "band", "part", "id"), tag)
-    run, shape, no_side = _tile(percent, make), "a long, b long", F.lit(None).cast("long").alias("side")
+    no_side = F.lit(None).cast("long").alias("side")
     alone = sets_of(own.select("id", "cluster", "band", "part", F.col("id").alias("label"), no_side))
-    links = written(alone.groupBy("cluster", "band", "part").applyInPandas(run, shape), tag)
+    links = written(_solve(alone, ["cluster", "band", "part"], percent, make), tag)
     big = own.where("big")
     if big.limit(1).count() == 0:
         return connected(links, tag).select(F.col("node").alias("id"), "component")
@@ -172,7 +201,7 @@ def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Call
     reps = reps.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).select("id", "cluster", F.col("at").alias("band"), "part", "label", no_side)
     tiles = reps.groupBy("cluster", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster", "band", "part")
     more = sets_of(reps.join(tiles, ["cluster", "band", "part"], "left_semi"))
-    links = written(links.unionAll(more.groupBy("cluster", "band", "part").applyInPandas(run, shape)), tag)
+    links = written(links.unionAll(_solve(more, ["cluster", "band", "part"], percent, make)), tag)
     now = labelled(links)
     blocks = written(now.groupBy("cluster", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), tag)
     left = blocks.select("cluster", F.col("band").alias("b1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
@@ -183,5 +212,5 @@ def verified_components(members: DataFrame, candidates: DataFrame, sets_of: Call
     tiles = written(tiles.select("cluster", "t", "x.band", "x.part", "x.side"), tag)
     if tiles.limit(1).count():
         rest = sets_of(tiles.join(now, ["cluster", "band", "part"]).select("id", "cluster", "t", "label", "side"))
-        links = links.unionAll(written(rest.groupBy("cluster", "t").applyInPandas(run, shape), tag))
+        links = links.unionAll(written(_solve(rest, ["cluster", "t"], percent, make), tag))
     return connected(links, tag).select(F.col("node").alias("id"), "component")

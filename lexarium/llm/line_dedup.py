@@ -137,9 +137,15 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(codes(sig)), flat], ["id", "th", "line", "key", "n", "code", "bands"])
 
 
-def line_set(folded: str) -> np.ndarray:
-    """Sorted distinct shingles of a folded line."""
-    return np.unique(char_hashes([folded])[0].view(np.int64))
+def line_sets(folded: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingles of each folded line."""
+    h, line = char_hashes(folded)
+    h = h.view(np.int64)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return np.split(h[new], np.searchsorted(line[new], np.arange(1, len(folded))))
 
 
 def _sets(batches):
@@ -183,9 +189,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         text = base.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
         return text.mapInArrow(_sets, T.StructType([*wanted.schema.fields, T.StructField("items", T.StringType())]))
 
-    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_set), "linked")
+    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_sets), "linked")
     own = keys.select("lid", "key", "first", "times").join(linked.withColumnRenamed("id", "lid"), "lid", "left")
     kept = own.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    kept = written(kept, "heads")  # read back, the join's hot components can be split
     own = own.join(kept, "component", "left").where("times > 1 or kept is not null").select("key", F.coalesce("kept", "first").alias("kept"))
     out = lines.select("id", "th", "line", "key").join(written(own, "kept"), "key")
     return out.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("th") == F.col("kept.th")) & (F.col("line") == F.col("kept.line")))).select("id", "th", "line")
