@@ -16,9 +16,9 @@ from .ngram_jaccard import _whole
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
 CHARS, ROWS, BANDS = 5, 4, 9
-#: Bins of the signature; bins with a two-bit code, and how many codes two lines of one band must share: at similarity
-#: 0.8 a code agrees with chance 0.85, so that fewer than 20 of 32 do with chance 0.1%; unrelated lines seldom reach it.
-BINS, CODED, CODES = 36, 32, 20
+#: Bins of the signature, each with a two-bit code, and how many codes two lines of one band must share: at similarity
+#: 0.8 a code agrees with chance 0.85, so that fewer than 46 of 64 do with chance 0.1%; at 0.4 as many do with 0.5%.
+BINS, CODES = 64, 46
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -76,15 +76,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def codes(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each bin in one long."""
-    two = mix64(sig[:, :CODED]) & np.uint64(3)
-    return np.bitwise_or.reduce(two << (2 * np.arange(CODED, dtype=np.uint64)), axis=1).view(np.int64)
+    """Two bits of each bin, in two longs for each line."""
+    two = (mix64(sig) & np.uint64(3)).reshape(len(sig), 2, BINS // 2)
+    return np.bitwise_or.reduce(two << (2 * np.arange(BINS // 2, dtype=np.uint64)), axis=2)
 
 
-def agreeing(code, others: np.ndarray) -> np.ndarray:
+def agreeing(code: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Number of bins whose codes agree."""
     x = code ^ others
-    return CODED - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int64)
+    return BINS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
 
 
 def band_edges(batches):
@@ -95,7 +95,8 @@ def band_edges(batches):
     """
     if (t := _whole(batches)) is None:
         return
-    band, i, code = t.column("band").to_numpy(), t.column("id").to_numpy(), t.column("code").to_numpy().view(np.uint64)
+    band, i = t.column("band").to_numpy(), t.column("id").to_numpy()
+    code = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("code", "code2")], 1)
     order = np.lexsort((i, band))
     band, i, code = band[order], i[order], code[order]
     cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
@@ -133,8 +134,8 @@ def _lines(batches):
             bands = band_keys(sig)
             n = np.bincount(line, minlength=len(folded))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(folded) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            own = part.take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(codes(sig)), flat], ["id", "th", "line", "key", "n", "code", "bands"])
+            code, own = codes(sig).view(np.int64), part.take(pa.array(where))
+            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
 
 
 def line_sets(folded: list[str]) -> list[np.ndarray]:
@@ -176,11 +177,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, code long, bands array<long>"), "lines")
+    lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, code long, code2 long, bands array<long>"), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
-    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("bands").alias("bands"))
+    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("code2").alias("code2"), F.first("bands").alias("bands"))
     keys = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
-    banded = keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id"), "code").repartition("band")
+    banded = keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id"), "code", "code2").repartition("band")
     edges = written(banded.mapInArrow(band_edges, "a long, b long").distinct(), "bands")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
