@@ -34,17 +34,35 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark deletes a query's shuffle files as soon as it ends, where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the reread table.
 
     This cuts the lineage: a lost executor costs the tasks in flight, never a recomputation from the start, and
-    values such as monotonically_increasing_id() are fixed once written.
+    values such as monotonically_increasing_id() are fixed once written. The write's shuffle files go once it ends, as
+    the table replaces them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexarium-{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lx_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete written tables that no later query reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._lx_path)
 
 
 #: Steps of a doubling in which most_frequent tells counts apart.
@@ -99,10 +117,11 @@ ALNUM = _lut({b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <
 def mix64(x: np.ndarray) -> np.ndarray:
     """A full-avalanche 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _POWERS: dict[str, np.ndarray] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 #: Most members that one tile of a cluster holds.
 TILE = 2000
@@ -54,7 +54,8 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     now, seen = written(pairs.mapInArrow(_forest, "a long, b long"), tag), None
     if now.count() <= LOCAL_EDGES:
-        now = written(now.coalesce(1).mapInArrow(_forest, "a long, b long"), tag)
+        all_of, now = now, written(now.coalesce(1).mapInArrow(_forest, "a long, b long"), tag)
+        free(all_of)
         return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -66,7 +67,8 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
         large = now.join(low, now["b"] == low["u"]).select("a", F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x > m").unionAll(low.select(F.col("a").alias("x"), "m"))
-        now = written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), tag)
+        before, now = now, written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), tag)
+        free(before)
     member = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return member.unionAll(roots.join(member, "node", "left_anti"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, small_batches, written
+from .common import free, mix64, small_batches, written
 from .components import verified_components
 from .ngram_jaccard import _whole
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
 CHARS, ROWS, BANDS = 5, 4, 9
+#: Bands that are dealt out at once.
+AT_ONCE = 3
 #: Bins of the signature, each with a two-bit code, and how many codes two lines of one band must share: at similarity
 #: 0.8 a code agrees with chance 0.85, so that fewer than 46 of 64 do with chance 0.1%; at 0.4 as many do with 0.5%.
 BINS, CODES = 64, 46
@@ -32,19 +35,22 @@ def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarra
     lens = np.array([len(x) for x in lines], np.int64)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = np.maximum(lens - k + 1, (lens > 0).astype(np.int64))
-    line = np.repeat(np.arange(len(lines)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(lens) - lens, n)
+    line, first = np.repeat(np.arange(len(lines)), n), np.cumsum(lens) - lens
+    begins = np.zeros(len(code) + 1, np.int32)  # +1 where a line's shingles begin, -1 past the last
+    np.add.at(begins, first[lens > 0], 1)
+    np.add.at(begins, (first + n)[lens > 0], -1)
     with np.errstate(over="ignore"):
-        whole = np.full(max(len(code) - k + 1, 0), np.uint64(k), np.uint64)
+        whole = np.full(len(code), np.uint64(k), np.uint64)
+        full = whole[: max(len(code) - k + 1, 0)]
         for j in range(k):
-            whole = whole * np.uint64(0x100000001B3) + code[j : len(code) - k + 1 + j]
-        h = whole[np.minimum(at, max(len(whole) - 1, 0))] if len(whole) else np.zeros(len(at), np.uint64)
+            full *= np.uint64(0x100000001B3)
+            full += code[j : len(full) + j]
         for i in np.flatnonzero((lens > 0) & (lens < k)):
-            short, first = np.uint64(lens[i]), int(lens[:i].sum())
-            for c in code[first : first + lens[i]]:
+            short = np.uint64(lens[i])
+            for c in code[first[i] : first[i] + lens[i]]:
                 short = short * np.uint64(0x100000001B3) + c
-            h[int(n[:i].sum())] = short
-        return mix64(h), line
+            whole[first[i]] = short
+        return mix64(whole[np.cumsum(begins[:-1]) > 0]), line
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -53,18 +59,22 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n * bins, NONE, np.uint64)
     np.minimum.at(out, line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
     out = out.reshape(n, bins)
-    for step in range(1, bins):
-        empty = out == NONE
-        if not empty.any():
-            break
-        donor = np.roll(out, -1, axis=1)
-        with np.errstate(over="ignore"):
-            out = np.where(empty & (donor != NONE), donor + _odd(step), out)
+    gaps = np.flatnonzero((out == NONE).any(1))
+    if not len(gaps):
+        return out
+    some = out[gaps]
+    at = np.where(some == NONE, 2 * bins, np.arange(bins))
+    at = np.concatenate([at, at + bins], axis=1)
+    donor = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = np.where(donor < 2 * bins, donor - np.arange(bins), 0)
+    with np.errstate(over="ignore"):
+        out[gaps] = np.take_along_axis(some, donor % bins, axis=1) + FILL[away]
     return out
 
 
-def _odd(step: int) -> np.uint64:
-    return np.uint64((0x9E3779B97F4A7C15 * (2 * step + 1)) & 0xFFFFFFFFFFFFFFFF)
+with np.errstate(over="ignore"):
+    #: What is added to the value of a bin that fills another one so many bins before it.
+    FILL = np.cumsum(np.concatenate([[0], 2 * np.arange(1, BINS) + 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -134,7 +144,7 @@ def _lines(batches):
             bands = band_keys(sig)
             n = np.bincount(line, minlength=len(folded))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(folded) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            code, own = codes(sig).view(np.int64), part.take(pa.array(where))
+            code, own = codes(sig).view(np.int64), part.select(["id", "th"]).take(pa.array(where))
             yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
 
 
@@ -180,9 +190,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, code long, code2 long, bands array<long>"), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("code2").alias("code2"), F.first("bands").alias("bands"))
-    keys = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
-    banded = keys.select(F.explode("bands").alias("band"), F.col("lid").alias("id"), "code", "code2").repartition("band")
-    edges = written(banded.mapInArrow(band_edges, "a long, b long").distinct(), "bands")
+    full = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
+    places = written(lines.select("id", "th", "line", "key"), "places")
+    free(lines)
+    some = []  # a few bands at a time, as all bands of all lines take more disk than the texts
+    for lo in range(1, BANDS + 1, AT_ONCE):
+        banded = full.select(F.explode(F.slice("bands", lo, AT_ONCE)).alias("band"), F.col("lid").alias("id"), "code", "code2")
+        some.append(written(banded.repartition("band").mapInArrow(band_edges, "a long, b long"), "bands"))
+    keys = written(full.select("lid", "key", "first", "times", "n"), "keys")
+    free(full)
+    edges = written(reduce(DataFrame.unionAll, some).distinct(), "edges")
+    free(*some)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
@@ -195,7 +213,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = own.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
     kept = written(kept, "heads")  # read back, the join's hot components can be split
     own = own.join(kept, "component", "left").where("times > 1 or kept is not null").select("key", F.coalesce("kept", "first").alias("kept"))
-    out = lines.select("id", "th", "line", "key").join(written(own, "kept"), "key")
+    out = places.join(written(own, "kept"), "key")
     return out.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("th") == F.col("kept.th")) & (F.col("line") == F.col("kept.line")))).select("id", "th", "line")
 
 
