@@ -75,11 +75,10 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        h = (s.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits.bit_length() + 1)
-        np.bitwise_or.at(out[i], (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out
+    out = np.zeros(len(sets) * bits, bool)
+    h = (np.concatenate(sets).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits.bit_length() + 1)
+    out[np.repeat(np.arange(len(sets)) * bits, [len(s) for s in sets]) + h.astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64).reshape(len(sets), bits // 64)
 
 
 def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -36,9 +36,8 @@ def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarra
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = np.maximum(lens - k + 1, (lens > 0).astype(np.int64))
     line, first = np.repeat(np.arange(len(lines)), n), np.cumsum(lens) - lens
-    begins = np.zeros(len(code) + 1, np.int32)  # +1 where a line's shingles begin, -1 past the last
-    np.add.at(begins, first[lens > 0], 1)
-    np.add.at(begins, (first + n)[lens > 0], -1)
+    starts = np.ones(len(code), bool)  # where a shingle starts
+    starts[((first + lens)[lens >= k, None] - np.arange(1, k)).ravel()] = False
     with np.errstate(over="ignore"):
         whole = np.full(len(code), np.uint64(k), np.uint64)
         full = whole[: max(len(code) - k + 1, 0)]
@@ -50,14 +49,15 @@ def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarra
             for c in code[first[i] : first[i] + lens[i]]:
                 short = short * np.uint64(0x100000001B3) + c
             whole[first[i]] = short
-        return mix64(whole[np.cumsum(begins[:-1]) > 0]), line
+            starts[first[i] + 1 : first[i] + lens[i]] = False
+        return mix64(whole[starts]), line
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash: the least value in each of BINS bins, empty bins filled from the next one."""
     bins = BINS
     out = np.full(n * bins, NONE, np.uint64)
-    np.minimum.at(out, line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+    np.minimum.at(out, line * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
     out = out.reshape(n, bins)
     gaps = np.flatnonzero((out == NONE).any(1))
     if not len(gaps):
@@ -106,22 +106,27 @@ def band_edges(batches):
     if (t := _whole(batches)) is None:
         return
     band, i = t.column("band").to_numpy(), t.column("id").to_numpy()
-    code = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("code", "code2")], 1)
-    order = np.lexsort((i, band))
-    band, i, code = band[order], i[order], code[order]
-    cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
-    two = cuts[:-1][np.diff(cuts) == 2]
-    two = two[agreeing(code[two], code[two + 1]) >= CODES]
-    a, b = [i[two + 1]], [i[two]]
-    for lo, hi in zip(cuts[:-1][np.diff(cuts) > 2], cuts[1:][np.diff(cuts) > 2], strict=True):
-        own, ids, led = code[lo:hi], i[lo:hi], np.zeros(hi - lo, bool)
-        for k in range(hi - lo - 1):
-            if not led[k]:
-                near = np.flatnonzero(agreeing(own[k], own) >= CODES)
-                near = near[near != k]
-                led[near] = True
-                a.append(ids[near])
-                b.append(np.full(len(near), ids[k]))
+    order = np.argsort(band)
+    same = band[order[1:]] == band[order[:-1]]
+    order = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]) if len(band) else order
+    order = order[np.lexsort((i[order], band[order]))]  # without the bands that hold one line
+    band, i = band[order], i[order]
+    code = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in ("code", "code2")], 1)
+    cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]]) if len(band) else np.zeros(1, np.int64)
+    lo, hi, led, a, b = cuts[:-1], cuts[1:], np.zeros(len(band), bool), [i[:0]], [i[:0]]
+    leader = lo
+    while len(lo):  # the next leader of every band that has one
+        size = hi - lo
+        begin = np.cumsum(size) - size
+        row = np.arange(size.sum()) + np.repeat(lo - begin, size)
+        own = np.repeat(leader, size)
+        near = (agreeing(code[own], code[row]) >= CODES) & (row != own)
+        led[row[near]] = True
+        a.append(i[row[near]])
+        b.append(i[own[near]])
+        leader = np.minimum.reduceat(np.where(~led[row] & (row > own), row, len(led)), begin)
+        more = leader < hi - 1
+        lo, hi, leader = lo[more], hi[more], leader[more]
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
@@ -152,11 +157,8 @@ def line_sets(folded: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingles of each folded line."""
     h, line = char_hashes(folded)
     h = h.view(np.int64)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return np.split(h[new], np.searchsorted(line[new], np.arange(1, len(folded))))
+    cuts = np.searchsorted(line, np.arange(len(folded) + 1))
+    return [np.unique(h[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _sets(batches):
