@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ALNUM, SPACED, most_frequent, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
@@ -115,15 +114,13 @@ def candidate_edges(keys: DataFrame, tag: str) -> DataFrame:
 
 
 def _sets(k: int, lut: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for part in small_batches(batch, "text"):
-                at = part.schema.get_field_index("text")
-                items = [np.unique(shingle_hashes(w, k)).view(np.int64) for w in rows_of(part.column(at), lut)]
-                rest = [i for i in range(part.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array([np.sort(x) for x in items], pa.list_(pa.int64()))], [*(part.schema.names[i] for i in rest), "items"])
+    """Texts, as bytes -> their sorted sets of shingles."""
 
-    return run
+    def make(texts: list[bytes]) -> list[np.ndarray]:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_binary()).view(pa.large_string())], ["text"])
+        return [np.unique(shingle_hashes(w, k).view(np.int64)) for part in small_batches(batch, "text") for w in rows_of(part.column(0), lut)]
+
+    return make
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, words: str = "spaced") -> DataFrame:
@@ -161,9 +158,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets_of(keys: DataFrame) -> DataFrame:
         own = keys.join(classes.select(F.col("cls").alias("id"), "did", "dth"), "id")
         text = base.select(F.col("id").alias("_id"), "th", "text").join(own, F.col("_id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")))
-        return text.select(*keys.columns, "text").mapInArrow(_sets(k, lut), T.StructType([*keys.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
+        return text.select(*keys.columns, F.col("text").cast("binary").alias("items"))  # texts take less room than their sets
 
-    found = verified_components(classes.select(F.col("cls").alias("id"), "n", F.col("n").alias("w")), edges, sets_of, percent, "tiles")
+    found = verified_components(classes.select(F.col("cls").alias("id"), "n", F.col("n").alias("w")), edges, sets_of, percent, "tiles", make=_sets(k, lut))
     found = classes.select("cls", "low").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = found.groupBy("component").agg(F.min("low").alias("least"))
     found = written(found.join(least, "component").select("cls", F.col("least").alias("component")), "labels")
