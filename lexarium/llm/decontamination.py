@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,12 +13,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ALNUM, mix64, rows_of, small_batches
 
-#: Seeds: "1" positions must agree, "0" positions are ignored. Fixed values.
-SEEDS = ("1111111", "110100110111", "1110010110111", "11011010001111", "1101100011101011")
+#: Seeds: "1" positions must agree, "0" positions are ignored. One of them hits any passage of 13 words or more in which
+#: 80% agree (all patterns of 13 to 25 words were tried; of a longer passage one half is such a passage). Fixed values.
+SEEDS = ("1111011", "11010001011", "1100011011", "1111101")
 #: A passage counts if it has so many words (or is the whole item) and at least this share of them agree.
 WORDS, AGREE = 13, 0.8
 #: What a differing word takes from the sum of a passage, agreeing words adding 1 each.
 MISMATCH = 3.0
+#: What an agreeing word adds and a differing one takes so that the sum of a passage is not negative where AGREE holds.
+ALLOWED = (1, 4)
 #: Items of fewer words are no evidence of contamination.
 LEAST = 5
 #: Characters of benchmark text that are indexed, and broadcast, at a time; a larger benchmark is taken in blocks.
@@ -37,16 +42,21 @@ def seed_hashes(words: np.ndarray, seed: str) -> np.ndarray:
         return mix64(total)
 
 
+def short_seed(n: int) -> str:
+    """The run of words that an item of 5 to 12 words keeps, however its differing words lie."""
+    agree = math.ceil(AGREE * n - 1e-9)
+    return "1" * -(-agree // (n - agree + 1))
+
+
 def build_index(items: list[tuple[object, str]]) -> dict:
-    """Seed hash -> (item, place); items shorter than the longest seed are also kept whole, by their length."""
+    """Seed hash -> (item, place); items of less than 13 words have a seed of their own, by their length."""
     words = list(rows_of(pa.array([t for _, t in items], pa.string()), ALNUM))
     h, item, place = [], [], []
-    longest = max(map(len, SEEDS))
-    lengths = sorted({len(w) for w in words if LEAST <= len(w) < longest})
+    short = sorted({short_seed(len(w)) for w in words if LEAST <= len(w) < WORDS})
     for i, w in enumerate(words):
         if len(w) < LEAST:
             continue
-        for s in (*SEEDS, *(["1" * len(w)] if len(w) < longest else [])):
+        for s in [short_seed(len(w))] if len(w) < WORDS else SEEDS:
             got = seed_hashes(w, s)
             h.append(got)
             item.append(np.full(len(got), i, np.int64))
@@ -55,19 +65,33 @@ def build_index(items: list[tuple[object, str]]) -> dict:
     order = np.argsort(h, kind="stable")
     sieve = np.zeros(1 << 21, bool)
     sieve[(h >> np.uint64(43)).astype(np.int64)] = True
-    return {"ids": [i for i, _ in items], "words": words, "h": h[order], "item": item[order], "place": place[order], "sieve": sieve, "seeds": (*SEEDS, *("1" * n for n in lengths))}
+    return {"ids": [i for i, _ in items], "words": words, "h": h[order], "item": item[order], "place": place[order], "sieve": sieve, "seeds": (*SEEDS, *short)}
 
 
 def best_passage(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """(start in doc, words, agreeing words) of the best passage on one diagonal, if it counts."""
+    """(start in doc, words, agreeing words) of a passage on one diagonal, if any counts: the one that pays best, or if
+    that doesn't count the longest that does, rid of differing words at its ends as far as the least length allows."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     same = doc[lo + shift : hi + shift] == item[lo:hi]
+    least = min(WORDS, len(item))
+    if np.count_nonzero(same) < AGREE * least - 1e-9:
+        return None
     total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    n, agree = end - begin, int(same[begin:end].sum())
-    return (lo + shift + begin, n, agree) if n >= min(WORDS, len(item)) and agree >= AGREE * n else None
+    if end - begin < least or int(same[begin:end].sum()) < AGREE * (end - begin):
+        share = np.concatenate([[0], np.cumsum(np.where(same, ALLOWED[0], -ALLOWED[1]))])  # no less at the end than at the start: enough agree
+        first = np.searchsorted(-np.minimum.accumulate(share), -share)
+        end = int(np.argmax(np.arange(len(share)) - first))
+        begin = int(first[end])
+        if end - begin < least:
+            return None
+        while end - begin > least and not same[begin]:
+            begin += 1
+        while end - begin > least and not same[end - 1]:
+            end -= 1
+    return lo + shift + begin, end - begin, int(same[begin:end].sum())
 
 
 def overlaps(words: np.ndarray, index: dict) -> dict[int, tuple[int, int, int]]:
@@ -119,8 +143,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, start, words, agree): each row of docs and benchmark item that share a passage, with the best passage.
 
     Words are alphanumeric runs, A-Z lower-cased. A passage is a run on one diagonal of at least 13 words, or the whole
-    item if it has 5 to 12, in which 80% agree; a differing word costs as much as three agreeing ones, so a passage ends
-    where it stops paying. It is found if one seed (7 or 8 agreeing words in a window of 7 to 16) hits it. start counts words from 0.
+    item if it has 5 to 12, in which 80% agree. All are found: the seeds hit each such passage, however its differing
+    words lie. Of the passage reported, a differing word costs as much as three agreeing ones, so it ends where it stops
+    paying, unless it would not count then. start counts words from 0.
 
     Null texts and ids: a null text matches nothing; null ids are reported as null. Items of fewer than 5 words match
     nothing. Repeated rows are reported each. Empty tables give no rows. No shuffle: the benchmark, taken in blocks of a

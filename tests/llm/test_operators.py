@@ -94,6 +94,29 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.contaminated(d, item.limit(0)).count() == 0
 
 
+def counts(same, least):
+    """Brute force: whether any window of at least so many words has 80% agreeing."""
+    return any(5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + least, len(same) + 1))
+
+
+def test_decontamination_finds_passages_wherever_words_differ():
+    rng = np.random.default_rng(3)
+    cases = [(n, whole, at) for n in range(5, 19) for whole in (True, False) if whole or n >= 13 for k in (1, 2, 3, 4) for at in itertools.combinations(range(n), k) if k < 3 or rng.random() < 0.1]
+    item = [f"w{i}" for i in range(40)]
+    indexes = {n: decontamination.build_index([(7, " ".join(item[:n]))]) for n in range(5, 41)}
+    for n, whole, at in cases:
+        got = [f"o{i}" if i in at else item[i] for i in range(n)]
+        doc = ["x", "y", *got, "z"]
+        words = next(iter(decontamination.rows_of(decontamination.pa.array([" ".join(doc)]), decontamination.ALNUM)))
+        size = n if whole else 40
+        found = decontamination.overlaps(words, indexes[size]).get(0)
+        same = [i not in at for i in range(n)] + [False] * (not whole)
+        assert bool(found) == counts(same, min(13, size)), (n, whole, at)
+        if found:
+            start, length, agree = found
+            assert length >= min(13, size) and 5 * agree >= 4 * length and agree == sum(same[start - 2 : start - 2 + length])
+
+
 def test_decontamination_finds_every_verbatim_item(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(d["doc_id"], b["item_id"]) for d in docs(spark).collect() for b in bench.collect() if b["text"] in d["text"]}
