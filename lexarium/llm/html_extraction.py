@@ -39,30 +39,53 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Words before a word of AROUND that make it say what a page has, or name a part of the article.
+HAS = frozenset("has have no not with without hide show".split())
+OWN = frozenset("article body chapter content entry main post section story title".split())
+HIDDEN, WHOLE, PART = 3, 2, 1
+
+
 class _Block:
-    __slots__ = ("inside", "linked", "parts", "tag")
+    __slots__ = ("articles", "inline", "linked", "named", "parts", "tag")
+
+    def __init__(self, articles: tuple, named: tuple, tag: str, inline: bool = False):
+        self.parts, self.linked, self.articles, self.named, self.tag, self.inline = [], 0, articles, named, tag, inline
+
+
+class _Named:
+    """An open element whose class, id or role has a word of AROUND."""
 
-    def __init__(self, inside: bool, tag: str):
-        self.parts, self.linked, self.inside, self.tag = [], 0, inside, tag
+    __slots__ = ("depth", "main", "name", "whole")
 
+    def __init__(self, name: str, whole: bool):
+        self.name, self.whole, self.depth, self.main = name, whole, 1, False
 
-def _around(name: str, attrs: str) -> bool:
-    """Whether an element is hidden or named as what stands around an article."""
+
+def _around(name: str, attrs: str, inside: bool) -> int:
+    """HIDDEN, or whether a word that names what stands around an article is a WHOLE name or only PART of one, else 0."""
     if not attrs.strip():
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and any(w.lower() in AROUND for w in _SPLIT.split(value)):
-            return True
-    return False
+            return HIDDEN
+        if key in ("class", "id", "role") and name not in ("html", "body", "main"):
+            for token in value.split():
+                words = [w.lower() for w in _SPLIT.split(token) if w]
+                hits = [i for i, w in enumerate(words) if w in AROUND and not (i and words[i - 1] in HAS) and not (w == "header" and (inside or i and words[i - 1] in OWN))]
+                if hits and len(hits) == len(words):
+                    found = WHOLE
+                elif hits and name != "article":
+                    found = max(found, PART)
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, str]]:
-    """(text, share of linked characters, inside an article or main element, tag) of each block with text, in page order."""
-    out: list[_Block] = [_Block(False, "")]
-    skip, depth, inside, links, at = "", 0, 0, 0, 0
+def _parsed(page: str) -> list[_Block]:
+    out: list[_Block] = [_Block((), (), "")]
+    articles: list[int] = []
+    named: list[_Named] = []
+    skip, depth, seen, links, at = "", 0, 0, 0, 0
 
     def text(piece: str) -> None:
         if piece and not skip:
@@ -71,6 +94,9 @@ def blocks(page: str) -> list[tuple[str, float, bool, str]]:
             if links:
                 out[-1].linked += len("".join(got.split()))
 
+    def start(tag: str, inline: bool = False) -> None:
+        out.append(_Block(tuple(articles), tuple(named), tag, inline))
+
     pos = page.find("<")
     text(page[:pos] if pos >= 0 else page)
     while pos >= 0:
@@ -92,24 +118,40 @@ def blocks(page: str) -> list[tuple[str, float, bool, str]]:
                     depth += -1 if closing else 1
                     if depth == 0:
                         skip = ""
-                        out.append(_Block(inside > 0, name))
+                        start(name)
             elif closing:
-                if name in ("article", "main"):
-                    inside = max(0, inside - 1)
+                if name in ("article", "main") and articles:
+                    articles.pop()
                 if name == "a":
                     links = max(0, links - 1)
                 if name in BLOCKS:
                     links = 0
-                    out.append(_Block(inside > 0, name))
+                for e in named:
+                    e.depth -= e.name == name
+                ended = any(e.depth == 0 for e in named)
+                named = [e for e in named if e.depth]
+                if name in BLOCKS or ended:
+                    start(name if name in BLOCKS else out[-1].tag, name not in BLOCKS)
             else:
+                named = [e for e in named if not (e.name in CLOSED and e.depth == 1 and (name == e.name or name in BLOCKS and e.name == "p"))]
+                for e in named:
+                    e.depth += e.name == name
+                    e.main |= name == "main"
+                around = _around(name, m[3], bool(articles)) if name not in VOID else 0
+                if around in (WHOLE, PART):
+                    named = [*named, _Named(name, around == WHOLE)]
                 if name in BLOCKS:
                     links = 0
-                    out.append(_Block(inside > 0, name))
+                    start(name)
+                elif around in (WHOLE, PART):
+                    start(out[-1].tag, True)
                 if name in ("article", "main"):
-                    inside += 1
-                    out.append(_Block(True, name))
-                elif name not in VOID and name not in ("html", "body") and (name in DROPPED and not (name == "header" and inside) or _around(name, m[3])):
+                    seen += 1
+                    articles.append(seen)
+                    start(name)
+                elif name not in VOID and name not in ("html", "body") and (name in DROPPED and not (name == "header" and articles) or around == HIDDEN):
                     skip, depth = name, 1
+                    named = named[:-1] if around in (WHOLE, PART) else named
                 if name == "a" and not skip:
                     links = 1
                 if name == "br":
@@ -118,17 +160,58 @@ def blocks(page: str) -> list[tuple[str, float, bool, str]]:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 if skip == name:
                     skip, depth = "", 0
+                named = [e for e in named if e.name != name]
                 at = end.end() if end else len(page)
         nxt = page.find("<", at)
         text(page[at : nxt if nxt >= 0 else len(page)])
         pos = nxt
-    got = []
-    for b in out:
-        t = " ".join("".join(b.parts).split())
-        if t:
-            n = len(t.replace(" ", ""))
-            got.append((t, min(1.0, b.linked / n), b.inside, b.tag))
-    return got
+    return out
+
+
+def _flat(b: _Block) -> tuple[str, float]:
+    t = " ".join("".join(b.parts).split())
+    return t, min(1.0, b.linked / len(t.replace(" ", ""))) if t else 0.0
+
+
+def _apart(found: list[_Block]) -> set:
+    """The named elements that stand around the article.
+
+    A name is no evidence where the element is the page's layout: where it holds a main element or, by the characters of
+    well-formed blocks (of all blocks, if none is), more than half of the page; a name that says nothing else must hold
+    the whole page, and no article or main element may hold text outside.
+    """
+    flat = [(b, *_flat(b)) for b in found if b.parts]
+    flat = [(b, t, linked) for b, t, linked in flat if t]
+    size = [len(t) if decide(t, linked) else 0 for _, t, linked in flat]
+    if not any(size):
+        size = [len(t) for _, t, _ in flat]
+    total = sum(size)
+    held: dict[_Named, int] = {}
+    for (b, *_), n in zip(flat, size, strict=True):
+        for e in b.named:
+            held[e] = held.get(e, 0) + n
+    out = set()
+    for e, n in held.items():
+        if not (e.main or (n == total and not any(b.articles and e not in b.named for b, *_ in flat) if e.whole else 2 * n > total)):
+            out.add(e)
+    return out
+
+
+def blocks(page: str) -> list[tuple[str, float, tuple, str]]:
+    """(text, share of linked characters, article and main elements around it, tag) of each block with text, in page
+    order, without what stands in elements named as around the article."""
+    found = _parsed(page)
+    apart = _apart(found) if any(b.named for b in found) else set()
+    out: list[_Block] = []
+    for b in found:
+        if not apart.isdisjoint(b.named):
+            continue
+        if b.inline and out:  # a name inside a line doesn't end it
+            out[-1].parts += b.parts
+            out[-1].linked += b.linked
+        else:
+            out.append(b)
+    return [(t, linked, b.articles, b.tag) for b in out for t, linked in [_flat(b)] if t]
 
 
 def decide(text: str, linked: float) -> bool | None:

@@ -206,6 +206,22 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == text
 
 
+BODY = "The court held that the rule was in force and that it is for the party to show why it should not be applied in this case."
+SAID = "I think that this is not what they said at all, and it would be better if they had asked all of us who were there."
+
+
+@pytest.mark.parametrize("wrapper", ["div class='page has-sidebar'", "div class='no-sidebar'", "div id=search-results-page", "section class=with-comments", "div class='layout-sidebar'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_names_of_the_layout_keep_the_text(wrapper, inner):
+    name = wrapper.split()[0]
+    page = f"<body><{wrapper}><{inner}><div class='entry-header'><h2>Of rules</h2></div><p>{BODY}</p><p>{BODY}</p></{inner}><div class=comments><p>{SAID}</p></div><div class='sidebar'>menu</div></{name}><div class='cookie-notice'><p>{SAID}</p></div></body>"
+    assert html_extraction.main_text(page) == f"Of rules\n{BODY}\n{BODY}"
+
+
+def test_names_inside_a_line_keep_it_whole():
+    assert html_extraction.main_text(f"<article><p>one <span class='ad'>buy</span> two</p><p class='related'>x<p>{BODY}</article>") == f"one two\n{BODY}"
+
+
 def test_blocks_inherit():
     assert html_extraction.inherit([None, True, None, None, False, None], [False] * 6) == [True, True, True, False, False, False]
 
