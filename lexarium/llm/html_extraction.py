@@ -261,17 +261,32 @@ def inherit(marks: list[bool | None], headings: list[bool]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The article of one page, its blocks joined by newlines; empty if there is none.
 
-    Where the page marks an article or main element that holds text, its blocks are article text but for menus of links,
-    and blocks outside are not. Elsewhere both passes decide.
+    Both passes decide on all blocks. An article or main element is one more signal for the blocks that the first pass
+    leaves open: inside one that holds well-formed text, or any where the page has none, they are article text; inside
+    others they are not, though a part of one that holds some inherits; outside they are not where one holds any, unless they stand between well-formed blocks outside or are the heading of one. A lone block inside
+    is not dropped for its links.
     """
     found = blocks(page or "")
-    if any(inside for _, _, inside, _ in found):
-        own = [(t, linked) for t, linked, inside, _ in found if inside]
-        kept = [t for t, linked in own if linked < LINKS or len(own) == 1]
-    else:
-        marks = inherit([decide(t, linked) for t, linked, _, _ in found], [len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() for *_, tag in found])
-        kept = [t for (t, *_), keep in zip(found, marks, strict=True) if keep]
-    return "\n".join(kept)
+    heads = [len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() for *_, tag in found]
+    lone = sum(bool(inside) for _, _, inside, _ in found) == 1
+    first = [None if lone and inside and linked >= LINKS else decide(t, linked) for t, linked, inside, _ in found]
+    holding = {e for (_, _, inside, _), mark in zip(found, first, strict=True) if mark for e in inside}
+    if not holding and not any(first):
+        holding = {e for _, _, inside, _ in found for e in inside}
+    marks = [(True if inside[-1] in holding else None if holding.intersection(inside) else False) if mark is None and inside else mark for (_, _, inside, _), mark in zip(found, first, strict=True)]
+    if holding:
+        outside = [not inside for _, _, inside, _ in found]
+        marks = [mark if mark is not None or found[i][2] else _between(i, first, outside, heads) for i, mark in enumerate(marks)]
+    return "\n".join(t for (t, *_), keep in zip(found, inherit(marks, heads), strict=True) if keep)
+
+
+def _between(i: int, first: list[bool | None], outside: list[bool], heads: list[bool]) -> bool:
+    """Whether an open block belongs to well-formed text outside the article: the nearest decided blocks tell."""
+    after = next((j for j in range(i + 1, len(first)) if first[j] is not None), None)
+    if after is None or not (first[after] and outside[after]):
+        return False
+    before = next((j for j in reversed(range(i)) if first[j] is not None), None)
+    return heads[i] or before is not None and bool(first[before]) and outside[before]
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -218,6 +218,20 @@ def test_names_of_the_layout_keep_the_text(wrapper, inner):
     assert html_extraction.main_text(page) == f"Of rules\n{BODY}\n{BODY}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><h1>Of rules</h1><p>{BODY}</p><p>So held.</p><p>{BODY}</p></div><article class='teaser'><p>Read more</p></article>", f"Of rules\n{BODY}\nSo held.\n{BODY}"),
+        (f"<div><p>{BODY}</p></div><article class='comment'><p>{SAID}</p></article>", BODY),
+        (f"<p>Home</p><article><h1>Of rules</h1><p>{BODY}</p><p>So held.</p><p>© 2020 The court</p></article><p>Top</p>", f"Of rules\n{BODY}\nSo held."),
+        (f"<main><h1>Of rules</h1><article><p>{BODY}</p></article></main><div><p>{SAID}</p></div>", f"Of rules\n{BODY}\n{SAID}"),
+        ("<p>Home</p><article><p>Short.</p></article>", "Short."),
+    ],
+)
+def test_an_article_element_is_one_signal(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_names_inside_a_line_keep_it_whole():
     assert html_extraction.main_text(f"<article><p>one <span class='ad'>buy</span> two</p><p class='related'>x<p>{BODY}</article>") == f"one two\n{BODY}"
 
