@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,12 @@ from .ngram_jaccard import _whole
 CHARS, ROWS, BANDS = 5, 4, 9
 #: Bands that are dealt out at once.
 AT_ONCE = 3
-#: Bins of the signature, each with a two-bit code, and how many codes two lines of one band must share: at similarity
-#: 0.8 a code agrees with chance 0.85, so that fewer than 46 of 64 do with chance 0.1%; at 0.4 as many do with 0.5%.
+#: Bins of the signature, each with a two-bit code (0: empty), and how many codes two lines of one band must share. A bin
+#: whose codes differ holds a shingle that the lines don't share, so no more bins differ than `unlike` allows; of lines with
+#: so many shingles that this is above 18, at similarity 0.8 more than 18 bins differ with chance 0.1% at most.
 BINS, CODES = 64, 46
+#: Pairs of codes that are compared at once.
+PAIRS = 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -53,12 +56,16 @@ def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarra
         return mix64(whole[starts]), line
 
 
-def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash: the least value in each of BINS bins, empty bins filled from the next one."""
-    bins = BINS
-    out = np.full(n * bins, NONE, np.uint64)
-    np.minimum.at(out, line * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
-    out = out.reshape(n, bins)
+def least(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """One-permutation MinHash: the least value in each of BINS bins, NONE in empty ones."""
+    out = np.full(n * BINS, NONE, np.uint64)
+    np.minimum.at(out, line * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(BINS.bit_length() - 1))
+    return out.reshape(n, BINS)
+
+
+def signatures(own: np.ndarray) -> np.ndarray:
+    """The least values with empty bins filled from the next one."""
+    bins, out = BINS, own.copy()
     gaps = np.flatnonzero((out == NONE).any(1))
     if not len(gaps):
         return out
@@ -85,9 +92,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def codes(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each bin, in two longs for each line."""
-    two = (mix64(sig) & np.uint64(3)).reshape(len(sig), 2, BINS // 2)
+def codes(own: np.ndarray) -> np.ndarray:
+    """Two bits of each bin's own value, 0 only where it is empty, in two longs for each line."""
+    two = np.where(own == NONE, np.uint64(0), mix64(own) % np.uint64(3) + np.uint64(1)).reshape(len(own), 2, BINS // 2)
     return np.bitwise_or.reduce(two << (2 * np.arange(BINS // 2, dtype=np.uint64)), axis=2)
 
 
@@ -97,11 +104,47 @@ def agreeing(code: np.ndarray, others: np.ndarray) -> np.ndarray:
     return BINS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
 
 
-def band_edges(batches):
-    """(band, id, code) of whole bands -> edges between lines of one band whose codes agree enough.
+def unlike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many bins lines of so many shingles may differ if at least percent of all their shingles are shared."""
+    return np.minimum((a + b) * (100 - percent) // (100 + percent), BINS - CODES)
+
+
+def across(code: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A pair of rows whose codes agree enough for each two groups that have one and aren't joined by earlier pairs."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    groups = sorted((order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)), key=len)
+    up, out = list(range(len(groups))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    where = np.empty(len(group), np.int64)
+    for g, rows in enumerate(groups):
+        where[rows] = g
+    for g, rows in enumerate(groups[:-1]):
+        rest = np.concatenate([r for k, r in enumerate(groups[g + 1 :], g + 1) if root(k) != root(g)] or [rows[:0]])
+        step = max(1, PAIRS // max(len(rest), 1))
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step, None]
+            near = BINS - agreeing(code[own], code[rest]) <= unlike(n[own], n[rest], percent)
+            for x in np.flatnonzero(near.any(0)):
+                k = int(where[rest[x]])
+                if root(k) != root(g):
+                    up[root(k)] = root(g)
+                    out.append((int(own[np.argmax(near[:, x]), 0]), int(rest[x])))
+            if out:
+                rest = rest[[root(int(k)) != root(g) for k in where[rest]]]
+    return out
+
+
+def band_edges(batches, percent: int = 80):
+    """(band, id, code, n) of whole bands -> edges that connect lines of one band wherever the codes of two agree enough.
 
     Within a band each leader is compared with all lines, and lines that a leader reaches don't lead, so that a group of
-    like lines costs one comparison for each line.
+    like lines costs one comparison for each line. Then led lines are compared with those of the band's other groups.
     """
     if (t := _whole(batches)) is None:
         return
@@ -111,22 +154,42 @@ def band_edges(batches):
     order = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]) if len(band) else order
     order = order[np.lexsort((i[order], band[order]))]  # without the bands that hold one line
     band, i = band[order], i[order]
-    code = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in ("code", "code2")], 1)
+    code, n = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in ("code", "code2")], 1), t.column("n").to_numpy().astype(np.int64)[order]
     cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]]) if len(band) else np.zeros(1, np.int64)
     lo, hi, led, a, b = cuts[:-1], cuts[1:], np.zeros(len(band), bool), [i[:0]], [i[:0]]
-    leader = lo
+    leader, group, links, bands = lo, np.full(len(band), -1), [], list(zip(lo.tolist(), hi.tolist(), strict=True))
     while len(lo):  # the next leader of every band that has one
         size = hi - lo
         begin = np.cumsum(size) - size
         row = np.arange(size.sum()) + np.repeat(lo - begin, size)
         own = np.repeat(leader, size)
-        near = (agreeing(code[own], code[row]) >= CODES) & (row != own)
+        near = (BINS - agreeing(code[own], code[row]) <= unlike(n[own], n[row], percent)) & (row != own)
         led[row[near]] = True
+        again = near & (group[row] >= 0)
+        links.append(np.stack([group[row[again]], own[again]], 1))  # a line that two leaders reach joins their groups
+        group[row[near & ~again]] = own[near & ~again]
         a.append(i[row[near]])
         b.append(i[own[near]])
         leader = np.minimum.reduceat(np.where(~led[row] & (row > own), row, len(led)), begin)
         more = leader < hi - 1
         lo, hi, leader = lo[more], hi[more], leader[more]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    for x, y in np.unique(np.concatenate(links), axis=0).tolist() if links else []:
+        if (x := root(x)) != (y := root(y)):
+            up[max(x, y)] = min(x, y)
+    for lo, hi in bands:
+        rows = lo + np.flatnonzero(led[lo:hi])
+        if len(rows) > 1 and (group[rows] != group[rows[0]]).any():
+            of = np.array([root(x) for x in group[rows].tolist()])
+            if (of != of[0]).any() and (more := across(code[rows], n[rows], of, percent)):
+                a.append(i[rows[[x for x, _ in more]]])
+                b.append(i[rows[[y for _, y in more]]])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
@@ -145,11 +208,11 @@ def _lines(batches):
             if not folded:
                 continue
             h, line = char_hashes(folded)
-            sig = signatures(h, line, len(folded))
-            bands = band_keys(sig)
+            own = least(h, line, len(folded))
+            bands = band_keys(signatures(own))
             n = np.bincount(line, minlength=len(folded))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(folded) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            code, own = codes(sig).view(np.int64), part.select(["id", "th"]).take(pa.array(where))
+            code, own = codes(own).view(np.int64), part.select(["id", "th"]).take(pa.array(where))
             yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
 
 
@@ -197,8 +260,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     free(lines)
     some = []  # a few bands at a time, as all bands of all lines take more disk than the texts
     for lo in range(1, BANDS + 1, AT_ONCE):
-        banded = full.select(F.explode(F.slice("bands", lo, AT_ONCE)).alias("band"), F.col("lid").alias("id"), "code", "code2")
-        some.append(written(banded.repartition("band").mapInArrow(band_edges, "a long, b long"), "bands"))
+        banded = full.select(F.explode(F.slice("bands", lo, AT_ONCE)).alias("band"), F.col("lid").alias("id"), "code", "code2", "n")
+        some.append(written(banded.repartition("band").mapInArrow(partial(band_edges, percent=percent), "a long, b long"), "bands"))
     keys = written(full.select("lid", "key", "first", "times", "n"), "keys")
     free(full)
     edges = written(reduce(DataFrame.unionAll, some).distinct(), "edges")

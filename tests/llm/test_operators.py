@@ -66,6 +66,31 @@ def test_line_dedup_against_brute_force(spark):
     assert kept <= got["n"] - got["d"] <= kept * 1.003 + 1  # MinHash may miss a link, never invents one
 
 
+@pytest.mark.parametrize("union", [5, 10, 15, 20, 60, 200])
+def test_line_gate_keeps_like_lines_of_any_length(union):
+    rng = np.random.default_rng(union)
+    lost = 0
+    for _ in range(400):
+        h = rng.integers(0, 2**63, union).astype(np.uint64)
+        apart, side = union // 5, rng.integers(0, 2, union // 5).astype(bool)
+        a, b = np.concatenate([h[apart:], h[:apart][side]]), np.concatenate([h[apart:], h[:apart][~side]])
+        code = line_dedup.codes(line_dedup.least(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2))
+        lost += line_dedup.BINS - line_dedup.agreeing(code[0], code[1]) > line_dedup.unlike(np.int64(len(a)), np.int64(len(b)), 80)
+    assert lost == 0 if union <= 60 else lost <= 2
+
+
+def test_lines_led_by_different_leaders_are_linked():
+    two = np.ones((4, 2, line_dedup.BINS // 2), np.uint64)  # 12 bins change from each line of a chain to the next
+    for row, changed in enumerate((0, 36, 12, 24)):
+        two.reshape(4, -1)[row, :changed] = 2
+    code = np.bitwise_or.reduce(two << (2 * np.arange(line_dedup.BINS // 2, dtype=np.uint64)), axis=2).view(np.int64)
+    t = line_dedup.pa.RecordBatch.from_pydict({"band": [1] * 4, "id": [0, 1, 2, 3], "code": code[:, 0], "code2": code[:, 1], "n": [200] * 4})
+    out = next(line_dedup.band_edges([t]))
+    near = lambda x, y: line_dedup.agreeing(code.view(np.uint64)[x], code.view(np.uint64)[y]) >= line_dedup.CODES
+    assert near(0, 2) and near(1, 3) and near(2, 3) and not near(0, 1) and not near(0, 3) and not near(1, 2)
+    assert set(roots(range(4), zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)).values()) == {0}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.count() == 9 and set(odd.columns) <= set(got.columns)
