@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import free, written
 
 #: Most members that one tile of a cluster holds.
-TILE = 2000
+TILE = 1000
 #: Mean number of set elements for each of them; tiles of larger sets hold fewer members.
 TILE_ITEMS = 1000
 

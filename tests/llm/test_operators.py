@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexarium.llm import decontamination, html_extraction, language_model, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, topk_search, toxicity
+from lexarium.llm import components, decontamination, html_extraction, language_model, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, topk_search, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,29 @@ def test_jaccard_join_is_exact(spark):
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
 
 
+def test_jaccard_join_in_small_tiles_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        w = list(base)
+        for at in rng.integers(0, 120, i % 7):
+            w[at] = f"x{rng.integers(0, 5)}"
+        rows.append((i, " ".join(w[: 120 - i % 4 * 9])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r["id"]: r["component"] for r in ngram_jaccard.ngram_jaccard_join(d, tile=4, share=500).collect()}
+    assert got == roots(sets, links) and len(set(got.values())) > 1
+
+
+def test_components_in_distributed_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (7, 7), (None, 3)], "a long, b long").repartition(4)
+    got = {r["node"]: r["component"] for r in components.connected(edges).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40}
+
+
 def test_jaccard_join_of_odd_rows(odd, none):
     got = ngram_jaccard.ngram_jaccard_join(odd).collect()
     assert len(got) == 9
