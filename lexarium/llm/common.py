@@ -15,9 +15,11 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode only) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="lexarium-"))
             spark.sparkContext.setCheckpointDir(_OWN_DIR[0])
@@ -89,6 +91,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that outputs of these names replace; case doesn't tell names apart."""
+    return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, mix64, small_batches, written
+from .common import free, fresh, mix64, small_batches, without, written
 from .components import verified_components
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
 CHARS, ROWS, BANDS = 5, 4, 9
-#: Bands that are dealt out at once.
-AT_ONCE = 3
+#: Entries (band key, line) that one task of the exchange compares, and the most tasks it is dealt over.
+SHARE, MOST_PARTS = 1 << 21, 1 << 15
+#: Lines of one batch, and of all batches, from which a band key counts as hot: its lines are tied to the smallest of them
+#: at once, and the exact check decides about all of them.
+HOT_BATCH, HOT = 64, 20_000
 #: Bins of the signature, each with a two-bit code (0: empty), and how many codes two lines of one band must share. A bin
 #: whose codes differ holds a shingle that the lines don't share, so no more bins differ than `unlike` allows; of lines with
 #: so many shingles that this is above 18, at similarity 0.8 more than 18 bins differ with chance 0.1% at most.
@@ -144,6 +147,64 @@ def across(code: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int) ->
     return out
 
 
+def _hot(key: np.ndarray, i: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries of (key, i), sorted by key then i, are of a key with more than `most`, and the first i of each key."""
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cuts, len(key)))
+    return np.repeat(size > most, size), np.repeat(i[cuts], size)
+
+
+def _dealt(bits: int):
+    """Lines' band keys -> packed (key, line) entries of each part; part -1 has edges of keys that are hot in the batch."""
+
+    def run(batches):
+        for batch in batches:
+            lids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+            key = batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy()
+            i = np.repeat(lids, BANDS)
+            order = np.lexsort((i, key))
+            key, i = key[order], i[order]
+            hot, first = _hot(key, i, HOT_BATCH)
+            star = hot & (i != first)
+            rows = {"part": [-1], "data": [np.stack([i[star], first[star]]).tobytes()]}
+            key, i = key[~star], i[~star]
+            part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[p] : cuts[p + 1]]
+                rows["part"].append(p)
+                rows["data"].append(np.stack([key[at], i[at]]).tobytes())
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
+
+    return run
+
+
+def _edges_of(batches):
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            a, b = np.frombuffer(data, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _met(batches):
+    """(band, id, to): the entries of band keys that several lines have; those of hot keys with the line they are tied to."""
+    got = [np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column(b.schema.get_field_index("data")).to_pylist()]
+    if not got:
+        return
+    key, i = np.concatenate(got, axis=1)
+    order = np.lexsort((i, key))
+    key, i = key[order], i[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])])
+    key, i = key[new], i[new]
+    several, first = _hot(key, i, 1)
+    hot, _ = _hot(key, i, HOT)
+    key, i, to, hot = key[several], i[several], first[several], hot[several]
+    for lo in range(0, len(key), 1 << 16):
+        own = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(i[own]), pa.array(to[own], mask=~hot[own])], ["band", "id", "to"])
+
+
 def band_edges(batches, percent: int = 80):
     """(band, id, code, n) of whole bands -> edges that connect lines of one band wherever the codes of two agree enough.
 
@@ -246,7 +307,7 @@ def _sets(batches):
             )
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, share: int = SHARE) -> DataFrame:
     """Lines to drop: (id, th, line), th being the hash of the row's text and line its number from 0.
 
     Lines (split at \\n) are compared by the sets of their 5-character shingles after fold_line; blank lines take no
@@ -262,14 +323,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
     places = written(lines.select("id", "th", "line", "key"), "places")
     free(lines)
-    some = []  # a few bands at a time, as all bands of all lines take more disk than the texts
-    for lo in range(1, BANDS + 1, AT_ONCE):
-        banded = full.select(F.explode(F.slice("bands", lo, AT_ONCE)).alias("band"), F.col("lid").alias("id"), "code", "code2", "n")
-        some.append(written(banded.repartition("band").mapInArrow(partial(band_edges, percent=percent), "a long, b long"), "bands"))
+    bits = max(3, min(full.count() * BANDS // share, MOST_PARTS - 1).bit_length())
+    dealt = written(full.select(F.col("lid").alias("id"), "bands").mapInArrow(_dealt(bits), "part int, data binary"), "dealt")
+    met = dealt.where("part >= 0").repartition(1 << bits, "part").mapInArrow(_met, "band long, id long, to long")
+    met = written(met, "met")
+    ties = dealt.where("part < 0").select("data").mapInArrow(_edges_of, "a long, b long").unionAll(met.where("to is not null and id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
+    like = met.where("to is null").select("band", "id").join(full.select(F.col("lid").alias("id"), "code", "code2", "n"), "id")
+    edges = like.repartition("band").mapInArrow(partial(band_edges, percent=percent), "a long, b long").unionAll(ties)
+    edges = written(edges.distinct(), "edges")
     keys = written(full.select("lid", "key", "first", "times", "n"), "keys")
-    free(full)
-    edges = written(reduce(DataFrame.unionAll, some).distinct(), "edges")
-    free(*some)
+    free(dealt, met, full)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
@@ -291,14 +354,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every row stays, also if all its lines were duplicates (its text is then empty). A null text stays null and has no
     lines; an empty text has one blank line, which stays. Rows that agree in id and text count as one row: each keeps
-    what that row keeps. Rows of null id take part. Other columns are passed on, whatever their names.
+    what that row keeps. Rows of null id take part. Other columns are passed on; columns of docs named
+    _lx_lines or _lx_dropped give way to these.
     """
-    drop = duplicate_lines(docs, id_col, text_col, percent).distinct().groupBy("id", "th").agg(F.collect_list("line").alias("_lx_drop")).withColumnsRenamed({"id": "_lx_id", "th": "_lx_th"})
+    docs, gone, drop_id, drop_th = without(docs, "_lx_lines", "_lx_dropped"), fresh("gone"), fresh("id"), fresh("th")
+    drop = duplicate_lines(docs, id_col, text_col, percent).distinct().groupBy("id", "th").agg(F.array_sort(F.collect_list("line")).alias(gone)).withColumnsRenamed({"id": drop_id, "th": drop_th})
     drop = written(drop, "drop")
-    out = docs.join(drop, docs[id_col].eqNullSafe(drop["_lx_id"]) & (F.xxhash64(docs[text_col]) == drop["_lx_th"]), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_lx_drop"), i)), "\n")
-    out = out.withColumn("_lx_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_lx_dropped", F.coalesce(F.size("_lx_drop"), F.lit(0)).cast("long"))
-    out = out.withColumn("_lx_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_lx_lines")))
-    out = out.withColumn("_lx_dropped", F.when(F.col("_lx_drop").isNull(), F.lit(0)).otherwise(F.col("_lx_dropped")))
-    return out.withColumn(text_col, F.when(F.col("_lx_drop").isNull(), F.col(text_col)).otherwise(rest)).drop("_lx_drop", "_lx_id", "_lx_th")
+    out = docs.join(drop, docs[id_col].eqNullSafe(drop[drop_id]) & (F.xxhash64(docs[text_col]) == drop[drop_th]), "left")
+    parts, d = F.split(F.col(text_col), "\n", -1), F.col(gone)
+
+    def between(i: Column) -> Column:
+        """The lines from after the dropped line before place i up to the one at it."""
+        before = F.coalesce(F.get(d, i - 1), F.lit(-1))
+        return F.slice(parts, before + 2, F.coalesce(F.get(d, i), F.size(parts)) - before - 1)
+
+    rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), between)), "\n")
+    out = out.withColumn("_lx_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("_lx_dropped", F.when(d.isNull(), 0).otherwise(F.size(d)).cast("long"))
+    return out.withColumn(text_col, F.when(d.isNull(), F.col(text_col)).otherwise(rest)).drop(gone, drop_id, drop_th)

@@ -89,6 +89,33 @@ def test_line_dedup_against_brute_force(spark):
     assert kept <= got["n"] - got["d"] <= kept * 1.003 + 1  # MinHash may miss a link, never invents one
 
 
+def test_hot_bands_are_tied_and_still_decided_exactly(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_BATCH", 2)
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    base = "the quick brown fox jumps over the lazy dog and runs away from all of the hounds in the old forest by the river"
+    rows = [(i, f"{base} {i:03d}\n{i * 7919:012d} unlike {i}") for i in range(40)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    assert [r["_lx_dropped"] for r in got] == [0] + [1] * 39 and got[5]["text"] == rows[5][1].split("\n")[1]
+
+
+def test_line_links_are_recalled_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    letters, lines = list("abcdefghijklmnopqrstuvwxyz "), []
+    for n in (8, 12, 20, 40, 80, 160):
+        for _ in range(60):
+            x = rng.choice(letters, n)
+            y = x.copy()
+            y[rng.integers(0, n)] = "#"
+            lines += ["".join(x).strip(), "".join(y).strip()]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets = [frozenset(x[i : i + 5] for i in range(len(x) - 4)) if len(x) > 4 else frozenset([x]) for x in map(line_dedup.fold_line, lines)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) > 100
+    dropped = line_dedup.line_dedup(d).agg(F.sum("_lx_dropped")).first()[0]
+    want = len(lines) - len(set(roots(range(len(lines)), links).values()))
+    assert want * 0.98 <= dropped <= want
+
+
 @pytest.mark.parametrize("union", [5, 10, 15, 20, 60, 200])
 def test_line_gate_keeps_like_lines_of_any_length(union):
     rng = np.random.default_rng(union)
