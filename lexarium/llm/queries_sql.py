@@ -42,22 +42,28 @@ def _license() -> str:
 
 
 _MIXING = r"""
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+with recursive sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 cells as (select source, size, count(*) as n from sized group by all),
-sources as (select source, sum(size * n)::bigint as source_size from cells group by source),
+sources as (select source, sum(size * n)::bigint as source_size, sum(n) filter (size > 0)::bigint as docs from cells group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from sources),
 lv as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0))::double
     / sum(weight) over (o rows between current row and unbounded following) as level from w window o as (order by source_size / weight, source nulls last)),
 top as (select max(level) filter (level * weight <= 3 * source_size) as level from lv),
-goal as (select source, source_size, least(weight * coalesce(top.level, 0), 3.0 * source_size) as target from lv, top),
-c1 as (select c.source, size, n, source_size, target, case when source_size > 0 then least(target / source_size, 3.0) else 0.0 end as rate from cells c join goal g on c.source is not distinct from g.source),
+goal as (select source, source_size, source_size / docs as mean, least(weight * coalesce(top.level, 0), 3.0 * source_size) as target from lv, top),
+c0 as (select c.source, size, n, source_size, target, size / mean as z from cells c join goal g on c.source is not distinct from g.source),
+halves as (select source, target, -700.0::double as lo, 700.0::double as hi, 0 as i from goal where source_size > 0 and target < 3 * source_size * (1 - 1e-12)
+  union all select h.source, h.target, case when sum(case when (lo + hi) / 2 * z >= ln(3) then 3.0 else exp((lo + hi) / 2 * z) end * size * n) < h.target then (lo + hi) / 2 else lo end,
+    case when sum(case when (lo + hi) / 2 * z >= ln(3) then 3.0 else exp((lo + hi) / 2 * z) end * size * n) < h.target then hi else (lo + hi) / 2 end, i + 1
+  from halves h join c0 on h.source is not distinct from c0.source where i < 90 group by h.source, h.target, lo, hi, i),
+dual as (select source, (lo + hi) / 2 as x from halves where i = 90),
+c1 as (select c0.source, size, n, source_size, c0.target, case when source_size = 0 or size = 0 then 0.0 when x is null or x * z >= ln(3) then 3.0 else exp(x * z) end as rate from c0 left join dual on c0.source is not distinct from dual.source),
 c2 as (select *, floor(sum(rate * n) over (partition by source order by size desc) + 0.5) as upto from c1),
 c3 as (select *, case when size > 0 then greatest(0, least(upto - coalesce(lag(upto) over (partition by source order by size desc), 0), 3 * n)) else 0 end::bigint as k from c2),
 c4 as (select *, round(target - sum(k * size) over (partition by source))::bigint as lack from c3),
 c5 as (select *, case when size = 0 then 0 when lack > 0 then 3 * n - k else k end as room from c4),
 c6 as (select *, greatest(abs(lack) - (sum(room * size) over (partition by source order by size) - room * size), 0) as rest from c5),
 c7 as (select *, k + sign(lack)::bigint * least(room, floor(rest / greatest(size, 1)))::bigint as copies from c6),
-ranked as (select s.doc_id, s.size, c.source_size, c.target, c.n, c.copies, md5(s.doc_id::varchar) as h, greatest(ceil(c.n / 20000), 1)::bigint as parts, s.source
+ranked as (select s.doc_id, s.size, c.source_size, c.target, c.n, c.copies, md5(s.doc_id::varchar) as h, greatest(ceil(c.n / 2000), 1)::bigint as parts, s.source
   from sized s join c7 c on s.source is not distinct from c.source and s.size = c.size),
 r2 as (select *, row_number() over (partition by source, size order by ('0x' || h[1:8])::bigint % parts, h) - 1 as rank from ranked)
 select doc_id, size, source_size, target::double as target, (size * (copies // n + case when rank < copies % n then 1 else 0 end))::bigint as taken from r2"""

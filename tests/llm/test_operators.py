@@ -237,6 +237,27 @@ def test_mix_meets_targets(spark):
     assert m["copies"].between(0, 3).all() and abs(m.groupby("source")["target"].first().sum() - m["size"].sum()) < 1e-3
 
 
+def test_mix_is_the_tilt_of_least_entropy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(n)), "abc"[i % 3]) for i, n in enumerate(rng.integers(1, 400, 300))]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), salt_rows=3).toPandas()
+    for _, g in m.groupby("source"):
+        z, words = g["size"] / g["size"].mean(), (g["rate"] * g["size"]).sum()
+        assert abs(words / g["target"].iloc[0] - 1) < 1e-9
+        tilted = g["rate"] < 3
+        x = np.log(g["rate"][tilted]) / z[tilted]
+        assert not tilted.any() or x.max() - x.min() < 1e-9
+    other = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2), salt_rows=3).toPandas()
+    assert m.set_index("id")["copies"].to_dict() == other.set_index("id")["copies"].to_dict()
+
+
+def test_repeated_rows_share_their_copies_exactly(spark):
+    d = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (1, "a b c", "s", "z"), (2, "d " * 9, "t", "x"), (None, "d", None, "n")], "doc_id long, text string, source string, times string")
+    want = {(r["id"], r["th"]): r["c"] for r in mixing.mix(d).groupBy("id", "th").agg(F.sum("copies").alias("c")).collect()}
+    got = {(r["doc_id"], r["th"]): r["c"] for r in mixing.mixed(d).groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.count("*").alias("c")).collect()}
+    assert got == {k: v for k, v in want.items() if v} and mixing.mixed(d).columns == d.columns
+
+
 def test_mix_of_odd_rows(odd, none):
     m = mixing.mix(odd).toPandas()
     assert len(m) == 9 and (m["copies"][m["size"] == 0] == 0).all()
