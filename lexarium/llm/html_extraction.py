@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, without
 
 #: Elements that start or end a block, that hold no article text, that have no content, that others close.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -292,9 +292,11 @@ def _between(i: int, first: list[bool | None], outside: list[bool], heads: list[
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with _lx_text, the main text of html_col, whole. A null page counts as empty and has an empty text.
 
-    Rows are independent: no shuffle, no key; repeated rows, null ids and further columns are passed on. Broken markup
-    never fails: what isn't a tag is text, an open element ends with the page.
+    Rows are independent: no shuffle, no key; repeated rows, null ids and further columns are passed on, those named
+    _lx_text or _lx_chars give way to these. Broken markup never fails: what isn't a tag is text, an open element ends
+    with the page.
     """
+    pages = without(pages, "_lx_text", "_lx_chars")
 
     def run(batches):
         for batch in batches:

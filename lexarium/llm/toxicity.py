@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, without
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most about (a uniform sample by hash of the id).
 LABELLED = 20_000
-#: Terms of the lexicon at most, and the least length of a term that may be misspelled.
-TERMS, FUZZY_FROM = 512, 5
+#: The least length of a term that may be misspelled: a shorter one has other words one edit away.
+FUZZY_FROM = 5
 #: Words on either side of a term that belong to its context.
 WINDOW = 6
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»]")
+_CITED = re.compile(r"[^\S\n]*>")
 
 
 class Matcher:
@@ -108,11 +109,15 @@ def features(text: str, words: list[str], hits: dict[str, tuple[int, int]], weig
         if i in wanted:
             spans[i] = m.start()
     seen: set = set()
-    total = 0.0
+    total, last, marks, cited = 0.0, 0, 0, bool(_CITED.match(low))
     for k, i in enumerate(at):
         edits, term = hits[words[i]]
-        line = low[low.rfind("\n", 0, spans[i]) + 1 : spans[i]]
-        quoted = line.lstrip().startswith(">") or len(_QUOTES.findall(line)) % 2 == 1
+        line = low.rfind("\n", last, spans[i])  # each character is looked at once, however many terms a line has
+        if line >= 0:
+            last, marks, cited = line + 1, 0, bool(_CITED.match(low, line + 1))
+        marks += len(_QUOTES.findall(low, last, spans[i]))
+        last = spans[i]
+        quoted = cited or marks % 2 == 1
         near = any(abs(at[j] - i) <= WINDOW for j in (k - 1, k + 1) if 0 <= j < len(at))
         w = weight[term] * (0.7 if edits else 1.0)
         if (term, edits, quoted) not in seen:
@@ -184,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b > 1")
     odds = F.log((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = words.where("a > 1").withColumn("odds", odds).withColumn("z", z).where("odds > 1.2 and z > 2.8").orderBy(F.desc("z"), "w").limit(TERMS).collect()
+    top = words.where("a > 1").withColumn("odds", odds).withColumn("z", z).where("odds > 1.2 and z > 2.8").orderBy(F.desc("z"), "w").collect()  # words of the bounded sample
     if not top:
         return model
     model["terms"], model["weight"] = tuple(r["w"] for r in top), np.array([r["odds"] for r in top])
@@ -238,8 +243,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with _lx_score, the probability that a text is toxic, and _lx_toxic (score >= 0.5).
 
     Only the text is used, whole. A null text counts as empty; an empty text gets the score of no match. Without a
-    learnt lexicon every score is 0. Ids may repeat or be null; other columns are passed on. No shuffle.
+    learnt lexicon every score is 0. Ids may repeat or be null; other columns are passed on, those named like an output
+    give way to it. No shuffle.
     """
+    docs = without(docs, "_lx_score", "_lx_toxic")
     schema = T.StructType([*docs.schema.fields, T.StructField("_lx_score", T.DoubleType())])
     return docs.mapInArrow(_scores(text_col, model), schema).withColumn("_lx_toxic", F.col("_lx_score") >= 0.5)
 
