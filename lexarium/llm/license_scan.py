@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import fresh, lower_ascii, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
@@ -50,33 +50,44 @@ def frequencies(docs: DataFrame, text_col: str, templates=TEMPLATES) -> dict[str
     return {r["w"]: r["count"] for r in rows}
 
 
+def window_of(template: str, contained: float) -> int:
+    """Words in which a template may stand with others between its own."""
+    return math.ceil(len(template.split()) / contained - 1e-9)
+
+
 def license_scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """docs with _lx_words, _lx_starts, _lx_base, _lx_found (labels) and _lx_score.
 
     Base: PHRASES whose words stand consecutively in the whole text give _lx_starts (word positions from 0, ascending)
-    and _lx_base. Method: every line is a text block, its distinct words a set. Template words are ordered by their
-    frequency in the whole corpus, rarest first. With need = ceil(contained * |template|), a block holds a template only
-    if one of the template's first |template| - need + 1 words is in it (prefix filter), the block has at least `need`
-    words (length filter), and from the first shared place in the order enough words remain (positional filter); what
-    passes is intersected exactly. All blocks of all documents are joined, no matter how long. _lx_found has the base
-    labels and those of the templates; _lx_score is 1 with a base phrase, else the largest containment that reached the
-    threshold, else 0.
-
-    The join runs inside each row, against the templates as literals: after one aggregate of a few hundred words there is
-    no shuffle at all, and no key can be hot. A null or empty text has no words, labels or places and score 0. Ids are not
-    looked at, so rows may repeat; other columns are passed on. An empty table gives no rows.
+    and _lx_base. Method: text blocks are windows of words over the whole text, wherever its lines break: for a template
+    of n words, w = ceil(n / contained), blocks of 2 w words begin every w words, so each run of w words lies in one. A
+    block's distinct words are a set; it holds a template if it has need = ceil(contained * |template|) of its distinct
+    words. Template words are ordered by their frequency in the whole corpus, rarest first. An index from the first
+    |template| - need + 1 words of the templates (prefix filter) to the templates gives the ones that a text may hold at
+    all. Of a block, two of the first |template| - need + 2 words must be there (positional filter: no more than
+    |template| - need words before the second shared one may be missing) and at least need words (length filter). What
+    passes is intersected exactly. _lx_found has the base labels and those of the templates; _lx_score is 1 with a base
+    phrase, else the largest containment that reached the threshold, else 0.
+
+    The join runs inside each row, against the index and templates as literals: after one aggregate of a few hundred
+    words there is no shuffle at all, and no key can be hot. A null or empty text has no words, labels or places and
+    score 0. Ids are not looked at, so rows may repeat; other columns are passed on, those named like an output give way
+    to it. An empty table gives no rows.
     """
     count = frequencies(docs, text_col, templates)
     rank = {w: i for i, w in enumerate(sorted(vocabulary(templates), key=lambda w: (count.get(w, 0), w)))}
-    rules = []
-    for label, text in templates:
+    rules, index = [], {}
+    for t, (label, text) in enumerate(templates):
         own = sorted(set(text.split()), key=rank.get)
         need = math.ceil(contained * len(own) - 1e-9)
-        rules.append((label, own, need, own[: len(own) - need + 1]))
-    rare = F.array(*map(F.lit, sorted({w for *_, prefix in rules for w in prefix})))
-    low = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    d = docs.withColumn("_lx_all", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
-    d = d.withColumn("_lx_words", F.size("_lx_all").cast("long"))
+        rules.append((label, own, need, window_of(text, contained)))
+        for w in own[: len(own) - need + 1]:
+            index.setdefault(w, []).append(t)
+    docs = without(docs, "_lx_words", "_lx_starts", "_lx_base", "_lx_found", "_lx_score")
+    all_words, rare_words, held_by = fresh("words"), fresh("rare"), fresh("held")
+    rare = F.array(*map(F.lit, sorted(index)))
+    d = docs.withColumn(all_words, words_of(F.col(text_col).cast("string")))
+    d = d.withColumn("_lx_words", F.size(all_words).cast("long"))
 
     def starts(words: Column) -> Column:
         def here(i: Column) -> Column:
@@ -84,32 +95,32 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, c
 
         return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
-    spaced = F.concat(F.lit(" "), F.array_join("_lx_all", " "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.array_join(all_words, " "), F.lit(" "))
     empty = F.array().cast("array<int>")
-    some = _any([F.array_contains("_lx_all", p.split()[0]) for p, _ in PHRASES])
-    d = d.withColumn("_lx_starts", F.when(some, starts(F.col("_lx_all"))).otherwise(empty))
+    some = _any([F.array_contains(all_words, p.split()[0]) for p, _ in PHRASES])
+    d = d.withColumn("_lx_starts", F.when(some, starts(F.col(all_words))).otherwise(empty))
     base = F.when(F.size("_lx_starts") > 0, F.filter(F.array(*(F.when(F.contains(spaced, F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     d = d.withColumn("_lx_base", base)
+    d = d.withColumn(rare_words, F.array_intersect(rare, F.col(all_words)))
+    find = F.create_map(*(x for w in sorted(index) for x in (F.lit(w), F.array(*map(F.lit, index[w])))))
+    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.lit(w).alias("w")) for label, own, need, w in rules))
+
+    def held(t: Column) -> Column:
+        """(label, containment) of the blocks that hold a template."""
+        x, words = F.element_at(known, t + 1), F.col(all_words)
+        begins = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / x["w"]).cast("int") - 1, F.lit(0)))
+        first = F.slice(x["own"], 1, F.size(x["own"]) - x["need"] + 2)
+        blocks = F.transform(begins, lambda k: F.slice(words, k * x["w"] + 1, x["w"] * 2))
+        blocks = F.filter(blocks, lambda b: (F.size(b) >= x["need"]) & (F.size(F.array_intersect(first, b)) >= F.least(F.lit(2), x["need"])))
+        shared = F.filter(F.transform(blocks, lambda b: F.size(F.array_intersect(x["own"], b))), lambda n: n >= x["need"])
+        return F.transform(shared, lambda n: F.struct(x["label"].alias("label"), (n / F.size(x["own"])).alias("part")))
 
-    def held(block: Column) -> Column:
-        """(label, containment) of the templates that a block's distinct words hold."""
-        out = []
-        for label, own, need, prefix in rules:
-            ordered = F.array(*map(F.lit, own))
-            near = (F.size(block) >= need) & F.arrays_overlap(block, F.array(*map(F.lit, prefix)))
-            shared = F.array_intersect(ordered, block)
-            fits = F.lit(len(own) + 1) - F.array_position(ordered, F.element_at(shared, 1)) >= need
-            out.append(F.when(near & F.when(near, fits & (F.size(shared) >= need)), F.struct(F.lit(label).alias("label"), (F.size(shared) / len(own)).alias("part"))))
-        return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-    blocks = F.transform(F.split(low, "\n", -1), lambda line: F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))))
-    blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, rare))
     nothing = F.array().cast("array<struct<label:string,part:double>>")
-    d = d.withColumn("_lx_blocks", F.when(F.arrays_overlap("_lx_all", rare), blocks).otherwise(F.array().cast("array<array<string>>")))
-    d = d.withColumn("_lx_held", F.when(F.size("_lx_blocks") > 0, F.flatten(F.transform("_lx_blocks", held))).otherwise(nothing))
-    score = F.when(F.size("_lx_starts") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("_lx_held", lambda x: x["part"])), F.lit(0.0)))
-    d = d.withColumn("_lx_score", score.cast("double")).withColumn("_lx_found", F.array_sort(F.array_union("_lx_base", F.transform("_lx_held", lambda x: x["label"]))))
-    return d.drop("_lx_all", "_lx_blocks", "_lx_held")
+    candidates = F.array_distinct(F.flatten(F.transform(rare_words, lambda w: F.element_at(find, w))))
+    d = d.withColumn(held_by, F.when(F.size(rare_words) > 0, F.flatten(F.transform(candidates, held))).otherwise(nothing))
+    score = F.when(F.size("_lx_starts") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(held_by, lambda x: x["part"])), F.lit(0.0)))
+    d = d.withColumn("_lx_score", score.cast("double")).withColumn("_lx_found", F.array_sort(F.array_union("_lx_base", F.transform(held_by, lambda x: x["label"]))))
+    return d.drop(all_words, rare_words, held_by)
 
 
 def _all(conditions: list[Column]) -> Column:

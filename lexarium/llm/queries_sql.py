@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from .license_scan import CONTAINED, PHRASES, TEMPLATES
-from .secret_scan import BASE, MORE, OWNERS
+from .license_scan import CONTAINED, PHRASES, TEMPLATES, window_of
+from .secret_scan import BASE, MORE, OWNERS, REPOSITORIES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,15 +24,14 @@ def _license() -> str:
     base = ", ".join(f"case when contains(flat, {_str(f' {p} ')}) then {_str(label)} end" for p, label in PHRASES)
     held = []
     for label, text in TEMPLATES:
-        own = sorted(set(text.split()))
+        own, w = sorted(set(text.split())), window_of(text, CONTAINED)
         need = math.ceil(CONTAINED * len(own) - 1e-9)
-        held.append(f"select doc_id, {_str(label)} as label, len(list_intersect(b, {_list(own)})) / {len(own)} as part from blocks where len(list_intersect(b, {_list(own)})) >= {need}")
+        held.append(f"select doc_id, {_str(label)} as label, n / {len(own)} as part from (select doc_id, len(list_intersect(list_distinct(b), {_list(own)})) as n from (select doc_id, unnest(list_transform(range(0, greatest(ceil(len(w) / {w})::bigint, 1)), lambda k: w[k * {w} + 1:k * {w} + {2 * w}])) as b from t)) where n >= {need}")
     return f"""
     with d as (select doc_id, {_LOWER} as low from documents),
     t as (select doc_id, low, regexp_extract_all(low, '{_WORD}') as w from d),
     s as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as flat, list_filter(range(0, len(w)), lambda i: coalesce({at}, false)) as starts from t),
     base as (select doc_id, len(w) as n_words, starts, list_filter([{base}], lambda x: x is not null) as found from s),
-    blocks as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{_WORD}')) as b from d),
     held as ({" union all ".join(held)}),
     more as (select doc_id, list(distinct label) as labels, max(part) as part from held group by doc_id)
     select base.doc_id, n_words::bigint as n_words, len(starts)::bigint as n_base, list_min(starts)::bigint as first_word, list_max(starts)::bigint as last_word,
@@ -100,11 +99,11 @@ def _secrets() -> str:
     first = len(BASE)
     return f"""
     with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, coalesce(lang, '') as repo from documents),
-    x as (select doc_id, owner, ord, kind, a::bigint as a, (a + n)::bigint as e, sha256(v) as h from ({" union all ".join(kinds)})),
+    x as (select doc_id, owner, repo, ord, kind, a::bigint as a, (a + n)::bigint as e, sha256(v) as h from ({" union all ".join(kinds)})),
     base as (select * from x where ord < {first}),
     free as (select * from x where ord >= {first} and not exists (select 1 from base b where b.doc_id = x.doc_id and b.a < x.e and x.a < b.e)),
     cand as (select * from base union all select * from free),
-    verdict as (select h, count(distinct owner) >= {OWNERS} as example from cand group by h),
+    verdict as (select h, count(distinct owner) >= {OWNERS} or count(distinct owner) > 1 and count(distinct owner || chr(1) || repo) >= {REPOSITORIES} as example from cand group by h),
     told as (select cand.*, example from cand join verdict using (h)),
     agg as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
       string_agg(kind || ':' || a || ':' || e, ',' order by a, ord) filter (ord < {first}) as base, string_agg(kind || ':' || a || ':' || e, ',' order by a, ord) filter (ord < {first} or not example) as spans,

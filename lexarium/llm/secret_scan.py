@@ -20,8 +20,8 @@ MORE = (
     ("keyblock", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, ()),
     ("mixed", r"[A-Za-z0-9+/_=-]{20,}", 0, 20, ("[0-9]", "[A-Z]", "[a-z]")),
 )
-#: A value that so many owners have is an example that people copy.
-OWNERS = 3
+#: A value that so many owners have, or several owners in so many repositories, is an example that people copy.
+OWNERS, REPOSITORIES = 3, 5
 
 
 def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int, having: tuple[str, ...] = ()) -> Column:
@@ -51,12 +51,13 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", owners: int = OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """One row for each row of docs: id, base and all (arrays of spans), n_live, n_example.
 
     Base spans follow BASE. Every span's value, and every candidate of MORE, is a secret candidate; candidate hashes are
     counted over the whole corpus by distinct owners (owner_col) and repositories (owner_col, repo_col). A value that at
-    least `owners` owners have is a copied example; any other is owner-specific and looks live. `all` has the base spans
+    least `owners` owners have, or more than one owner in at least `repositories` repositories, is a copied example; any
+    other is owner-specific and looks live. `all` has the base spans
     and the owner-specific candidates of MORE that no base span covers; n_live and n_example count a row's candidates.
 
     Skew: texts don't move; candidates are reduced to distinct (hash, owner, repository) before the shuffle, and the
@@ -71,7 +72,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     cand = rows.select("rid", "owner", "repo", F.explode(F.concat("base", free)).alias("x")).withColumn("hash", F.sha2(F.col("x.value"), 256))
     own = cand.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    verdict = written(own.select("hash", (F.col("owners") >= owners).alias("example")), "owners")
+    verdict = written(own.select("hash", ((F.col("owners") >= owners) | ((F.col("owners") > 1) & (F.col("repos") >= repositories))).alias("example")), "owners")
     told = cand.select("rid", "x", "hash").join(verdict, "hash")
     each = told.groupBy("rid").agg(F.collect_list(F.when((F.col("x.ord") >= len(BASE)) & ~F.col("example"), F.col("x"))).alias("extra"), F.count_if(~F.col("example")).alias("n_live"), F.count_if("example").alias("n_example"))
     out = rows.select("rid", "id", "base").join(written(each, "live"), "rid", "left")

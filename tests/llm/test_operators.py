@@ -356,3 +356,53 @@ def test_top_k_is_exact(spark):
         best = sorted(((-int(q[i] @ q[j]), j) for j in range(300) if j != i))[:5]
         assert [got[i, k] for k in range(1, 6)] == [(j, -s) for s, j in best]
     assert {i for i, _ in got} == set(range(0, 300, 50))
+
+
+def test_top_k_in_small_blocks_with_huge_components(spark):
+    rows = [(0, [-1e300, 1.0]), (50, [1.0, 1.0]), (51, [0.5, -2.0]), (51, [0.5, -2.0]), (52, [0.0, 0.0]), (100, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(d.where("vec_id > 0"), F.pmod("vec_id", F.lit(50)) == 0, queries=1, block=2).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 50] == [(52, 0), (100, 0), (51, -98304), (51, -98304)]
+    assert topk_search.segments_of(np.array([[-9200000000000000000, 256]]))[0][2].tolist() == [-9200000000000000000]
+    assert topk_search.top_k(d.limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k_of_many_blocks_is_exact(spark):
+    v = np.random.default_rng(4).normal(size=(500, 8))
+    d = spark.createDataFrame([(i, [float(x) for x in r], "x") for i, r in enumerate(v)], "vec_id long, embedding array<double>, score string").repartition(3)
+    q = np.floor(v * 256).astype(int)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.top_k(d, F.pmod("vec_id", F.lit(20)) == 0, queries=7, block=30).collect()}
+    for i in range(0, 500, 20):
+        assert [got[i, n] for n in range(1, 6)] == [(j, -s) for s, j in sorted((-int(q[i] @ q[j]), j) for j in range(500) if j != i)[:5]]
+
+
+def test_license_templates_over_wrapped_lines(spark):
+    text = license_scan.TEMPLATES[5][1].split()
+    wrapped = "\n".join(" ".join(text[i : i + 7]) for i in range(0, len(text), 7))
+    d = spark.createDataFrame([(1, "intro words\n\n" + wrapped + "\nmore", 3), (2, " ".join(text[:12]), 4), (3, None, 5)], "doc_id long, text string, _lx_words int")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(d).collect()}
+    assert got[1]["_lx_found"] == ["mit"] and got[1]["_lx_score"] == 1.0 and got[2]["_lx_found"] == [] and got[3]["_lx_words"] == 0
+
+
+def test_many_terms_in_one_line_are_told_apart_in_one_pass():
+    hits = {"nasty": (0, 0)}
+    text = "> nasty said\n\"nasty\" nasty\n" + "nasty " * 5
+    words = toxicity._WORD.findall(text)
+    x = toxicity.features(text, words, hits, np.array([1.0]))
+    assert x[3] == 1 and x[1] == 1 and x[7] == np.log1p(6)
+    long = "nasty " * 20000
+    assert toxicity.features(long, long.split(), hits, np.array([1.0]))[7] == np.log1p(20000)
+
+
+def test_columns_named_like_outputs_give_way(spark, odd):
+    d = odd.withColumn("_lx_drop", F.lit(1)).withColumn("_lx_text", F.lit("t")).withColumn("_LX_LINES", F.lit(2)).withColumn("_lx_id", F.lit(3))
+    model = toxicity.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(d, model).columns.count("_lx_score") == 1
+    assert html_extraction.extract(d, "text").select("_lx_text").count() == 9
+    assert line_dedup.line_dedup(d).select("_lx_lines", "_lx_drop").count() == 9
+    assert ngram_jaccard.keep_one_of_each(d).columns == d.columns
+    assert decontamination.contaminated(d, spark.createDataFrame([(1, "one two three four five six", 2)], "item_id long, text string, id int")).where("item = 1").count() == 2
+
+
+def test_extract_of_odd_rows(odd, none):
+    assert html_extraction.extract(odd, "text").where("doc_id = 2").first()["_lx_text"] == "" and html_extraction.extract(none, "text").count() == 0
