@@ -1,6 +1,7 @@
 """Small tests of each operator: odd rows, empty tables, brute force."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -340,7 +341,7 @@ def test_language_model_sums_to_one_and_beats_its_base(spark, odd, none):
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     s = language_model.lm_scores(docs(spark), learn).toPandas()
     assert s["score"].sum() > s["base_score"].sum() and len(s) == docs(spark).count()
-    w = np.random.default_rng(0).normal(size=(language_model.TEMPLATES * language_model.CONTEXTS, language_model.CLASSES)).astype(np.float32)
+    w = np.random.default_rng(0).normal(size=(language_model.TEMPLATES << language_model.MIN_BITS, language_model.CLASSES)).astype(np.float32)
     assert np.allclose(np.exp(language_model.class_logs(w, np.array([[1, 3000, 5000]]))).sum(), 1, atol=1e-5)
     assert language_model.lm_scores(odd, learn).where("n_tokens = 1 and base_score < 0").count() == 3
     assert language_model.lm_scores(none, learn).count() == 0
@@ -406,3 +407,24 @@ def test_columns_named_like_outputs_give_way(spark, odd):
 
 def test_extract_of_odd_rows(odd, none):
     assert html_extraction.extract(odd, "text").where("doc_id = 2").first()["_lx_text"] == "" and html_extraction.extract(none, "text").count() == 0
+
+
+def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD", 50)  # most words meet their counts in the join
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    a, b = (language_model.lm_scores(docs(spark).repartition(n), learn).toPandas().set_index("id").sort_index() for n in (2, 7))
+    assert np.allclose(a["score"], b["score"], rtol=1e-9) and np.allclose(a["base_score"], b["base_score"], rtol=1e-12)
+    gain = (a["score"] - a["base_score"])[a["learnt"] == False].sum() / a["n_tokens"][a["learnt"] == False].sum()  # noqa: E712
+    assert gain > 0.03
+
+
+def test_base_scores_against_brute_force(spark):
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    words = {r["doc_id"]: r["text"].encode().lower().split() + [None] for r in docs(spark).select("doc_id", "text").collect()}
+    got = language_model.lm_scores(docs(spark), learn).collect()
+    seen = Counter(w for r in got if r["learnt"] for w in words[r["id"]])
+    n, v = sum(seen.values()), len(seen)
+    for r in got:
+        w = words[r["id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in seen for x in w), n)
+        assert abs(r["base_score"] - sum(np.log10((seen[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
