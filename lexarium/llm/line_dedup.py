@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import free, fresh, mix64, small_batches, without, written
+from .common import free, fresh, mix64, small_batches, span_hashes, without, written
 from .components import verified_components
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
@@ -40,12 +38,43 @@ def fold_line(line: str) -> str:
     return b" ".join(line.encode("utf-8", "replace").lower().split()).decode("utf-8", "replace")
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[9, 11, 12, 13]] = 32
+#: Other values of bytes, for the second half of a line's key.
+_OTHER = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
+def folded_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lines of all texts that aren't blank, folded as by fold_line: text and number of each, bytes, starts and ends."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    data = _FOLD[np.insert(data, offsets[1:], 10)]  # each text ends a line
+    ends_text = np.cumsum(data == 10)[offsets[1:] + np.arange(len(texts))]
+    lines = np.diff(ends_text, prepend=0)
+    text, number = np.repeat(np.arange(len(texts)), lines), np.arange(lines.sum()) - np.repeat(ends_text - lines, lines)
+    space = data == 32
+    data = data[~(space & np.concatenate([[True], (space | (data == 10))[:-1]]))]
+    data = data[~((data == 32) & np.concatenate([data[1:] == 10, [True]]))] if len(data) else data
+    ends = np.flatnonzero(data == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    some = ends > starts
+    return text[some], number[some], data, starts[some], ends[some]
+
+
 def char_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles (the whole line if shorter) of all lines, and the line of each."""
-    lens = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    return code_hashes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(x) for x in lines], np.int64), k)
+
+
+def code_hashes(code: np.ndarray, lens: np.ndarray, k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """char_hashes of lines of so many code points that stand one after another."""
+    code = code.astype(np.uint64) + np.uint64(1)
     n = np.maximum(lens - k + 1, (lens > 0).astype(np.int64))
-    line, first = np.repeat(np.arange(len(lines)), n), np.cumsum(lens) - lens
+    line, first = np.repeat(np.arange(len(lens)), n), np.cumsum(lens) - lens
     starts = np.ones(len(code), bool)  # where a shingle starts
     starts[((first + lens)[lens >= k, None] - np.arange(1, k)).ravel()] = False
     with np.errstate(over="ignore"):
@@ -262,23 +291,20 @@ def band_edges(batches, percent: int = 80):
 def _lines(batches):
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
-            where, number, keys, folded = [], [], [], []
-            for row, text in enumerate(part.column(part.schema.get_field_index("text")).to_pylist()):
-                for i, line in enumerate((text or "").split("\n")):
-                    if f := fold_line(line):
-                        where.append(row)
-                        number.append(i)
-                        keys.append(hashlib.blake2b(f.encode(), digest_size=16).digest())
-                        folded.append(f)
-            if not folded:
+            where, number, data, starts, ends = folded_lines(part.column(part.schema.get_field_index("text")))
+            if not len(where):
                 continue
-            h, line = char_hashes(folded)
-            own = least(h, line, len(folded))
+            key = np.stack([span_hashes(data, starts, ends), span_hashes(_OTHER[data], starts, ends)], 1)
+            chars = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))  # bytes that begin a code point
+            body = data[data != 10].tobytes().decode()
+            h, line = code_hashes(np.frombuffer(body.encode("utf-32-le"), np.uint32), chars[ends] - chars[starts])
+            own = least(h, line, len(where))
             bands = band_keys(signatures(own))
-            n = np.bincount(line, minlength=len(folded))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(folded) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            n = np.bincount(line, minlength=len(where))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(where) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(where), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
             code, own = codes(own).view(np.int64), part.select(["id", "th"]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
+            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number.astype(np.int32)), keys, pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
 
 
 def line_sets(folded: list[str]) -> list[np.ndarray]:
@@ -289,22 +315,17 @@ def line_sets(folded: list[str]) -> list[np.ndarray]:
     return [np.unique(h[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _sets(batches):
+def _wanted(batches):
+    """Texts with the wanted numbers of lines -> (id, items): the folded lines."""
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
-            names = part.schema.names
-            row, fields, items = [], [], []
-            for r, (text, wanted) in enumerate(zip(part.column(names.index("text")).to_pylist(), part.column(names.index("wanted")).to_pylist(), strict=True)):
+            ids, items = [], []
+            for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 lines = text.split("\n")
                 for w in wanted:
-                    row.append(r)
-                    fields.append({k: v for k, v in w.items() if k != "line"})
+                    ids.append(w["lid"])
                     items.append(fold_line(lines[w["line"]]))
-            kind = part.schema.field("wanted").type.value_type
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([f[kind.field(i).name] for f in fields], kind.field(i).type) for i in range(kind.num_fields) if kind.field(i).name != "line"), pa.array(items, pa.string())],
-                [*(kind.field(i).name for i in range(kind.num_fields) if kind.field(i).name != "line"), "items"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.string())], ["id", "items"])
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, share: int = SHARE) -> DataFrame:
@@ -334,11 +355,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = written(full.select("lid", "key", "first", "times", "n"), "keys")
     free(dealt, met, full)
 
+    some = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(keys, "lid")
+    some = some.groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(F.collect_list(F.struct("lid", F.col("first.line").alias("line"))).alias("wanted"))
+    text = base.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
+    items = written(text.mapInArrow(_wanted, "id long, items string").dropDuplicates(["id"]), "items")  # rows may repeat
+
     def sets_of(wanted: DataFrame) -> DataFrame:
-        own = wanted.join(keys.select(F.col("lid").alias("id"), F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.line").alias("line")), "id")
-        own = own.groupBy("_id", "_th").agg(F.collect_list(F.struct("line", *wanted.columns)).alias("wanted"))
-        text = base.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
-        return text.mapInArrow(_sets, T.StructType([*wanted.schema.fields, T.StructField("items", T.StringType())]))
+        return wanted.join(items, "id")
 
     linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_sets), "linked")
     own = keys.select("lid", "key", "first", "times").join(linked.withColumnRenamed("id", "lid"), "lid", "left")
@@ -363,11 +386,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.join(drop, docs[id_col].eqNullSafe(drop[drop_id]) & (F.xxhash64(docs[text_col]) == drop[drop_th]), "left")
     parts, d = F.split(F.col(text_col), "\n", -1), F.col(gone)
 
-    def between(i: Column) -> Column:
+    def between(lines: Column, i: Column) -> Column:
         """The lines from after the dropped line before place i up to the one at it."""
         before = F.coalesce(F.get(d, i - 1), F.lit(-1))
-        return F.slice(parts, before + 2, F.coalesce(F.get(d, i), F.size(parts)) - before - 1)
+        return F.slice(lines, before + 2, F.coalesce(F.get(d, i), F.size(lines)) - before - 1)
 
-    rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), between)), "\n")
+    # bound to a name, the lines are split once
+    rest = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), lambda i: between(p, i))), "\n")), 1)
     out = out.withColumn("_lx_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("_lx_dropped", F.when(d.isNull(), 0).otherwise(F.size(d)).cast("long"))
     return out.withColumn(text_col, F.when(d.isNull(), F.col(text_col)).otherwise(rest)).drop(gone, drop_id, drop_th)

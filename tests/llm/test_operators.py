@@ -151,6 +151,13 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_lines_are_folded_alike():
+    texts = ["A  b\t c \n\n x\n", None, "", " \u00e9\u00c9 \U0001f600z\r\n\x0b", "one"]
+    text, number, data, starts, ends = line_dedup.folded_lines(line_dedup.pa.array(texts))
+    got = [(int(t), int(n), data[a:b].tobytes().decode()) for t, n, a, b in zip(text, number, starts, ends)]
+    assert got == [(t, n, f) for t, x in enumerate(texts) for n, line in enumerate((x or "").split("\n")) if (f := line_dedup.fold_line(line))]
+
+
 def test_minhash_of_short_lines():
     h, line = line_dedup.char_hashes(["ab", "", "abcdef", "ab"])
     assert line.tolist() == [0, 2, 2, 3] and h[0] == h[3]
