@@ -67,6 +67,16 @@ def free(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._lx_path)
 
 
+#: Bytes of text whose hashes one task of an exchange compares, and the most tasks that it is dealt over.
+SHARE, MOST_PARTS = 16 << 20, 1 << 15
+
+
+def part_bits(docs: DataFrame, share: int = SHARE) -> int:
+    """Bits of a hash that tell its part of an exchange, so that a part gets the hashes of about `share` bytes of docs(text)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(3, min(int(size // share), MOST_PARTS - 1).bit_length())
+
+
 #: Steps of a doubling in which most_frequent tells counts apart.
 COUNT_STEPS = 64
 

@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import free, fresh, mix64, small_batches, span_hashes, without, written
+from .common import SHARE, free, fresh, mix64, part_bits, small_batches, span_hashes, without, written
 from .components import verified_components
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
 CHARS, ROWS, BANDS = 5, 4, 9
-#: Entries (band key, line) that one task of the exchange compares, and the most tasks it is dealt over.
-SHARE, MOST_PARTS = 1 << 21, 1 << 15
 #: Lines of one batch, and of all batches, from which a band key counts as hot: its lines are tied to the smallest of them
 #: at once, and the exact check decides about all of them.
 HOT_BATCH, HOT = 64, 20_000
@@ -183,30 +183,20 @@ def _hot(key: np.ndarray, i: np.ndarray, most: int) -> tuple[np.ndarray, np.ndar
     return np.repeat(size > most, size), np.repeat(i[cuts], size)
 
 
-def _dealt(bits: int):
-    """Lines' band keys -> packed (key, line) entries of each part; part -1 has edges of keys that are hot in the batch."""
-
-    def run(batches):
-        for batch in batches:
-            lids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-            key = batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy()
-            i = np.repeat(lids, BANDS)
-            order = np.lexsort((i, key))
-            key, i = key[order], i[order]
-            hot, first = _hot(key, i, HOT_BATCH)
-            star = hot & (i != first)
-            rows = {"part": [-1], "data": [np.stack([i[star], first[star]]).tobytes()]}
-            key, i = key[~star], i[~star]
-            part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[p] : cuts[p + 1]]
-                rows["part"].append(p)
-                rows["data"].append(np.stack([key[at], i[at]]).tobytes())
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
-
-    return run
+def _dealt(key: np.ndarray, i: np.ndarray, bits: int) -> dict[int, bytes]:
+    """Lines' band keys (sorted by key, then line) as packed (key, line) entries of each part; part -1 has edges of keys
+    that are hot here."""
+    hot, first = _hot(key, i, HOT_BATCH)
+    star = hot & (i != first)
+    out = {-1: np.stack([i[star], first[star]]).tobytes()}
+    key, i = key[~star], i[~star]
+    part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[p] : cuts[p + 1]]
+        out[p] = np.stack([key[at], i[at]]).tobytes()
+    return out
 
 
 def _edges_of(batches):
@@ -288,23 +278,43 @@ def band_edges(batches, percent: int = 80):
 
 
 
-def _lines(batches):
-    for batch in batches:
-        for part in small_batches(batch, "text", 1 << 20):
-            where, number, data, starts, ends = folded_lines(part.column(part.schema.get_field_index("text")))
-            if not len(where):
-                continue
-            key = np.stack([span_hashes(data, starts, ends), span_hashes(_OTHER[data], starts, ends)], 1)
-            chars = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))  # bytes that begin a code point
-            body = data[data != 10].tobytes().decode()
-            h, line = code_hashes(np.frombuffer(body.encode("utf-32-le"), np.uint32), chars[ends] - chars[starts])
-            own = least(h, line, len(where))
-            bands = band_keys(signatures(own))
-            n = np.bincount(line, minlength=len(where))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(where) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(where), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-            code, own = codes(own).view(np.int64), part.select(["id", "th"]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("id")), own.column(own.schema.get_field_index("th")), pa.array(number.astype(np.int32)), keys, pa.array(n.astype(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), flat], ["id", "th", "line", "key", "n", "code", "code2", "bands"])
+def _lines(bits: int, shape: pa.Schema):
+    """Texts -> a row for each line that isn't blank, with its two hashes; once for equal ones of a batch, with its number
+    of shingles and its codes, and in packed band entries."""
+
+    def run(batches):
+        for batch in batches:
+            for part in small_batches(batch, "text", 1 << 20):
+                where, number, data, starts, ends = folded_lines(part.column(part.schema.get_field_index("text")))
+                if not len(where):
+                    continue
+                one, two = span_hashes(data, starts, ends).view(np.int64), span_hashes(_OTHER[data], starts, ends).view(np.int64)
+                lids, at = np.unique(one, return_index=True)
+                chars = np.cumsum((data & 0xC0) != 0x80) - ((data & 0xC0) != 0x80)  # code points before each byte
+                chars = np.append(chars, chars[-1] + 1)
+                keep = np.zeros(len(one), bool)
+                keep[at] = True
+                inside = np.zeros(len(data) + 1, np.int8)
+                np.add.at(inside, starts[keep], 1)
+                np.add.at(inside, ends[keep], -1)
+                body = data[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes().decode()
+                h, line = code_hashes(np.frombuffer(body.encode("utf-32-le"), np.uint32), (chars[ends] - chars[starts])[keep])
+                own = least(h, line, int(keep.sum()))
+                key, i = band_keys(signatures(own)).ravel(), np.repeat(one[keep], BANDS)
+                order = np.lexsort((i, key))
+                dealt = _dealt(key[order], i[order], bits)
+                row = part.select(["id", "th"]).take(pa.array(where))
+                blank = len(dealt)
+                code, n = np.zeros((len(one), 2), np.int64), np.zeros(len(one), np.int64)
+                code[keep], n[keep] = codes(own).view(np.int64), np.bincount(line, minlength=len(own))
+                columns = [row.column(row.schema.get_field_index("id")), row.column(row.schema.get_field_index("th")), pa.array(number.astype(np.int32)), pa.array(one), pa.array(two)]
+                columns += [pa.array(x, mask=~keep) for x in (n, code[:, 0], code[:, 1])]
+                columns = [pa.concat_arrays([x.cast(shape.field(n).type), pa.nulls(blank, shape.field(n).type)]) for n, x in enumerate(columns)]
+                columns.append(pa.concat_arrays([pa.nulls(len(where), pa.int32()), pa.array(list(dealt), pa.int32())]))
+                columns.append(pa.concat_arrays([pa.nulls(len(where), pa.binary()), pa.array(list(dealt.values()), pa.binary())]))
+                yield pa.RecordBatch.from_arrays(columns, schema=shape)
+
+    return run
 
 
 def line_sets(folded: list[str]) -> list[np.ndarray]:
@@ -316,7 +326,7 @@ def line_sets(folded: list[str]) -> list[np.ndarray]:
 
 
 def _wanted(batches):
-    """Texts with the wanted numbers of lines -> (id, items): the folded lines."""
+    """Texts with the wanted lines -> (id, items): the folded lines."""
     for batch in batches:
         for part in small_batches(batch, "text", 1 << 20):
             ids, items = [], []
@@ -332,43 +342,42 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Lines to drop: (id, th, line), th being the hash of the row's text and line its number from 0.
 
     Lines (split at \\n) are compared by the sets of their 5-character shingles after fold_line; blank lines take no
-    part. Equal lines collapse first. MinHash bands propose clusters, in which every pair is decided exactly (Jaccard
-    of percent/100 or more) or already connected; of each connected component the line of the smallest (id, text hash,
-    number) stays, null ids last.
+    part. Equal lines (by a hash of 128 bits) are one. MinHash bands, dealt out as packed entries, and a gate of bin
+    codes propose clusters, in which every pair is decided exactly (Jaccard of percent/100 or more) or already
+    connected; of each connected component the line of the smallest (id, text hash, number) stays, null ids last.
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    lines = written(base.where("text is not null").mapInArrow(_lines, f"id {kind}, th long, line int, key binary, n long, code long, code2 long, bands array<long>"), "lines")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
-    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("code2").alias("code2"), F.first("bands").alias("bands"))
-    full = written(keys.withColumn("lid", F.monotonically_increasing_id()), "keys")
-    places = written(lines.select("id", "th", "line", "key"), "places")
-    free(lines)
-    bits = max(3, min(full.count() * BANDS // share, MOST_PARTS - 1).bit_length())
-    dealt = written(full.select(F.col("lid").alias("id"), "bands").mapInArrow(_dealt(bits), "part int, data binary"), "dealt")
+    bits = part_bits(base, share)
+    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("th long, line int, lid long, more long, n long, code long, code2 long, part int, data binary").fields])
+    both = written(base.where("text is not null").mapInArrow(_lines(bits, to_arrow_schema(shape)), shape), "lines")
+    lines, coded, dealt = both.where("part is null").select("id", "th", "line", "lid", "more"), both.where("n is not null").select(F.col("lid").alias("id"), "n", "code", "code2"), both.where("part is not null").select("part", "data")
     met = dealt.where("part >= 0").repartition(1 << bits, "part").mapInArrow(_met, "band long, id long, to long")
     met = written(met, "met")
     ties = dealt.where("part < 0").select("data").mapInArrow(_edges_of, "a long, b long").unionAll(met.where("to is not null and id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    like = met.where("to is null").select("band", "id").join(full.select(F.col("lid").alias("id"), "code", "code2", "n"), "id")
-    edges = like.repartition("band").mapInArrow(partial(band_edges, percent=percent), "a long, b long").unionAll(ties)
-    edges = written(edges.distinct(), "edges")
-    keys = written(full.select("lid", "key", "first", "times", "n"), "keys")
-    free(dealt, met, full)
-
-    some = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(keys, "lid")
-    some = some.groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(F.collect_list(F.struct("lid", F.col("first.line").alias("line"))).alias("wanted"))
-    text = base.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
+    coded = written(coded.groupBy("id").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.first("code2").alias("code2")), "codes")
+    like = met.where("to is null").select("band", "id").join(coded, "id")
+    edges = written(like.repartition("band").mapInArrow(partial(band_edges, percent=percent), "a long, b long").unionAll(ties).distinct(), "edges")
+    free(met)
+    some = edges.select(F.explode(F.array("a", "b")).alias("_lid")).distinct()
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
+    one = lines.join(some, F.col("lid") == F.col("_lid")).groupBy("lid").agg(F.min(place).alias("p"))
+    one = one.groupBy(F.col("p.id").alias("_id"), F.col("p.th").alias("_th")).agg(F.collect_list(F.struct("lid", F.col("p.line").alias("line"))).alias("wanted"))
+    text = base.join(written(one, "wanted"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted")
     items = written(text.mapInArrow(_wanted, "id long, items string").dropDuplicates(["id"]), "items")  # rows may repeat
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return wanted.join(items, "id")
 
-    linked = written(verified_components(keys.select(F.col("lid").alias("id"), F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_sets), "linked")
-    own = keys.select("lid", "key", "first", "times").join(linked.withColumnRenamed("id", "lid"), "lid", "left")
-    kept = own.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
-    kept = written(kept, "heads")  # read back, the join's hot components can be split
-    own = own.join(kept, "component", "left").where("times > 1 or kept is not null").select("key", F.coalesce("kept", "first").alias("kept"))
-    out = places.join(written(own, "kept"), "key")
+    linked = written(verified_components(coded.select("id", F.lit(1).cast("long").alias("n"), F.col("n").alias("w")), edges, sets_of, percent, "linetiles", make=line_sets), "linked")
+    free(items, edges, coded)
+    again = lines.groupBy("lid").agg(F.count("*").alias("times")).where("times > 1").select("lid")
+    groups = again.join(linked.withColumnRenamed("id", "lid"), "lid", "full")
+    mine = lines.join(written(groups, "groups"), "lid")
+    mine = mine.select("id", "th", "line", F.coalesce("component", "lid").alias("g"), F.when(F.col("component").isNull(), F.col("more")).otherwise(0).alias("h"))
+    mine = written(mine, "mine")
+    kept = written(mine.groupBy("g", "h").agg(F.min(place).alias("kept")), "heads")  # read back, the join's hot groups can be split
+    free(both)
+    out = mine.join(kept, ["g", "h"])
     return out.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("th") == F.col("kept.th")) & (F.col("line") == F.col("kept.line")))).select("id", "th", "line")
 
 

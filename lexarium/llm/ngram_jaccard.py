@@ -10,11 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SPACED, free, rows_of, shingle_hashes, small_batches, written
+from .common import ALNUM, SHARE, SPACED, free, part_bits, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
 
-#: Bytes of text whose shingles one task of the exchange counts, and the most tasks it is dealt over.
-SHARE, MOST_PARTS = 16 << 20, 1 << 15
 #: Bytes of text whose shingles travel as one block.
 BLOCK = 4 << 20
 
@@ -29,12 +27,6 @@ def least_shared(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def part_bits(docs: DataFrame, share: int = SHARE) -> int:
-    """Bits of a shingle's hash that tell its part of the exchange, so that a part counts the shingles of about `share` bytes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(3, min(int(size // share), MOST_PARTS - 1).bit_length())
-
-
 def by_part(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Part and next 32 bits of each hash: two shingles that agree in both count as one when frequencies are counted."""
     return (h >> np.uint64(64 - bits)).astype(np.int32), (h >> np.uint64(32 - bits)).astype(np.uint32)
