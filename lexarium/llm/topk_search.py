@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import free, written
 
-#: Queries of one query block and vectors of one index block.
-QUERIES, BLOCK = 1024, 4096
+#: Queries of one query block, vectors of one index block, and the share of their pairs that are rescored rather than
+#: narrowed down by another segment.
+QUERIES, BLOCK, FEW = 1024, 4096, 0.01
 
 
 def quantised(c: Column, scale: int = 256) -> Column:
@@ -42,24 +43,25 @@ def segments_of(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
 def top_of_block(queries: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, segments: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, score) rows that hold every top-k member of the block; floor: scores that k others already reach.
 
-    Segments are added by descending impact, dimension by dimension. What the rest may change is bounded by the lengths
-    of the query and of the vector's remaining postings, so a vector whose best case stays below k others' worst case is
-    out, for good. Adding stops when that leaves few: the proof that no other is among the top k; all of those are
-    rescored exactly in integers.
+    Segments are added by descending impact, the postings of one as one product. What the rest may change is bounded by
+    the lengths of the query and of the vector's remaining postings, so a vector whose best case stays below k others'
+    worst case is out, for good. Adding stops when that leaves few of the pairs: the proof that no other is among the
+    top k; all of those are rescored exactly in integers.
     """
     q = queries.astype(float)
     length, own = np.sqrt((q**2).sum(1)), q_ids[:, None] == ids[None, :]
     sums, possible, left = np.zeros((len(q), len(v))), ~own, (v.astype(float) ** 2).sum(1)
+    few, postings = max(4 * k * len(queries), FEW * possible.size), np.zeros((v.shape[1], len(v)))
     for dim, row, value in segments_of(v) if segments is None else segments:
-        cuts = np.flatnonzero(np.diff(dim, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            sums[:, row[a:b]] += q[:, dim[a], None] * value[a:b]
+        postings[dim, row] = value
+        sums += q @ postings
+        postings[dim, row] = 0
         left = np.maximum(left - np.bincount(row, value.astype(float) ** 2, len(v)), 0)
-        slack = length[:, None] * np.sqrt(left)[None, :] * (1 + 1e-9) + 1e-9 * np.abs(sums) + 1e-6
+        slack = length[:, None] * (np.sqrt(left) * (1 + 1e-9) + 1e-9 * np.sqrt((v.astype(float) ** 2).sum(1)))[None, :] + 1e-6
         low = np.where(own, -np.inf, sums - slack)
         bar = np.maximum(np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf), floor)
         possible = ~own & (sums + slack >= bar[:, None])
-        if possible.sum() <= 4 * k * len(queries):
+        if np.count_nonzero(possible) <= few:
             break
     at, i = np.nonzero(possible)
     scores = np.concatenate([np.einsum("ij,ij->i", queries[at[a : a + 65536]], v[i[a : a + 65536]]) for a in range(0, len(at), 65536)]) if len(at) else np.zeros(0, np.int64)
