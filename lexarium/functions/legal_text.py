@@ -1,0 +1,54 @@
+"""Python twins of the text functions, for extractors that run in Arrow batches: normalise, compare, stem, sentences."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from .text import SUFFIXES
+
+_PLAIN = str.maketrans("ăĂâÂîÎșȘțȚ", "aAaAiIsStT")
+_SPELLING = str.maketrans("ŞşŢţ–—„”«»’", "ȘșȚț--\"\"\"\"'", "﻿​‌‍⁠")
+_RAISED = str.maketrans("¹²³⁴⁵⁶⁷⁸⁹", "123456789")
+_BLANKS = re.compile("[ \t   ]+")
+
+
+def normal(text: str | None) -> str:
+    """See functions.text.normalise; every letter is composed here."""
+    t = unicodedata.normalize("NFC", text or "").translate(_SPELLING)
+    t = re.sub(r"(?i)(?<=\d)\s*(?:ind\.|indice)\s*(\d+)", r"^\1", t)
+    t = re.sub("(?<=\\d)[¹²³⁴⁵⁶⁷⁸⁹]+", lambda m: "^" + m[0].translate(_RAISED), t)
+    t = "\n".join(line.strip() for line in _BLANKS.sub(" ", t).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+
+def key(text: str | None) -> str:
+    return _BLANKS.sub(" ", normal(text).translate(_PLAIN).lower()).strip()
+
+
+def stem(word: str) -> str:
+    w = key(word)
+    return next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 4), w)
+
+
+def stems(phrase: str) -> str:
+    return " ".join(map(stem, phrase.split()))
+
+
+_STOP = re.compile(r"\.\s+")
+#: Short forms whose full stop ends no sentence.
+_SHORT = ("art", "alin", "lit", "pct", "nr", "lett")
+
+
+def sentences(text: str, short: tuple[str, ...] = _SHORT, capital: bool = True) -> list[tuple[int, str]]:
+    """(start, sentence): cut at full stops, but for those of short forms and (with capital) those before no capital."""
+    out, at = [], 0
+    for m in _STOP.finditer(text):
+        before = text[: m.start()]
+        follows = text[m.end() : m.end() + 1]
+        if before.lower().endswith(short) if not capital else (before.endswith(short) or not (follows.isupper())):
+            continue
+        out.append((at, text[at : m.start()]))
+        at = m.end()
+    out.append((at, text[at:]))
+    return [(i, s) for i, s in out if s.strip()]

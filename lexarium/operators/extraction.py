@@ -1,0 +1,115 @@
+"""Extractors over tables: one Arrow pass each, a row for each thing found. Texts are handled whole, nulls as empty."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from . import amendments as am
+from . import citations as ci
+from . import obligations as ob
+
+
+def extracted(df: DataFrame, text_col: str, found: Callable[[str], list[dict]], fields: str, *keep: str) -> DataFrame:
+    """The columns `keep` of df with the fields of everything that `found` reads in the text."""
+    schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(fields).fields])
+    shape = to_arrow_schema(schema)
+    names = [f.name for f in schema.fields[len(keep) :]]
+
+    def run(batches):
+        for batch in batches:
+            rows: dict[str, list] = {n: [] for n in names}
+            at: list[int] = []
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                for x in found(text or ""):
+                    at.append(i)
+                    for n in names:
+                        rows[n].append(x[n])
+            own = batch.take(pa.array(at, pa.int64())) if at else batch.slice(0, 0)
+            columns = [own.column(i).cast(shape.field(i).type) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(rows[n], shape.field(n).type) for n in names)], schema=shape)
+
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def _act(a: ci.Act | None) -> str | None:
+    return a.id if a else None
+
+
+def cited(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, act, locator, start, end, republished, amended): every citation; act is null for positions of the text's own act."""
+    return extracted(df, text_col, lambda t: [{"act": _act(c.act), "locator": ci.locator(c.position), "start": c.start, "end": c.end, "republished": c.republished, "amended": c.amended} for c in ci.citations(t)], "act string, locator string, start int, end int, republished boolean, amended boolean", *keep)
+
+
+def cited_positions(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, locator, start, end): positions after joining fragments and unfolding series."""
+    return extracted(df, text_col, lambda t: [{"locator": ci.locator(p), "start": a, "end": b} for n in [ci.normal(t)] for p, a, b in ci.series(ci.joined(ci.positions(n, raw=True), n), n)], "locator string, start int, end int", *keep)
+
+
+def cited_acts(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, act, start, end, republished, amended): acts only."""
+    return extracted(df, text_col, lambda t: [{"act": _act(c.act), "start": c.start, "end": c.end, "republished": c.republished, "amended": c.amended} for c in ci.acts(t)], "act string, start int, end int, republished boolean, amended boolean", *keep)
+
+
+def cited_eu(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, celex, start, end)."""
+    return extracted(df, text_col, lambda t: [{"celex": c, "start": a, "end": b} for c, a, b in ci.eu_citations(t)], "celex string, start int, end int", *keep)
+
+
+def anchored(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, start, end): spans of citations that never overlap."""
+    return extracted(df, text_col, lambda t: [{"start": a, "end": b} for a, b in ci.anchors(t)], "start int, end int", *keep)
+
+
+def amended(df: DataFrame, text_col: str, *keep: str, host: str | None = None) -> DataFrame:
+    """(keep, kind, act, locator, inherited, new_locator, new_articles, new_text, start, end): operations; an operation on
+    no other act has a null act and `inherited` true, for the caller to set the host."""
+
+    def found(t: str) -> list[dict]:
+        return [
+            {"kind": a.kind, "act": _act(a.act) or host, "locator": ci.locator(a.position), "inherited": a.inherited or a.act is None, "new_locator": a.new_position and ci.locator(a.new_position), "new_articles": list(a.new_articles), "new_text": a.new_text, "start": a.start, "end": a.end}
+            for a in am.amendments(t)
+        ]
+
+    return extracted(df, text_col, found, "kind string, act string, locator string, inherited boolean, new_locator string, new_articles array<string>, new_text string, start int, end int", *keep)
+
+
+def amendment_units(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, start, unit)."""
+    return extracted(df, text_col, lambda t: [{"start": i, "unit": u.strip()} for i, u in am.units(t)], "start int, unit string", *keep)
+
+
+def dated_obligations(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, institution, instrument, expected, days, base, until, sentence)."""
+    return extracted(df, text_col, lambda t: [{"institution": o.institution, "instrument": o.instrument, "expected": o.expected, "days": o.days, "base": o.base, "until": o.until, "sentence": o.text} for o in ob.obligations(t)], "institution string, instrument string, expected string, days int, base string, until date, sentence string", *keep)
+
+
+def defined_terms(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, term, term_key, meaning)."""
+    return extracted(df, text_col, lambda t: [{"term": x.term, "term_key": x.key, "meaning": x.meaning} for x in ob.definitions(t)], "term string, term_key string, meaning string", *keep)
+
+
+def term_uses(df: DataFrame, text_col: str, terms: list[str], *keep: str) -> DataFrame:
+    """(keep, term, fragment, start, end): the first use of each of a bounded list of terms."""
+    return extracted(df, text_col, lambda t: [{"term": x, "fragment": f, "start": a, "end": b} for x, f, a, b in ob.occurrences(t, terms)], "term string, fragment string, start int, end int", *keep)
+
+
+def targets(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, target): acts and act:position that a draft amends or cites, each once."""
+
+    def found(t: str) -> list[dict]:
+        out = {(a.act.id, ci.locator(a.position)) for a in am.amendments(t) if a.act} | {(c.act.id, ci.locator(c.position)) for c in ci.citations(t) if c.act}
+        return [{"target": act + (":" + loc if loc else "")} for act, loc in sorted(out)]
+
+    return extracted(df, text_col, found, "target string", *keep)
+
+
+def extraction_summary(df: DataFrame, text_col: str) -> DataFrame:
+    """One row: obligations, those with a term, with an instrument, and distinct defined terms."""
+    o = dated_obligations(df, text_col).agg(F.count("*").alias("obligations"), F.count("days").alias("with_term"), F.count("instrument").alias("with_instrument"))
+    return o.crossJoin(defined_terms(df, text_col).agg(F.countDistinct("term_key").alias("terms")))  # one row each

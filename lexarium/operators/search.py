@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_key
@@ -14,34 +14,116 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc"), words.alias("token")).groupBy("token", "doc").agg(F.count("*").alias("tf"))
 
 
-def _hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Term counts of each matching document in one pass, without exploding the other words."""
-    words = F.regexp_extract_all(fold_key(F.col(text_col)), F.lit("[a-z0-9]{3,}"), F.lit(0))
-    d = docs.select(F.col(id_col).alias("doc"), words.alias("w"))
+def _once(docs: DataFrame, id_col: str, text_col: str, words) -> DataFrame:
+    """(doc, w): words of each text. The generator keeps the optimizer from evaluating them again for each use."""
+    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
 
-    def times(term: str):
-        return F.size(F.filter("w", lambda x: x == term))
 
-    return d.select("doc", F.size("w").alias("len"), F.array(*map(times, terms)).alias("tf"))
+def _all_words(c):
+    return F.regexp_extract_all(fold_key(c), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
-def coverage_search(docs: DataFrame, terms: list[str], limit: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _stated(docs: DataFrame, equal: dict | None, at_least: dict | None, at_most: dict | None) -> DataFrame:
+    """docs under optional conditions; they are tested before any text is read."""
+    for conditions, test in ((equal, "="), (at_least, ">="), (at_most, "<=")):
+        for c, v in (conditions or {}).items():
+            docs = docs.where({"=": F.col(c) == v, ">=": F.col(c) >= v, "<=": F.col(c) <= v}[test])
+    return docs
+
+
+def coverage_search(docs: DataFrame, terms: list[str], limit: int = 25, id_col: str = "doc_id", text_col: str = "text", equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None) -> DataFrame:
     """(doc, score): documents by the number of different query terms they have, ties by id."""
-    h = _hits(docs, terms, id_col, text_col)
-    return h.select("doc", F.size(F.filter("tf", lambda x: x > 0)).cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(limit)
+    wanted = F.array(*map(F.lit, terms))
+    h = _once(_stated(docs, equal, at_least, at_most), id_col, text_col, lambda c: F.array_intersect(wanted, _all_words(c)))
+    return h.select("doc", F.size("w").cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def bm25_search(docs: DataFrame, terms: list[str], limit: int = 20, offset: int = 0, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None) -> DataFrame:
+    """(doc, score): BM25 over the documents, ties by id.
+
+    One pass over the texts leaves length and term counts; the corpus statistics are one row that is joined, so nothing
+    runs while the plan is made.
+    """
+    own = _once(_stated(docs, equal, at_least, at_most), id_col, text_col, _all_words)
+    wanted = [_times(t).alias(f"t{i}") for i, t in enumerate(terms)]
+    h = own.select("doc", F.size("w").alias("len"), *wanted)
+    return ranked(h, len(terms), k1, b).orderBy(F.desc("score"), "doc").offset(offset).limit(limit)
 
 
-def bm25_search(docs: DataFrame, terms: list[str], limit: int = 20, offset: int = 0, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, score): BM25 over all documents, ties by id. Corpus statistics are one row, whatever the corpus' size."""
-    h = _hits(docs, terms, id_col, text_col)
-    stats = h.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms)))).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
+def _times(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
+
+def ranked(h: DataFrame, n_terms: int, k1: float = 1.2, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
+    """(doc, score) from h(doc, len, t0, t1, ..), of documents that have any term."""
+    s = stats if stats is not None else h.agg(F.count("*").alias("_n"), F.avg("len").alias("_mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"_d{i}") for i in range(n_terms)))
+    x = h.where(F.greatest(*(F.col(f"t{i}") for i in range(n_terms)), F.lit(0)) > 0).crossJoin(F.broadcast(s))  # one row
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(F.lit(1.0) + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
-        tf = F.col("tf")[i].cast("double")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
-    return h.select("doc", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").offset(offset).limit(limit)
+    for i in range(n_terms):
+        idf = F.log(F.lit(1.0) + (F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
+        tf = F.col(f"t{i}").cast("double")
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("_mean")))
+    return x.select("doc", F.round(score, 6).alias("score"))
+
+
+# ------------------------------------------------------------------ an index that is written once
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cut: float | None = None) -> None:
+    """Write postings by three-character prefix, document lengths with the columns `keep`, and one row of statistics.
+
+    cut: tokens of more than this share of the documents get no postings. Postings are dealt out by prefix and token, so
+    a task writes few files, each sorted by token, and a reader skips all others by the files' statistics.
+    """
+    texts = docs.select(F.col(id_col).alias("doc"), *keep, F.explode(F.array(_all_words(F.col(text_col)))).alias("w"))
+    texts.select("doc", *keep, F.size("w").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
+    lengths = docs.sparkSession.read.parquet(f"{path}/docs")
+    lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    p = postings(docs, id_col, text_col)
+    if cut is not None:
+        n = docs.sparkSession.read.parquet(f"{path}/stats").first()["n"]
+        p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > cut * n).select("token"), "token", "left_anti")
+    p.withColumn("prefix", F.substring("token", 1, 3)).repartition("prefix", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("prefix", "token", "doc").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/postings")
+
+
+def indexed_postings(spark: SparkSession, path: str, terms: list[str], prefixes: bool = False) -> DataFrame:
+    """Postings of the terms, or of all tokens that begin with them (three characters or more); other partitions aren't read."""
+    p = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
+    p = p.where(F.col("prefix").isin(*{t[:3] for t in terms}))
+    if not prefixes:
+        return p.where(F.col("token").isin(*terms)).select("token", "doc", "tf", F.col("token").alias("term"))
+    begins = F.filter(F.array(*map(F.lit, [t for t in terms if len(t) >= 3])), lambda t: F.startswith(F.col("token"), t))
+    return p.select("token", "doc", "tf", F.explode(begins).alias("term"))
+
+
+def indexed_search(spark: SparkSession, path: str, terms: list[str], limit: int = 20, offset: int = 0, equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, bm25: bool = True, prefixes: bool = False) -> DataFrame:
+    """(doc, score, kept columns): top documents from a written index by BM25 or by number of terms; rank first, then join
+    what else is known of the documents."""
+    docs = _stated(spark.read.parquet(f"{path}/docs"), equal, at_least, at_most)
+    hits = indexed_postings(spark, path, terms, prefixes).groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+    t = [F.coalesce(F.sum(F.when(F.col("term") == x, F.col("tf"))), F.lit(0)).alias(f"t{i}") for i, x in enumerate(terms)]
+    h = hits.groupBy("doc").agg(*t).join(docs, "doc")
+    if not bm25:
+        score = sum(((F.col(f"t{i}") > 0).cast("long") for i in range(len(terms))), F.lit(0).cast("long"))
+        return h.withColumn("score", score).orderBy(F.desc("score"), "doc").offset(offset).limit(limit).select("doc", "score", *(c for c in docs.columns if c not in ("doc", "len")))
+    if equal or at_least or at_most:
+        whole = docs.agg(F.count("*").alias("_n"), F.avg("len").alias("_mean"))
+    else:
+        whole = spark.read.parquet(f"{path}/stats").select(F.col("n").alias("_n"), F.col("mean").alias("_mean"))
+    df = h.agg(*(F.count_if(F.col(f"t{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
+    top = ranked(h.select("doc", "len", *(f"t{i}" for i in range(len(terms)))), len(terms), stats=whole.crossJoin(df)).orderBy(F.desc("score"), "doc").offset(offset).limit(limit)  # one row each
+    return top.join(docs.drop("len"), "doc")
+
+
+def title_ranking(hits: DataFrame, acts: DataFrame, limit: int) -> DataFrame:
+    """hits(act, title_hits, body_hits) with acts(act, rank, citations, title): title hits, legal rank, citations, short
+    titles, body hits, id."""
+    x = hits.join(acts, "act")
+    return x.orderBy(F.desc("title_hits"), "rank", F.desc("citations"), F.length("title"), F.desc("body_hits"), "act").limit(limit)
+
+
+def merged_hits(exact: DataFrame, textual: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Exact hits before textual ones, each key once."""
+    x = exact.select(*keys, F.lit(0).alias("tier"), "score").unionByName(textual.select(*keys, F.lit(1).alias("tier"), "score"))
+    return x.groupBy(*keys).agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("o")).select(*keys, "o.tier", (-F.col("o.s")).alias("score")).orderBy("tier", F.desc("score"), *keys).limit(limit)
 
 
 def prefix_shards(posted: DataFrame, n_docs: int, cut: float = 0.4) -> DataFrame:

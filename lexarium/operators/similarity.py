@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,15 +20,76 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def quote_gate(quotes: DataFrame, contexts: DataFrame, least: int = 60) -> DataFrame:
+    """quotes(quote, text) with the first reason against each: empty, short, absent, repeated, else ok.
+
+    A quote stands in a context(context, text) if this contains it. Candidates meet on the quote's longest inner token,
+    which every such context has whole, in an equi join; the text decides after it. Quotes of less than three tokens are
+    short anyway, or (of one endless token) compared with every context.
+    """
+    tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    q = quotes.select("quote", "text", longest.alias("token"))
+    long = q.where(F.length("text") >= least)
+    c = contexts.select("context", F.col("text").alias("whole"))
+    keys = long.where("token is not null").select("token").distinct()
+    posted = c.select("context", F.explode(F.array_distinct(F.regexp_extract_all("whole", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("token")).join(keys, "token", "left_semi")
+    near = long.where("token is not null").join(posted, "token").join(c, "context").where(F.contains("whole", F.col("text"))).select("quote", "context")
+    odd = long.where("token is null").join(c, F.contains("whole", F.col("text"))).select("quote", "context")
+    n = near.unionAll(odd).groupBy("quote").agg(F.count("*").alias("n"))
+    found = F.coalesce("n", F.lit(0))
+    verdict = F.when(F.length("text") == 0, "empty").when(F.length("text") < least, "short").when(found == 0, "absent").when(found > 1, "repeated").otherwise("ok")
+    return quotes.join(n, "quote", "left").select("quote", verdict.alias("verdict"))
+
+
+def symmetric(units: DataFrame, norms: DataFrame, n: int = 5) -> DataFrame:
+    """(unit, norm, jaccard) of the fingerprints of given pairs(unit, text) x (norm, text), joined by a common key column."""
+    u = units.select("key", "unit", fingerprint(F.col("text"), n).alias("g"))
+    b = norms.select("key", "norm", fingerprint(F.col("text"), n).alias("h"))
+    return u.join(b, "key").select("unit", "norm", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+
+
+def word_diff(df: DataFrame, before: str, after: str, key: str, most: int = 2000) -> DataFrame:
+    """(key, op, old, new): how the words of one text become the other's, in order; texts of more than `most` words in all
+    are one replacement."""
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("n int, op string, old string, new string").fields])
+    shape = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                a, b = (a or "").split(), (b or "").split()
+                steps = SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if len(a) + len(b) <= most else [("replace", 0, len(a), 0, len(b))]
+                rows += [{key: k, "n": n, "op": op, "old": " ".join(a[i:j]), "new": " ".join(b[x:y])} for n, (op, i, j, x, y) in enumerate(s for s in steps if s[0] != "equal")]
+            yield pa.RecordBatch.from_pylist(rows, shape)
+
+    return df.select(key, before, after).mapInArrow(run, schema)
+
+
 def re_enactments(units: DataFrame, norms: DataFrame, contained: float = 0.8, words: int = 15, ratio: int = 3) -> DataFrame:
     """(unit, norm, part): norms whose fingerprint a unit contains.
 
     units(unit, text) and norms(norm, text) need at least `words` words; a unit may have up to `ratio` times the norm's
-    grams. Grams meet in an equi join; the larger side's grams are only made for units long enough to match.
+    grams. Only a norm's rarest grams meet those of units (prefix filter); what meets is counted exactly.
     """
     enough = F.size(F.split(flattened(F.col("text")), " ")) >= words
-    u = units.where(enough).select("unit", fingerprint(F.col("text")).alias("g")).withColumn("n_u", F.size("g"))
-    b = norms.where(enough).select("norm", fingerprint(F.col("text")).alias("g")).withColumn("n_b", F.size("g"))
-    hit = u.select("unit", "n_u", F.explode("g").alias("gram")).join(b.select("norm", "n_b", F.explode("g").alias("gram")), "gram")
-    both = hit.where(F.col("n_u") <= ratio * F.col("n_b")).groupBy("unit", "norm").agg(F.count("*").alias("both"), F.first("n_b").alias("n_b"))
+    u = units.where(enough).select("unit", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_u", F.size("g"))
+    b = norms.where(enough).select("norm", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_b", F.size("g"))
+    ends = b.agg(F.min("n_b").alias("lo"))  # one row: a unit of fewer grams than any norm needs can contain none
+    u = u.crossJoin(F.broadcast(ends)).where(F.col("n_u") >= contained * F.col("lo")).drop("lo")
+    # a norm that a unit contains shares one of its n - ceil(contained * n) + 1 rarest grams with it
+    grams = u.select(F.explode("g").alias("gram")).join(b.select(F.explode("g").alias("gram")).distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    posted = b.select("norm", "n_b", F.explode("g").alias("gram")).join(grams, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("norm").orderBy("df", "gram"))
+    rare = posted.withColumn("at", at).where((F.col("at") <= F.col("n_b") - F.ceil(contained * F.col("n_b") - 1e-9) + 1) & (F.col("df") > 0)).select("norm", "n_b", "gram")
+    pairs = u.select("unit", "n_u", F.explode("g").alias("gram")).join(rare, "gram").where(F.col("n_u") <= ratio * F.col("n_b")).select("unit", "norm").distinct()
+    both = pairs.join(u.select("unit", "g"), "unit").join(b.select("norm", "n_b", F.col("g").alias("h")), "norm").withColumn("both", F.size(F.array_intersect("g", "h")))
     return both.select("unit", "norm", F.round(F.col("both") / F.col("n_b"), 6).alias("part")).where(F.col("part") >= contained)

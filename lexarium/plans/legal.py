@@ -1,0 +1,283 @@
+"""Queries of the extractors, parsers and text functions over small tables of sentences; their SQL states what is expected."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import extraction as ex
+from ..operators import rules
+from ..sources import files, parsers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, tuple[Query, str]] = {}
+
+
+def _value(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+
+def stated(columns: str, *rows: tuple) -> str:
+    """SQL of a table of expected rows."""
+    return f"select * from (values {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in rows)}) t({columns})"
+
+
+def query(sql: str) -> Callable[[Callable[[SparkSession], DataFrame]], None]:
+    def add(f: Callable[[SparkSession], DataFrame]) -> None:
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark), sql)
+
+    return add
+
+
+def table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+#: Sentences as acts write them.
+CITING = [
+    (1, "Potrivit art. 5 alin. (2) lit. a)-c) din Legea nr. 98/2016 privind achizițiile publice, republicată, se aplică."),
+    (2, "Alineatul (3) al articolului 8 se abrogă."),
+    (3, "La articolele 7, 8 și 9 din Ordonanța de urgență a Guvernului nr. 57/2019 și în Codul administrativ."),
+    (4, "Ordinul ministrului finanțelor publice nr. 1.802/2014; în 5 zile, art. 12, 30 de zile."),
+    (5, "Prevederile art. II din Constituția României și ale art. 4 ind. 1."),
+    (6, "Fără nicio trimitere."),
+    (7, None),
+]
+
+
+def citing(spark: SparkSession) -> DataFrame:
+    return table(spark, "id int, text string", CITING)
+
+
+@query(stated("id, act, locator", (1, "lege-98-2016", "art5.alin2.lita"), (1, "lege-98-2016", "art5.alin2.litb"), (1, "lege-98-2016", "art5.alin2.litc"), (2, None, "art8.alin3"), (3, "oug-57-2019", "art7"), (3, "oug-57-2019", "art8"), (3, "oug-57-2019", "art9"), (3, "cod-administrativ", ""), (4, "ordin-1802-2014", ""), (4, None, "art12"), (5, "constitutie", "artII"), (5, None, "art4^1")))
+def extract_citations(spark):
+    return ex.cited(citing(spark), "text", "id").select("id", "act", "locator")
+
+
+@query(stated("id, act, republished", (1, "lege-98-2016", True), (3, "oug-57-2019", False), (3, "cod-administrativ", False), (4, "ordin-1802-2014", False), (5, "constitutie", False)))
+def extract_acts(spark):
+    return ex.cited_acts(citing(spark), "text", "id").select("id", "act", "republished")
+
+
+@query(stated("id, locator", (1, "art5.alin2.lita"), (1, "art5.alin2.litb"), (1, "art5.alin2.litc"), (2, "art8.alin3"), (3, "art7"), (3, "art8"), (3, "art9"), (4, "art12"), (5, "artII"), (5, "art4^1")))
+def extract_positions(spark):
+    return ex.cited_positions(citing(spark), "text", "id").select("id", "locator")
+
+
+@query(stated("id, n", (1, 1), (2, 1), (3, 2), (4, 2), (5, 2)))
+def extract_anchors(spark):
+    return ex.anchored(citing(spark), "text", "id").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(stated("id, celex", (1, "32014L0024"), (1, "32016R0679"), (2, "31993L0013"), (2, "32003R0001"), (3, "32014L0024")))
+def extract_eu_citations(spark):
+    rows = [(1, "Directiva 2014/24/UE și Regulamentul (UE) 2016/679"), (2, "Directiva 93/13/CEE, Regulamentul (CE) nr. 1/2003"), (3, "vezi 32014L0024; Directiva 12 a firmei")]
+    return ex.cited_eu(table(spark, "id int, text string", rows), "text", "id").select("id", "celex")
+
+
+AMENDING = [
+    (1, "Art. I. - Legea nr. 98/2016 privind achizițiile publice se modifică și se completează după cum urmează:\n1. La articolul 7, alineatul (2) se modifică și va avea următorul cuprins: „(2) Text nou.”\n2. După articolul 12 se introduce un nou articol, articolul 12^1.\n3. Articolul 15 se abrogă."),
+    (2, "La data intrării în vigoare a prezentei legi se abrogă Legea nr. 50/1991. Articolul 3 nu se abrogă."),
+    (3, "Prin derogare de la art. 5 din Legea nr. 98/2016, contractul se încheie direct."),
+    (4, "Articolul 15 se abrogă."),
+]
+
+
+@query(stated("id, kind, act, locator, inherited, new_text", (1, "modifica", "lege-98-2016", "art7.alin2", True, "(2) Text nou."), (1, "introduce", "lege-98-2016", "art12", True, None), (1, "abroga", "lege-98-2016", "art15", True, None), (2, "abroga", "lege-50-1991", "", False, None), (3, "deroga", "lege-98-2016", "art5", False, None), (4, "abroga", "lege-200-2026", "art15", True, None)))
+def extract_amendments(spark):
+    return ex.amended(table(spark, "id int, text string", AMENDING), "text", "id", host="lege-200-2026").select("id", "kind", "act", "locator", "inherited", "new_text")
+
+
+@query(stated("id, units", (1, 5), (2, 2), (3, 1), (4, 1)))
+def extract_amendment_units(spark):
+    return ex.amendment_units(table(spark, "id int, text string", AMENDING), "text", "id").groupBy("id").agg(F.count("*").alias("units"))
+
+
+@query(stated("id, target", (1, "lege-98-2016"), (1, "lege-98-2016:art12"), (1, "lege-98-2016:art15"), (1, "lege-98-2016:art7.alin2"), (2, "lege-50-1991"), (3, "lege-98-2016:art5")))
+def extract_draft_targets(spark):
+    return ex.targets(table(spark, "id int, text string", AMENDING), "text", "id")
+
+
+DUTIES = [
+    (1, "În termen de 90 de zile de la data intrării în vigoare a prezentei legi, Guvernul adoptă normele metodologice."),
+    (2, "Ministrul emite ordinul. Ordinul se emite în termen de șase luni de la data publicării în Monitorul Oficial."),
+    (3, "Autoritatea Națională de Reglementare aprobă regulamentul de organizare până la 31 decembrie 2020."),
+    (4, "Plata se face în termen de 15 zile."),
+    (5, "Nimic de făcut."),
+]
+
+
+@query(stated("id, institution, instrument, expected, days, base, until", (1, "guvern", "norme-metodologice", "hg", 90, "vigoare", None), (2, None, "ordin", "ordin", 180, "publicare", None), (3, "autoritate", "regulament", "hg", None, "data-fixa", "2020-12-31"), (4, None, None, None, 15, "vigoare", None)))
+def extract_obligations(spark):
+    return ex.dated_obligations(table(spark, "id int, text string", DUTIES), "text", "id").drop("sentence").withColumn("until", F.col("until").cast("string"))
+
+
+DEFINING = [(1, "În sensul prezentei legi, termenii au următoarele înțelesuri:\na) autoritate contractantă - orice organism public;\nb) ofertă înseamnă actul juridic al ofertantului."), (2, "Prin operator economic se înțelege orice persoană; prin ofertă, nimic.")]
+
+
+@query(stated("id, term, term_key, meaning", (1, "autoritate contractantă", "autoritate contractanta", "orice organism public"), (1, "ofertă", "oferta", "actul juridic al ofertantului."), (2, "operator economic", "operator economic", "orice persoană")))
+def extract_definitions(spark):
+    return ex.defined_terms(table(spark, "id int, text string", DEFINING), "text", "id")
+
+
+@query(stated("id, term, fragment", (1, "autoritate contractantă", "Autorității contractante"), (1, "ofertă", "oferte"), (2, "autoritate contractantă", "autoritățile contractante")))
+def extract_term_uses(spark):
+    rows = [(1, "Autorității contractante i se trimit oferte."), (2, "Toate autoritățile contractante răspund."), (3, "Altceva.")]
+    return ex.term_uses(table(spark, "id int, text string", rows), "text", ["autoritate contractantă", "autoritate", "ofertă"], "id").select("id", "term", "fragment")
+
+
+@query(stated("obligations, with_term, with_instrument, terms", (4, 3, 3, 3)))
+def extract_summary(spark):
+    return ex.extraction_summary(table(spark, "id int, text string", [*DUTIES, *((i + 5, t) for i, t in DEFINING)]), "text")
+
+
+# ------------------------------------------------------------------ parsers
+def parsed(spark: SparkSession, rows: list[tuple], f, fields: str, *columns: str) -> DataFrame:
+    return ex.extracted(table(spark, "id int, text string", rows), "text", f, fields, "id").select("id", *columns)
+
+
+@query(stated("id, locator, text", (1, "art1", ""), (1, "art1.alin1", "Primul, potrivit alin. (2), spune."), (1, "art1.alin2", "Al doilea:"), (1, "art1.alin2.lita", "unu;"), (1, "art1.alin2.litb", "doi."), (1, "art2", "Text simplu."), (2, "", "Doar text.")))
+def parse_text_tree(spark):
+    rows = [(1, "Art. 1. - (1) Primul, potrivit alin. (2), spune. (2) Al doilea:\na) unu;\nb) doi.\nArticolul 2\nText simplu."), (2, "Doar text."), (3, " ")]
+    return parsed(spark, rows, parsers.text_tree, "locator string, level string, text string", "locator", "text")
+
+
+@query(stated("id, issue, day, part, republished", (1, 390, "2016-05-23", "I", False), (2, 1, "2020-01-03", None, True)))
+def parse_gazette_line(spark):
+    rows = [(1, "LEGE nr. 98\nMonitorul Oficial al României, Partea I, nr. 390 din 23 mai 2016"), (2, "Republicată în Monitorul Oficial nr. 1 din 3 ianuarie 2020"), (3, "Monitorul Oficial nr. 9 din 31 februarie 2020")]
+    return parsed(spark, rows, parsers.gazette_line, "issue int, day date, part string, republished boolean", "issue", F.col("day").cast("string").alias("day"), "part", "republished")
+
+
+@query(stated("id, ord, locator, kind, title", (1, 1, "preambul", "preambul", ""), (1, 2, "considerent-1", "considerent", ""), (1, 3, "art1", "articol", "Obiect"), (1, 4, "art1-2", "articol", "Domeniu"), (1, 5, "anexa-i", "anexa", "Tabel"), (2, 1, "document", "document", "")))
+def parse_eu_provisions(spark):
+    rows = [(1, "DIRECTIVA X\n(1) Întrucât\nArticolul 1\nObiect\nText\n(2) alineat\nArticolul 1\nDomeniu\nANEXA I\nTabel"), (2, "Un text\nîntreg")]
+    return parsed(spark, rows, parsers.eu_provisions, "ord int, locator string, kind string, title string, text string", "ord", "locator", "kind", "title")
+
+
+@query(stated("id, locator, text", (1, "title", "LEGE nr. 1"), (1, "art7", "Articolul 7 Cap"), (1, "art7.alin2", "(2) Text")))
+def parse_act_page(spark):
+    rows = [(1, "<span class='S_DEN'>LEGE nr. 1</span><span class='S_ART'><span class='S_ART_TTL'>Articolul 7</span><span class='S_ART_BDY'>Cap<span class='S_ALN'><span class='S_ALN_TTL'>(2)</span>Text<span class='S_ALN_SHORT'>scurt</span></span></span></span>")]
+    return parsed(spark, rows, parsers.act_page, "locator string, level string, text string", "locator", "text")
+
+
+@query(stated("id, ord, text", (1, 0, "a b c"), (1, 1, "d")))
+def parse_quoted_blocks(spark):
+    return parsed(spark, [(1, "x<span class='S_CIT'>a<span class='S_CIT'>b</span>c</span><span class=S_CIT>d</span>"), (2, "")], parsers.quoted_blocks, "ord int, text string", "ord", "text")
+
+
+@query(stated("id, ord, speaker, role, text", (1, 0, "Ion Pop", "PNL", "Bună ziua."), (1, 1, "Ion Pop", "PNL", "Continuăm."), (1, 2, "Ana Mar", None, "Mulțumesc.")))
+def parse_speeches(spark):
+    return parsed(spark, [(1, "Domnul Ion Pop (PNL):\nBună ziua.\n\nContinuăm.\n\nDoamna Ana Mar: Mulțumesc.")], parsers.speeches, "ord int, speaker string, role string, text string", "ord", "speaker", "role", "text")
+
+
+@query(stated("id, name, party, vote, raw", (1, "Pop Ion", "PNL", "da", "DA"), (1, "Mar Ana", "USR", "abtinere", "Abținere"), (1, "X Y", None, None, "prezent")))
+def parse_roll_call(spark):
+    return parsed(spark, [(1, "Pop Ion;PNL;DA\nMar Ana;USR;Abținere\nX Y;;prezent\nrest")], parsers.roll_call, "name string, party string, vote string, raw string", "name", "party", "vote", "raw")
+
+
+@query(stated("id, label, value", (1, "titlu", "Proiect & lege"), (1, "stadiu", "la comisie")))
+def parse_bill_sheet(spark):
+    return parsed(spark, [(1, "<table><tr><td>Titlu:</td><td>Proiect &amp; lege</td></tr><tr><th>Stadiu</th><td>la <b>comisie</b></td></tr><tr><td>x</td></tr></table>")], parsers.labelled_rows, "label string, value string", "label", "value")
+
+
+@query(stated("id, point, outcome, act, locator, final", (1, 1, "struck", "lege-98-2016", "art5.alin2", True), (1, 2, "rejected", None, None, True), (2, 1, "other", None, None, False)))
+def parse_decision(spark):
+    rows = [(1, "Considerente. CURTEA CONSTITUȚIONALĂ În numele legii DECIDE:\n1. Admite excepția și constată că art. 5 alin. (2) din Legea nr. 98/2016 este neconstituțional.\n2. Respinge restul. Definitivă și general obligatorie."), (2, "DECIDE: Amână cauza."), (3, "fără")]
+    return parsed(spark, rows, parsers.decision, "point int, outcome string, act string, locator string, final boolean", "point", "outcome", "act", "locator", "final")
+
+
+@query(stated("id, act, instrument, due, state", (1, "Legea 1/2000", "HG", "2020-02-01", "neîndeplinită"), (1, "OUG 2/2001", "ordin", "2021-03-04", "în lucru")))
+def parse_authority_list(spark):
+    rows = [(1, "# comentariu\nAct;Normă;Scadență;Stadiu\nLegea 1/2000;HG;01.02.2020;\nOUG 2/2001;ordin;2021-03-04;în lucru\n;fără act;;\n")]
+    d = files.read_authority_lists(table(spark, "id int, text string", rows).withColumn("path", F.col("id")))
+    return d.select(F.col("path").alias("id"), "act", "instrument", F.col("due").cast("string").alias("due"), "state")
+
+
+# ------------------------------------------------------------------ text functions
+def texts(spark: SparkSession, values: list) -> DataFrame:
+    return table(spark, "id int, t string", list(enumerate(values)))
+
+
+@query(stated("id, n", (0, "art. 12^1 și \"x\" - y"), (1, "ș ț Ș"), (2, "a\n\nb c"), (3, None), (4, "")))
+def text_normalise(spark):
+    return texts(spark, ["art. 12¹  şi „x” – y", "ș ţ Ş", " a \n\n\n\n b\tc ", None, ""]).select("id", T.normalise(F.col("t")).alias("n"))
+
+
+@query(stated("id, k", (0, "hotarare a guvernului, alin. (2)"), (1, "insusi")))
+def text_romanian_key(spark):
+    return texts(spark, ["Hotărâre  a Guvernului, alin. (2)", "ÎNSUȘI"]).select("id", T.romanian_key(F.col("t")).alias("k"))
+
+
+@query(stated("id, s", (0, "autoritat contractant"), (1, "achizit public"), (2, "lege"), (3, "act")))
+def text_stem_phrases(spark):
+    return texts(spark, ["Autorității contractante", "achiziții publice", "legea", "act"]).select("id", T.stem_phrase(F.col("t")).alias("s"))
+
+
+@query(stated("id, t", (0, "a\nb"), (1, "a + b"), (2, "x")))
+def text_without_markers(spark):
+    return texts(spark, ["a\n + \nb", "a + b", "x\n+"]).select("id", T.without_markers(F.col("t")).alias("t"))
+
+
+@query(stated("id, slug", (0, "oug"), (1, "lege"), (2, "norma-metodologica"), (3, "necunoscut"), (4, "decret-lege")))
+def text_slugs(spark):
+    return texts(spark, ["Ordonanță de urgență", "LEGE", "Normă metodologică", " ", "Decret-lege"]).select("id", T.slug(F.col("t")).alias("slug"))
+
+
+@query(stated("a, b, rank, may", ("oug", "lege", 1, True), ("hg", "lege", 3, False), ("lege", "hg", 1, True), ("x", "lege", 9, False), ("lege", "x", 1, True), (None, "lege", 9, True), ("decret", "ordin", 2, True), ("norma", "decret-lege", 4, False)))
+def text_legal_rank(spark):
+    d = table(spark, "a string, b string", [("oug", "lege"), ("hg", "lege"), ("lege", "hg"), ("x", "lege"), ("lege", "x"), (None, "lege"), ("decret", "ordin"), ("norma", "decret-lege")])
+    return d.select("a", "b", T.legal_rank(F.col("a")).alias("rank"), T.may_amend(F.col("a"), F.col("b")).alias("may"))
+
+
+@query(stated("id, locator, provision", (0, "art5.alin2.lita", "ro:lege-1#art5.alin2.lita"), (1, "art12^1", "ro:lege-1#art12^1"), (2, "art7.pct3", "ro:lege-1#art7.pct3"), (3, None, "ro:lege-1"), (4, None, "ro:lege-1")))
+def text_canonical_locator(spark):
+    loc = T.canonical_locator(F.col("t"))
+    return texts(spark, ["art. 5 alin. (2) lit. a)", "art12^1", "articolul 7, punctul 3", "art. 5 și art. 6", ""]).select("id", loc.alias("locator"), T.provision_key(F.lit("lege-1"), loc).alias("provision"))
+
+
+@query(stated("id, domain", (0, "fiscal"), (1, "muncii"), (2, "fiscal"), (3, "altele")))
+def text_domain_class(spark):
+    d = table(spark, "id int, title string, issuer string", [(0, "Codul fiscal", "Parlamentul"), (1, "Salarii și impozit, salarii", "x"), (2, "Norme", "Ministerul impozitelor, impozit"), (3, "Altceva", None)])
+    return d.select("id", T.keyword_class([(F.col("title"), 2), (F.col("issuer"), 1)], [("fiscal", ["fiscal", "impozit", "taxe"]), ("muncii", ["salarii", "munca"])], "altele").alias("domain"))
+
+
+@query(stated("id, stage", (0, "comisie"), (1, "vot"), (2, "unknown"), (3, "unavailable")))
+def text_stage_of_phrase(spark):
+    return texts(spark, ["Trimis la COMISIE pentru raport", "Pe ordinea de zi, vot final", "ceva", " "]).select("id", T.first_containing(F.col("t"), [("comisie", "comisie"), ("vot final", "vot")], "unknown", "unavailable").alias("stage"))
+
+
+@query(stated("id, iso, status, celex", (0, "2020-02-01", "open", "32014L0024"), (1, "2020-02-01", "closed", "32014L0024"), (2, None, "announced", None), (3, None, "unknown", None)))
+def source_normalisers(spark):
+    d = table(spark, "id int, d string, s string, c string", [(0, "1.2.2020", "În consultare publică", " 32014l0024 "), (1, "2020-02-01", "Închis", "https://x/celex/32014L0024?a=1"), (2, "azi", "Anunțat", "?!"), (3, None, None, None)])
+    return d.select("id", files.iso_date(F.col("d")).alias("iso"), files.consultation_status(F.col("s")).alias("status"), files.celex_id(F.col("c")).alias("celex"))
+
+
+@query(stated("celex, language, format, url", ("a", "ro", "html", "u/DOC_1"), ("b", "en", "html", "v"), ("c", "ro", "pdf", "w")))
+def source_manifestation_pick(spark):
+    rows = [("a", "en", "html", "u/DOC_1"), ("a", "ro", "html", "t/DOC_2"), ("a", "ro", "html", "u/DOC_1"), ("b", "en", "pdf", "v2"), ("b", "en", "html", "v"), ("c", "ro", "pdf", "w"), ("c", "ro", "exe", "a")]
+    return files.pick_manifestation(table(spark, "celex string, language string, format string, url string", rows), ["ro", "en"], ["html", "pdf"])
+
+
+# ------------------------------------------------------------------ rules
+@query(stated("id, problems", (0, "impossible:a"), (1, "no_else:a"), (2, "same_branches"), (3, ""), (4, "impossible:b")))
+def rule_checks(spark):
+    said = ["IF a > 5 AND a < 3 THEN 'x' ELSE 'y'", "IF a > 5 THEN 'x'", "IF a > 5 THEN 'x' ELSE 'X'", "IF a >= 5 AND a <= 5 THEN 'x' ELSE 'y'", "IF b = 'u' AND b = 'v' THEN 1 ELSE 2"]
+    return table(spark, "id int, problems string", [(i, ",".join(rules.checks(rules.parse(x)))) for i, x in enumerate(said)])
+
+
+@query(stated("a, outcome", (9, "no"), (10, "yes"), (11, "yes")))
+def rule_case_table(spark):
+    return table(spark, "a int, outcome string", [(int(c["facts"]["a"]), c["outcome"]) for c in rules.cases(rules.parse("IF a >= 10 THEN 'yes' ELSE 'no'"))])
+
+
+@query(stated("problem", ("overlap:a:0:1",), ("gap:a:8..10",)))
+def rule_set_problems(spark):
+    found = rules.set_problems([rules.parse(x) for x in ("IF a < 5 THEN 1", "IF a < 8 THEN 2", "IF a >= 10 THEN 3")])
+    return table(spark, "problem string", [(p,) for p in found])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rules, search, similarity
-from . import sql
+from . import legal, mapped, mapped_state, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -21,11 +22,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_plan(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Run a plan of plans.sql; the tables it names are read where they are used, so scans stay pruned and filtered."""
-    for name in TABLES:
-        if name in query:
-            read(spark, sf_dir, name).createOrReplaceTempView(name)
-    df = spark.sql(query)
+    """Run a plan of plans.sql. Its tables are handed over as DataFrames, so a session's own views stay as they are."""
+    named = re.compile(r"\b(from|join) (" + "|".join(TABLES) + r")\b")
+    used = {m[2] for m in named.finditer(query)}
+    df = spark.sql(named.sub(r"\1 {\2}", query), **{name: read(spark, sf_dir, name) for name in used})
     return df.select(*(F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in df.dtypes))  # days as text
 
 
@@ -73,6 +73,11 @@ def _reenact(spark, sf_dir):
     return similarity.re_enactments(lines, norms)
 
 
+def _quotes(spark, sf_dir):
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), "text")
+    return similarity.quote_gate(q, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("context"), "text")).select(F.col("quote").alias("item_id"), "verdict")
+
+
 def _hrefs(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     return p.groupBy("href").agg(F.countDistinct("page_id").alias("citing"), F.count("*").alias("n")).orderBy(F.desc("citing"), "href").limit(50)
@@ -126,13 +131,18 @@ def _as_text(name: str, query: str) -> str:
     return f"select * replace (cast({DAYS[name]} as varchar) as {DAYS[name]}) from ({query}) q" if name in DAYS else query
 
 
+def _further() -> dict[str, tuple[Query, str]]:
+    return mapped.QUERIES | mapped_state.QUERIES | legal.QUERIES
+
+
 def queries() -> dict[str, Query]:
-    own = {name: f for name, (f, _) in OWN.items()}
-    return own | {name: (lambda spark, sf_dir, p=p: run_plan(spark, sf_dir, p(sql.Spark))) for name, p in sql.PLANS.items()}
+    own = {name: f for name, (f, _) in (OWN | _further()).items()}
+    plans = {name: (lambda spark, sf_dir, p=p: run_plan(spark, sf_dir, p(sql.Spark))) for name, p in sql.PLANS.items()}
+    return own | plans | {"quote_gate": _quotes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q for name, (_, q) in OWN.items()} | {name: _as_text(name, p(sql.Duck)) for name, p in sql.PLANS.items()}
+    return {name: q for name, (_, q) in (OWN | _further()).items()} | {name: _as_text(name, p(sql.Duck)) for name, p in sql.PLANS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,97 @@
+"""Extractors and parsers on odd and ordinary sentences, without a session where none is needed."""
+
+import io
+import zipfile
+
+import pytest
+
+from lexarium.functions import legal_text
+from lexarium.operators import amendments, citations, obligations, rules
+from lexarium.sources import files, parsers
+
+
+def read(text):
+    return [(c.act and c.act.id, citations.locator(c.position)) for c in citations.citations(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("", []),
+        ("art. 5, 30 de zile", [(None, "art5")]),
+        ("art. 7 lit. a)-c)", [(None, "art7.lita"), (None, "art7.litb"), (None, "art7.litc")]),
+        ("lit. a)-c) ale art. 7", [(None, "lita"), (None, "litb"), (None, "litc"), (None, "art7")]),
+        ("art. 7-9", [(None, "art7"), (None, "art8"), (None, "art9")]),
+        ("art. 9-7", [(None, "art9")]),
+        ("art. 7, 8 și 9, 10% din valoare", [(None, "art7"), (None, "art8"), (None, "art9")]),
+        ("viitor art. vii", []),
+        ("art. 5 se modifică. Legea nr. 50/1991 se abrogă", [(None, "art5"), ("lege-50-1991", "")]),
+        ("O.U.G. nr. 57/2019, H.G. nr. 395/2016, O.G. nr. 26/2000", [("oug-57-2019", ""), ("hg-395-2016", ""), ("og-26-2000", "")]),
+        ("Legii 98 / 2016", [("lege-98-2016", "")]),
+    ],
+)
+def test_citations(text, found):
+    assert read(text) == found
+
+
+def test_spans_quote_the_text():
+    t = "Vezi art. 5 din Legea nr. 98/2016, cu modificările și completările ulterioare."
+    (c,) = citations.citations(t)
+    assert t[c.start : c.end] == "art. 5 din Legea nr. 98/2016, cu modificările și completările ulterioare" and c.amended and not c.republished
+
+
+def test_negated_and_inherited_operations():
+    got = amendments.amendments("Articolul 3 nu se abrogă.\n1. Articolul 4 se suspendă.", citations.Act("lege", "1", 2000))
+    assert [(a.kind, a.act.id, citations.locator(a.position), a.inherited) for a in got] == [("suspenda", "lege-1-2000", "art4", True)]
+
+
+def test_impossible_dates_stay_unset():
+    (o,) = obligations.obligations("Se emite ordin până la 31 februarie 2020.")
+    assert o.until is None and o.base == "vigoare"
+
+
+def test_normal_is_stable():
+    for t in ("art. 12¹ și 4 ind. 2", "ă ş", "x\n\n\n\ny ﻿"):
+        once = legal_text.normal(t)
+        assert legal_text.normal(once) == once
+
+
+@pytest.mark.parametrize(("data", "name"), [(b"%PDF-1.4", "a.txt"), (b"PK\x03\x04broken", "a.docx"), (b"x" * (files.LARGEST_FILE + 1), "a.txt")])
+def test_files_that_are_refused(data, name):
+    with pytest.raises((files.Refused, zipfile.BadZipFile)):
+        files.file_text(data, name)
+
+
+def docx(body):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/document.xml", body)
+    return b.getvalue()
+
+
+def test_docx_joins_runs_and_refuses_entities():
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    assert files.file_text(docx(f"<w:document {ns}><w:p><w:r><w:t>Articol</w:t></w:r><w:r><w:t>ul 7</w:t><w:br/><w:t>x</w:t></w:r></w:p></w:document>"))[1] == "Articolul 7\nx"
+    with pytest.raises(files.Refused):
+        files.docx_text(docx('<!DOCTYPE x [<!ENTITY a "b">]><x/>'))
+
+
+def test_markdown_keeps_numbers():
+    assert files.markdown_text("## T\n1. a **b**\n> c [d](e)\n---\n") == "T\n1. a b\nc d"
+
+
+def test_a_second_paragraph_cited_inside_the_first_opens_nothing():
+    got = [r["locator"] for r in parsers.text_tree("Art. 1 (1) După alin. (2), decide. (2) Apoi.")]
+    assert got == ["art1", "art1.alin1", "art1.alin2"]
+
+
+def test_rule_evaluation_is_unknown_with_any_missing_fact():
+    r = rules.parse("IF a > 1 OR b > 1 THEN 1 ELSE 2")
+    assert rules.evaluate(r.when, {"a": 5}) is None and rules.evaluate(r.when, {"a": 5, "b": 0}) is True
+    assert len(rules.cases(r, 5)) == 5
+
+
+@pytest.mark.parametrize("f", [citations.citations, citations.anchors, citations.eu_citations, amendments.amendments, amendments.units, obligations.obligations, obligations.definitions, parsers.text_tree, parsers.gazette_line, parsers.eu_provisions, parsers.act_page, parsers.quoted_blocks, parsers.speeches, parsers.roll_call, parsers.labelled_rows, parsers.decision])
+@pytest.mark.parametrize("text", ["", " \n", "x", "<span class='S_ART'>", "(" * 2000 + "art. " * 500])
+def test_odd_texts_never_fail(f, text):
+    assert isinstance(f(text), list)

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "null"
     return f"{v:.9g}" if isinstance(v, (float, np.floating)) else str(v)
 
