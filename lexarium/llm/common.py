@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -231,6 +232,15 @@ def rows_of(texts: pa.Array, lut: np.ndarray):
         at += n
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system, as Python workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def small_batches(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Cut a batch so that each part holds about `most` bytes of text, or one row."""
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, written
+from .common import free, release, written
 
 #: Most members that one tile of a cluster holds.
 TILE = 1000
@@ -148,6 +148,7 @@ def _solve(tiles: DataFrame, by: list[str], percent: int, make: Callable) -> Dat
                 yield links_of(t.slice(0, int(last[-1])), np.concatenate([[0], last]))
         if rest is not None:
             yield links_of(rest, np.array([0, rest.num_rows]))
+        release()
 
     def links_of(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         got = np.array(list(solved(t, cuts)), np.int64).reshape(-1, 2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SHARE, free, fresh, mix64, part_bits, small_batches, span_hashes, without, written
+from .common import SHARE, free, fresh, mix64, part_bits, release, small_batches, span_hashes, without, written
 from .components import verified_components
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
@@ -222,6 +222,8 @@ def _met(batches):
     for lo in range(0, len(key), 1 << 16):
         own = slice(lo, lo + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(i[own]), pa.array(to[own], mask=~hot[own])], ["band", "id", "to"])
+    del got, key, i, to, hot
+    release()
 
 
 def band_edges(batches, percent: int = 80):
@@ -275,6 +277,8 @@ def band_edges(batches, percent: int = 80):
                 a.append(i[rows[[x for x, _ in more]]])
                 b.append(i[rows[[y for _, y in more]]])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    del t, band, i, order, code, n
+    release()
 
 
 
@@ -313,6 +317,7 @@ def _lines(bits: int, shape: pa.Schema):
                 columns.append(pa.concat_arrays([pa.nulls(len(where), pa.int32()), pa.array(list(dealt), pa.int32())]))
                 columns.append(pa.concat_arrays([pa.nulls(len(where), pa.binary()), pa.array(list(dealt.values()), pa.binary())]))
                 yield pa.RecordBatch.from_arrays(columns, schema=shape)
+        release()
 
     return run
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SHARE, SPACED, free, part_bits, rows_of, shingle_hashes, small_batches, written
+from .common import ALNUM, SHARE, SPACED, free, part_bits, release, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
 
 #: Bytes of text whose shingles travel as one block.
@@ -91,6 +91,7 @@ def _asked(k: int, lut: np.ndarray, bits: int, shape: pa.Schema):
                     for c in ("id", "th", "n", "cls", "first"):
                         out[c].append(None)
                 yield pa.RecordBatch.from_pydict(out, shape)
+        release()
 
     return run
 
@@ -112,7 +113,7 @@ def _shared_counts(batches):
     low = [np.frombuffer(x, np.uint32) for x in hashes]
     sizes = [len(x) for x in low]
     key = np.concatenate(low).astype(np.uint64) | (np.repeat(np.array(part, np.uint64), sizes) << np.uint64(32))
-    del low, hashes
+    del hashes
     order = np.argsort(key, kind="stable")
     shared = np.zeros(len(key), bool)
     same = key[order[1:]] == key[order[:-1]]
@@ -125,6 +126,8 @@ def _shared_counts(batches):
         out.append((total[ends] - total[ends - n]).astype(np.int32).tobytes())
         at += size
     yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(out, pa.binary())], ["block", "counts"])
+    del low, key, order, shared, out
+    release()
 
 
 def _eligible(percent: int):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, without
+from .common import release, small_batches, without, written
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most about (a uniform sample by hash of the id).
 LABELLED = 20_000
+#: Words that may pass for terms by chance, about.
+CHANCE = 25
 #: The least length of a term that may be misspelled: a shorter one has other words one edit away.
 FUZZY_FROM = 5
 #: Words on either side of a term that belong to its context.
@@ -179,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > labelled:
         rows = rows.where(F.pmod(F.xxhash64("_lx_id"), F.lit(1 << 30)) < int((1 << 30) * labelled / n))
     # the sample is bounded by `labelled`, so it may be broadcast
-    sample = docs.select(F.col(id_col).alias("_lx_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "_lx_id").select("text", "toxic")
+    sample = docs.select(F.col(id_col).alias("_lx_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "_lx_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = written(sample, "labelled")  # copies of one text count once
     model = {"terms": (), "weight": np.zeros(0), "clean": frozenset(), "beta": None}
     seen = sample.mapInArrow(_distinct, "toxic int, words array<string>")
     split = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -189,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b > 1")
     odds = F.log((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = words.where("a > 1").withColumn("odds", odds).withColumn("z", z).where("odds > 1.2 and z > 2.8").orderBy(F.desc("z"), "w").collect()  # words of the bounded sample
+    # the bar grows with the number of words tried, so that about CHANCE pass it by chance, whatever that number
+    tried = words.where("a > 1").count()
+    least = max(2.8, -NormalDist().inv_cdf(min(CHANCE / max(tried, 1), 0.5)))
+    top = words.where("a > 1").withColumn("odds", odds).withColumn("z", z).where((F.col("odds") > 1.2) & (F.col("z") > least)).orderBy(F.desc("z"), "w").collect()  # words of the bounded sample
     if not top:
         return model
     model["terms"], model["weight"] = tuple(r["w"] for r in top), np.array([r["odds"] for r in top])
@@ -229,12 +236,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def _scores(text_col: str, model: dict):
     def run(batches):
         for batch in batches:
-            for part in small_batches(batch, text_col):
+            for part in small_batches(batch, text_col, 1 << 20):
                 if model["beta"] is None:
                     score = np.zeros(part.num_rows)
                 else:
                     score = 1 / (1 + np.exp(-np.clip(np.array(_rows(part, text_col, model)) @ model["beta"], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "_lx_score"])
+        release()
 
     return run
 
