@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc"), words.alias("token")).groupBy("token", "doc").agg(F.count("*").alias("tf"))
 
 
+def words_of(query: str) -> list[str]:
+    """Distinct query terms as tokens are written, first said first."""
+    from ..functions.legal_text import key
+
+    return list(dict.fromkeys(re.findall("[a-z0-9]{3,}", key(query))))
+
+
 def _once(docs: DataFrame, id_col: str, text_col: str, words) -> DataFrame:
     """(doc, w): words of each text. The generator keeps the optimizer from evaluating them again for each use."""
     return docs.select(F.col(id_col).alias("doc"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
