@@ -20,6 +20,8 @@ MORE = (
     ("keyblock", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, ()),
     ("mixed", r"[A-Za-z0-9+/_=-]{20,}", 0, 20, ("[0-9]", "[A-Z]", "[a-z]")),
 )
+#: Matches of one text that are put together at a time; appending to all found so far would cost their square.
+CHUNK = 256
 #: A value that so many owners have, or several owners in so many repositories, is an example that people copy.
 OWNERS, REPOSITORIES = 3, 5
 
@@ -32,7 +34,7 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("p"), whole.alias("m"), part.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>").alias("out"))
+    nothing = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["p"])
@@ -43,7 +45,20 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
             good = good & F.regexp_like(x["v"], F.lit(p))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    def of_chunk(acc: Column, chunk: Column) -> Column:
+        own = F.aggregate(chunk, F.struct(acc["at"].alias("at"), nothing.alias("out")), step)
+        return _bound(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def of_all(r: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda k: F.slice(r, k * CHUNK + 1, CHUNK))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), nothing.alias("out")), of_chunk, lambda acc: acc["out"])
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(rows, of_all)).otherwise(nothing)
+
+
+def _bound(c: Column, f) -> Column:
+    """f of the value of c, which is evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def joined(found: Column) -> Column:

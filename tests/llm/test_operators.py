@@ -435,3 +435,17 @@ def test_base_scores_against_brute_force(spark):
         w = words[r["id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in seen for x in w), n)
         assert abs(r["base_score"] - sum(np.log10((seen[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
+
+
+def test_many_secrets_in_one_text_keep_their_places(spark):
+    text = " ".join(f"é{i:024x}" for i in range(1000))
+    (r,) = secret_scan.secret_scan(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).collect()
+    assert [(x["start"], x["end"]) for x in r["base"]] == [(26 * i + 1, 26 * i + 25) for i in range(1000)]
+
+
+def test_copies_in_many_repositories_are_examples(spark):
+    key = "Ab1" * 9
+    rows = [(i, f"see {key} here", f"l{i}", f"s{i % 2}") for i in range(5)]
+    got = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["n_example"] == 1 for r in got)
+    assert all(r["n_live"] == 1 for r in secret_scan.secret_scan(spark.createDataFrame(rows[:4], "doc_id long, text string, lang string, source string")).collect())
