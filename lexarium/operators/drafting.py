@@ -1,0 +1,141 @@
+"""How a draft is worded: forms and language that drafting rules refuse, phrases that miss a defined term, amending acts
+composed from intents and read back."""
+
+from __future__ import annotations
+
+import re
+from difflib import SequenceMatcher
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+
+from ..functions.legal_text import normal, sentences, stems
+from .amendments import amendments
+from .citations import acts, locator
+from .extraction import extracted
+
+#: Wordings that stand for an operation without being its form.
+FORMS = (
+    ("modifica", (r"se\s+schimb[ăa]", r"se\s+rescrie", r"se\s+reformuleaz[ăa]", r"se\s+modific[ăa]\s+astfel(?!\s*:)", r"devine\b")),
+    ("abroga", (r"se\s+elimin[ăa]", r"se\s+anuleaz[ăa]", r"se\s+suprim[ăa]", r"se\s+[șs]terge", r"se\s+desfiin[țt]eaz[ăa]", r"[îi]nceteaz[ăa]\s+aplicabilitatea")),
+    ("completeaza", (r"se\s+adaug[ăa](?!\s+un)", r"se\s+suplimenteaz[ăa]")),
+)
+#: Language that normative texts avoid, and why.
+LANGUAGE = (("future", r"se\s+va\b"), ("future", r"se\s+vor\b"), ("wish", r"\btrebuie\s+s[ăa]\b"), ("ambiguous", r"\bși\s*/\s*sau\b"), ("open_list", r"\betc\.?"), ("open_list", r"\bș\.\s*a\."))
+_RULES = [(kind, re.compile(p, re.I)) for kind, patterns in FORMS for p in patterns] + [(kind, re.compile(p, re.I)) for kind, p in LANGUAGE]
+_CHANGES, _CONTENT = re.compile(r"se\s+modific[ăa]", re.I), re.compile(r"va\s+avea\s+urm[ăa]torul\s+cuprins", re.I)
+
+
+def departures(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, said, start, end): forms, language, and changes that give a text without announcing its content."""
+    t = normal(text)
+    out = {(k, m.start()): (k, m[0].strip(), m.start(), m.end()) for k, p in _RULES for m in p.finditer(t)}
+    for at, s in sentences(t, ("art", "alin", "nr", "lit"), capital=False):
+        m = _CHANGES.search(s)
+        if m and not _CONTENT.search(s) and ('"' in s or "următor" in s.lower()):
+            out[("content", at + m.start())] = ("content", m[0], at + m.start(), at + m.end())
+    return sorted(out.values(), key=lambda x: (x[2], x[0]))
+
+
+#: How like a term a phrase is that misses it, and how like the head words of a second category are.
+NEAR, HEAD = 0.82, 0.85
+
+
+def drift(text: str, terms: list[str]) -> list[tuple[str, str, str, float, int, int]]:
+    """(rule, phrase, term, likeness, start, end): phrases close to a defined term (variant), or that begin with its head word
+    and go on differently (parallel). Phrases of a word less to a word more are tried; right uses in any inflection are
+    left out; of overlapping findings the likest, then longest, stays."""
+    t = normal(text)
+    words = [(m.start(), m.end()) for m in re.finditer(r"[\w^]+", t)]
+    by = {stems(x): x for x in reversed(terms) if stems(x)}
+
+    def windows(n: int):
+        return [(t[words[i][0] : words[i + n - 1][1]], words[i][0], words[i + n - 1][1]) for i in range(len(words) - n + 1)]
+
+    right = [(a, b) for n in {len(s.split()) for s in by} for w, a, b in windows(n) if stems(w) in by]
+    best: dict[tuple[int, int], tuple] = {}
+    for s, term in by.items():
+        n = len(s.split())
+        for width in sorted({max(1, n - 1), n, n + 1}):
+            for w, a, b in windows(width):
+                own = stems(w)
+                if own in by or any(a < y and x < b for x, y in right):
+                    continue
+                like = SequenceMatcher(None, own, s).ratio()
+                found = None
+                if NEAR <= like < 1:
+                    found = ("variant", w, term, round(like, 3), a, b)
+                elif n >= 2 and width >= 2 and (head := SequenceMatcher(None, own.split()[0], s.split()[0]).ratio()) >= HEAD:
+                    found = ("parallel", w, term, round(head, 3), a, b)
+                if found and ((a, b) not in best or (found[0] == "variant", found[3]) > (best[a, b][0] == "variant", best[a, b][3])):
+                    best[a, b] = found
+    kept: list[tuple] = []
+    for f in sorted(best.values(), key=lambda f: (-f[3], f[4] - f[5], f[4])):
+        if not any(f[4] < k[5] and k[4] < f[5] for k in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f[4])
+
+
+class Intent(NamedTuple):
+    """What is to be done to one position of an act as it must be cited."""
+
+    operation: str
+    act: str
+    article: str | None = None
+    paragraph: str | None = None
+    letter: str | None = None
+    text: str = "…"
+    new_article: str | None = None
+
+
+def _place(i: Intent) -> str:
+    inner = [f"alineatul ({i.paragraph})"] if i.paragraph else []
+    inner += [f"litera {i.letter})"] if i.letter else []
+    return ", ".join(([f"La articolul {i.article}"] if i.article and inner else [f"Articolul {i.article}"] if i.article else []) + inner)
+
+
+def worded(i: Intent) -> str:
+    """The prescribed wording of one operation, as a point under its act's heading."""
+    place = _place(i) or i.act
+    place = place[0].upper() + place[1:]
+    if i.operation == "abroga":
+        return f"{place} se abrogă."
+    if i.operation == "modifica":
+        return f"{place} se modifică și va avea următorul cuprins: «{i.text}»"
+    if i.operation == "completeaza":
+        return f"{place} se completează și va avea următorul cuprins: «{i.text}»"
+    if i.operation == "introduce":
+        return f"După articolul {i.article} se introduce un nou articol, articolul {i.new_article}, cu următorul cuprins: «{i.text}»"
+    raise ValueError(f"unknown operation {i.operation}")
+
+
+def composed(intents: list[Intent]) -> str:
+    """An amending act: a roman article for each target act in the order first named, its intents as numbered points."""
+    roman = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+    out = []
+    for n, act in enumerate(dict.fromkeys(i.act for i in intents)):
+        points = "\n".join(f"{k}. {worded(i)}" for k, i in enumerate((i for i in intents if i.act == act), 1))
+        out.append(f"Articolul {roman[n] if n < len(roman) else n + 1}. - {act} se modifică și se completează după cum urmează:\n{points}")
+    return "\n\n".join(out)
+
+
+def unread(intents: list[Intent], text: str) -> list[int]:
+    """Numbers (from 1) of the intents that the extractor doesn't read back from the composed text."""
+    read = {(a.kind, a.act and a.act.id, locator(a.position)) for a in amendments(text)}
+    out = []
+    for n, i in enumerate(intents, 1):
+        cited = acts(i.act)
+        where = locator((i.article, None if i.operation == "introduce" else i.paragraph, None if i.operation == "introduce" else i.letter, None))
+        if (i.operation, cited[0].act.id if cited else None, where) not in read:
+            out.append(n)
+    return out
+
+
+def linted(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, kind, said, start, end) of every departure."""
+    return extracted(df, text_col, lambda t: [dict(zip(("kind", "said", "start", "end"), x, strict=True)) for x in departures(t)], "kind string, said string, start int, end int", *keep)
+
+
+def drifting(df: DataFrame, text_col: str, terms: list[str], *keep: str) -> DataFrame:
+    """(keep, rule, phrase, term, likeness, start, end) against a bounded list of terms."""
+    return extracted(df, text_col, lambda t: [dict(zip(("rule", "phrase", "term", "likeness", "start", "end"), x, strict=True)) for x in drift(t, terms)], "rule string, phrase string, term string, likeness double, start int, end int", *keep)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extraction as ex
-from ..operators import rules
+from ..operators import drafting, evaluation, rules
 from ..sources import files, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,31 @@ def extract_summary(spark):
     return ex.extraction_summary(table(spark, "id int, text string", [*DUTIES, *((i + 5, t) for i, t in DEFINING)]), "text")
 
 
+@query(stated("id, kind, said", (1, "abroga", "se elimină"), (1, "future", "se va"), (1, "open_list", "etc."), (1, "content", "se modifică"), (2, "ambiguous", "și/sau")))
+def draft_lints(spark):
+    rows = [(1, "Articolul 5 se elimină. Cererea se va depune, etc. Articolul 3 se modifică: „text”."), (2, "Persoana și/sau firma depune cererea."), (3, "Articolul 5 se abrogă.")]
+    return drafting.linted(table(spark, "id int, text string", rows), "text", "id").select("id", "kind", "said")
+
+
+@query(stated("id, rule, phrase, term", (1, "variant", "Autoritatea contractuală", "autoritate contractantă"), (1, "parallel", "achiziții de stat", "achiziții publice")))
+def draft_term_drift(spark):
+    rows = [(1, "Autoritatea contractuală și autorități contractante; achiziții de stat și ofertă."), (2, "Achizițiile publice rămân.")]
+    return drafting.drifting(table(spark, "id int, text string", rows), "text", ["autoritate contractantă", "achiziții publice"], "id").select("id", "rule", "phrase", "term")
+
+
+@query(stated("id, kind, act, locator", (1, "modifica", "lege-98-2016", "art7.alin2"), (1, "abroga", "lege-98-2016", "art15"), (1, "introduce", "lege-50-1991", "art9")))
+def draft_composed_and_read_back(spark):
+    law = "Legea nr. 98/2016 privind achizițiile publice"
+    intents = [drafting.Intent("modifica", law, "7", "2", None, "(2) Nou."), drafting.Intent("abroga", law, "15"), drafting.Intent("introduce", "Legea nr. 50/1991", "9", new_article="9^1")]
+    return ex.amended(table(spark, "id int, text string", [(1, drafting.composed(intents))]), "text", "id").select("id", "kind", "act", "locator")
+
+
+@query(stated("id, place, body", (1, 0, '{"a": 1}'), (1, 1, '{"b": "x"}'), (2, 0, '{"ok": true}'), (4, 0, '{"a": 1}')))
+def model_output_findings(spark):
+    rows = [(1, "<think>[{}]</think>\n```json\n[{\"a\": 1}, {\"b\": \"x\"}]\n```"), (2, "Sigur: {\"ok\": true} gata"), (3, "nimic [1, 2]"), (4, "[{\"a\": 1}, {\"b\": "), (5, None)]
+    return ex.extracted(table(spark, "id int, text string", rows), "text", evaluation.model_findings, "place int, body string", "id")
+
+
 # ------------------------------------------------------------------ parsers
 def parsed(spark: SparkSession, rows: list[tuple], f, fields: str, *columns: str) -> DataFrame:
     return ex.extracted(table(spark, "id int, text string", rows), "text", f, fields, "id").select("id", *columns)
