@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,13 @@ def flattened(c: Column) -> Column:
 
 
 def fingerprint(c: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of the flattened text."""
-    flat = flattened(c)
-    return F.when(F.length(flat) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substring(flat, i, n)))).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of the flattened text, which is made once for all of them."""
+
+    def grams(flat: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substring(flat, i, n))
+        return F.when(F.length(flat) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(flattened(c)), grams), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -78,18 +82,13 @@ def re_enactments(units: DataFrame, norms: DataFrame, contained: float = 0.8, wo
     """(unit, norm, part): norms whose fingerprint a unit contains.
 
     units(unit, text) and norms(norm, text) need at least `words` words; a unit may have up to `ratio` times the norm's
-    grams. Only a norm's rarest grams meet those of units (prefix filter); what meets is counted exactly.
+    grams. Grams meet in an equi join under the sizes that can match; units shorter than any norm needs make none.
     """
     enough = F.size(F.split(flattened(F.col("text")), " ")) >= words
     u = units.where(enough).select("unit", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_u", F.size("g"))
     b = norms.where(enough).select("norm", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_b", F.size("g"))
-    ends = b.agg(F.min("n_b").alias("lo"))  # one row: a unit of fewer grams than any norm needs can contain none
-    u = u.crossJoin(F.broadcast(ends)).where(F.col("n_u") >= contained * F.col("lo")).drop("lo")
-    # a norm that a unit contains shares one of its n - ceil(contained * n) + 1 rarest grams with it
-    grams = u.select(F.explode("g").alias("gram")).join(b.select(F.explode("g").alias("gram")).distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    posted = b.select("norm", "n_b", F.explode("g").alias("gram")).join(grams, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("norm").orderBy("df", "gram"))
-    rare = posted.withColumn("at", at).where((F.col("at") <= F.col("n_b") - F.ceil(contained * F.col("n_b") - 1e-9) + 1) & (F.col("df") > 0)).select("norm", "n_b", "gram")
-    pairs = u.select("unit", "n_u", F.explode("g").alias("gram")).join(rare, "gram").where(F.col("n_u") <= ratio * F.col("n_b")).select("unit", "norm").distinct()
-    both = pairs.join(u.select("unit", "g"), "unit").join(b.select("norm", "n_b", F.col("g").alias("h")), "norm").withColumn("both", F.size(F.array_intersect("g", "h")))
+    ends = b.agg(F.min("n_b").alias("lo"), F.max("n_b").alias("hi"))  # one row: a unit of fewer grams than any norm needs can contain none
+    u = u.crossJoin(F.broadcast(ends)).where((F.col("n_u") >= contained * F.col("lo")) & (F.col("n_u") <= ratio * F.col("hi"))).drop("lo", "hi")
+    hit = u.select("unit", "n_u", F.explode("g").alias("gram")).join(b.select("norm", "n_b", F.explode("g").alias("gram")), "gram").where((F.col("n_u") <= ratio * F.col("n_b")) & (F.col("n_u") >= contained * F.col("n_b")))
+    both = hit.groupBy("unit", "norm").agg(F.count("*").alias("both"), F.first("n_b").alias("n_b"))
     return both.select("unit", "norm", F.round(F.col("both") / F.col("n_b"), 6).alias("part")).where(F.col("part") >= contained)
