@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,29 +108,3 @@ def storage(rows: DataFrame, by: str, low: str, high: str, price: float) -> Data
     d = lambda c: F.sum(F.col(c).cast("decimal(18,3)"))
     return rows.groupBy(by).agg(F.round(d(low), 2).alias("low_gb"), F.round(d(high), 2).alias("high_gb"), F.round(d(high) * F.lit(price).cast("decimal(9,4)"), 2).alias("cost"))
 
-
-_THOUGHT = re.compile(r"<think(?:ing)?>.*?(?:</think(?:ing)?>|\Z)", re.I | re.S)
-
-
-def model_findings(text: str) -> list[dict]:
-    """(place, body): the objects of the first JSON list or object in a model's answer, without thoughts and fences; an answer
-    without any has no rows. A list cut off at its end keeps the objects that are whole."""
-    t = _THOUGHT.sub("", text or "")
-    reader = json.JSONDecoder()
-    for m in re.finditer(r"[\[{]", t):
-        try:
-            got, _ = reader.raw_decode(t, m.start())
-        except ValueError:
-            if m[0] == "{":
-                continue
-            got, at = [], m.end()
-            while x := re.compile(r"[\s,]*(?=\{)").match(t, at):
-                try:
-                    one, at = reader.raw_decode(t, x.end())
-                except ValueError:
-                    break
-                got.append(one)
-        rows = [x for x in (got if isinstance(got, list) else [got]) if isinstance(x, dict)]
-        if rows:
-            return [{"place": i, "body": json.dumps(x, ensure_ascii=False, sort_keys=True)} for i, x in enumerate(rows)]
-    return []

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import islice, product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,100 +139,3 @@ def render(rule: Rule) -> str:
 
     return f"IF {c(rule.when)} THEN {v(rule.then)}" + (f" ELSE {v(rule.otherwise)}" if rule.otherwise is not None else "")
 
-
-# ------------------------------------------------------------------ what can be said of rules before they are applied
-@dataclass(frozen=True)
-class Interval:
-    """Numbers that a comparison admits; an open end excludes its bound."""
-
-    low: float = float("-inf")
-    high: float = float("inf")
-    open_low: bool = True
-    open_high: bool = True
-
-    def meet(self, other: Interval) -> Interval:
-        low, open_low = max((self.low, self.open_low), (other.low, other.open_low))
-        high, closed_high = min((self.high, not self.open_high), (other.high, not other.open_high))
-        return Interval(low, high, open_low, not closed_high)
-
-    @property
-    def empty(self) -> bool:
-        return self.low > self.high or (self.low == self.high and (self.open_low or self.open_high))
-
-
-def interval(c: Compare) -> Interval | None:
-    """None where the admitted numbers are no single interval, or the value is no number."""
-    v = c.value
-    if isinstance(v, str) or c.op == "<>":
-        return None
-    return {"=": Interval(v, v, False, False), ">": Interval(low=v), ">=": Interval(low=v, open_low=False), "<": Interval(high=v), "<=": Interval(high=v, open_high=False)}[c.op]
-
-
-def _compares(c) -> list[Compare]:
-    return [c] if isinstance(c, Compare) else [x for p in c.parts for x in _compares(p)]
-
-
-def _impossible(parts: list[Compare]) -> bool:
-    """Whether no value meets all comparisons of one variable."""
-    equal = {p.value for p in parts if p.op == "="}
-    if len(equal) > 1 or equal & {p.value for p in parts if p.op == "<>"}:
-        return True
-    admitted = Interval()
-    for p in parts:
-        admitted = admitted.meet(interval(p) or Interval())
-    return admitted.empty
-
-
-def checks(rule: Rule) -> list[str]:
-    """impossible:<name>, no_else:<name> and same_branches: what is wrong whatever the facts are."""
-    out, c = [], rule.when
-    parts = [p for p in c.parts if isinstance(p, Compare)] if isinstance(c, Logic) and c.kind == "AND" else [c] if isinstance(c, Compare) else []
-    out += [f"impossible:{n}" for n in sorted({p.name for p in parts}) if _impossible([p for p in parts if p.name == n])]
-    if rule.otherwise is None and isinstance(c, Compare):
-        out.append(f"no_else:{c.name}")
-    if rule.otherwise is not None and str(rule.then).strip().lower() == str(rule.otherwise).strip().lower():
-        out.append("same_branches")
-    return out
-
-
-def evaluate(c, facts: dict) -> bool | None:
-    """None if any fact that the condition reads is missing, even where another arm decides."""
-    if any(facts.get(n) is None for n in _names(c)):
-        return None
-    if isinstance(c, Compare):
-        return bool(_OPS[c.op](facts[c.name], c.value))
-    got = [evaluate(p, facts) for p in c.parts]
-    return not got[0] if c.kind == "NOT" else all(got) if c.kind == "AND" else any(got)
-
-
-def cases(rule: Rule, most: int = 12) -> list[dict]:
-    """At most so many rows (facts, true, outcome) at the thresholds and next to them."""
-    grid: dict[str, list] = {}
-    for c in _compares(rule.when):
-        near = [c.value, f"not {c.value}"] if isinstance(c.value, str) else [c.value - 1, c.value, c.value + 1]
-        grid[c.name] = sorted({*grid.get(c.name, []), *near}, key=lambda v: (isinstance(v, str), v))
-    rows = islice(product(*grid.values()), most)
-    out = []
-    for values in rows:
-        facts = dict(zip(grid, values, strict=True))
-        true = evaluate(rule.when, facts)
-        out.append({"facts": facts, "true": true, "outcome": rule.then if true else rule.otherwise})
-    return out
-
-
-def set_problems(rules: list[Rule]) -> list[str]:
-    """overlap:<name>:<i>:<j> and gap:<name>:<low>..<high> of rules that each compare one variable with a number."""
-    by: dict[str, list[tuple[int, Interval]]] = {}
-    for i, r in enumerate(rules):
-        if isinstance(r.when, Compare) and (v := interval(r.when)):
-            by.setdefault(r.when.name, []).append((i, v))
-    out = []
-    for name, own in sorted(by.items()):
-        out += [f"overlap:{name}:{i}:{j}" for n, (i, a) in enumerate(own) for j, b in own[n + 1 :] if not a.meet(b).empty]
-        upto: Interval | None = None
-        for _, v in sorted(own, key=lambda x: (x[1].low, x[1].open_low)):
-            if upto is not None and (v.low > upto.high or (v.low == upto.high and v.open_low and upto.open_high)):
-                out.append(f"gap:{name}:{upto.high:g}..{v.low:g}")
-            if upto is None or (v.high, not v.open_high) > (upto.high, not upto.open_high):
-                upto = v
-    return out

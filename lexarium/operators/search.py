@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_key
+from ..functions.text import MARKED, PLAIN, fold_key
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,9 +18,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def words_of(query: str) -> list[str]:
     """Distinct query terms as tokens are written, first said first."""
-    from ..functions.legal_text import key
-
-    return list(dict.fromkeys(re.findall("[a-z0-9]{3,}", key(query))))
+    return list(dict.fromkeys(re.findall("[a-z0-9]{3,}", query.lower().translate(str.maketrans(MARKED, PLAIN)))))
 
 
 def _once(docs: DataFrame, id_col: str, text_col: str, words) -> DataFrame:

@@ -54,30 +54,6 @@ def symmetric(units: DataFrame, norms: DataFrame, n: int = 5) -> DataFrame:
     return u.join(b, "key").select("unit", "norm", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
 
 
-def word_diff(df: DataFrame, before: str, after: str, key: str, most: int = 2000) -> DataFrame:
-    """(key, op, old, new): how the words of one text become the other's, in order; texts of more than `most` words in all
-    are one replacement."""
-    from difflib import SequenceMatcher
-
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([df.schema[key], *T._parse_datatype_string("n int, op string, old string, new string").fields])
-    shape = to_arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                a, b = (a or "").split(), (b or "").split()
-                steps = SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if len(a) + len(b) <= most else [("replace", 0, len(a), 0, len(b))]
-                rows += [{key: k, "n": n, "op": op, "old": " ".join(a[i:j]), "new": " ".join(b[x:y])} for n, (op, i, j, x, y) in enumerate(s for s in steps if s[0] != "equal")]
-            yield pa.RecordBatch.from_pylist(rows, shape)
-
-    return df.select(key, before, after).mapInArrow(run, schema)
-
-
 def re_enactments(units: DataFrame, norms: DataFrame, contained: float = 0.8, words: int = 15, ratio: int = 3) -> DataFrame:
     """(unit, norm, part): norms whose fingerprint a unit contains.
 

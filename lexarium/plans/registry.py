@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rules, search, similarity
-from . import legal, mapped, mapped_state, sql
+from . import mapped, mapped_state, mapped_text, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -132,7 +132,7 @@ def _as_text(name: str, query: str) -> str:
 
 
 def _further() -> dict[str, tuple[Query, str]]:
-    return mapped.QUERIES | mapped_state.QUERIES | legal.QUERIES
+    return mapped.QUERIES | mapped_state.QUERIES | mapped_text.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexarium.operators import extraction, graph, search, similarity, state
+from lexarium.operators import graph, search, similarity, state
 from lexarium.sources import files
 from lexarium.streaming import upsert
 
@@ -53,14 +53,9 @@ def test_streamed_windows_count_late_events(spark, tmp_path):
     assert sorted(r["n"] for r in batch.collect()) == [1, 2]
 
 
-def test_files_of_all_kinds_are_read_or_refused(spark, tmp_path):
-    (tmp_path / "a.md").write_text("# T\n\n*x*")
-    (tmp_path / "b.txt").write_bytes(b"one\r\ntwo")
-    (tmp_path / "c.docx").write_bytes(b"PK\x03\x04no")
-    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.7")
-    got = {r["path"].rsplit("/", 1)[-1]: (r["kind"], r["text"], r["reason"]) for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got["a.md"] == ("markdown", "T\n\nx", None) and got["b.txt"] == ("text", "one\ntwo", None)
-    assert got["c.docx"][2].startswith("broken") and got["d.pdf"] == (None, None, "pdf")
+def test_a_manifest_tells_what_changed(spark, tmp_path):
+    for name, text in (("a.md", "x"), ("b.txt", "one")):
+        (tmp_path / name).write_text(text)
     made = spark.createDataFrame(files.manifest(spark, str(tmp_path)).collect(), "path string, length long, sha256 string")
     assert files.verify(made, spark, str(tmp_path)).count() == 0
     (tmp_path / "b.txt").write_text("other")
@@ -69,18 +64,15 @@ def test_files_of_all_kinds_are_read_or_refused(spark, tmp_path):
     assert {(r["path"], r["problem"]) for r in files.verify(made, spark, str(tmp_path)).collect()} == {("a.md", "missing"), ("b.txt", "changed"), ("e.txt", "unknown")}
 
 
-def test_edges_from_extracted_operations_and_citations(spark):
-    rows = [("lege-1-2020", "art1", "Articolul 5 din Legea nr. 98/2016 se abrogă."), ("lege-1-2020", "art2", "Potrivit Legii nr. 98/2016 și Codului fiscal."), ("hg-2-2021", "art1", "Vezi art. 2 din Hotărârea Guvernului nr. 2/2021 și Legea nr. 5/2001.")]
-    d = spark.createDataFrame(rows, "source string, source_locator string, text string")
-    since = spark.createDataFrame([("lege-1-2020", "2020-01-01")], "source string, since string")
-    e = graph.edges_of(since, extraction.amended(d, "text", "source", "source_locator"), extraction.cited(d, "text", "source", "source_locator"))
-    assert {(r["source"], r["target"], r["locator"], r["kind"], r["since"]) for r in e.collect()} == {("lege-1-2020", "lege-98-2016", "art5", "abroga", "2020-01-01"), ("lege-1-2020", "cod-fiscal", "", "refera", "2020-01-01"), ("hg-2-2021", "lege-5-2001", "", "refera", None)}
+def test_edges_of_operations_and_citations(spark):
+    ops = spark.createDataFrame([("lege-1", "art1", "lege-98", "art5", "abroga"), ("lege-1", "art3", "lege-1", "art1", "modifica")], "source string, source_locator string, act string, locator string, kind string")
+    refs = spark.createDataFrame([("lege-1", "art2", "lege-98", ""), ("lege-1", "art2", "cod", ""), ("hg-2", "art1", "hg-2", "art2"), ("hg-2", "art1", "lege-5", ""), ("hg-2", "art1", None, "")], "source string, source_locator string, act string, locator string")
+    since = spark.createDataFrame([("lege-1", "2020-01-01")], "source string, since string")
+    e = graph.edges_of(since, ops, refs)
+    assert {(r["source"], r["target"], r["locator"], r["kind"], r["since"]) for r in e.collect()} == {("lege-1", "lege-98", "art5", "abroga", "2020-01-01"), ("lege-1", "cod", "", "refera", "2020-01-01"), ("hg-2", "lege-5", "", "refera", None)}
 
 
-def test_word_diff_and_symmetric_overlap(spark):
-    d = spark.createDataFrame([(1, "a b c d", "a x c d e"), (2, None, "n"), (3, "same", "same")], "id int, old string, new string")
-    got = [(r["id"], r["op"], r["old"], r["new"]) for r in similarity.word_diff(d, "old", "new", "id").orderBy("id", "n").collect()]
-    assert got == [(1, "replace", "b", "x"), (1, "insert", "", "e"), (2, "insert", "", "n")]
+def test_symmetric_overlap(spark):
     u = spark.createDataFrame([(1, "u", "abcdefgh")], "key int, unit string, text string")
     b = spark.createDataFrame([(1, "n", "abcdefgx")], "key int, norm string, text string")
     assert [r["jaccard"] for r in similarity.symmetric(u, b).collect()] == [0.6]
