@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIR: list[str] = []
 
@@ -112,6 +113,14 @@ def fresh(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "binary": T.BinaryType(), "double": T.DoubleType()}
+
+
+def schema(said: str) -> T.StructType:
+    """`a string, b long` as a schema, which needs no session, so that modules say it where workers import them too."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in said.split(","))])
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

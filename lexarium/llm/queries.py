@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_model, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, topk_search, toxicity
+from . import decontamination, html_extraction, language_model, license_scan, line_dedup, mixing, ngram_jaccard, prefix_trie, ranked_search, secret_scan, topk_search, toxicity, url_filter
 from .common import table
 from .queries_sql import ORACLES
 
@@ -69,8 +69,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_lx_lines").alias("n_lines"), F.col("_lx_dropped").alias("n_dropped"), "text")
 
 
+#: Rules that op11 judges by.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return u.select("page_id", F.col("_lx_host").alias("host"), F.col("_lx_path").alias("path"), F.col("_lx_rule").alias("rule"), F.col("_lx_verdict").alias("verdict"), F.col("_lx_score").alias("score"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark")).select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.turn_paths(table(spark, sf_dir, "conversations"))
+    head = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(4)).cast("int")
+    t = prefix_trie.prefix_trie(prefix_trie.rebuilt(paths, head, F.col("conv") - F.col("conv") % 20, 3))
+    return t.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("kids").alias("n_children"), F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_toxicity, op3_source_mixing, op4_html_extraction, op5_lm_scoring, op6_ngram_jaccard_join, op7_exact_topk, op8_secret_scan, op9_benchmark_decontamination, op10_line_dedup)
+    own = (op1_license_scan, op2_toxicity, op3_source_mixing, op4_html_extraction, op5_lm_scoring, op6_ngram_jaccard_join, op7_exact_topk, op8_secret_scan, op9_benchmark_decontamination, op10_line_dedup, op11_url_filter, op12_ranked_search, op13_prefix_trie)
     return {f.__name__: f for f in own}
 
 

@@ -112,4 +112,35 @@ def _secrets() -> str:
       coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example from d left join agg on d.doc_id = agg.doc_id"""
 
 
-ORACLES = {"op1_license_scan": _license(), "op3_source_mixing": _MIXING, "op6_ngram_jaccard_join": _JACCARD, "op7_exact_topk": _TOPK, "op8_secret_scan": _secrets()}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RANKED = rf"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+x as (select doc_id, w, len(w) as n, row_number() over () as r from d where len(w) > 0),
+c as (select count(*) as docs, sum(n)::bigint as terms from x),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from x) group by all),
+q as (select qi, item_id, unnest(t) as t from (select row_number() over () as qi, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)),
+w as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*) as df from tf where t in (select t from q) group by t), c),
+p as (select tf.r, tf.t, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * x.n * c.docs) // c.terms))) as s from tf join w using (t) join x using (r), c),
+s as (select qi, item_id, r, sum(s)::bigint as score from q join p using (t) group by all),
+k as (select qi, item_id, x.doc_id, score, (row_number() over (partition by qi order by score desc, x.doc_id))::int as rank from s join x using (r) where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split({c}::varchar, ''), lambda x: ascii(x)::bigint), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)), 4294967295)"
+_TRIE = rf"""with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+n as (select c, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i, {{'role': role, 'text': text}} as turn from t),
+ids as (select distinct c from t), k as (select c, c - c % 20 as base, {_CRC.format(c="c")} % 4 as h from ids),
+b as (select k.c, n.i, n.turn from k join n on n.c = k.base where n.i <= h union all select k.c, n.i - h + 1000000, n.turn from k join n on n.c = k.c where n.i > h),
+m as (select c, row_number() over (partition by c order by i) as d, turn from b),
+a as (select c, list(turn order by d) as turns from m group by c),
+f as (select ids.c, coalesce(turns, []) as turns from ids left join a using (c)),
+x as (select c, len(turns) as total, unnest(range(0, len(turns) + 1)) as d, turns from f),
+p as (select c, total, d, md5(turns[1:d]::json::varchar) as own, md5(turns[1:d - 1]::json::varchar) as above, case when d > 0 then len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) else 0 end as words from x),
+g as (select d, own, any_value(above) as above, min(c) as conv_id, count(*) as n_convs, any_value(words) as words, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (total = d), '')) as ends_sha256 from p group by d, own),
+kids as (select d - 1 as d, above as own, count(*) as n_children from g where d > 0 group by all),
+full_ as (select g.*, coalesce(n_children, 0) as n_children from g left join kids using (d, own)),
+u as (select distinct p.d, p.own, q.d as e, q.own as below from p join p q on p.c = q.c and q.d >= p.d),
+s as (select u.d, u.own, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens from u join full_ on full_.d = u.e and full_.own = u.below group by all)
+select x.conv_id, x.d::bigint as depth, y.conv_id as parent_conv_id, x.n_convs::bigint as n_convs, x.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens, x.ends_sha256
+from full_ x join s on s.d = x.d and s.own = x.own left join g y on y.d = x.d - 1 and y.own = x.above"""
+
+ORACLES = {"op1_license_scan": _license(), "op3_source_mixing": _MIXING, "op6_ngram_jaccard_join": _JACCARD, "op7_exact_topk": _TOPK, "op8_secret_scan": _secrets(), "op12_ranked_search": _RANKED, "op13_prefix_trie": _TRIE}
