@@ -133,7 +133,7 @@ def merged_hits(exact: DataFrame, textual: DataFrame, keys: list[str], limit: in
     return x.groupBy(*keys).agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("o")).select(*keys, "o.tier", (-F.col("o.s")).alias("score")).orderBy("tier", F.desc("score"), *keys).limit(limit)
 
 
-def prefix_shards(posted: DataFrame, n_docs: int, cut: float = 0.4) -> DataFrame:
-    """Tokens and postings by three-character prefix, without tokens of more than `cut` of the documents."""
-    tokens = posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= cut * n_docs)
-    return tokens.groupBy(F.substring("token", 1, 3).alias("prefix")).agg(F.count("*").alias("n_tokens"), F.sum("df").alias("n_postings"))
+def prefix_shards(frequencies: DataFrame, n_docs: int, cut: float = 0.4) -> DataFrame:
+    """frequencies(token, n): tokens and postings by three-character prefix, without tokens of more than `cut` of the documents."""
+    tokens = frequencies.where(F.col("n") <= cut * n_docs)
+    return tokens.groupBy(F.substring("token", 1, 3).alias("prefix")).agg(F.count("*").alias("n_tokens"), F.sum("n").alias("n_postings"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,21 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_DIR: list[str] = []
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or (unset, in local mode only) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="lexarium-"))
+        base = _OWN_DIR[0]
+    return f"{base.rstrip('/')}/lexarium-{uuid.uuid4().hex}"
+
+
 def local(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     b = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", memory)

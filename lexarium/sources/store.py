@@ -1,4 +1,4 @@
-"""A folder of Parquet tables as a store: keyed replacement in versions, cuts for distribution, published copies."""
+"""A folder of Parquet tables as a store: keyed replacement, several tables in one commit, cuts for distribution, copies."""
 
 from __future__ import annotations
 
@@ -8,38 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import newest, replaced
+from .commits import Commits, Stale, State
 
+__all__ = ["Stale", "Store", "Transaction"]
 
-class Store:
-    """Tables below one path, each in versions: a write makes the next version, readers see the last whole one.
 
-    A write that fails leaves an unfinished version that nobody reads; the next write takes its number and overwrites it.
+class Transaction:
+    """Writes to several tables that are seen together or not at all.
+
+    `with store.transaction() as t:` commits at the end; an exception inside leaves the old state. Reads see what the
+    transaction itself has written.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, commits: Commits, base: State):
+        self.commits, self.base = commits, base
+        self.staged: dict[str, list[str]] = {}
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return []
-        found = [s.getPath() for s in fs.listStatus(where)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None and self.staged:
+            self.commits.commit(self.base, self.staged)
 
     def has(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return name in self.staged or name in self.base.tables
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v{self._versions(name)[-1]}")
+        return self.commits.read(State(tables=self.base.tables | self.staged), name)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        n = (self._versions(name) or [-1])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
+        self.staged[name] = [self.commits.stage(name, rows)]
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows in a folder of their own: nothing that is there is rewritten."""
+        there = self.staged.get(name, self.base.tables.get(name, []))
+        self.staged[name] = [*there, self.commits.stage(name, rows)]
 
     def put(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
-        """Replace all rows of the keys in rows; the last row given of each full key counts where rows repeat one."""
+        """Replace all rows of the keys in rows."""
         self.write(name, replaced(self.read(name), rows, list(keys)) if self.has(name) else rows)
 
     def put_acts(self, acts: DataFrame, children: dict[str, DataFrame], key: str = "act") -> None:
@@ -51,20 +58,67 @@ class Store:
             raise ValueError("an act is given twice")
         ids = acts.select(key)
         for name, rows in children.items():
-            old = self.read(name).join(ids, key, "left_anti").unionByName(rows) if self.has(name) else rows
-            self.write(name, old)
+            self.write(name, self.read(name).join(ids, key, "left_anti").unionByName(rows) if self.has(name) else rows)
         self.put("acts", acts, [key])
 
     def add_once(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
         """Append rows whose keys the table doesn't have; of several with one key the first by content."""
         rows = newest(rows, list(keys), [c for c in rows.columns if c not in keys] or list(keys), first=True)
-        self.write(name, self.read(name).unionByName(rows.join(self.read(name).select(*keys), list(keys), "left_anti")) if self.has(name) else rows)
+        self.append(name, rows.join(self.read(name).select(*keys), list(keys), "left_anti") if self.has(name) else rows)
+
+
+class Store:
+    """Tables below one path. Readers follow the last commit; a writer that started from an older one is refused (Stale)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.commits = spark, path.rstrip("/"), Commits(spark, path)
+
+    def transaction(self) -> Transaction:
+        return Transaction(self.commits, self.commits.latest())
+
+    def has(self, name: str) -> bool:
+        return self.transaction().has(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.transaction().read(name)
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        with self.transaction() as t:
+            t.write(name, rows)
+
+    def put(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
+        with self.transaction() as t:
+            t.put(name, rows, keys)
+
+    def put_acts(self, acts: DataFrame, children: dict[str, DataFrame], key: str = "act") -> None:
+        with self.transaction() as t:
+            t.put_acts(acts, children, key)
+
+    def add_once(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
+        with self.transaction() as t:
+            t.add_once(name, rows, keys)
+
+    def replay(self, snapshots: DataFrame, tables: dict[str, DataFrame], key: str = "snapshot") -> bool:
+        """Add what snapshots say, once: snapshots(key, ..) that `replayed` names already add nothing to any table.
+
+        tables: rows with the key's column, of which those of new snapshots are appended. Returns whether any was new.
+        """
+        with self.transaction() as t:
+            new = snapshots.join(t.read("replayed").select(key), key, "left_anti") if t.has("replayed") else snapshots
+            if new.limit(1).count() == 0:
+                return False
+            ids = new.select(key).distinct()
+            for name, rows in tables.items():
+                t.append(name, rows.join(ids, key, "left_semi"))
+            t.append("replayed", ids)
+        return True
 
     def cut(self, names: Sequence[str], to: str, version: str, sort: dict[str, str] | None = None) -> DataFrame:
-        """Copy tables to a folder of their own, in ranges of a sort column where one is given, with a manifest row each."""
-        out = []
+        """Copy tables of one commit to a folder of their own, in ranges of a sort column where one is given, with a manifest
+        row each."""
+        out, state = [], self.transaction()
         for name in names:
-            t = self.read(name)
+            t = state.read(name)
             by = (sort or {}).get(name)
             (t.repartitionByRange(by).sortWithinPartitions(by) if by else t).withColumn("release", F.lit(version)).write.mode("overwrite").parquet(f"{to}/{name}")
             out.append((name, version, self.spark.read.parquet(f"{to}/{name}").count()))
@@ -74,10 +128,10 @@ class Store:
 
     def publish(self, to: str, keep: dict[str, Sequence[str]], version: str) -> DataFrame:
         """A copy with only the tables and columns that readers use, checked against the counts it was made from."""
-        m = []
+        m, state = [], self.transaction()
         for name, columns in keep.items():
-            self.read(name).select(*columns).write.mode("overwrite").parquet(f"{to}/{name}")
-            n, got = self.read(name).count(), self.spark.read.parquet(f"{to}/{name}").count()
+            state.read(name).select(*columns).write.mode("overwrite").parquet(f"{to}/{name}")
+            n, got = state.read(name).count(), self.spark.read.parquet(f"{to}/{name}").count()
             if n != got:
                 raise ValueError(f"{name}: {n} rows became {got}")
             m.append((name, version, got))
