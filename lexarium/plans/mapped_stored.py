@@ -108,3 +108,36 @@ def store_acts_replaced(spark, t):
     store.put_acts(acts.where(some).withColumn("edition", F.lit("second")), {"provisions": provisions.where(some & (F.col("l_linenumber") == 1)).join(acts.select("act"), "act", "left_semi")})
     n = store.read("provisions").groupBy("act").agg(F.count("*").alias("n"))
     return store.read("acts").join(n, "act", "left").select("act", "edition", F.coalesce("n", F.lit(0)).alias("provisions"))
+
+
+# ------------------------------------------------------------------ streams
+MOVES = [("signup", "view"), ("view", "click"), ("click", "view"), ("click", "purchase"), ("purchase", "view"), ("view", "error"), ("error", "signup"), ("timed_out", "signup"), ("timed_out", "view")]
+_ALLOWED = ", ".join(f"'{a}>{b}'" for a, b in MOVES)
+
+
+@query(f"""with recursive e as (select 's' || user_id as source, ts as day, event_type as target, row_number() over (partition by user_id order by ts, event_id) as i from events),
+ s(source, i, day, state, outcome, gone) as (select source, i, day, target, 'first', false from e where i = 1
+  union all select source, i, day, case when target = b or b || '>' || target in ({_ALLOWED}) then target else b end, case when target = b then 'same' when b || '>' || target in ({_ALLOWED}) then 'moved' else 'refused' end, b <> was
+  from (select e.source, e.i, e.day, e.target, s.state as was, case when e.day > s.day + interval 2 day then 'timed_out' else s.state end as b from s join e on e.source = s.source and e.i = s.i + 1) x),
+ told as (select outcome, state from s union all select 'timed_out', 'timed_out' from s where gone
+  union all select 'timed_out', 'timed_out' from s where i = (select max(e.i) from e where e.source = s.source) and state <> 'timed_out' and day + interval 2 day <= (select max(ts) from events))
+ select outcome, state, count(*) as n from told group by all""")
+def stream_source_sync(spark, t):
+    """Events in three deliveries, each a restart of the query: states, refused moves and sources that fell silent."""
+    from datetime import timedelta
+
+    from ..streaming import sync
+
+    folder, out = work_dir(spark), work_dir(spark)
+    e = t("events").select(F.concat(F.lit("s"), "user_id").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("event"), F.col("event_type").alias("to"))
+    low, high = e.agg(F.min("at"), F.max("at")).first()
+    cuts = [low + (high - low) * i / 3 for i in range(1, 3)]
+    for k, v in sync.PROVIDER.items():
+        spark.conf.set(k, v)
+    for n in range(3):
+        part = e.where((F.col("at") >= cuts[n - 1] if n else F.lit(True)) & (F.col("at") < cuts[n] if n < 2 else F.lit(True)))
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(e.schema).parquet(folder)
+        synced = sync.synced_stream(stream, MOVES, timedelta(days=2))
+        synced.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("outcome", "state").agg(F.count("*").alias("n"))

@@ -216,3 +216,27 @@ def test_upkeep_equals_a_rebuild_and_reads_touched_buckets_only(spark, tmp_path)
     buckets = {f"known/{i}" for i in keeper._names(spark.createDataFrame([(t,) for t in touched], "target string"), "target")}
     assert {k for k in changed if k.startswith("known/")} == buckets and len([k for k in changed if k.startswith("by_source/")]) == 1
     assert [r["target"] for r in keeper.known(["p1"]).collect()] == ["p1"]
+
+
+# ------------------------------------------------------------------ source states
+def test_source_states_do_not_depend_on_batches_and_survive_restarts(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from lexarium.streaming import sync
+
+    for k, v in sync.PROVIDER.items():
+        spark.conf.set(k, v)
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    rows = [("a", day(1), 1, "new"), ("b", day(1), 2, "new"), ("a", day(1, 5), 3, "read"), ("a", day(2), 4, "new"), ("b", day(5), 5, "read"), ("a", day(5, 1), 6, "done"), ("c", day(9), 7, "new")]
+    allowed, runs = [("new", "read"), ("read", "done"), ("timed_out", "read")], {}
+    for name, cuts in (("one", [7]), ("three", [3, 5, 7])):
+        folder, out, at = str(tmp_path / name / "in"), str(tmp_path / name / "out"), 0
+        for to in cuts:
+            spark.createDataFrame(rows[at:to], "source string, at timestamp, event long, to string").coalesce(1).write.mode("append").parquet(folder)
+            s = sync.synced_stream(spark.readStream.schema("source string, at timestamp, event long, to string").parquet(folder), allowed, timedelta(days=2))
+            s.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+            at = to
+        runs[name] = sorted((r["source"], r["at"], r["outcome"], r["state"]) for r in spark.read.parquet(out).collect())
+    want = [("a", day(1), "first", "new"), ("a", day(1, 5), "moved", "read"), ("a", day(2), "refused", "read"), ("a", day(4), "timed_out", "timed_out"), ("a", day(5, 1), "refused", "timed_out")]
+    want += [("b", day(1), "first", "new"), ("b", day(3), "timed_out", "timed_out"), ("b", day(5), "moved", "read"), ("b", day(7), "timed_out", "timed_out"), ("c", day(9), "first", "new")]
+    assert runs["one"] == runs["three"] == sorted(want)
