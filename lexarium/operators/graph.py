@@ -1,7 +1,8 @@
 """Citation graph of acts: edges(source, source_locator, target, locator, kind, since), read in both directions.
 
-Locators are dotted paths (art5.alin2), an empty one is the whole act. Every join is by act first, so that a provision
-only meets edges of its own act; what compares paths runs inside that join.
+Locators are dotted paths (art5.alin2), an empty one is the whole act. What lies below a path is found by ancestors: a
+locator is dealt out under each path that holds it, so that covering is equality on (act, path) and a much cited act is no
+one key.
 """
 
 from __future__ import annotations
@@ -18,6 +19,15 @@ def covers(outer: Column, inner: Column) -> Column:
     return (outer == "") | (outer == inner) | F.startswith(inner, F.concat(outer, F.lit(".")))
 
 
+def ancestors(locator: Column, itself: bool = True) -> Column:
+    """The paths that hold a locator: the whole act (''), each path above it, and itself."""
+    parts = F.split(locator, r"\.")
+    depth = F.size(parts)
+    above = F.transform(F.when(depth > 1, F.sequence(F.lit(1), depth - 1)).otherwise(F.array().cast("array<int>")), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    up = F.when(locator == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("")), above))
+    return F.concat(up, F.array(locator)) if itself else up
+
+
 def touch(cited: Column, target: Column) -> Column:
     """How a cited path meets a target: exact, inside it, around it (whole act included) or apart."""
     return F.when(cited == target, "exact").when(covers(target, cited), "inside").when(covers(cited, target), "around").otherwise("apart")
@@ -36,10 +46,16 @@ def spanned_text(provisions: DataFrame, act: str = "act", ord_: str = "ord", loc
     return provisions.select(act, ord_, locator, start.alias("start"), (start + F.length(text)).alias("end"))
 
 
-def at_offset(points: DataFrame, spans: DataFrame, act: str = "act", offset: str = "offset") -> DataFrame:
-    """points with the locator of the provision they lie in (start <= offset < end); null outside all."""
-    s = spans.select(F.col(act).alias("_act"), "start", "end", "locator")
-    return points.join(s, (points[act] == s["_act"]) & (s["start"] <= points[offset]) & (points[offset] < s["end"]), "left").drop("_act", "start", "end")
+def at_offset(points: DataFrame, spans: DataFrame, act: str = "act", offset: str = "offset", width: int = 128) -> DataFrame:
+    """points with the locator of the provision they lie in (start <= offset < end); null outside all.
+
+    Spans are dealt out to the bins of `width` places that they reach, so that a point only meets spans of its own bin, and
+    a long act's bins are keys of their own.
+    """
+    bins = F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
+    s = spans.select(F.col(act).alias("_act"), "start", "end", "locator", bins.alias("_bin"))
+    p = points.withColumn("_at", F.floor(F.col(offset) / width))
+    return p.join(s, (p[act] == s["_act"]) & (p["_at"] == s["_bin"]) & (s["start"] <= p[offset]) & (p[offset] < s["end"]), "left").drop("_act", "start", "end", "_bin", "_at")
 
 
 def edges_of(sources: DataFrame, operations: DataFrame, citations: DataFrame) -> DataFrame:
@@ -67,8 +83,12 @@ def outbound(edges: DataFrame, source: str) -> DataFrame:
 def who_cites(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(target, path) with every edge that meets them: grade exact, inside or around, most certain first by rank."""
     t = targets.select(F.col("target").alias("_t"), "path")
-    e = edges.join(t, edges["target"] == t["_t"]).drop("_t").withColumn("grade", touch(F.col("locator"), F.col("path"))).where("grade <> 'apart'")
-    return e.withColumn("rank", F.when(F.col("grade") == "exact", 0).when(F.col("grade") == "inside", 1).otherwise(2))
+    over = t.withColumn("_key", F.explode(ancestors(F.col("path"))))
+    e = edges.join(over, (edges["target"] == over["_t"]) & (edges["locator"] == over["_key"])).drop("_t", "_key")
+    below = edges.withColumn("_key", F.explode(ancestors(F.col("locator"), itself=False)))
+    inside = below.join(t, (below["target"] == t["_t"]) & (below["_key"] == t["path"])).drop("_t", "_key")
+    met = e.withColumn("grade", F.when(F.col("locator") == F.col("path"), "exact").otherwise("around")).unionByName(inside.withColumn("grade", F.lit("inside")))
+    return met.withColumn("rank", F.when(F.col("grade") == "exact", 0).when(F.col("grade") == "inside", 1).otherwise(2))
 
 
 def neighbours(edges: DataFrame, limit: int = 10) -> DataFrame:
@@ -111,5 +131,5 @@ def impact(edges: DataFrame, uses: DataFrame, sizes: DataFrame, small: int = 400
 
 def tightest(hits: DataFrame, unit: str = "unit", norm: str = "norm") -> DataFrame:
     """hits without those of a unit that holds another unit (a longer path) with the same norm."""
-    d = hits.select(F.col(unit).alias("_u"), F.col(norm).alias("_n"))
-    return hits.join(d, (hits[norm] == d["_n"]) & F.startswith(d["_u"], F.concat(hits[unit], F.lit("."))), "left_anti")
+    above = hits.select(F.explode(ancestors(F.col(unit), itself=False)).alias(unit), norm).distinct()
+    return hits.join(above, [unit, norm], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,13 +58,22 @@ def re_enactments(units: DataFrame, norms: DataFrame, contained: float = 0.8, wo
     """(unit, norm, part): norms whose fingerprint a unit contains.
 
     units(unit, text) and norms(norm, text) need at least `words` words; a unit may have up to `ratio` times the norm's
-    grams. Grams meet in an equi join under the sizes that can match; units shorter than any norm needs make none.
+    grams. A unit that holds that part of a norm's n grams holds one of any n - ceil(contained * n) + 1 of them, so only the
+    rarest so many, by their number of units, are joined; what meets there is decided on the whole fingerprints.
     """
     enough = F.size(F.split(flattened(F.col("text")), " ")) >= words
     u = units.where(enough).select("unit", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_u", F.size("g"))
-    b = norms.where(enough).select("norm", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_b", F.size("g"))
+    b = norms.where(enough).select("norm", F.explode(F.array(fingerprint(F.col("text")))).alias("h")).withColumn("n_b", F.size("h"))
     ends = b.agg(F.min("n_b").alias("lo"), F.max("n_b").alias("hi"))  # one row: a unit of fewer grams than any norm needs can contain none
     u = u.crossJoin(F.broadcast(ends)).where((F.col("n_u") >= contained * F.col("lo")) & (F.col("n_u") <= ratio * F.col("hi"))).drop("lo", "hi")
-    hit = u.select("unit", "n_u", F.explode("g").alias("gram")).join(b.select("norm", "n_b", F.explode("g").alias("gram")), "gram").where((F.col("n_u") <= ratio * F.col("n_b")) & (F.col("n_u") >= contained * F.col("n_b")))
-    both = hit.groupBy("unit", "norm").agg(F.count("*").alias("both"), F.first("n_b").alias("n_b"))
-    return both.select("unit", "norm", F.round(F.col("both") / F.col("n_b"), 6).alias("part")).where(F.col("part") >= contained)
+    grams = b.select("norm", "n_b", F.explode("h").alias("gram"))
+    posted = u.select("unit", "n_u", F.explode("g").alias("gram"))
+    often = posted.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("units"))
+    at = F.row_number().over(Window.partitionBy("norm").orderBy("units", "gram"))
+    rarest = grams.join(often, "gram").withColumn("at", at).join(b.select("norm", F.size("h").alias("n")), "norm")
+    # grams that no unit has count as the rarest: they take places, but join nothing
+    absent = grams.join(often, "gram", "left_anti").groupBy("norm").agg(F.count("*").alias("absent"))
+    rarest = rarest.join(absent, "norm", "left").where(F.col("at") + F.coalesce("absent", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * contained - 1e-9) + 1)
+    met = posted.join(rarest.select("norm", "n_b", "gram"), "gram").where((F.col("n_u") <= ratio * F.col("n_b")) & (F.col("n_u") >= contained * F.col("n_b"))).select("unit", "norm").distinct()
+    both = met.join(b, "norm").join(u, "unit").select("unit", "norm", F.round(F.size(F.array_intersect("g", "h")) / F.col("n_b"), 6).alias("part"))
+    return both.where(F.col("part") >= contained)

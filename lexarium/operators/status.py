@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import legal_rank
-from .graph import covers, overlap_grade
+from .graph import ancestors
 
 #: Kinds of edges that qualify a provision, and what they make of it.
 QUALIFIES = {"suspenda": "suspendat", "deroga": "derogare", "proroga": "prorogat"}
@@ -23,11 +23,11 @@ def dead_citations(refs: DataFrame, edges: DataFrame, republished: DataFrame) ->
     The repeal of the whole act counts first; else the earliest of a part that is the cited one or holds it. Of a part,
     a repeal older than the republication(act, republished) is material, all others are blocking.
     """
-    dead = edges.where("kind = 'abroga'").select(F.col("target").alias("_a"), F.col("locator").alias("gone"), F.col("since").alias("since"), F.col("source").alias("by"))
-    r = refs.select("ref", "act", "locator").distinct()
-    hit = r.join(dead, (r["act"] == dead["_a"]) & covers(F.col("gone"), F.col("locator")) & ((F.col("gone") == "") | (F.col("locator") != ""))).drop("_a")
-    order = F.struct((F.col("gone") != "").alias("part"), F.coalesce(F.col("since").cast("string"), F.lit("")).alias("day"), "gone", "by", "since")
-    one = hit.groupBy("ref", "act", "locator").agg(F.min(order).alias("x")).join(republished, "act", "left")
+    day = F.coalesce(F.col("since").cast("string"), F.lit(""))
+    dead = edges.where("kind = 'abroga'").groupBy(F.col("target").alias("act"), F.col("locator").alias("gone")).agg(F.min(F.struct(day.alias("day"), F.col("source").alias("by"), "since")).alias("r"))
+    r = refs.select("ref", "act", "locator").distinct().withColumn("gone", F.explode(ancestors(F.col("locator"))))
+    order = F.struct((F.col("gone") != "").alias("part"), F.col("r.day").alias("day"), "gone", F.col("r.by").alias("by"), F.col("r.since").alias("since"))
+    one = r.join(dead, ["act", "gone"]).groupBy("ref", "act", "locator").agg(F.min(order).alias("x")).join(republished, "act", "left")
     moved = crosses_republication(F.col("x.since"), F.col("republished"), F.col("x.gone"))
     return one.select("ref", "act", "locator", F.col("x.by").alias("by"), F.col("x.since").alias("since"), (F.col("x.gone") == "").alias("whole"), F.when(moved, "material").otherwise("blocking").alias("severity"))
 
@@ -36,8 +36,8 @@ def qualified_citations(refs: DataFrame, edges: DataFrame) -> DataFrame:
     """refs that point at something suspended, derogated from or extended, and not repealed: with status, by and since."""
     r = refs.select("ref", "act", "locator").distinct()
     alive = r.join(dead_citations(r, edges, refs.sparkSession.createDataFrame([], "act string, republished date")).select("ref", "act", "locator"), ["ref", "act", "locator"], "left_anti")
-    q = edges.where(F.col("kind").isin(*QUALIFIES)).select(F.col("target").alias("_a"), F.col("locator").alias("on"), F.col("kind").alias("status"), "since", F.col("source").alias("by"))
-    hit = alive.join(q, (alive["act"] == q["_a"]) & covers(F.col("on"), F.col("locator"))).drop("_a")
+    q = edges.where(F.col("kind").isin(*QUALIFIES)).select(F.col("target").alias("act"), F.col("locator").alias("on"), F.col("kind").alias("status"), "since", F.col("source").alias("by")).distinct()
+    hit = alive.withColumn("on", F.explode(ancestors(F.col("locator")))).join(q, ["act", "on"])
     return hit.select("ref", "act", "locator", F.create_map(*(F.lit(x) for kv in QUALIFIES.items() for x in kv))[F.col("status")].alias("status"), "by", "since").distinct()
 
 
@@ -47,10 +47,18 @@ def struck_register(strikes: DataFrame, edges: DataFrame, kinds: DataFrame, toda
     A repair is a later change of an overlapping part of the act by an act that may change it: kinds(act, kind) gives the
     types, an unknown one may. The deadline is publication + days, only for a strike that suspends.
     """
-    e = edges.select(F.col("target").alias("_a"), F.col("locator").alias("on"), F.col("since").alias("_d"), "source").join(kinds.select(F.col("act").alias("source"), F.col("kind").alias("by_kind")), "source", "left")
-    s = strikes.join(kinds.select("act", F.col("kind").alias("own_kind")), "act", "left")
-    may = F.col("by_kind").isNull() | F.col("own_kind").isNull() | (legal_rank(F.col("by_kind")) <= legal_rank(F.col("own_kind")))
-    open_ = s.join(e, (s["act"] == e["_a"]) & (e["_d"] > s["published"]) & (covers(e["on"], s["locator"]) | covers(s["locator"], e["on"])) & may, "left_anti")
+    by_kind = kinds.select(F.col("act").alias("source"), F.col("kind").alias("by_kind"))
+    e = edges.where("since is not null").select(F.col("target").alias("act"), "locator", "since", "source").join(by_kind, "source", "left")
+    e = e.withColumn("by", F.when(F.col("by_kind").isNotNull(), legal_rank(F.col("by_kind"))))
+    # of the changes of a path, and of those of what lies below it, only the last one by each rank can repair
+    last = lambda d: d.groupBy("act", "on", "by").agg(F.max("since").alias("last"))
+    at, below = last(e.withColumn("on", F.col("locator"))), last(e.withColumn("on", F.explode(ancestors(F.col("locator"), itself=False))))
+    s = strikes.join(kinds.select("act", F.col("kind").alias("own_kind")), "act", "left").withColumn("own", F.when(F.col("own_kind").isNotNull(), legal_rank(F.col("own_kind"))))
+    repairs = (F.col("last") > F.col("published")) & (F.col("by").isNull() | F.col("own").isNull() | (F.col("by") <= F.col("own")))
+    key = s.select("strike", "act", "locator", "published", "own")
+    over = key.withColumn("on", F.explode(ancestors(F.col("locator")))).join(at, ["act", "on"]).where(repairs).select("strike")
+    under = key.withColumn("on", F.col("locator")).join(below, ["act", "on"]).where(repairs).select("strike")
+    open_ = s.join(over.unionAll(under).distinct(), "strike", "left_anti")
     due = F.when(F.col("suspends"), F.date_add("published", days))
     return open_.select("strike", "act", "locator", "published", due.alias("due"), F.greatest(F.datediff(today, due), F.lit(0)).alias("overdue"))
 
@@ -63,9 +71,14 @@ def strike_summary(register: DataFrame) -> DataFrame:
 
 def collisions(refs: DataFrame, register: DataFrame) -> DataFrame:
     """Citations of a draft that meet struck provisions: (ref, act, locator, grade, struck, first_strike), closest grade first."""
-    s = strike_summary(register).select(F.col("act").alias("_a"), F.col("locator").alias("struck"), "first_strike")
+    s = strike_summary(register).select("act", F.col("locator").alias("struck"), "first_strike")
     r = refs.select("ref", "act", "locator").distinct()
-    hit = r.join(s, r["act"] == s["_a"]).drop("_a").withColumn("grade", overlap_grade(F.col("locator"), F.col("struck"))).where("grade is not null")
+    over = r.withColumn("struck", F.explode(ancestors(F.col("locator")))).join(s, ["act", "struck"])
+    over = over.select("ref", "act", "locator", "struck", "first_strike", F.when(F.col("locator") == F.col("struck"), "exact").when(F.col("struck") == "", "whole").otherwise("sub").alias("grade"))
+    # of what is struck below a path only the first counts
+    below = s.withColumn("locator", F.explode(ancestors(F.col("struck"), itself=False))).groupBy("act", "locator").agg(F.min(F.struct("first_strike", "struck")).alias("x"))
+    under = r.join(below, ["act", "locator"]).select("ref", "act", "locator", "x.struck", "x.first_strike", F.when(F.col("locator") == "", "act").otherwise("over").alias("grade"))
+    hit = over.unionAll(under)
     rank = F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(("exact", "sub", "over", "whole", "act")) for x in (g, i))), F.col("grade"))
     at = F.row_number().over(Window.partitionBy("ref", "act", "locator").orderBy(rank, "first_strike", "struck"))
     return hit.withColumn("at", at).where("at = 1").drop("at")

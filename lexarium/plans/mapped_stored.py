@@ -141,3 +141,24 @@ def stream_source_sync(spark, t):
         synced = sync.synced_stream(stream, MOVES, timedelta(days=2))
         synced.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("outcome", "state").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ damaged names
+_HURT = "case when k % 7 = 0 then substr(name, 1, 13) || '?' || substr(name, 15) when k % 3 = 0 then substr(name, 1, k % 6 + 1) || '?' || substr(name, k % 6 + 3) else name end"
+_NAMES = f"""names as (select id, {_HURT} as name from (select 's' || s_suppkey as id, s_suppkey as k, s_name as name from supplier union all select 'c' || c_custkey, c_custkey, c_name from customer union all select 'p' || p_partkey, p_partkey * 3 + 1, p_name from part)),
+ parts as (select id, unnest(regexp_extract_all(name, '[^\\s#,.;]+|[\\s#,.;]')) as word, unnest(range(len(regexp_extract_all(name, '[^\\s#,.;]+|[\\s#,.;]')))) as i from names)"""
+
+
+@query(f"""with {_NAMES}, n as (select word, count(*) as n from parts group by word),
+ m as (select d.word, w.word as spelling, w.n, max(w.n) over (partition by d.word) as most from n d join n w on contains(d.word, '?') and not contains(w.word, '?') and length(d.word) = length(w.word)
+  and len(list_filter(range(1, length(d.word) + 1), lambda i: substr(d.word, i, 1) <> '?' and substr(d.word, i, 1) <> substr(w.word, i, 1))) = 0),
+ f as (select word, min(spelling) as spelling from m where n = most group by word having count(*) = 1),
+ r as (select id, bool_and(not contains(p.word, '?') or f.spelling is not null) as sure, string_agg(coalesce(f.spelling, p.word), '' order by i) as now from parts p left join f using (word) group by id)
+ select id, name, case when sure then now end as repaired from names join r using (id)""")
+def repair_damaged_names(spark, t):
+    """Names with one damaged place each: undone where one spelling is the commonest, else null."""
+    named = lambda table, letter, key, name, k: t(table).select(F.concat(F.lit(letter), key).alias("id"), k.alias("k"), F.col(name).alias("name"))
+    d = named("supplier", "s", "s_suppkey", "s_name", F.col("s_suppkey")).unionAll(named("customer", "c", "c_custkey", "c_name", F.col("c_custkey"))).unionAll(named("part", "p", "p_partkey", "p_name", F.col("p_partkey") * 3 + 1))
+    from ..operators.repair import repaired_names
+
+    return repaired_names(d.select("id", F.expr(_HURT).alias("name")), "id", "name")
