@@ -1,4 +1,4 @@
-"""LM scoring: a hashed maximum-entropy model with a class-factored softmax, over exact counts of the whole corpus."""
+"""LM scoring: a hashed maximum-entropy model with a class-factored softmax in two levels, over exact counts of the whole corpus."""
 
 from __future__ import annotations
 
@@ -7,16 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, mix64, most_frequent, small_batches, span_hashes, word_bounds, written
-
-#: Classes of words (by their last two bytes; the last class is the end of a text), feature templates, tokens that are
-#: scored at once, and the share of the step that counts alone call for which each template takes.
-CLASSES, TEMPLATES, STEP, SHARE = 32, 3, 4096, 0.5
-#: Hashed contexts of a template: 2^MIN_BITS up to 2^TOKEN_BITS learnt tokens, twice as many for each eight times the
-#: tokens, 2^MAX_BITS at most.
-MIN_BITS, MAX_BITS, TOKEN_BITS = 11, 16, 24
-#: Synchronous gradient steps over all learnt tokens, after the start from counts.
-ROUNDS = 1
+from .common import SPACED, mix64, most_frequent, release, small_batches, span_hashes, word_bounds, written
+
+#: Classes of words (by their last two bytes; the last class is the end of a text) and parts of a class (by a hash of the
+#: word); feature templates; bits of a hashed context of each template; tokens that are scored at once.
+CLASSES, PARTS, TEMPLATES, BITS, STEP = 32, 32, 3, 15, 4096
+#: Synchronous gradient steps over all learnt tokens: until the loss of texts kept apart (one in APART) falls by less than
+#: LEAST in log10 a token, ROUNDS at most.
+ROUNDS, LEAST, APART = 8, 0.01, 16
+#: The share of the step that counts alone call for which each template takes at the start, the pull of each weight towards
+#: the start without context, and the largest weight.
+SHARE, PULL, LARGEST = 0.5, 4.0, 12.0
+#: Learnt tokens of one task of a gradient step, so that sums of fixed size are few.
+TASK_TOKENS = 1 << 24
 #: Rows of weights that are summed as one block.
 ROWS = 128
 #: How many of the most frequent words have their counts sent to every task at most; all other words' counts are joined.
@@ -25,101 +28,142 @@ HEAD = 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and class of every token of all texts, ends included, and the number of tokens of each text."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, class and part of every token of all texts, ends included, and the number of tokens of each text."""
     data, starts, ends, counts = word_bounds(texts, SPACED)
     h = span_hashes(data, starts, ends)
     last = data[ends - 1].astype(np.int64)
     before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
     cls = ((last * 256 + before) * 2654435761 >> 7) % (CLASSES - 1)
+    part = (mix64(h ^ np.uint64(0x1234567)) >> np.uint64(20)).astype(np.int64) % PARTS
     stops = np.cumsum(counts)
-    return np.insert(h, stops, END), np.insert(cls, stops, CLASSES - 1), counts + 1
-
-
-def context_bits(tokens: int) -> int:
-    """Bits of a hashed context: the space grows with the learnt tokens."""
-    return min(MIN_BITS + max(int(tokens).bit_length() - TOKEN_BITS, 0) // 3, MAX_BITS)
+    return np.insert(h, stops, END), np.insert(cls, stops, CLASSES - 1), np.insert(part, stops, 0), counts + 1
 
 
-def contexts(h: np.ndarray, n: np.ndarray, bits: int = MIN_BITS) -> np.ndarray:
-    """Rows of the weight matrix that each token's context switches on: previous word, previous two, the one before (skip)."""
+def contexts(h: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two weight matrices that each token switches on: by the previous word, the previous two and the one before
+    (skip); for parts each together with the token's class. One array of TEMPLATES rows a matrix."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     one, two = np.roll(h, 1), np.roll(h, 2)
     one[place < 1] = 1
     two[place < 2] = 2
     with np.errstate(over="ignore"):
         feats = (mix64(one), mix64(one * np.uint64(31) ^ mix64(two)), mix64(two + np.uint64(77)))
-    return np.stack([(f >> np.uint64(64 - bits)).astype(np.int64) + (i << bits) for i, f in enumerate(feats)], 1)
+        of = (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        rows = lambda f, i: (f >> np.uint64(64 - BITS)).astype(np.int64) + (i << BITS)
+        return np.stack([rows(f, i) for i, f in enumerate(feats)]), np.stack([rows(mix64(f + of), i) for i, f in enumerate(feats)])
 
 
-def class_logs(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """log P(class | context) of each class, row by row of sparse active features."""
-    s = w[f[:, 0]]
-    for i in range(1, f.shape[1]):
-        s = s + w[f[:, i]]
-    s -= s.max(1, keepdims=True)
+def _sums_of(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    s = w[f[0]]
+    for i in range(1, len(f)):
+        s += w[f[i]]
+    return s  # weights are at most LARGEST, so that no exponential overflows
+
+
+def choice_logs(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """log P(choice | context) of every choice, a row a token, from sparse active features (templates x tokens)."""
+    s = _sums_of(w, f)
     return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
-def summed(f: np.ndarray, cls: np.ndarray, w: np.ndarray | None, rows: int) -> np.ndarray:
-    """Sums over tokens: how often each class follows each context and, with weights, how often the model expects it.
+def chosen_logs(w: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log P of each token's own choice."""
+    out = np.empty(len(y))
+    for a in range(0, len(y), STEP):
+        own = y[a : a + STEP]
+        out[a : a + STEP] = choice_logs(w, f[:, a : a + STEP])[np.arange(len(own)), own]
+    return out
+
 
-    Expectations are rounded to 2^-20 for each token, so that sums are whole numbers and don't depend on their order.
-    """
-    out = np.zeros(rows * CLASSES, np.int64)
-    if w is None:
-        for i in range(f.shape[1]):
-            out += np.bincount(f[:, i] * CLASSES + cls, minlength=rows * CLASSES)
-        return out.reshape(rows, CLASSES)
-    out = out.reshape(rows, CLASSES)
-    for a in range(0, len(f), STEP):
-        own = f[a : a + STEP]
-        p = np.round(np.exp(class_logs(w, own)).astype(np.float64) * (1 << 20)).astype(np.int64)
-        for i in range(own.shape[1]):
-            order = np.argsort(own[:, i], kind="stable")
-            at, first = np.unique(own[order, i], return_index=True)
-            out[at] += np.add.reduceat(p[order], first, axis=0)
+def word_logs(w: np.ndarray, h: np.ndarray, cls: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log P(class | context) + log P(part | class, context) of every token; an end has no parts."""
+    by_class, by_part = contexts(h, cls, n)
+    out = chosen_logs(w[0], by_class, cls)
+    words = np.flatnonzero(cls < CLASSES - 1)
+    out[words] += chosen_logs(w[1], by_part[:, words], part[words])
     return out
 
 
-def start_weights(seen: np.ndarray) -> np.ndarray:
-    """Weights from counts (contexts x classes): each context's shrunken log odds against all tokens, a share of them."""
+def seen_sums(out: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
+    """Add how often each choice follows each context."""
+    size = 1 << BITS
+    for i in range(TEMPLATES):
+        out[i << BITS : (i + 1) << BITS] += np.bincount((f[i] - (i << BITS)) * out.shape[1] + y, minlength=size * out.shape[1]).reshape(size, -1)
+
+
+def expected_sums(out: np.ndarray, f: np.ndarray, w: np.ndarray) -> None:
+    """Add how often the model expects each choice after each context (out is choices x rows).
+
+    Expectations are rounded to 2^-20 for each token, so that sums are whole numbers and don't depend on their order.
+    """
+    size = 1 << BITS
+    for a in range(0, f.shape[1], 8 * STEP):
+        own = f[:, a : a + 8 * STEP]
+        p = np.empty((w.shape[1], own.shape[1]))
+        for b in range(0, own.shape[1], STEP):
+            s = np.exp(_sums_of(w, own[:, b : b + STEP]))
+            s *= np.float32(1 << 20) / s.sum(1, keepdims=True)
+            p[:, b : b + STEP] = np.rint(s, out=s).T
+        for i in range(TEMPLATES):
+            at = own[i] - (i << BITS)
+            for j in range(len(p)):
+                out[j, i << BITS : (i + 1) << BITS] += np.bincount(at, weights=p[j], minlength=size)
+
+
+def start_weights(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from counts (contexts x choices): each context's shrunken log odds against all tokens, a share of them; and the
+    weights without any context."""
     total = seen.sum(0) / TEMPLATES
     prior = (total + 0.5) / (total + 0.5).sum()
     n = seen.sum(1, keepdims=True)
-    w = SHARE * (np.log((seen + 8 * prior) / (n + 8)) - np.log(prior))
-    w += np.log(prior) / TEMPLATES  # one feature of each template is on
-    return w.astype(np.float32)
+    rest = np.log(prior) / TEMPLATES  # one feature of each template is on
+    w = SHARE * (np.log((seen + 8 * prior) / (n + 8)) - np.log(prior)) + rest
+    return np.clip(w, -LARGEST, LARGEST).astype(np.float32), rest
 
 
-def stepped(w: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+def stepped(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """One gradient step on all weights, each scaled by the curvature that the expectations give."""
     n = seen.sum(1, keepdims=True)
     p = expected / np.maximum(n, 1)
-    return (w + np.clip((seen - expected) / (TEMPLATES * (n * p * (1 - p) + 4)), -1, 1)).astype(np.float32)
+    step = (seen - expected - PULL * (w - rest)) / (TEMPLATES * n * p * (1 - p) + PULL + 1)
+    return np.clip(w + np.clip(step, -1, 1), -LARGEST, LARGEST).astype(np.float32)
 
 
 def _counts(batches):
     for batch in batches:
         for part in small_batches(batch, "text", 16 << 20):
-            h, cls, _ = tokens(part.column(0))
+            h, cls, own, _ = tokens(part.column(0))
             u, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(cls[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "cls", "c"])
+            leaf = cls[first] * PARTS + own[first]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(leaf.astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "leaf", "c"])
 
 
-def _sums(shared, bits: int):
-    """Sums over one task's texts, as blocks of ROWS rows that aren't all 0."""
+def _sums(shared):
+    """Sums over one task's texts for both matrices, as blocks of ROWS rows that aren't all 0: of what is seen (without
+    weights), or of what the model expects."""
 
     def run(batches):
-        rows, total = TEMPLATES << bits, None
+        w, rows = shared.value, TEMPLATES << BITS
+        if w is None:
+            total = [np.zeros((rows, k), np.int64) for k in (CLASSES, PARTS)]
+        else:
+            total = [np.zeros((k, rows)) for k in (CLASSES, PARTS)]
+        some = False
         for batch in batches:
             for part in small_batches(batch, "text", 1 << 20):
-                h, cls, n = tokens(part.column(0))
-                got = summed(contexts(h, n, bits), cls, shared.value, rows)
-                total = got if total is None else total + got
-        if total is not None:
-            keep = [b for b in range(0, rows, ROWS) if total[b : b + ROWS].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([total[b : b + ROWS].tobytes() for b in keep], pa.binary())], ["block", "d"])
+                h, cls, own, n = tokens(part.column(0))
+                by_class, by_part = contexts(h, cls, n)
+                words = np.flatnonzero(cls < CLASSES - 1)
+                some = some or len(h) > 0
+                for i, (f, y) in enumerate(((by_class, cls), (by_part[:, words], own[words]))):
+                    seen_sums(total[i], f, y) if w is None else expected_sums(total[i], f, w[i])
+        if some:
+            if w is not None:
+                total = [np.ascontiguousarray(t.T).astype(np.int64) for t in total]
+            out = [(i * rows + b, t[b : b + ROWS]) for i, t in enumerate(total) for b in range(0, rows, ROWS) if t[b : b + ROWS].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d.tobytes() for _, d in out], pa.binary())], ["block", "d"])
+        release()
 
     return run
 
@@ -134,45 +178,70 @@ def _added(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "d"])
 
 
-def train(texts: DataFrame, bits: int) -> np.ndarray:
-    """Weights of the class model, from every row of texts(text).
+def _lost(shared):
+    """(n, loss): tokens of one task's texts and their summed -log10 P."""
+
+    def run(batches):
+        n, loss = 0, 0.0
+        for batch in batches:
+            for part in small_batches(batch, "text", 1 << 20):
+                h, cls, own, counts = tokens(part.column(0))
+                n, loss = n + len(h), loss - word_logs(shared.value, h, cls, own, counts).sum() / np.log(10)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "loss": pa.array([round(float(loss) * 1000)], pa.int64())})
 
-    The start comes from the counts of classes after contexts; then ROUNDS steps follow the gradient (what was seen less
-    what the model expects), summed over all tokens at the same weights. Sums are of whole numbers, so neither the order
-    of rows nor the number of partitions changes the result. Weights have a fixed size for given bits, 25 MB at most.
+    return run
+
+
+def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
+    """Weights of both softmaxes, from every row of texts(text).
+
+    The start comes from the counts of choices after contexts; each step then follows the gradient (what was seen less what
+    the model expects, less the pull), summed over all tokens at the same weights. One text in APART, by its hash, is kept
+    out of the sums: steps go on until its loss falls by less than LEAST. Sums are of whole numbers, so neither the order
+    of rows nor the number of partitions changes the result. Weights and sums have a fixed size (25 and 50 MB).
     """
-    sc, rows = texts.sparkSession.sparkContext, TEMPLATES << bits
+    sc, rows = texts.sparkSession.sparkContext, TEMPLATES << BITS
+    apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
+    learn, held = texts.where(~apart), texts.where(apart)
+    tasks = max(sc.defaultParallelism, n_tokens // TASK_TOKENS)
 
-    def gathered(w: np.ndarray | None) -> np.ndarray:
-        got = texts.mapInArrow(_sums(sc.broadcast(w), bits), "block int, d binary")
+    def gathered(w: np.ndarray | None) -> list[np.ndarray]:
+        got = learn.coalesce(tasks).mapInArrow(_sums(sc.broadcast(w)), "block int, d binary")
         got = got.repartition(64, "block", F.spark_partition_id() % 8).mapInArrow(_added, "block int, d binary")
-        out = np.zeros((rows, CLASSES))
-        for r in got.repartition(16, "block").mapInArrow(_added, "block int, d binary").toLocalIterator():  # rows / ROWS blocks
+        out = np.zeros((2 * rows, CLASSES))
+        for r in got.repartition(16, "block").mapInArrow(_added, "block int, d binary").toLocalIterator():  # 2 * rows / ROWS blocks
             out[r["block"] : r["block"] + ROWS] += np.frombuffer(r["d"], np.int64).reshape(-1, CLASSES)
-        return out
+        return [out[:rows], out[rows:]]
+
+    def loss(w: np.ndarray) -> float:
+        r = held.mapInArrow(_lost(sc.broadcast(w)), "n long, loss long").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
+        return (r["loss"] or 0) / 1000 / max(r["n"] or 0, 1)
 
     seen = gathered(None)
-    w = start_weights(seen)
+    starts = [start_weights(x) for x in seen]
+    w, rests = np.stack([x for x, _ in starts]), [r for _, r in starts]
+    before = loss(w)
     for _ in range(ROUNDS):
-        w = stepped(w, seen, gathered(w) / (1 << 20))
+        new = np.stack([stepped(w[i], seen[i], x / (1 << 20), rests[i]) for i, x in enumerate(gathered(w))])
+        after = loss(new)
+        if after > before:
+            break
+        w, fell, before = new, before - after, after
+        if fell < LEAST:
+            break
     return w
 
 
 def _score(shared):
     def run(batches):
-        w, head, count, norm, bits = shared.value
+        w, head, count, norm = shared.value
         for batch in batches:
             for part in small_batches(batch, "text", 1 << 20):
-                h, cls, n = tokens(part.column(part.schema.get_field_index("text")))
+                h, cls, own, n = tokens(part.column(part.schema.get_field_index("text")))
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 known = head[at] == h if len(head) else np.zeros(len(h), bool)
                 logs = np.where(known, np.log10(count[at] + 1.0), 0.0) if len(head) else np.zeros(len(h))
-                model = np.empty(len(h))
-                f = contexts(h, n, bits)
-                for a in range(0, len(h), STEP):
-                    c = cls[a : a + STEP]
-                    model[a : a + STEP] = class_logs(w, f[a : a + STEP])[np.arange(len(c)), c]
-                model = model / np.log(10) - norm[cls]
+                model = word_logs(w, h, cls, own, n) / np.log(10) - norm[cls * PARTS + own]
                 first = np.cumsum(n) - n
                 rare = np.flatnonzero(~known)
                 bounds = np.searchsorted(rare, np.append(first, len(h))).astype(np.int32)
@@ -191,10 +260,10 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     each row of docs: id, learnt, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of anything but ASCII white space, A-Z lower-cased, and one end for each text. base_score adds
-    log10((c + 1) / (N + V + 1)). The model factors P(token | context) = P(class | context) * P(token | class): the class
-    model is a softmax over hashed n-gram and skip features, trained by synchronous gradient updates over all learnt
-    tokens (see train; partitions play no part), whose contexts grow in number with the tokens; the second factor is (c + 1) / (N_class + V_class + 1) from the same exact counts, so that all tokens of a class and its unseen
-    one sum to 1.
+    log10((c + 1) / (N + V + 1)). The model factors P(token | context) = P(class | context) * P(part | class, context) *
+    P(token | part): the first two are softmaxes over hashed n-gram and skip features, those of the second together with
+    the class, trained by synchronous gradient steps over the learnt tokens (see train); the last is (c + 1) / (N_part +
+    V_part + 1) from exact counts, so that all tokens of a part and its unseen one sum to 1. An end is a class of its own.
 
     Counts cover every learnt token. The most frequent ones, HEAD at most, go to the scoring tasks (4 MB at any input size); all
     other tokens of a text, each rarer than any of those and so never hot, meet their counts in a join.
@@ -204,15 +273,14 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = base.where("learnt").select("text")
-    counts = written(texts.mapInArrow(_counts, "h long, cls int, c long").groupBy("h").agg(F.first("cls").alias("cls"), F.sum("c").alias("c")), "counts")
-    total = {r["cls"]: r for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # one row for each class
+    counts = written(texts.mapInArrow(_counts, "h long, leaf int, c long").groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("c").alias("c")), "counts")
+    total = {r["leaf"]: r for r in counts.groupBy("leaf").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES * PARTS at most
     n, v = sum(r["n"] for r in total.values()), sum(r["v"] for r in total.values())
-    norm = np.array([np.log10((total[k]["n"] + total[k]["v"] if k in total else 0) + 1.0) for k in range(CLASSES)])
+    norm = np.array([np.log10((total[k]["n"] + total[k]["v"] if k in total else 0) + 1.0) for k in range(CLASSES * PARTS)])
     top = most_frequent(counts, HEAD).select("h", "c").toPandas()  # at most HEAD pairs
     head = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(head)
-    bits = context_bits(n)
-    shared = docs.sparkSession.sparkContext.broadcast((train(texts, bits), head[order], top["c"].to_numpy(np.int64)[order], norm, bits))
+    shared = docs.sparkSession.sparkContext.broadcast((train(texts, n), head[order], top["c"].to_numpy(np.int64)[order], norm))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = base.mapInArrow(_score(shared), f"id {kind}, learnt boolean, n_tokens long, head_known long, head_logs double, model double, tail array<long>")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "scores")

@@ -4,6 +4,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,8 +349,14 @@ def test_language_model_sums_to_one_and_beats_its_base(spark, odd, none):
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     s = language_model.lm_scores(docs(spark), learn).toPandas()
     assert s["score"].sum() > s["base_score"].sum() and len(s) == docs(spark).count()
-    w = np.random.default_rng(0).normal(size=(language_model.TEMPLATES << language_model.MIN_BITS, language_model.CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(language_model.class_logs(w, np.array([[1, 3000, 5000]]))).sum(), 1, atol=1e-5)
+    w = np.random.default_rng(0).normal(size=(2, language_model.TEMPLATES << language_model.BITS, language_model.CLASSES)).astype(np.float32)
+    h, cls, own, n = language_model.tokens(pa.array(["one two one", None, "x"]))
+    for f, m in zip(language_model.contexts(h, cls, n), w, strict=True):
+        assert np.allclose(np.exp(language_model.choice_logs(m, f)).sum(1), 1, atol=1e-5)
+    by_class, by_part = language_model.contexts(h, cls, n)
+    want = [np.log(np.exp(sum(w[0, r] for r in by_class[:, i]))[cls[i]] / np.exp(sum(w[0, r] for r in by_class[:, i])).sum()) for i in range(len(h))]
+    want = [x + (0 if cls[i] == language_model.CLASSES - 1 else np.log(np.exp(sum(w[1, r] for r in by_part[:, i]))[own[i]] / np.exp(sum(w[1, r] for r in by_part[:, i])).sum())) for i, x in enumerate(want)]
+    assert np.allclose(language_model.word_logs(w, h, cls, own, n), want, atol=1e-4) and list(n) == [4, 1, 2]
     assert language_model.lm_scores(odd, learn).where("n_tokens = 1 and base_score < 0").count() == 3
     assert language_model.lm_scores(none, learn).count() == 0
 
@@ -422,7 +429,32 @@ def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
     a, b = (language_model.lm_scores(docs(spark).repartition(n), learn).toPandas().set_index("id").sort_index() for n in (2, 7))
     assert np.allclose(a["score"], b["score"], rtol=1e-9) and np.allclose(a["base_score"], b["base_score"], rtol=1e-12)
     gain = (a["score"] - a["base_score"])[a["learnt"] == False].sum() / a["n_tokens"][a["learnt"] == False].sum()  # noqa: E712
-    assert gain > 0.03
+    assert gain > 0.1
+
+
+def test_language_model_gains_on_held_out_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    s = language_model.lm_scores(d, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2).where("not learnt")
+    r = s.agg(((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).alias("gain"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("better")).first()
+    print("gain", r["gain"], "better", r["better"])
+    assert r["gain"] > 0.2 and r["better"] > 0.9
+
+
+def test_gradient_steps_lower_the_loss_of_what_is_learnt(spark):
+    rows = language_model.TEMPLATES << language_model.BITS
+    texts = docs(spark).select("text").collect()
+    h, cls, own, n = language_model.tokens(pa.array([r["text"] for r in texts]))
+    f, _ = language_model.contexts(h, cls, n)
+    half = np.cumsum(n)[len(n) // 2]
+    seen, losses = np.zeros((rows, language_model.CLASSES), np.int64), []
+    language_model.seen_sums(seen, f[:, :half], cls[:half])
+    w, rest = language_model.start_weights(seen)
+    for _ in range(3):
+        losses.append(-language_model.chosen_logs(w, f[:, :half], cls[:half]).mean())
+        expected = np.zeros((language_model.CLASSES, rows))
+        language_model.expected_sums(expected, f[:, :half], w)
+        w = language_model.stepped(w, seen, expected.T / (1 << 20), rest)
+    assert losses[0] > losses[1] > losses[2]
 
 
 def test_base_scores_against_brute_force(spark):
