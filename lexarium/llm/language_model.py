@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, mix64, most_frequent, release, small_batches, span_hashes, word_bounds, written
+from .common import SPACED, free, mix64, most_frequent, release, small_batches, span_hashes, word_bounds, written
 
 #: Classes of words (by their last two bytes; the last class is the end of a text) and parts of a class (by a hash of the
 #: word); feature templates; bits of a hashed context of each template; tokens that are scored at once.
@@ -18,8 +18,9 @@ ROUNDS, LEAST, APART = 8, 0.01, 16
 #: The share of the step that counts alone call for which each template takes at the start, the pull of each weight towards
 #: the start without context, and the largest weight.
 SHARE, PULL, LARGEST = 0.5, 4.0, 12.0
-#: Learnt tokens of one task of a gradient step, so that sums of fixed size are few.
-TASK_TOKENS = 1 << 24
+#: Learnt tokens of one task of a gradient step, at least and (beyond the cluster's cores) about, so that sums of fixed size
+#: are few; sums that are added in one task at most.
+LEAST_TOKENS, TASK_TOKENS, ADDED = 1 << 20, 1 << 24, 32
 #: Rows of weights that are summed as one block.
 ROWS = 128
 #: How many of the most frequent words have their counts sent to every task at most; all other words' counts are joined.
@@ -203,14 +204,17 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
     sc, rows = texts.sparkSession.sparkContext, TEMPLATES << BITS
     apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
     learn, held = texts.where(~apart), texts.where(apart)
-    tasks = max(sc.defaultParallelism, n_tokens // TASK_TOKENS)
+    tasks = max(1, min(sc.defaultParallelism, n_tokens // LEAST_TOKENS), n_tokens // TASK_TOKENS)
 
     def gathered(w: np.ndarray | None) -> list[np.ndarray]:
         got = learn.coalesce(tasks).mapInArrow(_sums(sc.broadcast(w)), "block int, d binary")
-        got = got.repartition(64, "block", F.spark_partition_id() % 8).mapInArrow(_added, "block int, d binary")
+        if tasks > ADDED:
+            got = got.repartition(64, "block", F.spark_partition_id() % (tasks // ADDED + 1)).mapInArrow(_added, "block int, d binary")
+        sums = written(got.repartition(16, "block").mapInArrow(_added, "block int, d binary"), "sums")
         out = np.zeros((2 * rows, CLASSES))
-        for r in got.repartition(16, "block").mapInArrow(_added, "block int, d binary").toLocalIterator():  # 2 * rows / ROWS blocks
+        for r in sums.toLocalIterator():  # 2 * rows / ROWS blocks
             out[r["block"] : r["block"] + ROWS] += np.frombuffer(r["d"], np.int64).reshape(-1, CLASSES)
+        free(sums)
         return [out[:rows], out[rows:]]
 
     def loss(w: np.ndarray) -> float:
