@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,20 +47,72 @@ OWN = frozenset("article body chapter content entry main post section story titl
 HIDDEN, WHOLE, PART = 3, 2, 1
 
 
+class _Article:
+    """An open article or main element, the one around it, and the outermost one."""
+
+    __slots__ = ("parent", "top")
+
+    def __init__(self, parent: _Article | None):
+        self.parent, self.top = parent, parent.top if parent else self
+
+
 class _Block:
-    __slots__ = ("articles", "inline", "linked", "named", "parts", "tag")
+    __slots__ = ("article", "inline", "linked", "parts", "tag")
 
-    def __init__(self, articles: tuple, named: tuple, tag: str, inline: bool = False):
-        self.parts, self.linked, self.articles, self.named, self.tag, self.inline = [], 0, articles, named, tag, inline
+    def __init__(self, article: _Article | None, tag: str, inline: bool = False):
+        self.parts, self.linked, self.article, self.tag, self.inline = [], 0, article, tag, inline
 
 
 class _Named:
-    """An open element whose class, id or role has a word of AROUND."""
+    """An element whose class, id or role has a word of AROUND: the blocks first to last - 1 are in it.
+
+    opens is the number of its name's tags that are open once it is: it ends when there is one less.
+    """
+
+    __slots__ = ("first", "last", "main", "opens", "since", "whole")
+
+    def __init__(self, whole: bool, first: int, opens: int, since: int):
+        self.whole, self.first, self.last, self.main, self.opens, self.since = whole, first, first, False, opens, since
 
-    __slots__ = ("depth", "main", "name", "whole")
 
-    def __init__(self, name: str, whole: bool):
-        self.name, self.whole, self.depth, self.main = name, whole, 1, False
+class _Open:
+    """The named elements that are open, by name. Only the last of a name can end at a tag, so that a tag costs the same
+    however deep it lies."""
+
+    def __init__(self, out: list[_Block]):
+        self.out, self.every = out, []
+        self.by_name: dict[str, list[_Named]] = {}
+        self.tags: dict[str, int] = {}
+        self.mains = 0
+
+    def end(self, name: str) -> None:
+        e = self.by_name[name].pop()
+        e.last, e.main = len(self.out), self.mains > e.since
+
+    def started(self, name: str) -> None:
+        for x in {name if name in CLOSED else "", "p" if name in BLOCKS else ""}:
+            if self.by_name.get(x) and self.by_name[x][-1].opens == self.tags[x]:
+                self.end(x)
+        self.tags[name] = self.tags.get(name, 0) + 1
+        self.mains += name == "main"
+
+    def closed(self, name: str) -> bool:
+        """Whether a named element ends here."""
+        self.tags[name] = self.tags.get(name, 0) - 1
+        ends = bool(self.by_name.get(name)) and self.by_name[name][-1].opens > self.tags[name]
+        if ends:
+            self.end(name)
+        return ends
+
+    def add(self, name: str, whole: bool) -> None:
+        e = _Named(whole, len(self.out), self.tags[name], self.mains)
+        self.every.append(e)
+        self.by_name.setdefault(name, []).append(e)
+
+    def end_all(self, name: str | None = None) -> None:
+        for x in list(self.by_name) if name is None else [name]:
+            while self.by_name.get(x):
+                self.end(x)
 
 
 def _around(name: str, attrs: str, inside: bool) -> int:
@@ -81,11 +135,11 @@ def _around(name: str, attrs: str, inside: bool) -> int:
     return found
 
 
-def _parsed(page: str) -> list[_Block]:
-    out: list[_Block] = [_Block((), (), "")]
-    articles: list[int] = []
-    named: list[_Named] = []
-    skip, depth, seen, links, at = "", 0, 0, 0, 0
+def _parsed(page: str) -> tuple[list[_Block], list[_Named]]:
+    out: list[_Block] = [_Block(None, "")]
+    article: _Article | None = None
+    named = _Open(out)
+    skip, depth, links, at = "", 0, 0, 0
 
     def text(piece: str) -> None:
         if piece and not skip:
@@ -95,7 +149,7 @@ def _parsed(page: str) -> list[_Block]:
                 out[-1].linked += len("".join(got.split()))
 
     def start(tag: str, inline: bool = False) -> None:
-        out.append(_Block(tuple(articles), tuple(named), tag, inline))
+        out.append(_Block(article, tag, inline))
 
     pos = page.find("<")
     text(page[:pos] if pos >= 0 else page)
@@ -120,38 +174,31 @@ def _parsed(page: str) -> list[_Block]:
                         skip = ""
                         start(name)
             elif closing:
-                if name in ("article", "main") and articles:
-                    articles.pop()
+                if name in ("article", "main") and article:
+                    article = article.parent
                 if name == "a":
                     links = max(0, links - 1)
                 if name in BLOCKS:
                     links = 0
-                for e in named:
-                    e.depth -= e.name == name
-                ended = any(e.depth == 0 for e in named)
-                named = [e for e in named if e.depth]
-                if name in BLOCKS or ended:
+                if named.closed(name) or name in BLOCKS:
                     start(name if name in BLOCKS else out[-1].tag, name not in BLOCKS)
             else:
-                named = [e for e in named if not (e.name in CLOSED and e.depth == 1 and (name == e.name or name in BLOCKS and e.name == "p"))]
-                for e in named:
-                    e.depth += e.name == name
-                    e.main |= name == "main"
-                around = _around(name, m[3], bool(articles)) if name not in VOID else 0
+                named.started(name)
+                around = _around(name, m[3], article is not None) if name not in VOID else 0
                 if around in (WHOLE, PART):
-                    named = [*named, _Named(name, around == WHOLE)]
+                    named.add(name, around == WHOLE)
                 if name in BLOCKS:
                     links = 0
                     start(name)
                 elif around in (WHOLE, PART):
                     start(out[-1].tag, True)
                 if name in ("article", "main"):
-                    seen += 1
-                    articles.append(seen)
+                    article = _Article(article)
                     start(name)
-                elif name not in VOID and name not in ("html", "body") and (name in DROPPED and not (name == "header" and articles) or around == HIDDEN):
+                elif name not in VOID and name not in ("html", "body") and (name in DROPPED and not (name == "header" and article) or around == HIDDEN):
                     skip, depth = name, 1
-                    named = named[:-1] if around in (WHOLE, PART) else named
+                    if around in (WHOLE, PART):
+                        named.end(name)
                 if name == "a" and not skip:
                     links = 1
                 if name == "br":
@@ -160,12 +207,13 @@ def _parsed(page: str) -> list[_Block]:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 if skip == name:
                     skip, depth = "", 0
-                named = [e for e in named if e.name != name]
+                named.end_all(name)
                 at = end.end() if end else len(page)
         nxt = page.find("<", at)
         text(page[at : nxt if nxt >= 0 else len(page)])
         pos = nxt
-    return out
+    named.end_all()
+    return out, named.every
 
 
 def _flat(b: _Block) -> tuple[str, float]:
@@ -173,45 +221,50 @@ def _flat(b: _Block) -> tuple[str, float]:
     return t, min(1.0, b.linked / len(t.replace(" ", ""))) if t else 0.0
 
 
-def _apart(found: list[_Block]) -> set:
-    """The named elements that stand around the article.
+def _apart(found: list[_Block], named: list[_Named]) -> list[int]:
+    """In how many named elements that stand around the article each block is.
 
     A name is no evidence where the element is the page's layout: where it holds a main element or, by the characters of
     well-formed blocks (of all blocks, if none is), more than half of the page; a name that says nothing else must hold
-    the whole page, and no article or main element may hold text outside.
+    the whole page, and no article or main element may hold text outside. Elements hold runs of blocks, so that sums up to
+    each block tell all of this at once.
     """
-    flat = [(b, *_flat(b)) for b in found if b.parts]
-    flat = [(b, t, linked) for b, t, linked in flat if t]
-    size = [len(t) if decide(t, linked) else 0 for _, t, linked in flat]
+    flat = [(i, b, *_flat(b)) for i, b in enumerate(found) if b.parts]
+    flat = [(i, b, t, linked) for i, b, t, linked in flat if t]
+    size = [len(t) if decide(t, linked) else 0 for *_, t, linked in flat]
     if not any(size):
-        size = [len(t) for _, t, _ in flat]
-    total = sum(size)
-    held: dict[_Named, int] = {}
-    for (b, *_), n in zip(flat, size, strict=True):
-        for e in b.named:
-            held[e] = held.get(e, 0) + n
-    out = set()
-    for e, n in held.items():
-        if not (e.main or (n == total and not any(b.articles and e not in b.named for b, *_ in flat) if e.whole else 2 * n > total)):
-            out.add(e)
-    return out
+        size = [len(t) for _, _, t, _ in flat]
+    chars, texts, articles = ([0] * (len(found) + 1) for _ in range(3))
+    for (i, b, *_), n in zip(flat, size, strict=True):
+        chars[i + 1], texts[i + 1], articles[i + 1] = n, 1, int(b.article is not None)
+    chars, texts, articles = (list(accumulate(x)) for x in (chars, texts, articles))
+    total, edge = chars[-1], [0] * (len(found) + 1)
+    for e in named:
+        n = chars[e.last] - chars[e.first]
+        if texts[e.last] == texts[e.first]:
+            continue
+        layout = e.main or (n == total and articles[e.last] - articles[e.first] == articles[-1] if e.whole else 2 * n > total)
+        if not layout:
+            edge[e.first] += 1
+            edge[e.last] -= 1
+    return list(accumulate(edge))
 
 
-def blocks(page: str) -> list[tuple[str, float, tuple, str]]:
-    """(text, share of linked characters, article and main elements around it, tag) of each block with text, in page
+def blocks(page: str) -> list[tuple[str, float, _Article | None, str]]:
+    """(text, share of linked characters, innermost article or main element around it, tag) of each block with text, in page
     order, without what stands in elements named as around the article."""
-    found = _parsed(page)
-    apart = _apart(found) if any(b.named for b in found) else set()
+    found, named = _parsed(page)
+    apart = _apart(found, named)
     out: list[_Block] = []
-    for b in found:
-        if not apart.isdisjoint(b.named):
+    for b, inside in zip(found, apart, strict=False):
+        if inside:
             continue
         if b.inline and out:  # a name inside a line doesn't end it
             out[-1].parts += b.parts
             out[-1].linked += b.linked
         else:
             out.append(b)
-    return [(t, linked, b.articles, b.tag) for b in out for t, linked in [_flat(b)] if t]
+    return [(t, linked, b.article, b.tag) for b in out for t, linked in [_flat(b)] if t]
 
 
 def decide(text: str, linked: float) -> bool | None:
@@ -227,9 +280,8 @@ def decide(text: str, linked: float) -> bool | None:
     return None
 
 
-def inherit(marks: list[bool | None], headings: list[bool]) -> list[bool]:
-    """Second pass: an undecided block takes the mark of its nearest decided neighbour; of two equally near ones the worse,
-    a heading that of the next. Without any decided block all are kept."""
+def _decided(marks: list[bool | None]) -> tuple[list[int | None], list[int | None]]:
+    """The nearest decided place up to each place, and from it on."""
     n = len(marks)
     before, after = [None] * n, [None] * n
     last = None
@@ -240,6 +292,13 @@ def inherit(marks: list[bool | None], headings: list[bool]) -> list[bool]:
     for i in reversed(range(n)):
         last = i if marks[i] is not None else last
         after[i] = last
+    return before, after
+
+
+def inherit(marks: list[bool | None], headings: list[bool]) -> list[bool]:
+    """Second pass: an undecided block takes the mark of its nearest decided neighbour; of two equally near ones the worse,
+    a heading that of the next. Without any decided block all are kept."""
+    before, after = _decided(marks)
     out = []
     for i, mark in enumerate(marks):
         b, a = before[i], after[i]
@@ -268,25 +327,30 @@ def main_text(page: str | None) -> str:
     """
     found = blocks(page or "")
     heads = [len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() for *_, tag in found]
-    lone = sum(bool(inside) for _, _, inside, _ in found) == 1
+    lone = sum(inside is not None for _, _, inside, _ in found) == 1
     first = [None if lone and inside and linked >= LINKS else decide(t, linked) for t, linked, inside, _ in found]
-    holding = {e for (_, _, inside, _), mark in zip(found, first, strict=True) if mark for e in inside}
+    holding = _with_outer(inside for (_, _, inside, _), mark in zip(found, first, strict=True) if mark)
     if not holding and not any(first):
-        holding = {e for _, _, inside, _ in found for e in inside}
-    marks = [(True if inside[-1] in holding else None if holding.intersection(inside) else False) if mark is None and inside else mark for (_, _, inside, _), mark in zip(found, first, strict=True)]
+        holding = _with_outer(inside for _, _, inside, _ in found)
+    # an element that holds text is held by all around it, so that the outermost one tells for all
+    marks = [(True if inside in holding else None if inside.top in holding else False) if mark is None and inside else mark for (_, _, inside, _), mark in zip(found, first, strict=True)]
     if holding:
         outside = [not inside for _, _, inside, _ in found]
-        marks = [mark if mark is not None or found[i][2] else _between(i, first, outside, heads) for i, mark in enumerate(marks)]
+        near = list(zip(*_decided(first), strict=True))
+        # an open block outside belongs to well-formed text there if the nearest decided blocks do
+        well = lambda j: j is not None and bool(first[j]) and outside[j]
+        marks = [mark if mark is not None or found[i][2] else well(near[i][1]) and (heads[i] or well(near[i][0])) for i, mark in enumerate(marks)]
     return "\n".join(t for (t, *_), keep in zip(found, inherit(marks, heads), strict=True) if keep)
 
 
-def _between(i: int, first: list[bool | None], outside: list[bool], heads: list[bool]) -> bool:
-    """Whether an open block belongs to well-formed text outside the article: the nearest decided blocks tell."""
-    after = next((j for j in range(i + 1, len(first)) if first[j] is not None), None)
-    if after is None or not (first[after] and outside[after]):
-        return False
-    before = next((j for j in reversed(range(i)) if first[j] is not None), None)
-    return heads[i] or before is not None and bool(first[before]) and outside[before]
+def _with_outer(inside: Iterable[_Article | None]) -> set[_Article]:
+    """Elements and all elements around them."""
+    out: set[_Article] = set()
+    for e in inside:
+        while e and e not in out:
+            out.add(e)
+            e = e.parent
+    return out
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

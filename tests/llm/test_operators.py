@@ -419,6 +419,21 @@ def test_columns_named_like_outputs_give_way(spark, odd):
     assert decontamination.contaminated(d, spark.createDataFrame([(1, "one two three four five six", 2)], "item_id long, text string, id int")).where("item = 1").count() == 2
 
 
+@pytest.mark.parametrize("open_", ["<div class='nav'>", "<article>", "<ul><li class='ad'>", "<p>of <b>", "<div class='menu'><main>"])
+def test_deep_and_long_pages_take_time_in_proportion(open_):
+    import time
+
+    html_extraction.main_text(open_ * 10)
+    start = time.process_time()
+    text = html_extraction.main_text(f"<p>{BODY}</p>" + (open_ + "x the of ") * 30_000)
+    assert time.process_time() - start < 20 and BODY in text  # a square of the depth took minutes
+
+
+def test_names_end_where_their_elements_do():
+    page = f"<div class='nav'><span class='ad'>menu one</div>still an advert</span><p>{BODY}</p><p class='related'>more<p>{BODY}<div><div class='share'><div>a</div>b</div>c</div>"
+    assert html_extraction.main_text(page).split("\n")[0] == BODY and "menu one" not in html_extraction.main_text(page) and "advert" not in html_extraction.main_text(page)
+
+
 def test_extract_of_odd_rows(odd, none):
     assert html_extraction.extract(odd, "text").where("doc_id = 2").first()["_lx_text"] == "" and html_extraction.extract(none, "text").count() == 0
 
