@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,9 @@ def free(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._lx_path)
 
 
-#: Bytes of text whose hashes one task of an exchange compares, and the most tasks that it is dealt over.
-SHARE, MOST_PARTS = 16 << 20, 1 << 15
+#: Bytes of text whose hashes are compared at once, the most parts that hashes are dealt over, and the most tasks of the
+#: exchange: a task that gets several parts takes one after the other.
+SHARE, MOST_PARTS, MOST_TASKS = 16 << 20, 1 << 20, 1 << 15
 
 
 def part_bits(docs: DataFrame, share: int = SHARE) -> int:
@@ -79,6 +81,42 @@ def part_bits(docs: DataFrame, share: int = SHARE) -> int:
     return max(3, min(int(size // share), MOST_PARTS - 1).bit_length())
 
 
+def runs(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by a column, cut into runs of one value; only one run is held."""
+    held, now = [], None
+    for batch in batches:
+        v = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and v[a] != now:
+                yield held
+                held = []
+            now = v[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def by_run(solve: Callable, column: str) -> Callable:
+    """A function of batches that solves each run of a column by itself."""
+
+    def run(batches):
+        for own in runs(batches, column):
+            yield from solve(own)
+
+    return run
+
+
+def exchanged(rows: DataFrame, bits: int, solve: Callable, schema: str, tasks: int | None = None) -> DataFrame:
+    """solve over the rows of each part (a column): one part a task, or (of more parts than tasks) sorted, part after part."""
+    tasks = tasks or MOST_TASKS
+    if 1 << bits <= tasks:
+        return rows.repartition(1 << bits, "part").mapInArrow(solve, schema)
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(by_run(solve, "part"), schema)
+
+
 #: Steps of a doubling in which most_frequent tells counts apart.
 COUNT_STEPS = 64
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SHARE, free, fresh, mix64, part_bits, release, small_batches, span_hashes, without, written
+from .common import SHARE, exchanged, free, fresh, mix64, part_bits, release, small_batches, span_hashes, without, written
 from .components import verified_components
 
 #: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
@@ -192,9 +192,9 @@ def _dealt(key: np.ndarray, i: np.ndarray, bits: int) -> dict[int, bytes]:
     key, i = key[~star], i[~star]
     part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[p] : cuts[p + 1]]
+    there, first = np.unique(part[order], return_index=True)
+    for p, a, b in zip(there.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
+        at = order[a:b]
         out[p] = np.stack([key[at], i[at]]).tobytes()
     return out
 
@@ -343,7 +343,7 @@ def _wanted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.string())], ["id", "items"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, share: int = SHARE) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, share: int = SHARE, tasks: int | None = None) -> DataFrame:
     """Lines to drop: (id, th, line), th being the hash of the row's text and line its number from 0.
 
     Lines (split at \\n) are compared by the sets of their 5-character shingles after fold_line; blank lines take no
@@ -356,7 +356,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("th long, line int, lid long, more long, n long, code long, code2 long, part int, data binary").fields])
     both = written(base.where("text is not null").mapInArrow(_lines(bits, to_arrow_schema(shape)), shape), "lines")
     lines, coded, dealt = both.where("part is null").select("id", "th", "line", "lid", "more"), both.where("n is not null").select(F.col("lid").alias("id"), "n", "code", "code2"), both.where("part is not null").select("part", "data")
-    met = dealt.where("part >= 0").repartition(1 << bits, "part").mapInArrow(_met, "band long, id long, to long")
+    met = exchanged(dealt.where("part >= 0"), bits, _met, "band long, id long, to long", tasks)
     met = written(met, "met")
     ties = dealt.where("part < 0").select("data").mapInArrow(_edges_of, "a long, b long").unionAll(met.where("to is not null and id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     coded = written(coded.groupBy("id").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.first("code2").alias("code2")), "codes")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SHARE, SPACED, free, part_bits, release, rows_of, shingle_hashes, small_batches, written
+from .common import ALNUM, SHARE, SPACED, by_run, exchanged, free, part_bits, release, rows_of, shingle_hashes, small_batches, written
 from .components import verified_components
 
 #: Bytes of text whose shingles travel as one block.
@@ -78,11 +78,10 @@ def _asked(k: int, lut: np.ndarray, bits: int, shape: pa.Schema):
                 out["cls"].append(cls)
                 out["first"].append(first)
                 order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
-                more = np.searchsorted(more_part, np.arange((1 << bits) + 1))
-                for p in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(more) > 0)).tolist():
-                    at = order[cuts[p] : cuts[p + 1]]
-                    extra = more_low[more[p] : more[p + 1]]
+                there = np.unique(np.concatenate([part, more_part]))
+                cuts = [np.searchsorted(x, there, side=side) for x in (part[order], more_part) for side in ("left", "right")]
+                for p, a, b, c, d in zip(there.tolist(), *cuts, strict=True):
+                    at, extra = order[a:b], more_low[c:d]
                     out["block"].append(block)
                     out["part"].append(p)
                     out["counts"].append(np.bincount(text[at], minlength=len(own)).astype(np.int32).tobytes())
@@ -160,11 +159,12 @@ def _sets_sent(k: int, lut: np.ndarray, bits: int, shape: pa.Schema):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 u, c = np.unique(flat, return_counts=True)
                 part, low = by_part(u, bits)
-                cuts, block = np.searchsorted(part, np.arange((1 << bits) + 1)), _new_block()
-                has = np.flatnonzero(np.diff(cuts) > 0).tolist()
+                has, at = np.unique(part, return_index=True)
+                cuts, block, has = dict(zip(has.tolist(), np.append(at, len(part))[1:].tolist(), strict=True)), _new_block(), has.tolist()
+                at = dict(zip(has, at.tolist(), strict=True))
                 rows = {"block": [block] * (len(has) + 1), "part": [-1, *has]}
-                rows["counts"] = [np.array([len(s) for s in sets], np.int32).tobytes(), *(c[cuts[p] : cuts[p + 1]].astype(np.int32).tobytes() for p in has)]
-                rows["hashes"] = [flat.tobytes(), *(low[cuts[p] : cuts[p + 1]].tobytes() for p in has)]
+                rows["counts"] = [np.array([len(s) for s in sets], np.int32).tobytes(), *(c[at[p] : cuts[p]].astype(np.int32).tobytes() for p in has)]
+                rows["hashes"] = [flat.tobytes(), *(low[at[p] : cuts[p]].tobytes() for p in has)]
                 rows["cls"] = [t.column(t.schema.get_field_index("cls")).to_pylist(), *(None for _ in has)]
                 yield pa.RecordBatch.from_pydict(rows, shape)
 
@@ -257,7 +257,7 @@ def _sets(k: int, lut: np.ndarray):
     return make
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, words: str = "spaced", share: int = SHARE, tile: int | None = None) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, words: str = "spaced", share: int = SHARE, tile: int | None = None, tasks: int | None = None) -> DataFrame:
     """Near-duplicate components of documents under the exact Jaccard similarity of k-word shingle sets.
 
     Returns one row for each row of docs: id, th (hash of the text), n_shingles, cls (id of the set of shingles) and
@@ -284,10 +284,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = written(base.mapInArrow(_asked(k, lut, bits, _arrow(docs, asked)), asked), "asked")
     rows = asked.where("part = -1").select(F.explode(F.arrays_zip("id", "th", "n", "cls")).alias("r")).select("r.*")
     rows = written(rows, "rows")
-    answers = asked.where("part >= 0").select("block", "part", "counts", "hashes").repartition(1 << bits, "part").mapInArrow(_shared_counts, "block long, counts binary")
+    answers = exchanged(asked.where("part >= 0").select("block", "part", "counts", "hashes"), bits, _shared_counts, "block long, counts binary", tasks)
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("n", "array<long>"), ("cls", "array<long>"), ("first", "array<boolean>"))]
     told = asked.where("part = -1").select("block", "counts", "n", "cls", "first").unionAll(answers.select("block", "counts", *blank))
-    stay = written(told.repartition("block").mapInArrow(_eligible(percent), "cls long").distinct(), "stay")
+    stay = written(told.repartition("block").sortWithinPartitions("block").mapInArrow(by_run(_eligible(percent), "block"), "cls long").distinct(), "stay")
     free(asked)
     stand = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))  # one document of each class stands for it
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), stand.alias("s"))
@@ -297,9 +297,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     free(stay)
     bits, sent = part_bits(text, share), "block long, part int, counts binary, hashes binary, cls array<long>"
     sent = written(text.mapInArrow(_sets_sent(k, lut, bits, _arrow(docs, sent)), sent), "sets")
-    codes = sent.where("part >= 0").repartition(1 << bits, "part").mapInArrow(_frequencies, "block long, part int, counts binary")
+    codes = exchanged(sent.where("part >= 0"), bits, _frequencies, "block long, part int, counts binary", tasks)
     told = sent.where("part = -1").unionAll(codes.select("block", "part", "counts", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("array<long>").alias("cls")))
-    keys = written(told.repartition("block").mapInArrow(_prefixes(percent), "id long, n long, keys array<long>"), "prefixes")
+    keys = written(told.repartition("block").sortWithinPartitions("block").mapInArrow(by_run(_prefixes(percent), "block"), "id long, n long, keys array<long>"), "prefixes")
     free(sent)
     edges = candidate_edges(keys.select("id", "n", F.explode("keys").alias("key")), percent, "edges")
 

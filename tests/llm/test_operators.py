@@ -496,3 +496,21 @@ def test_copies_in_many_repositories_are_examples(spark):
     got = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert all(r["n_example"] == 1 for r in got)
     assert all(r["n_live"] == 1 for r in secret_scan.secret_scan(spark.createDataFrame(rows[:4], "doc_id long, text string, lang string, source string")).collect())
+
+
+def test_runs_hold_one_value_at_a_time():
+    from lexarium.llm.common import runs
+
+    sizes = [3, 1, 0, 5, 2]
+    values = np.repeat([1, 2, 3, 4, 5], [4, 1, 3, 2, 1])
+    cuts = np.cumsum([0, *sizes])
+    batches = [pa.record_batch({"part": values[a:b]}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert [[v for b in r for v in b.column(0).to_pylist()] for r in runs(iter(batches), "part")] == [[1] * 4, [2], [3] * 3, [4] * 2, [5]]
+
+
+def test_more_parts_than_tasks_change_nothing(spark):
+    d = docs(spark)
+    few = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.ngram_jaccard_join(d).collect()}
+    assert {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.ngram_jaccard_join(d, share=2000, tasks=3).collect()} == few
+    lines = lambda **more: sorted(map(tuple, line_dedup.duplicate_lines(d, **more).collect()))
+    assert lines(share=2000, tasks=3) == lines()
