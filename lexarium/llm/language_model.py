@@ -21,6 +21,8 @@ SHARE, PULL, LARGEST = 0.5, 4.0, 12.0
 #: Learnt tokens of one task of a gradient step, at least and (beyond the cluster's cores) about, so that sums of fixed size
 #: are few; sums that are added in one task at most.
 LEAST_TOKENS, TASK_TOKENS, ADDED = 1 << 20, 1 << 24, 32
+#: Bits of a unit of expectation, and bytes of text whose features are made at once.
+UNITS, AT_ONCE = 10, 2 << 20
 #: Rows of weights that are summed as one block.
 ROWS = 128
 #: How many of the most frequent words have their counts sent to every task at most; all other words' counts are joined.
@@ -55,16 +57,19 @@ def contexts(h: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
         return np.stack([rows(f, i) for i, f in enumerate(feats)]), np.stack([rows(mix64(f + of), i) for i, f in enumerate(feats)])
 
 
-def _sums_of(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    s = w[f[0]]
+def _exponents(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sums of the weights that each token's features switch on; at most TEMPLATES * LARGEST, so that none overflows."""
+    s, more = np.empty((2, f.shape[1], w.shape[1]), np.float32)
+    np.take(w, f[0], axis=0, out=s, mode="clip")
     for i in range(1, len(f)):
-        s += w[f[i]]
-    return s  # weights are at most LARGEST, so that no exponential overflows
+        np.take(w, f[i], axis=0, out=more, mode="clip")
+        s += more
+    return s
 
 
 def choice_logs(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     """log P(choice | context) of every choice, a row a token, from sparse active features (templates x tokens)."""
-    s = _sums_of(w, f)
+    s = _exponents(w, f)
     return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
@@ -73,7 +78,9 @@ def chosen_logs(w: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.empty(len(y))
     for a in range(0, len(y), STEP):
         own = y[a : a + STEP]
-        out[a : a + STEP] = choice_logs(w, f[:, a : a + STEP])[np.arange(len(own)), own]
+        s = _exponents(w, f[:, a : a + STEP])
+        out[a : a + STEP] = s[np.arange(len(own)), own]
+        out[a : a + STEP] -= np.log(np.exp(s, out=s).sum(1))
     return out
 
 
@@ -94,22 +101,30 @@ def seen_sums(out: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
 
 
 def expected_sums(out: np.ndarray, f: np.ndarray, w: np.ndarray) -> None:
-    """Add how often the model expects each choice after each context (out is choices x rows).
+    """Add how often the model expects each choice after each context (out is choices x rows), in units of 2^-UNITS.
 
-    Expectations are rounded to 2^-20 for each token, so that sums are whole numbers and don't depend on their order.
+    Expectations are rounded to these units for each token, so that sums are whole numbers and don't depend on their order.
+    Two choices are summed at once, one in the lower and one in the upper half of a double's 53 bits.
     """
-    size = 1 << BITS
-    for a in range(0, f.shape[1], 8 * STEP):
-        own = f[:, a : a + 8 * STEP]
-        p = np.empty((w.shape[1], own.shape[1]))
+    size, half, field = 1 << BITS, w.shape[1] // 2, float(1 << 26)
+    many = 1 << (26 - UNITS)
+    for a in range(0, f.shape[1], many):
+        own = f[:, a : a + many]
+        p = np.empty((half, own.shape[1]))
         for b in range(0, own.shape[1], STEP):
-            s = np.exp(_sums_of(w, own[:, b : b + STEP]))
-            s *= np.float32(1 << 20) / s.sum(1, keepdims=True)
-            p[:, b : b + STEP] = np.rint(s, out=s).T
+            s = _exponents(w, own[:, b : b + STEP])
+            np.exp(s, out=s)
+            s *= np.float32(1 << UNITS) / s.sum(1, keepdims=True)
+            np.rint(s, out=s)
+            np.multiply(s[:, half:].T, field, out=p[:, b : b + STEP], dtype=np.float64)
+            p[:, b : b + STEP] += s[:, :half].T
         for i in range(TEMPLATES):
-            at = own[i] - (i << BITS)
-            for j in range(len(p)):
-                out[j, i << BITS : (i + 1) << BITS] += np.bincount(at, weights=p[j], minlength=size)
+            at, rows = own[i] - (i << BITS), slice(i << BITS, (i + 1) << BITS)
+            for j in range(half):
+                both = np.bincount(at, weights=p[j], minlength=size)
+                high = np.floor(both / field)
+                out[half + j, rows] += high
+                out[j, rows] += both - high * field
 
 
 def start_weights(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +148,7 @@ def stepped(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, rest: np.ndar
 
 def _counts(batches):
     for batch in batches:
-        for part in small_batches(batch, "text", 16 << 20):
+        for part in small_batches(batch, "text", 8 << 20):
             h, cls, own, _ = tokens(part.column(0))
             u, first, n = np.unique(h, return_index=True, return_counts=True)
             leaf = cls[first] * PARTS + own[first]
@@ -152,7 +167,7 @@ def _sums(shared):
             total = [np.zeros((k, rows)) for k in (CLASSES, PARTS)]
         some = False
         for batch in batches:
-            for part in small_batches(batch, "text", 1 << 20):
+            for part in small_batches(batch, "text", AT_ONCE):
                 h, cls, own, n = tokens(part.column(0))
                 by_class, by_part = contexts(h, cls, n)
                 words = np.flatnonzero(cls < CLASSES - 1)
@@ -160,10 +175,11 @@ def _sums(shared):
                 for i, (f, y) in enumerate(((by_class, cls), (by_part[:, words], own[words]))):
                     seen_sums(total[i], f, y) if w is None else expected_sums(total[i], f, w[i])
         if some:
-            if w is not None:
-                total = [np.ascontiguousarray(t.T).astype(np.int64) for t in total]
-            out = [(i * rows + b, t[b : b + ROWS]) for i, t in enumerate(total) for b in range(0, rows, ROWS) if t[b : b + ROWS].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d.tobytes() for _, d in out], pa.binary())], ["block", "d"])
+            for i, t in enumerate(total):
+                for a in range(0, rows, 64 * ROWS):
+                    cut = [(i * rows + b, (t[b : b + ROWS] if w is None else t[:, b : b + ROWS].T).astype(np.int64)) for b in range(a, min(a + 64 * ROWS, rows), ROWS)]
+                    cut = [(b, d.tobytes()) for b, d in cut if d.any()]
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], ["block", "d"])
         release()
 
     return run
@@ -203,7 +219,7 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
     """
     sc, rows = texts.sparkSession.sparkContext, TEMPLATES << BITS
     apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
-    learn, held = texts.where(~apart), texts.where(apart)
+    learn, held = texts.where(~apart), written(texts.where(apart), "apart")
     tasks = max(1, min(sc.defaultParallelism, n_tokens // LEAST_TOKENS), n_tokens // TASK_TOKENS)
 
     def gathered(w: np.ndarray | None) -> list[np.ndarray]:
@@ -226,13 +242,14 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
     w, rests = np.stack([x for x, _ in starts]), [r for _, r in starts]
     before = loss(w)
     for _ in range(ROUNDS):
-        new = np.stack([stepped(w[i], seen[i], x / (1 << 20), rests[i]) for i, x in enumerate(gathered(w))])
+        new = np.stack([stepped(w[i], seen[i], x / (1 << UNITS), rests[i]) for i, x in enumerate(gathered(w))])
         after = loss(new)
         if after > before:
             break
         w, fell, before = new, before - after, after
         if fell < LEAST:
             break
+    free(held)
     return w
 
 

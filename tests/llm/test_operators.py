@@ -468,8 +468,14 @@ def test_gradient_steps_lower_the_penalised_loss(spark):
         losses.append(-language_model.chosen_logs(w, f[:, :half], cls[:half]).sum() + language_model.PULL / 2 * ((w - rest) ** 2).sum())
         expected = np.zeros((language_model.CLASSES, rows))
         language_model.expected_sums(expected, f[:, :half], w)
-        w = language_model.stepped(w, seen, expected.T / (1 << 20), rest)
+        w = language_model.stepped(w, seen, expected.T / (1 << language_model.UNITS), rest)
     assert losses[0] > losses[1] > losses[2]
+    p = np.exp(language_model.choice_logs(w, f[:, :5000]))
+    want, got = np.zeros((language_model.CLASSES, rows)), np.zeros((language_model.CLASSES, rows))
+    language_model.expected_sums(got, f[:, :5000], w)
+    for i in range(language_model.TEMPLATES):
+        np.add.at(want.T, f[i, :5000], np.rint(p * (1 << language_model.UNITS)))
+    assert np.abs(got - want).max() <= 2 and got.sum() == np.rint(got).sum()
 
 
 def test_base_scores_against_brute_force(spark):
