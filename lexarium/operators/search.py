@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +76,10 @@ def ranked(h: DataFrame, n_terms: int, k1: float = 1.2, b: float = 0.75, stats:
 
 # ------------------------------------------------------------------ an index that is written once
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cut: float | None = None) -> None:
-    """Write postings by three-character prefix, document lengths with the columns `keep`, and one row of statistics.
+    """Write postings in ranges of tokens, document lengths with the columns `keep`, and one row of statistics.
 
-    cut: tokens of more than this share of the documents get no postings. Postings are dealt out by prefix and token, so
-    a task writes few files, each sorted by token, and a reader skips all others by the files' statistics.
+    cut: tokens of more than this share of the documents get no postings. Files hold ranges of sorted tokens, so that a
+    reader skips all others by their statistics. For an index that changes see segments.
     """
     texts = docs.select(F.col(id_col).alias("doc"), *keep, F.explode(F.array(_all_words(F.col(text_col)))).alias("w"))
     texts.select("doc", *keep, F.size("w").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
@@ -88,16 +89,17 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     if cut is not None:
         n = docs.sparkSession.read.parquet(f"{path}/stats").first()["n"]
         p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > cut * n).select("token"), "token", "left_anti")
-    p.withColumn("prefix", F.substring("token", 1, 3)).repartition("prefix", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("prefix", "token", "doc").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/postings")
+    p.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def indexed_postings(spark: SparkSession, path: str, terms: list[str], prefixes: bool = False) -> DataFrame:
-    """Postings of the terms, or of all tokens that begin with them (three characters or more); other partitions aren't read."""
-    p = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
-    p = p.where(F.col("prefix").isin(*{t[:3] for t in terms}))
+    """Postings of the terms, or of all tokens that begin with them (three characters or more); other ranges aren't read."""
+    p = spark.read.parquet(f"{path}/postings")
     if not prefixes:
         return p.where(F.col("token").isin(*terms)).select("token", "doc", "tf", F.col("token").alias("term"))
-    begins = F.filter(F.array(*map(F.lit, [t for t in terms if len(t) >= 3])), lambda t: F.startswith(F.col("token"), t))
+    least = [t for t in terms if len(t) >= 3]
+    p = p.where(reduce(lambda a, b: a | b, (F.startswith("token", F.lit(t)) for t in least), F.lit(False)))
+    begins = F.filter(F.array(*map(F.lit, least)).cast("array<string>"), lambda t: F.startswith(F.col("token"), t))
     return p.select("token", "doc", "tf", F.explode(begins).alias("term"))
 
 
