@@ -27,18 +27,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def quote_gate(quotes: DataFrame, contexts: DataFrame, least: int = 60) -> DataFrame:
     """quotes(quote, text) with the first reason against each: empty, short, absent, repeated, else ok.
 
-    A quote stands in a context(context, text) if this contains it. Candidates meet on the quote's longest inner token,
-    which every such context has whole, in an equi join; the text decides after it. Quotes of less than three tokens are
-    short anyway, or (of one endless token) compared with every context.
+    A quote stands in a context(context, text) if this contains it. Candidates meet on that inner token of the quote which
+    the fewest contexts have (every context of the quote has it whole), in an equi join; the text decides after it. Quotes
+    of less than three tokens are short anyway, or (of one endless token) compared with every context.
     """
     tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
     inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    q = quotes.select("quote", "text", longest.alias("token"))
-    long = q.where(F.length("text") >= least)
+    long = quotes.select("quote", "text", F.array_distinct(inner).alias("tokens")).where(F.length("text") >= least)
     c = contexts.select("context", F.col("text").alias("whole"))
-    keys = long.where("token is not null").select("token").distinct()
-    posted = c.select("context", F.explode(F.array_distinct(F.regexp_extract_all("whole", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("token")).join(keys, "token", "left_semi")
+    asked = long.select("quote", F.explode("tokens").alias("token"))
+    posted = c.select("context", F.explode(F.array_distinct(F.regexp_extract_all("whole", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    often = posted.groupBy("token").agg(F.count("*").alias("n"))
+    pick = asked.join(often, "token", "left").groupBy("quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("p")).select("quote", F.col("p.token").alias("token"))
+    long = long.select("quote", "text").join(pick, "quote", "left")
     near = long.where("token is not null").join(posted, "token").join(c, "context").where(F.contains("whole", F.col("text"))).select("quote", "context")
     odd = long.where("token is null").join(c, F.contains("whole", F.col("text"))).select("quote", "context")
     n = near.unionAll(odd).groupBy("quote").agg(F.count("*").alias("n"))

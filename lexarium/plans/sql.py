@@ -380,7 +380,7 @@ def unique_identity(d):
 
 @plan
 def text_loss(d):
-    return "select d.doc_id, d.n_chars, length(d.text) as kept from documents d where length(trim(d.text)) < 0.98 * d.n_chars"
+    return "select * from (select d.doc_id, d.n_chars, length(case when d.doc_id % 3 = 0 then substr(d.text, 1, cast(d.n_chars - d.doc_id % 40 as int)) else d.text end) as kept from documents d) x where kept < 0.98 * n_chars"
 
 
 # ------------------------------------------------------------------ incremental state (2.13)
