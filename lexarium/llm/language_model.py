@@ -20,7 +20,7 @@ ROUNDS, LEAST, APART = 8, 0.01, 16
 SHARE, PULL, LARGEST = 0.5, 4.0, 12.0
 #: Learnt tokens of one task of a gradient step, at least and (beyond the cluster's cores) about, so that sums of fixed size
 #: are few; sums that are added in one task at most.
-LEAST_TOKENS, TASK_TOKENS, ADDED = 1 << 20, 1 << 24, 32
+LEAST_TOKENS, TASK_TOKENS, ADDED = 1 << 22, 1 << 24, 32
 #: Bits of a unit of expectation, and bytes of text whose features are made at once.
 UNITS, AT_ONCE = 10, 2 << 20
 #: Rows of weights that are summed as one block.
