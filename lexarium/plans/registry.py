@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import candidates, rules, search, similarity
 from ..operators.segments import SegmentedIndex
 from ..session import work_dir
-from . import mapped, mapped_events, mapped_state, mapped_stored, mapped_text, sql
+from . import mapped, mapped_events, mapped_lifecycle, mapped_state, mapped_stored, mapped_text, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -188,7 +188,7 @@ def _as_text(name: str, query: str) -> str:
 
 
 def _further() -> dict[str, tuple[Query, str]]:
-    return mapped.QUERIES | mapped_events.QUERIES | mapped_state.QUERIES | mapped_stored.QUERIES | mapped_text.QUERIES
+    return mapped.QUERIES | mapped_events.QUERIES | mapped_lifecycle.QUERIES | mapped_state.QUERIES | mapped_stored.QUERIES | mapped_text.QUERIES
 
 
 def queries() -> dict[str, Query]:
