@@ -26,6 +26,8 @@ ALLOWED = (1, 4)
 LEAST = 5
 #: Characters of benchmark text that are indexed, and broadcast, at a time; a larger benchmark is taken in blocks.
 BLOCK = 16 << 20
+#: Seed hits that are made at a time, and bits of a diagonal (a block has less than 2^23 items, a text less than 2^39 words).
+HITS, SHIFT_BITS = 1 << 20, 40
 
 
 def seed_hashes(words: np.ndarray, seed: str) -> np.ndarray:
@@ -94,17 +96,33 @@ def best_passage(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     return lo + shift + begin, end - begin, int(same[begin:end].sum())
 
 
-def overlaps(words: np.ndarray, index: dict) -> dict[int, tuple[int, int, int]]:
-    """The best counting passage of each item in one document."""
-    tries = set()
+def diagonals(words: np.ndarray, index: dict) -> np.ndarray:
+    """(item, shift) of every seed hit, each once, in order. Repeated words hit one diagonal many times: hits are made a
+    bounded number at a time and told apart at once."""
+    found = [np.zeros(0, np.int64)]
     for seed in index["seeds"]:
         h = seed_hashes(words, seed)
         at = np.flatnonzero(index["sieve"][(h >> np.uint64(43)).astype(np.int64)])
         left, right = np.searchsorted(index["h"], h[at], "left"), np.searchsorted(index["h"], h[at], "right")
-        for i in np.flatnonzero(right > left):
-            tries.update(zip(index["item"][left[i] : right[i]].tolist(), (at[i] - index["place"][left[i] : right[i]]).tolist(), strict=True))
+        hit = np.flatnonzero(right > left)
+        n, left, at = (right - left)[hit], left[hit], at[hit]
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, "right")), a + 1)
+            own = n[a:b]
+            place = np.repeat(left[a:b] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            shift = np.repeat(at[a:b], own) - index["place"][place]
+            found.append(np.unique((index["item"][place] << np.int64(SHIFT_BITS)) + shift + (1 << (SHIFT_BITS - 1))))
+            a = b
+    key = np.unique(np.concatenate(found))
+    return np.stack([key >> np.int64(SHIFT_BITS), (key & ((1 << SHIFT_BITS) - 1)) - (1 << (SHIFT_BITS - 1))], 1)
+
+
+def overlaps(words: np.ndarray, index: dict) -> dict[int, tuple[int, int, int]]:
+    """The best counting passage of each item in one document."""
     out: dict[int, tuple[int, int, int]] = {}
-    for item, shift in sorted(tries):
+    for item, shift in diagonals(words, index).tolist():
         got = best_passage(words, index["words"][item], shift)
         if got and (item not in out or got[2] > out[item][2]):
             out[item] = got

@@ -520,3 +520,28 @@ def test_more_parts_than_tasks_change_nothing(spark):
     assert {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.ngram_jaccard_join(d, share=2000, tasks=3).collect()} == few
     lines = lambda **more: sorted(map(tuple, line_dedup.duplicate_lines(d, **more).collect()))
     assert lines(share=2000, tasks=3) == lines()
+
+
+def test_decontamination_of_repeated_words_long_texts_and_clashing_columns(spark):
+    import time
+
+    item = " ".join(["same"] * 500)
+    index = decontamination.build_index([(1, item), (2, "one two three four five six seven eight nine ten eleven twelve thirteen")])
+    (words,) = decontamination.rows_of(pa.array([" ".join(["same"] * 20_000)]), decontamination.ALNUM)
+    start = time.process_time()
+    assert decontamination.overlaps(words, index)[0][1:] == (500, 500) and time.process_time() - start < 20
+    assert len(decontamination.diagonals(words, index)) == len(set(map(tuple, decontamination.diagonals(words, index).tolist())))
+    long = " ".join(f"w{i}" for i in range(50_000))
+    rows = [(1, f"{long} One two, three four five six SEVEN eight nine ten eleven other thirteen {long}", "x", 5), (1, "same words only", "y", 6), (2, None, None, None), (None, "", "", 0)]
+    d = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, item string, start long")
+    b = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven twelve thirteen", 1), (8, None, 2), (None, "a b c", 3)], "item_id long, text string, agree int")
+    got = [tuple(r) for r in decontamination.contaminated(d, b).collect()]
+    assert got == [(1, 7, 50_000, 13, 12)] * 2
+    left = decontamination.decontaminate(d, b)
+    assert left.columns == d.columns and sorted(map(str, left.collect())) == sorted(map(str, [r for r in d.collect() if "SEVEN" not in (r["text"] or "")]))
+
+
+def test_clashing_score_columns_give_way(spark, odd):
+    d = odd.withColumn("score", F.lit("mine")).withColumn("id", F.lit(0)).withColumn("learnt", F.lit(1))
+    got = language_model.lm_scores(d, F.col("doc_id") != 3)
+    assert got.count() == d.count() and dict(got.dtypes)["score"] == "double" and dict(got.dtypes)["id"] == "bigint"
