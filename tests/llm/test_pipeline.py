@@ -55,3 +55,16 @@ def test_an_empty_corpus_stays_empty(spark, tmp_path):
 def test_a_corpus_of_nothing_but_null_texts(spark, tmp_path):
     sf = folder(spark, str(tmp_path), [(1, None, None, None, None), (None, "", None, None, 0)], [(1, 1, 1)], [(None, None)])
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns_pass_through_every_stage(spark, tmp_path):
+    docs = [(i, prose(i) + "\n" + prose(i + 500), "en", f"s{i % 2}", 700) for i in range(30)]
+    sf = folder(spark, str(tmp_path), docs + docs[:5], [(i, 1, int(i > 25)) for i in range(30)], [(1, BENCH)])
+    extra = ["id", "th", "item", "component", "size", "copies", "part", "label", "score", "line", "cls"]
+    at = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *(f"concat('{c}', doc_id) as {c}" for c in extra))
+    columns = at.columns
+    for name, stage in corpus_pipeline.STAGES:
+        at = corpus_pipeline.written(stage(spark, at, sf), name)
+        assert at.columns == columns, name
+        assert at.where(" or ".join(f"{c} <> concat('{c}', doc_id)" for c in extra)).count() == 0, name
+    assert {r["doc_id"] for r in at.collect()} <= set(range(30))
