@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,7 +26,8 @@ _OWN_DIR: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or (unset, in local mode only) a temporary one."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or (unset, in local mode only) a temporary one;
+    deleted at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -33,7 +35,17 @@ def work_dir(spark: SparkSession) -> str:
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="lexarium-"))
         base = _OWN_DIR[0]
-    return f"{base.rstrip('/')}/lexarium-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lexarium-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended; the files then stay in the shared folder
+        pass
 
 
 def local(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:

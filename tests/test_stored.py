@@ -54,6 +54,18 @@ def test_an_unfinished_commit_is_passed_over(spark, tmp_path):
     assert second.number == first.number + 2 and set(second.tables) == {"t", "u"} and second.facts == {"v": 1} and c.at(first.number) == first
 
 
+def test_expired_folders_go_and_the_rest_stays(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    for n in (1, 2, 3):
+        s.write("t", spark.range(n))
+    s.write("u", spark.range(9))
+    staged = s.commits.stage("t", spark.range(7))  # not committed
+    assert s.commits.expire(1, hours=1) == [] and len(s.commits.expire(1, hours=0)) == 3
+    assert s.read("t").count() == 3 and s.read("u").count() == 9 and not (tmp_path / staged).exists() and s.commits.expire(1, hours=0) == []
+    s.write("t", spark.range(4))
+    assert s.read("t").count() == 4
+
+
 def test_snapshots_replayed_twice_count_once(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     rows = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "snapshot string, v int")
