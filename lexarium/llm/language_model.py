@@ -160,7 +160,7 @@ def _sums(shared):
     weights), or of what the model expects."""
 
     def run(batches):
-        w, rows = shared.value, TEMPLATES << BITS
+        w, rows = None if shared is None else shared.value.astype(np.float32), TEMPLATES << BITS
         if w is None:
             total = [np.zeros((rows, k), np.int64) for k in (CLASSES, PARTS)]
         else:
@@ -199,11 +199,11 @@ def _lost(shared):
     """(n, loss): tokens of one task's texts and their summed -log10 P."""
 
     def run(batches):
-        n, loss = 0, 0.0
+        n, loss, w = 0, 0.0, shared.value.astype(np.float32)
         for batch in batches:
             for part in small_batches(batch, "text", 1 << 20):
                 h, cls, own, counts = tokens(part.column(0))
-                n, loss = n + len(h), loss - word_logs(shared.value, h, cls, own, counts).sum() / np.log(10)
+                n, loss = n + len(h), loss - word_logs(w, h, cls, own, counts).sum() / np.log(10)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "loss": pa.array([round(float(loss) * 1000)], pa.int64())})
 
     return run
@@ -215,15 +215,16 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
     The start comes from the counts of choices after contexts; each step then follows the gradient (what was seen less what
     the model expects, less the pull), summed over all tokens at the same weights. One text in APART, by its hash, is kept
     out of the sums: steps go on until its loss falls by less than LEAST. Sums are of whole numbers, so neither the order
-    of rows nor the number of partitions changes the result. Weights and sums have a fixed size (25 and 50 MB).
+    of rows nor the number of partitions changes the result. Weights and sums have a fixed size (25 and 50 MB); tasks get the weights as
+    16-bit numbers, and one set of them at a time.
     """
     sc, rows = texts.sparkSession.sparkContext, TEMPLATES << BITS
     apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
     learn, held = texts.where(~apart), written(texts.where(apart), "apart")
     tasks = max(1, min(sc.defaultParallelism, n_tokens // LEAST_TOKENS), n_tokens // TASK_TOKENS)
 
-    def gathered(w: np.ndarray | None) -> list[np.ndarray]:
-        got = learn.coalesce(tasks).mapInArrow(_sums(sc.broadcast(w)), "block int, d binary")
+    def gathered(shared) -> list[np.ndarray]:
+        got = learn.coalesce(tasks).mapInArrow(_sums(shared), "block int, d binary")
         if tasks > ADDED:
             got = got.repartition(64, "block", F.spark_partition_id() % (tasks // ADDED + 1)).mapInArrow(_added, "block int, d binary")
         sums = written(got.repartition(16, "block").mapInArrow(_added, "block int, d binary"), "sums")
@@ -233,22 +234,26 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
         free(sums)
         return [out[:rows], out[rows:]]
 
-    def loss(w: np.ndarray) -> float:
-        r = held.mapInArrow(_lost(sc.broadcast(w)), "n long, loss long").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
+    def loss(shared) -> float:
+        r = held.mapInArrow(_lost(shared), "n long, loss long").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
         return (r["loss"] or 0) / 1000 / max(r["n"] or 0, 1)
 
     seen = gathered(None)
     starts = [start_weights(x) for x in seen]
     w, rests = np.stack([x for x, _ in starts]), [r for _, r in starts]
-    before = loss(w)
+    shared = sc.broadcast(w.astype(np.float16))  # what tasks read of the weights, 12 MB
+    before = loss(shared)
     for _ in range(ROUNDS):
-        new = np.stack([stepped(w[i], seen[i], x / (1 << UNITS), rests[i]) for i, x in enumerate(gathered(w))])
-        after = loss(new)
+        new = np.stack([stepped(w[i], seen[i], x / (1 << UNITS), rests[i]) for i, x in enumerate(gathered(shared))])
+        shared.destroy()
+        shared = sc.broadcast(new.astype(np.float16))
+        after = loss(shared)
         if after > before:
             break
         w, fell, before = new, before - after, after
         if fell < LEAST:
             break
+    shared.destroy()
     free(held)
     return w
 
@@ -256,6 +261,7 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
 def _score(shared):
     def run(batches):
         w, head, count, norm = shared.value
+        w = w.astype(np.float32)
         for batch in batches:
             for part in small_batches(batch, "text", 1 << 20):
                 h, cls, own, n = tokens(part.column(part.schema.get_field_index("text")))
@@ -301,7 +307,7 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     top = most_frequent(counts, HEAD).select("h", "c").toPandas()  # at most HEAD pairs
     head = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(head)
-    shared = docs.sparkSession.sparkContext.broadcast((train(texts, n), head[order], top["c"].to_numpy(np.int64)[order], norm))
+    shared = docs.sparkSession.sparkContext.broadcast((train(texts, n).astype(np.float16), head[order], top["c"].to_numpy(np.int64)[order], norm))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = base.mapInArrow(_score(shared), f"id {kind}, learnt boolean, n_tokens long, head_known long, head_logs double, model double, tail array<long>")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "scores")
