@@ -114,12 +114,14 @@ def gap_report(duties: DataFrame, edges: DataFrame, acts: DataFrame, today: Colu
 
 def as_of(versions: DataFrame, asked: DataFrame, fallback: bool = True) -> DataFrame:
     """asked(name, day) with the version(name, version, since) in force: the latest not after the day, without a day the
-    latest of all; if none is that old the first one (fallback) or none."""
-    v = versions.select(F.col("name").alias("_n"), "version", "since")
-    x = asked.join(v, asked["name"] == v["_n"], "left").drop("_n")
-    ok = F.col("day").isNull() | (F.col("since") <= F.col("day"))
-    best = F.max(F.when(ok, F.struct("since", "version")))
-    first = F.min(F.struct("since", "version"))
+    latest of all; if none is that old the first one (fallback) or none. An undated version counts as the last one; a name
+    without versions has none in force."""
+    v = versions.where("version is not null").select(F.col("name").alias("_n"), "version", "since")
+    x = asked.join(v, asked["name"] == v["_n"], "left")
+    ok = F.col("_n").isNotNull() & (F.col("day").isNull() | (F.col("since") <= F.col("day")))
+    order = F.struct(F.col("since").isNull().alias("undated"), "since", "version")
+    best = F.max(F.when(ok, order))
+    first = F.min(F.when(F.col("_n").isNotNull(), order))
     g = x.groupBy("name", "day").agg(best.alias("b"), first.alias("f"))
     return g.select("name", "day", F.coalesce("b.version", "f.version" if fallback else F.lit(None)).alias("version"), F.col("b").isNotNull().alias("in_force"))
 
