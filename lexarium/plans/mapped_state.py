@@ -209,7 +209,7 @@ def report_legislatures(t):
 @query(f"""with {SIGNATURES}, d as (select l_orderkey as bill, l_linenumber as division, l_shipdate as at, case when l_returnflag <> 'N' then l_returnflag end as result from lineitem), g as (select bill, count(distinct idm || ':' || leg || ':' || camera) as signers from sig group by bill)
  select o_orderkey as bill, coalesce(signers, 0) as signers, coalesce((select arg_max(result, struct_pack(a := "at", d := division)) from d where d.bill = o_orderkey and result is not null), 'undecided') as result from orders left join g on g.bill = o_orderkey""")
 def report_signed_bills(t):
-    d = t("lineitem").select(F.col("l_orderkey").alias("bill"), F.col("l_linenumber").alias("division"), F.col("l_shipdate").alias("at"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("result"))
+    d = t("lineitem").select(F.col("l_orderkey").alias("bill"), F.col("l_linenumber").alias("division"), F.col("l_shipdate").alias("at"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("result"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
     return reports.signed_bills(t("orders").select(F.col("o_orderkey").alias("bill")), signatures(t), d)
 
 
