@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many of a norm's rarest grams must be met beyond the ones that a unit may lack.
+HITS = 10
+#: Up to so many grams of norms go to every task; more are joined by a shuffle of both sides.
+FEW = 2_000_000
+
+
 def flattened(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def fingerprint(c: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of the flattened text, which is made once for all of them."""
+    """Distinct character n-grams of the flattened text."""
+    return flat_grams(flattened(c), n)
+
+
+def flat_grams(c: Column, n: int = 5) -> Column:
+    """Distinct character n-grams of a flattened text, which is made once for all of them."""
 
     def grams(flat: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substring(flat, i, n))
+        # a lookahead finds them all in one pass; it steps by UTF-16 units, so that pairs of those are cut place by place
+        placed = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substring(flat, i, n))
+        every = F.when(F.rlike(flat, F.lit(r"[\x{10000}-\x{10FFFF}]")), placed).otherwise(F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
         return F.when(F.length(flat) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
-    return F.element_at(F.transform(F.array(flattened(c)), grams), 1)
+    return F.element_at(F.transform(F.array(c), grams), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -59,22 +72,24 @@ def re_enactments(units: DataFrame, norms: DataFrame, contained: float = 0.8, wo
     """(unit, norm, part): norms whose fingerprint a unit contains.
 
     units(unit, text) and norms(norm, text) need at least `words` words; a unit may have up to `ratio` times the norm's
-    grams. A unit that holds that part of a norm's n grams holds one of any n - ceil(contained * n) + 1 of them, so only the
-    rarest so many, by their number of units, are joined; what meets there is decided on the whole fingerprints.
+    grams. A unit that holds that part of a norm's n grams lacks at most n - least of them, so that it holds HITS of any
+    n - least + HITS: only the rarest so many, by their number of units, are joined and counted. What has enough hits is
+    decided on the whole fingerprints.
     """
-    enough = F.size(F.split(flattened(F.col("text")), " ")) >= words
-    u = units.where(enough).select("unit", F.explode(F.array(fingerprint(F.col("text")))).alias("g")).withColumn("n_u", F.size("g"))
-    b = norms.where(enough).select("norm", F.explode(F.array(fingerprint(F.col("text")))).alias("h")).withColumn("n_b", F.size("h"))
+    enough = F.size(F.split("flat", " ")) >= words
+    flat = units.select("unit", flattened(F.col("text")).alias("flat")).where(enough).repartition("unit")  # long texts may lie together
+    u = flat.select("unit", F.explode(F.array(flat_grams(F.col("flat")))).alias("g")).withColumn("n_u", F.size("g"))
+    b = norms.select("norm", flattened(F.col("text")).alias("flat")).where(enough).select("norm", F.explode(F.array(flat_grams(F.col("flat")))).alias("h")).withColumn("n_b", F.size("h"))
     ends = b.agg(F.min("n_b").alias("lo"), F.max("n_b").alias("hi"))  # one row: a unit of fewer grams than any norm needs can contain none
     u = u.crossJoin(F.broadcast(ends)).where((F.col("n_u") >= contained * F.col("lo")) & (F.col("n_u") <= ratio * F.col("hi"))).drop("lo", "hi")
     grams = b.select("norm", "n_b", F.explode("h").alias("gram"))
+    near = F.broadcast if b.agg(F.coalesce(F.sum("n_b"), F.lit(0))).first()[0] <= FEW else (lambda d: d)
     posted = u.select("unit", "n_u", F.explode("g").alias("gram"))
-    often = posted.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("units"))
-    at = F.row_number().over(Window.partitionBy("norm").orderBy("units", "gram"))
-    rarest = grams.join(often, "gram").withColumn("at", at).join(b.select("norm", F.size("h").alias("n")), "norm")
-    # grams that no unit has count as the rarest: they take places, but join nothing
-    absent = grams.join(often, "gram", "left_anti").groupBy("norm").agg(F.count("*").alias("absent"))
-    rarest = rarest.join(absent, "norm", "left").where(F.col("at") + F.coalesce("absent", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * contained - 1e-9) + 1)
-    met = posted.join(rarest.select("norm", "n_b", "gram"), "gram").where((F.col("n_u") <= ratio * F.col("n_b")) & (F.col("n_u") >= contained * F.col("n_b"))).select("unit", "norm").distinct()
-    both = met.join(b, "norm").join(u, "unit").select("unit", "norm", F.round(F.size(F.array_intersect("g", "h")) / F.col("n_b"), 6).alias("part"))
+    often = posted.join(near(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("units"))
+    at = F.row_number().over(Window.partitionBy("norm").orderBy(F.coalesce("units", F.lit(0)), "gram"))  # grams that no unit has are the rarest
+    least = F.ceil(F.col("n_b") * (contained - 5e-7)).cast("int")  # what rounds to `contained`
+    rarest = grams.join(often, "gram", "left").withColumn("at", at).withColumn("least", least).where(F.col("at") <= F.col("n_b") - F.col("least") + HITS)
+    hit = posted.join(near(rarest.select("norm", "n_b", "least", "gram")), "gram").where((F.col("n_u") <= ratio * F.col("n_b")) & (F.col("n_u") >= (contained - 5e-7) * F.col("n_b")))
+    met = hit.groupBy("unit", "norm", "least").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.least("least", F.lit(HITS))).select("unit", "norm")
+    both = flat.join(met, "unit").select("unit", "norm", flat_grams(F.col("flat")).alias("g")).join(b, "norm").select("unit", "norm", F.round(F.size(F.array_intersect("g", "h")) / F.col("n_b"), 6).alias("part"))
     return both.where(F.col("part") >= contained)
