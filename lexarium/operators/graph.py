@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Kinds of edges that change the target.
 CHANGES = ("modifica", "abroga", "introduce", "completeaza", "inlocuieste", "suspenda", "proroga")
 
+#: So many acts, or fewer, are broadcast to filter edges.
+FEW = 100_000
+
 
 def covers(outer: Column, inner: Column) -> Column:
     """Whether a path is another or holds it; the empty path holds all. art1 doesn't hold art10."""
@@ -70,6 +73,14 @@ def edges_of(sources: DataFrame, operations: DataFrame, citations: DataFrame) ->
     return ops.unionByName(refs).distinct().join(sources.select("source", "since"), "source", "left")
 
 
+def of_targets(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges to the acts that one column of targets names; edges to others are left out before they are joined with anything.
+    Up to FEW acts go to every task."""
+    acts = targets.toDF("_act").distinct()
+    acts = F.broadcast(acts) if acts.count() <= FEW else acts
+    return edges.join(acts, edges["target"] == acts["_act"], "left_semi")
+
+
 def inbound(edges: DataFrame, target: str, changes_only: bool = False) -> DataFrame:
     """Edges to an act by date, undated last."""
     e = edges.where(F.col("target") == target)
@@ -102,7 +113,8 @@ def neighbours(edges: DataFrame, limit: int = 10) -> DataFrame:
 def watch_state(edges: DataFrame, pending: DataFrame) -> DataFrame:
     """(target, citing, changing, last_change, pending): what is known of every act that is cited or has pending(target)."""
     change = F.col("kind").isin(*CHANGES)
-    e = edges.groupBy("target").agg(F.countDistinct("source").alias("citing"), F.countDistinct(F.when(change, F.col("source"))).alias("changing"), F.max(F.when(change, F.col("since"))).alias("last_change"))
+    one = edges.groupBy("target", "source").agg(F.max(change).alias("change"), F.max(F.when(change, F.col("since"))).alias("last"))  # a row a pair, so that no row is multiplied
+    e = one.groupBy("target").agg(F.count("source").alias("citing"), F.count(F.when(F.col("change"), F.col("source"))).alias("changing"), F.max("last").alias("last_change"))
     p = pending.groupBy("target").agg(F.count("*").alias("pending"))
     return e.join(p, "target", "full").select("target", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("citing", "changing")), "last_change", F.coalesce("pending", F.lit(0)).alias("pending"))
 

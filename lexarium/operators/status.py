@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import legal_rank
-from .graph import ancestors
+from .graph import ancestors, of_targets
 
 #: Kinds of edges that qualify a provision, and what they make of it.
 QUALIFIES = {"suspenda": "suspendat", "deroga": "derogare", "proroga": "prorogat"}
@@ -48,17 +48,17 @@ def struck_register(strikes: DataFrame, edges: DataFrame, kinds: DataFrame, toda
     types, an unknown one may. The deadline is publication + days, only for a strike that suspends.
     """
     by_kind = kinds.select(F.col("act").alias("source"), F.col("kind").alias("by_kind"))
-    e = edges.where("since is not null").select(F.col("target").alias("act"), "locator", "since", "source").join(by_kind, "source", "left")
+    e = of_targets(edges.where("since is not null"), strikes.select("act")).select(F.col("target").alias("act"), "locator", "since", "source").join(by_kind, "source", "left")
     e = e.withColumn("by", F.when(F.col("by_kind").isNotNull(), legal_rank(F.col("by_kind"))))
     # of the changes of a path, and of those of what lies below it, only the last one by each rank can repair
-    last = lambda d: d.groupBy("act", "on", "by").agg(F.max("since").alias("last"))
-    at, below = last(e.withColumn("on", F.col("locator"))), last(e.withColumn("on", F.explode(ancestors(F.col("locator"), itself=False))))
+    dealt = e.withColumn("on", F.explode(ancestors(F.col("locator")))).withColumn("under", F.col("on") != F.col("locator"))
+    last = dealt.groupBy("act", "on", "by", "under").agg(F.max("since").alias("last"))
     s = strikes.join(kinds.select("act", F.col("kind").alias("own_kind")), "act", "left").withColumn("own", F.when(F.col("own_kind").isNotNull(), legal_rank(F.col("own_kind"))))
     repairs = (F.col("last") > F.col("published")) & (F.col("by").isNull() | F.col("own").isNull() | (F.col("by") <= F.col("own")))
     key = s.select("strike", "act", "locator", "published", "own")
-    over = key.withColumn("on", F.explode(ancestors(F.col("locator")))).join(at, ["act", "on"]).where(repairs).select("strike")
-    under = key.withColumn("on", F.col("locator")).join(below, ["act", "on"]).where(repairs).select("strike")
-    open_ = s.join(over.unionAll(under).distinct(), "strike", "left_anti")
+    met = key.withColumn("on", F.explode(ancestors(F.col("locator")))).join(last, ["act", "on"])
+    done = met.where(repairs & (~F.col("under") | (F.col("on") == F.col("locator")))).select("strike").distinct()
+    open_ = s.join(done, "strike", "left_anti")
     due = F.when(F.col("suspends"), F.date_add("published", days))
     return open_.select("strike", "act", "locator", "published", due.alias("due"), F.greatest(F.datediff(today, due), F.lit(0)).alias("overdue"))
 
@@ -92,7 +92,7 @@ def due_date(until: Column, days: Column, base: Column, in_force: Column, publis
 def implementations(duties: DataFrame, edges: DataFrame, acts: DataFrame) -> DataFrame:
     """(duty, by): acts of the expected type that cite the host and were not published before it; undated ones count."""
     d = duties.select("duty", "host", "expected", F.col("published").alias("_p"))
-    e = edges.select(F.col("source").alias("by"), F.col("target").alias("_t")).distinct()
+    e = of_targets(edges, duties.select("host")).select(F.col("source").alias("by"), F.col("target").alias("_t")).distinct()
     a = acts.select(F.col("act").alias("by"), F.col("kind"), F.col("published"))
     x = d.join(e, d["host"] == e["_t"]).join(a, "by")
     return x.where((F.col("expected").isNull() | (F.col("kind") == F.col("expected"))) & (F.col("published").isNull() | F.col("_p").isNull() | (F.col("published") >= F.col("_p")))).select("duty", "by").distinct()
