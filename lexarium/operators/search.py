@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKED, PLAIN, fold_key
+from .postings import term_counts
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,7 +29,8 @@ def _once(docs: DataFrame, id_col: str, text_col: str, words) -> DataFrame:
 
 
 def _all_words(c):
-    return F.regexp_extract_all(fold_key(c), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    """The words of fold_key(c), whose runs of white space don't matter to them."""
+    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
 def _stated(docs: DataFrame, equal: dict | None, at_least: dict | None, at_most: dict | None) -> DataFrame:
@@ -81,15 +83,22 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     cut: tokens of more than this share of the documents get no postings. Files hold ranges of sorted tokens, so that a
     reader skips all others by their statistics. For an index that changes see segments.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), *keep, F.explode(F.array(_all_words(F.col(text_col)))).alias("w"))
-    texts.select("doc", *keep, F.size("w").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
-    lengths = docs.sparkSession.read.parquet(f"{path}/docs")
+    spark, words = docs.sparkSession, f"{path}/words"
+    docs.select(F.col(id_col).alias("doc"), *keep, F.explode(F.array(_all_words(F.col(text_col)))).alias("words")).write.mode("overwrite").parquet(words)
+    texts = spark.read.parquet(words)
+    texts.select("doc", *keep, F.size("words").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
+    lengths = spark.read.parquet(f"{path}/docs")
     lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    p = postings(docs, id_col, text_col)
+    term_counts(texts).write.mode("overwrite").parquet(f"{path}/counts")  # counted once, though the ranges are sought first
+    # equal (token, doc), of documents that share an id, lie in one range
+    p = spark.read.parquet(f"{path}/counts").repartitionByRange("token", "doc").groupBy("token", "doc").agg(F.sum("tf").alias("tf"))
     if cut is not None:
-        n = docs.sparkSession.read.parquet(f"{path}/stats").first()["n"]
-        p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > cut * n).select("token"), "token", "left_anti")
-    p.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        n = spark.read.parquet(f"{path}/stats").first()["n"]
+        p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > cut * n).select("token"), "token", "left_anti").repartitionByRange("token", "doc")
+    p.sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    for made in (words, f"{path}/counts"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def indexed_postings(spark: SparkSession, path: str, terms: list[str], prefixes: bool = False) -> DataFrame:
