@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.commits import Commits, State
-from .graph import CHANGES
+from .graph import CHANGES, FEW
 
 EDGE = ["source", "target", "locator", "kind", "since"]
 
@@ -30,9 +30,8 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
 def known(edges: DataFrame) -> DataFrame:
     """(target, citing, changing, edges, last_change) from counted edges."""
     change = F.col("kind").isin(*CHANGES)
-    return edges.groupBy("target").agg(
-        F.countDistinct("source").alias("citing"), F.countDistinct(F.when(change, F.col("source"))).alias("changing"), F.sum("n").alias("edges"), F.max(F.when(change, F.col("since"))).alias("last_change")
-    )
+    one = edges.groupBy("target", "source").agg(F.max(change).alias("change"), F.sum("n").alias("n"), F.max(F.when(change, F.col("since"))).alias("last"))  # a row a pair, so that no row is multiplied
+    return one.groupBy("target").agg(F.count("source").alias("citing"), F.count(F.when(F.col("change"), F.col("source"))).alias("changing"), F.sum("n").alias("edges"), F.max("last").alias("last_change"))
 
 
 class EdgeUpkeep:
@@ -60,7 +59,9 @@ class EdgeUpkeep:
         """The edges of acts(source) are now these; acts without any lose theirs."""
         base = self.commits.latest()
         ids = acts.select("source").distinct()
-        new = counted(edges.join(ids, "source", "left_semi"))
+        ids = F.broadcast(ids) if ids.count() <= FEW else ids
+        # staged, as it is read three times
+        new = self.commits.read(State(tables={"new": [self.commits.stage("new", counted(edges.join(ids, "source", "left_semi")))]}), "new")
         sources = self._names(ids, "source")
         own = self._read(base, "by_source", sources, new)
         staged_diff = self.commits.stage("differences", differences(own.join(ids, "source", "left_semi"), new))
