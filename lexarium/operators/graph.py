@@ -91,12 +91,15 @@ def outbound(edges: DataFrame, source: str) -> DataFrame:
     return edges.where(F.col("source") == source).orderBy("target", "locator")
 
 
-def who_cites(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets(target, path) with every edge that meets them: grade exact, inside or around, most certain first by rank."""
+def who_cites(edges: DataFrame, targets: DataFrame, tasks: int | None = None) -> DataFrame:
+    """targets(target, path) with every edge that meets them: grade exact, inside or around, most certain first by rank.
+    Edges are dealt out to so many tasks, if given (see state.tasks_of)."""
+    dealt = lambda d, *keys: d.repartition(tasks, *keys) if tasks else d
     t = targets.select(F.col("target").alias("_t"), "path")
     over = t.withColumn("_key", F.explode(ancestors(F.col("path"))))
-    e = edges.join(over, (edges["target"] == over["_t"]) & (edges["locator"] == over["_key"])).drop("_t", "_key")
-    below = edges.withColumn("_key", F.explode(ancestors(F.col("locator"), itself=False)))
+    own = dealt(edges, "target", "locator")
+    e = own.join(over, (own["target"] == over["_t"]) & (own["locator"] == over["_key"])).drop("_t", "_key")
+    below = dealt(edges.withColumn("_key", F.explode(ancestors(F.col("locator"), itself=False))), "target", "_key")
     inside = below.join(t, (below["target"] == t["_t"]) & (below["_key"] == t["path"])).drop("_t", "_key")
     met = e.withColumn("grade", F.when(F.col("locator") == F.col("path"), "exact").otherwise("around")).unionByName(inside.withColumn("grade", F.lit("inside")))
     return met.withColumn("rank", F.when(F.col("grade") == "exact", 0).when(F.col("grade") == "inside", 1).otherwise(2))

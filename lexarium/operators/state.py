@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 
 
+#: Rows of a task that joins or counts tables dealt out by `tasks_of`.
+ROWS = 1 << 20
+
+
+def tasks_of(*tables: DataFrame) -> int:
+    """How many tasks these tables are dealt out to, so that each gets about ROWS rows: Spark's own choice goes by compressed
+    bytes, of which keys in order take so few that one task would hold tens of millions of rows."""
+    rows = sum(t.count() for t in tables)
+    return max(-(-rows // ROWS), int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
     """One row for each key, the last (or first) by order; the aggregate moves one row a key and task."""
     pick = (F.min_by if first else F.max_by)(F.struct(*df.columns), F.struct(*order))
@@ -74,10 +85,12 @@ def delta(acts: DataFrame, children: dict[str, DataFrame], since: Column, read_a
     return new, {name: t.join(ids, key, "left_semi") for name, t in children.items()}
 
 
-def apply_delta(acts: DataFrame, children: dict[str, DataFrame], new: DataFrame, parts: dict[str, DataFrame], key: str = "act") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Replace the delta's acts and all of their children; nothing else is deleted, and twice is once."""
+def apply_delta(acts: DataFrame, children: dict[str, DataFrame], new: DataFrame, parts: dict[str, DataFrame], key: str = "act", tasks: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Replace the delta's acts and all of their children; nothing else is deleted, and twice is once. The result is dealt out
+    by key to so many tasks, if given (see tasks_of)."""
     ids = new.select(key).distinct()
-    return replaced(acts, new, [key]), {name: t.join(ids, key, "left_anti").unionByName(parts[name]) for name, t in children.items()}
+    dealt = lambda d: d.repartition(tasks, key) if tasks else d
+    return dealt(replaced(acts, new, [key])), {name: dealt(t.join(ids, key, "left_anti").unionByName(parts[name])) for name, t in children.items()}
 
 
 def position(recorded: DataFrame, acts: DataFrame, read_at: str = "read_at") -> DataFrame:

@@ -93,7 +93,7 @@ def graph_outbound(t):
  select target, path, grade, count(*) as n from m where grade is not null group by all""")
 def graph_provision_citers(t):
     tg = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("target"), F.concat(F.lit("art"), (F.col("p_size") % 7).cast("string")).alias("path"))
-    return graph.who_cites(edges(t), tg).groupBy("target", "path", "grade").agg(F.count("*").alias("n"))
+    return graph.who_cites(edges(t), tg, state.tasks_of(t("lineitem"))).groupBy("target", "path", "grade").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {EDGES}, b as (select source as node, target as neighbour, kind, since, 'out' as direction from edges union all select target, source, kind, since, 'in' from edges),
