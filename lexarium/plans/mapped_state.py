@@ -82,9 +82,10 @@ def state_guarded_transitions(t):
     return state.transitions(e.select(i.alias("id"), F.col("event_type").alias("state")), moves, _ALLOWED)
 
 
-def _delta(t):
-    acts = t("orders").select(F.col("o_orderkey").alias("act"), F.col("o_orderdate").cast("date").alias("read_at"), F.col("o_orderstatus").alias("v"))
-    parts = {"lines": t("lineitem").select(F.col("l_orderkey").alias("act"), "l_linenumber", F.col("l_linestatus").alias("v"))}
+def _delta(t, tasks: int | None = None):
+    dealt = lambda d: d.repartition(tasks, "act") if tasks else d
+    acts = dealt(t("orders").select(F.col("o_orderkey").alias("act"), F.col("o_orderdate").cast("date").alias("read_at"), F.col("o_orderstatus").alias("v")))
+    parts = {"lines": dealt(t("lineitem").select(F.col("l_orderkey").alias("act"), "l_linenumber", F.col("l_linestatus").alias("v")))}
     return acts, parts, state.delta(acts, parts, F.lit("1997-01-01").cast("date"))
 
 
@@ -97,10 +98,11 @@ def state_delta_pack(t):
 @query("""with c as (select o_orderkey as act, 'x' as v from orders where o_orderkey % 2 = 0 or cast(o_orderdate as date) > date '1997-01-01'), l as (select l_orderkey as act, count(*) as n from lineitem join orders on o_orderkey = l_orderkey where o_orderkey % 2 = 0 or cast(o_orderdate as date) > date '1997-01-01' group by 1)
  select c.act, coalesce(l.n, 0) as n from c left join l on l.act = c.act""")
 def state_delta_applied_twice(t):
-    acts, parts, (new, own) = _delta(t)
+    tasks = state.tasks_of(t("lineitem"))
+    acts, parts, (new, own) = _delta(t, tasks)
     at = (acts.where("act % 2 = 0"), {"lines": parts["lines"].where("act % 2 = 0").join(acts.select("act"), "act", "left_semi")})
     for _ in range(2):
-        at = state.apply_delta(*at, new, own)
+        at = state.apply_delta(*at, new, own, tasks=tasks)
     return at[0].select("act").join(at[1]["lines"].groupBy("act").agg(F.count("*").alias("n")), "act", "left").select("act", F.coalesce("n", F.lit(0)).alias("n"))
 
 
