@@ -14,12 +14,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import SHARE, exchanged, free, fresh, mix64, part_bits, release, small_batches, span_hashes, without, written
 from .components import verified_components
 
-#: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^4)^9 = 0.9%.
-CHARS, ROWS, BANDS = 5, 4, 9
+#: Characters of a shingle, rows of a band and bands: at similarity 0.8 all bands miss with chance (1 - 0.8^6)^16 = 0.8%. Unlike
+#: lines of similarity s meet in a band with chance s^6; with fewer rows bands of unlike lines grow with the input.
+CHARS, ROWS, BANDS = 5, 6, 16
 #: Lines of one batch, and of all batches, from which a band key counts as hot: its lines are tied to the smallest of them
 #: at once, and the exact check decides about all of them.
 HOT_BATCH, HOT = 64, 20_000
-#: Bins of the signature, each with a two-bit code (0: empty), and how many codes two lines of one band must share. A bin
+#: Bins of the signature that bands are made of.
+SLOTS = 128
+#: Bins of the gate, each with a two-bit code (0: empty), and how many codes two lines of one band must share. A bin
 #: whose codes differ holds a shingle that the lines don't share, so no more bins differ than `unlike` allows; of lines with
 #: so many shingles that this is above 18, at similarity 0.8 more than 18 bins differ with chance 0.1% at most.
 BINS, CODES = 64, 46
@@ -92,32 +95,37 @@ def code_hashes(code: np.ndarray, lens: np.ndarray, k: int = CHARS) -> tuple[np.
         return mix64(whole[starts]), line
 
 
-def least(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash: the least value in each of BINS bins, NONE in empty ones."""
-    out = np.full(n * BINS, NONE, np.uint64)
-    np.minimum.at(out, line * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(BINS.bit_length() - 1))
-    return out.reshape(n, BINS)
+def least(h: np.ndarray, line: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
+    """One-permutation MinHash: the least value in each of the bins, NONE in empty ones."""
+    out = np.full(n * bins, NONE, np.uint64)
+    np.minimum.at(out, line * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
+    return out.reshape(n, bins)
+
+
+def halved(own: np.ndarray) -> np.ndarray:
+    """The least values in half as many bins."""
+    half = own.shape[1] // 2
+    low, high = own[:, :half], own[:, half:]
+    return np.minimum(np.where(low == NONE, NONE, low << np.uint64(1)), np.where(high == NONE, NONE, (high << np.uint64(1)) | np.uint64(1)))
 
 
 def signatures(own: np.ndarray) -> np.ndarray:
-    """The least values with empty bins filled from the next one."""
-    bins, out = BINS, own.copy()
-    gaps = np.flatnonzero((out == NONE).any(1))
-    if not len(gaps):
-        return out
-    some = out[gaps]
-    at = np.where(some == NONE, 2 * bins, np.arange(bins))
-    at = np.concatenate([at, at + bins], axis=1)
-    donor = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    away = np.where(donor < 2 * bins, donor - np.arange(bins), 0)
-    with np.errstate(over="ignore"):
-        out[gaps] = np.take_along_axis(some, donor % bins, axis=1) + FILL[away]
+    """The least values of the bins that bands are made of; an empty one takes that of the first bin of its row of DONORS
+    that isn't empty, so that bins of one band seldom take the same value."""
+    out = own[:, : ROWS * BANDS].copy()
+    row, col = np.nonzero(out == NONE)
+    for donors in DONORS:
+        got = own[row, donors[col]]
+        out[row, col] = got
+        row, col = row[got == NONE], col[got == NONE]
+        if not len(row):
+            return out
+    out[row, col] = own[row].min(1)
     return out
 
 
-with np.errstate(over="ignore"):
-    #: What is added to the value of a bin that fills another one so many bins before it.
-    FILL = np.cumsum(np.concatenate([[0], 2 * np.arange(1, BINS) + 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bins from which each empty bin takes its value, one after another.
+DONORS = (mix64(np.arange(1, 64 * SLOTS + 1, dtype=np.uint64)) % np.uint64(SLOTS)).astype(np.int64).reshape(64, SLOTS)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -177,25 +185,25 @@ def across(code: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int) ->
 
 
 def _hot(key: np.ndarray, i: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries of (key, i), sorted by key then i, are of a key with more than `most`, and the first i of each key."""
+    """Which entries of (key, i), sorted by key, are of a key with more than `most`, and the least i of each key."""
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(cuts, len(key)))
-    return np.repeat(size > most, size), np.repeat(i[cuts], size)
+    return np.repeat(size > most, size), np.repeat(np.minimum.reduceat(i, cuts) if len(cuts) else i, size)
 
 
 def _dealt(key: np.ndarray, i: np.ndarray, bits: int) -> dict[int, bytes]:
-    """Lines' band keys (sorted by key, then line) as packed (key, line) entries of each part; part -1 has edges of keys
-    that are hot here."""
+    """Lines' band keys as packed entries of each part: the 32 bits of the key after those of the part, then the line; part -1
+    has edges of keys that are hot here."""
+    key = key.view(np.uint64) >> np.uint64(32 - bits)
+    order = np.argsort(key)
+    key, i = key[order], i[order]
     hot, first = _hot(key, i, HOT_BATCH)
     star = hot & (i != first)
     out = {-1: np.stack([i[star], first[star]]).tobytes()}
     key, i = key[~star], i[~star]
-    part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    there, first = np.unique(part[order], return_index=True)
-    for p, a, b in zip(there.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
-        at = order[a:b]
-        out[p] = np.stack([key[at], i[at]]).tobytes()
+    there, first = np.unique((key >> np.uint64(32)).astype(np.int64), return_index=True)
+    for p, a, b in zip(there.tolist(), first.tolist(), np.append(first, len(key))[1:].tolist(), strict=True):
+        out[p] = key[a:b].astype(np.uint32).tobytes() + i[a:b].tobytes()
     return out
 
 
@@ -208,13 +216,22 @@ def _edges_of(batches):
 
 def _met(batches):
     """(band, id, to): the entries of band keys that several lines have; those of hot keys with the line they are tied to."""
-    got = [np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column(b.schema.get_field_index("data")).to_pylist()]
-    if not got:
+    keys, lines = [], []
+    for b in batches:
+        for p, x in zip(b.column(b.schema.get_field_index("part")).to_pylist(), b.column(b.schema.get_field_index("data")).to_pylist(), strict=True):
+            n = len(x) // 12
+            keys.append(np.frombuffer(x, np.uint32, n).astype(np.int64) | (p << 32))
+            lines.append(np.frombuffer(x, np.int64, n, 4 * n))
+    if not keys:
         return
-    key, i = np.concatenate(got, axis=1)
-    order = np.lexsort((i, key))
+    key, i = np.concatenate(keys), np.concatenate(lines)
+    del keys, lines
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # most keys have one entry
+    order = order[np.lexsort((i[order], key[order]))]
     key, i = key[order], i[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])])
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])]) if len(key) else np.zeros(0, bool)
     key, i = key[new], i[new]
     several, first = _hot(key, i, 1)
     hot, _ = _hot(key, i, HOT)
@@ -222,7 +239,7 @@ def _met(batches):
     for lo in range(0, len(key), 1 << 16):
         own = slice(lo, lo + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(i[own]), pa.array(to[own], mask=~hot[own])], ["band", "id", "to"])
-    del got, key, i, to, hot
+    del key, i, to, hot
     release()
 
 
@@ -303,10 +320,9 @@ def _lines(bits: int, shape: pa.Schema):
                 np.add.at(inside, ends[keep], -1)
                 body = data[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes().decode()
                 h, line = code_hashes(np.frombuffer(body.encode("utf-32-le"), np.uint32), (chars[ends] - chars[starts])[keep])
-                own = least(h, line, int(keep.sum()))
-                key, i = band_keys(signatures(own)).ravel(), np.repeat(one[keep], BANDS)
-                order = np.lexsort((i, key))
-                dealt = _dealt(key[order], i[order], bits)
+                own = least(h, line, int(keep.sum()), SLOTS)
+                dealt = _dealt(band_keys(signatures(own)).ravel(), np.repeat(one[keep], BANDS), bits)
+                own = halved(own)
                 row = part.select(["id", "th"]).take(pa.array(where))
                 blank = len(dealt)
                 code, n = np.zeros((len(one), 2), np.int64), np.zeros(len(one), np.int64)

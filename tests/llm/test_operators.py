@@ -545,3 +545,23 @@ def test_clashing_score_columns_give_way(spark, odd):
     d = odd.withColumn("score", F.lit("mine")).withColumn("id", F.lit(0)).withColumn("learnt", F.lit(1))
     got = language_model.lm_scores(d, F.col("doc_id") != 3)
     assert got.count() == d.count() and dict(got.dtypes)["score"] == "double" and dict(got.dtypes)["id"] == "bigint"
+
+
+def test_unlike_lines_of_common_shingles_seldom_meet_in_bands(spark, monkeypatch):
+    """Lines of the same few syllables are no candidates, so that bands don't grow with the square of the input; like ones still are."""
+    rng, real, met = np.random.default_rng(5), line_dedup.written, []
+
+    def counted(df, tag):
+        out = real(df, tag)
+        if tag == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    syllables = ["the ", "of ", "and", "tion", "er", "ing ", "en", "re", "on", "at "]
+    lines = ["".join(rng.choice(syllables, 24)) for _ in range(8000)]
+    more = [x[:30] + "#" + x[31:] for x in lines[:200]]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines + more)], "doc_id long, text string")
+    dropped = {r["id"] for r in line_dedup.duplicate_lines(d).collect()}
+    assert met[0] < 16 * 2 * 200 * 1.5  # at most what the like lines need, and half of that
+    assert len(dropped & set(range(8000, 8200))) >= 196
