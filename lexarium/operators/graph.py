@@ -105,6 +105,16 @@ def who_cites(edges: DataFrame, targets: DataFrame, tasks: int | None = None) ->
     return met.withColumn("rank", F.when(F.col("grade") == "exact", 0).when(F.col("grade") == "inside", 1).otherwise(2))
 
 
+def citation_counts(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(target, citing, amending): how many sources cite each target of edges(target, source, amends), and how many amend it.
+
+    A pair is one row before sources are counted; pairs are dealt out to so many tasks, if given (see state.tasks_of), and
+    by both ends, so that a much cited target isn't one task's."""
+    own = edges.repartition(tasks, "target", "source") if tasks else edges
+    pairs = own.groupBy("target", "source").agg(F.max("amends").alias("amends"))
+    return pairs.groupBy("target").agg(F.count("source").alias("citing"), F.count(F.when(F.col("amends"), F.col("source"))).alias("amending"))
+
+
 def neighbours(edges: DataFrame, limit: int = 10) -> DataFrame:
     """(node, neighbour, kind, since, direction): the first edge with each neighbour in either direction, `limit` a node."""
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "kind", "since", F.lit("out").alias("direction")).unionAll(edges.select("target", "source", "kind", "since", F.lit("in")))

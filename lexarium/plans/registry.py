@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, rules, search, similarity
+from ..operators import candidates, graph, rules, search, similarity, state
 from ..operators.segments import SegmentedIndex
 from ..session import work_dir
 from . import mapped, mapped_events, mapped_lifecycle, mapped_state, mapped_stored, mapped_text, sql
@@ -63,6 +63,14 @@ def _shards(spark, sf_dir):
     return search.prefix_shards(index.frequencies(), n)
 
 
+def _citation_counts(spark, sf_dir):
+    lines, orders = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    tasks = state.tasks_of(lines)
+    met = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = met.select(F.col("l_partkey").alias("target"), F.col("o_custkey").alias("source"), (F.col("l_returnflag") == "R").alias("amends"))
+    return graph.citation_counts(edges, tasks).withColumnRenamed("target", "l_partkey")
+
+
 def _candidates(spark, sf_dir):
     drafts = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("draft"), "text")
     return candidates.candidates(_index(spark, sf_dir), drafts, 10).select(F.col("draft").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
@@ -194,7 +202,7 @@ def _further() -> dict[str, tuple[Query, str]]:
 def queries() -> dict[str, Query]:
     own = {name: f for name, (f, _) in (OWN | _further()).items()}
     plans = {name: (lambda spark, sf_dir, p=p: run_plan(spark, sf_dir, p(sql.Spark))) for name, p in sql.PLANS.items()}
-    return own | plans | {"quote_gate": _quotes}
+    return own | plans | {"quote_gate": _quotes, "citation_counts": _citation_counts}
 
 
 def oracle_sql() -> dict[str, str]:
