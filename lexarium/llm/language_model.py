@@ -18,9 +18,9 @@ ROUNDS, LEAST, APART = 8, 0.01, 16
 #: The share of the step that counts alone call for which each template takes at the start, the pull of each weight towards
 #: the start without context, and the largest weight.
 SHARE, PULL, LARGEST = 0.5, 4.0, 12.0
-#: Learnt tokens of one task of a gradient step, at least and (beyond the cluster's cores) about, so that sums of fixed size
-#: are few; sums that are added in one task at most.
-LEAST_TOKENS, TASK_TOKENS, ADDED = 1 << 22, 1 << 24, 32
+#: Learnt tokens of one task of a gradient step, so that the number of sums (of fixed size) follows the input and no task
+#: grows with it; sums that are added in one task at most.
+TASK_TOKENS, ADDED = 1 << 23, 32
 #: Bits of a unit of expectation, and bytes of text whose features are made at once.
 UNITS, AT_ONCE = 10, 2 << 20
 #: Rows of weights that are summed as one block.
@@ -221,7 +221,7 @@ def train(texts: DataFrame, n_tokens: int) -> np.ndarray:
     sc, rows = texts.sparkSession.sparkContext, TEMPLATES << BITS
     apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
     learn, held = texts.where(~apart), written(texts.where(apart), "apart")
-    tasks = max(1, min(sc.defaultParallelism, n_tokens // LEAST_TOKENS), n_tokens // TASK_TOKENS)
+    tasks = max(1, n_tokens // TASK_TOKENS)
 
     def gathered(shared) -> list[np.ndarray]:
         got = learn.coalesce(tasks).mapInArrow(_sums(shared), "block int, d binary")

@@ -1,6 +1,7 @@
 """Small tests of each operator: odd rows, empty tables, brute force."""
 
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -565,3 +566,20 @@ def test_unlike_lines_of_common_shingles_seldom_meet_in_bands(spark, monkeypatch
     dropped = {r["id"] for r in line_dedup.duplicate_lines(d).collect()}
     assert met[0] < 16 * 2 * 200 * 1.5  # at most what the like lines need, and half of that
     assert len(dropped & set(range(8000, 8200))) >= 196
+
+
+def test_language_model_sums_follow_the_number_of_tokens(spark, monkeypatch):
+    real, plans = language_model.written, []
+
+    def kept(df, tag):
+        if tag == "sums":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, tag)
+
+    monkeypatch.setattr(language_model, "written", kept)
+    monkeypatch.setattr(language_model, "ROUNDS", 0)
+    texts = spark.createDataFrame([(f"some words {i}",) for i in range(40)], "text string")
+    for n in (23_200_000, 116_000_000):
+        language_model.train(texts, n)
+    a, b = (int(re.search(r"Repartition (\d+), false", p).group(1)) for p in plans)
+    assert b >= 5 * a
