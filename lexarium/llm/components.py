@@ -15,6 +15,8 @@ from .common import free, release, written
 TILE = 1000
 #: Mean number of set elements for each of them; tiles of larger sets hold fewer members.
 TILE_ITEMS = 1000
+#: Members of a tile from which bitmaps pay; of fewer, each pair that sizes allow is intersected at once.
+BITMAPS_FROM = 5
 
 
 #: Edges that one task may hold; more are contracted by distributed rounds.
@@ -81,6 +83,27 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64).reshape(len(sets), bits // 64)
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |A and B| >= percent * |A or B|, of sorted distinct arrays that aren't empty."""
+    at = b.searchsorted(a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) * (100 + percent) >= percent * (len(a) + len(b))
+
+
+def _few(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int, sides: list[int] | None) -> list[tuple[int, int]]:
+    """link_tile of few members, sorted by size."""
+    links = []
+    for i, a in enumerate(sets):
+        for k in range(i + 1, len(sets)):
+            if len(sets[k]) * percent > len(a) * 100:
+                break
+            if labels[k] != labels[i] and (sides is None or sides[k] != sides[i]) and _linked(a, sets[k], percent):
+                links.append((ids[i], ids[k]))
+                old = labels[k]
+                labels = [labels[i] if x == old else x for x in labels]
+    return links
+
+
 def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the labels of one tile, found exactly: 100 * |A and B| >= percent * |A or B|.
 
@@ -96,6 +119,8 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
         sides = sides[order]
     if len(ids) < 2 or (labels == labels[0]).all():
         return []
+    if len(ids) < BITMAPS_FROM:
+        return _few(ids.tolist(), sets, labels.tolist(), percent, None if sides is None else sides.tolist())
     bits = 1 << int(np.clip(int(np.median(n)) * 2, 256, 4096) - 1).bit_length()
     maps, links = _bitmaps(sets, bits), []
     for i in range(len(ids) - 1):
@@ -111,10 +136,7 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
         for k in near:
             if labels[k] == labels[i]:
                 continue
-            a, b = sets[i], sets[k]
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if both * (100 + percent) >= percent * (n[i] + n[k]):
+            if _linked(sets[i], sets[k], percent):
                 links.append((int(ids[i]), int(ids[k])))
                 labels[labels == labels[k]] = labels[i]
     return links
@@ -127,12 +149,21 @@ def _solve(tiles: DataFrame, by: list[str], percent: int, make: Callable) -> Dat
     """
 
     def solved(t: pa.Table, cuts: np.ndarray):
-        ids, label, side, items = t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("side"), make(t.column("items").to_pylist())
+        ids, number = t.column("id").to_numpy(), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        order = np.lexsort((ids, number))
+        new = np.ones(len(ids), bool)  # an id counts once in its tile
+        new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (number[order[1:]] != number[order[:-1]])
+        order = order[new]
+        several = np.bincount(number[order], minlength=len(cuts) - 1) > 1
+        order = order[several[number[order]]]
+        if not len(order):
+            return
+        t = t.take(pa.array(order))
+        ids, label, items = t.column("id").to_numpy(), t.column("label").to_numpy(), make(t.column("items").to_pylist())
+        sides = t.column("side").to_numpy() if t.column("side").null_count == 0 else None
+        cuts = np.flatnonzero(np.diff(number[order], prepend=-1, append=-1)).tolist()
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            own, at = np.unique(ids[lo:hi], return_index=True)
-            if len(own) > 1:
-                sides = None if side[int(lo)].as_py() is None else side.slice(lo, hi - lo).to_numpy()[at]
-                yield from link_tile(own, [items[lo + i] for i in at], label[lo:hi][at], percent, sides)
+            yield from link_tile(ids[lo:hi], items[lo:hi], label[lo:hi], percent, None if sides is None else sides[lo:hi])
 
     def run(batches):
         rest = None

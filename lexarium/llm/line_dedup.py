@@ -260,7 +260,7 @@ def band_edges(batches, percent: int = 80):
     code, n = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in ("code", "code2")], 1), t.column("n").to_numpy().astype(np.int64)[order]
     cuts = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]]) if len(band) else np.zeros(1, np.int64)
     lo, hi, led, a, b = cuts[:-1], cuts[1:], np.zeros(len(band), bool), [i[:0]], [i[:0]]
-    leader, group, links, bands = lo, np.full(len(band), -1), [], list(zip(lo.tolist(), hi.tolist(), strict=True))
+    leader, group, links, bands = lo, np.full(len(band), -1), [], np.stack([lo, hi], 1)
     while len(lo):  # the next leader of every band that has one
         size = hi - lo
         begin = np.cumsum(size) - size
@@ -286,13 +286,14 @@ def band_edges(batches, percent: int = 80):
     for x, y in np.unique(np.concatenate(links), axis=0).tolist() if links else []:
         if (x := root(x)) != (y := root(y)):
             up[max(x, y)] = min(x, y)
-    for lo, hi in bands:
+    if len(bands):  # those whose led lines are of several groups
+        bands = bands[np.minimum.reduceat(np.where(led, group, len(led)), bands[:, 0]) < np.maximum.reduceat(np.where(led, group, -1), bands[:, 0])]
+    for lo, hi in bands.tolist():
         rows = lo + np.flatnonzero(led[lo:hi])
-        if len(rows) > 1 and (group[rows] != group[rows[0]]).any():
-            of = np.array([root(x) for x in group[rows].tolist()])
-            if (of != of[0]).any() and (more := across(code[rows], n[rows], of, percent)):
-                a.append(i[rows[[x for x, _ in more]]])
-                b.append(i[rows[[y for _, y in more]]])
+        of = np.array([root(x) for x in group[rows].tolist()])
+        if (of != of[0]).any() and (more := across(code[rows], n[rows], of, percent)):
+            a.append(i[rows[[x for x, _ in more]]])
+            b.append(i[rows[[y for _, y in more]]])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
     del t, band, i, order, code, n
     release()
@@ -342,8 +343,13 @@ def line_sets(folded: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingles of each folded line."""
     h, line = char_hashes(folded)
     h = h.view(np.int64)
-    cuts = np.searchsorted(line, np.arange(len(folded) + 1))
-    return [np.unique(h[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = np.searchsorted(line, np.arange(len(folded) + 1)).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        h[lo:hi].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, cuts = h[new], np.searchsorted(line[new], np.arange(len(folded) + 1)).tolist()
+    return [h[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _wanted(batches):

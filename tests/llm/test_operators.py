@@ -583,3 +583,24 @@ def test_language_model_sums_follow_the_number_of_tokens(spark, monkeypatch):
         language_model.train(texts, n)
     a, b = (int(re.search(r"Repartition (\d+), false", p).group(1)) for p in plans)
     assert b >= 5 * a
+
+
+def test_tiles_of_few_members_are_solved_without_bitmaps(monkeypatch):
+    def brute(ids, sets, labels):
+        links, labels, order = [], list(labels), sorted(range(len(ids)), key=lambda i: len(sets[i]))
+        for x, i in enumerate(order):
+            for k in order[x + 1 :]:
+                both = len(np.intersect1d(sets[i], sets[k]))
+                if labels[i] != labels[k] and 100 * both >= 80 * (len(sets[i]) + len(sets[k]) - both):
+                    links.append((ids[i], ids[k]))
+                    labels = [labels[i] if v == labels[k] else v for v in labels]
+        return links
+
+    rng, calls = np.random.default_rng(5), []
+    tiles = [[np.unique(rng.choice(30, rng.integers(20, 31), replace=False)) for _ in range(2 + k % 3)] for k in range(60)]
+    want = [brute(list(range(len(t))), t, range(len(t))) for t in tiles]
+    bitmaps = components._bitmaps
+    monkeypatch.setattr(components, "_bitmaps", lambda *a: calls.append(a) or bitmaps(*a))
+    got = [components.link_tile(np.arange(len(t)), t, np.arange(len(t)), 80) for t in tiles]
+    assert got == want and sum(map(len, want)) > 5 and not calls
+    assert not components.link_tile(np.arange(2), [tiles[0][0], tiles[0][0]], np.arange(2), 80, np.array([1, 1]))
