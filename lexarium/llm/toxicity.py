@@ -19,6 +19,8 @@ LABELLED = 20_000
 CHANCE = 25
 #: The least length of a term that may be misspelled: a shorter one has other words one edit away.
 FUZZY_FROM = 5
+#: Bytes of text whose words a task holds at once.
+HELD = 1 << 20
 #: Words on either side of a term that belong to its context.
 WINDOW = 6
 _WORD = re.compile(r"[^\W_]+")
@@ -157,9 +159,10 @@ def _rows(batch: pa.RecordBatch, text_col: str, model: dict):
 
 def _distinct(batches):
     for batch in batches:
-        for part in small_batches(batch, "text"):
+        for part in small_batches(batch, "text", HELD):
             words = [sorted(set(_WORD.findall((t or "").lower()))) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("toxic")), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+    release()
 
 
 def _near_terms(terms: tuple[str, ...]):
@@ -168,6 +171,7 @@ def _near_terms(terms: tuple[str, ...]):
         for batch in batches:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([w for w in words if (got := m.match(w)) and got[0]], pa.string())], ["w"])
+        release()
 
     return run
 
@@ -206,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def rows_out(batches, model=model):
         for batch in batches:
-            for part in small_batches(batch, "text"):
+            for part in small_batches(batch, "text", HELD):
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("toxic")), pa.array([x.tolist() for x in _rows(part, "text", model)], pa.list_(pa.float64()))], ["y", "x"])
+        release()
 
     got = sample.mapInArrow(rows_out, "y int, x array<double>").toPandas()
     model["beta"] = logistic(np.array(got["x"].tolist()), got["y"].to_numpy(float))
@@ -236,7 +241,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def _scores(text_col: str, model: dict):
     def run(batches):
         for batch in batches:
-            for part in small_batches(batch, text_col, 1 << 20):
+            for part in small_batches(batch, text_col, HELD):
                 if model["beta"] is None:
                     score = np.zeros(part.num_rows)
                 else:

@@ -604,3 +604,17 @@ def test_tiles_of_few_members_are_solved_without_bitmaps(monkeypatch):
     got = [components.link_tile(np.arange(len(t)), t, np.arange(len(t)), 80) for t in tiles]
     assert got == want and sum(map(len, want)) > 5 and not calls
     assert not components.link_tile(np.arange(2), [tiles[0][0], tiles[0][0]], np.arange(2), 80, np.array([1, 1]))
+
+
+def test_toxicity_learns_from_small_parts_and_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from lexarium.llm import toxicity
+
+    freed = []
+    monkeypatch.setattr(toxicity, "release", lambda: freed.append(1))
+    texts = [f"w{i} " + "ab " * 300_000 for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 0], pa.int32()), pa.array(texts)], ["toxic", "text"])
+    got = [r for b in toxicity._distinct([batch]) for r in b.to_pylist()]
+    assert got == [{"toxic": k % 2, "words": ["ab", f"w{k}"]} for k in range(3)]
+    assert len(list(toxicity._distinct([batch]))) == 3 and len(freed) == 2
